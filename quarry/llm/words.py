@@ -111,7 +111,7 @@ class Rolling:
     def windows(self, k: int) -> np.ndarray:
         """Of every k words in a row, those across two texts included."""
         n = max(0, len(self.total) - k)
-        return mix((self.total[k:] - self.total[:n]) * self.down[:n] + np.uint64(k) * _ODD)
+        return mix((self.total[k:] - self.total[:n]) * self.down[:n] + np.uint64(k * int(_ODD) & (1 << 64) - 1))
 
 
 def sliding_min(v: np.ndarray, width: int) -> np.ndarray:

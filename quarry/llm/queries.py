@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, simhash, substring_dedup
+from quarry.llm import decontaminate, language_id, packing, simhash, substring_dedup, token_output
+from quarry.llm.tokenizing import byte_bpe_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,23 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def held_out(doc_id):
+    """Documents that language models never learn from."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    models = language_id.train(docs.where(~held_out(F.col("doc_id"))))
+    found = language_id.classify(docs, models)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "nats_per_char", "rejected")
+
+
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = token_output.write_tokens(_table(spark, sf_dir, "documents"), token_output.new_folder(spark), vocabulary=byte_bpe_path())
+    return token_output.read_index(written)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -31,6 +49,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_index(_table(spark, sf_dir, "documents"), vocabulary=byte_bpe_path())
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits(F.col("bits")).alias("fingerprint"), "component_id")
@@ -40,7 +63,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup,
+        op2_language_id,
+        op4_token_output,
         op5_decontamination,
+        op7_packing,
         op9_simhash_near_dedup,
     )
 }

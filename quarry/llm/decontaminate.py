@@ -289,7 +289,33 @@ def contaminated(n_hit, n_words, share: int = 20):
     return (n_hit > 0) & (n_hit * share >= n_words)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents, all their columns unchanged, that aren't contaminated. Expects unique ids; a null id stays."""
-    bad = matches(docs, benchmark, id_col=id_col, text_col=text_col, **options).where(contaminated(F.col("n_hit"), F.col("n_words")))
-    return docs.join(bad.select(F.col("doc_id").alias("_bad")), F.col(f"`{id_col}`") == F.col("_bad"), "left_anti")
+def _keeper(sent, text_col: str):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tests = sent.value
+        lookup = _Lookup(tests.vocabulary)
+        for batch in batches:
+            for lo, hi, data, bounds in slices(batch.column(text_col)):
+                grid, hit, _, _ = _matches(tests, lookup, data, bounds)
+                total = np.concatenate([[0], np.cumsum(hit)])
+                bad = contaminated(total[grid.first[1:]] - total[grid.first[:-1]], grid.counts)
+                yield batch.slice(lo, hi - lo).filter(pa.array(~bad))
+
+    return keep
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents, all their columns unchanged, that aren't contaminated.
+
+    With a benchmark of one block they are judged row by row. Hits of several blocks are added up by document first and
+    then joined, which expects unique ids; a null id stays.
+    """
+    spark = docs.sparkSession
+    prepare(spark)
+    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    ids, texts = next(blocks)
+    if next(blocks, None) is None:
+        sent = spark.sparkContext.broadcast(TestSuffixes.build(ids, pa.array(texts, pa.string()), window))
+        return docs.mapInArrow(_keeper(sent, text_col), docs.schema)
+    found = matches(docs, benchmark, window=window, id_col=id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col, block_bytes=block_bytes)
+    bad = found.where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias("_bad"))
+    return docs.join(bad, F.col(f"`{id_col}`") == F.col("_bad"), "left_anti")

@@ -243,24 +243,40 @@ def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
     return out
 
 
+def _predictions(models: LanguageModels, index: np.ndarray, column: pa.Array) -> Iterator[tuple[int, int, tuple]]:
+    """(from row, to row, prediction) of parts of a column of texts."""
+    texts = ["" if t is None else t for t in column.to_pylist()]
+    at = 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (to == at or size + len(texts[to]) <= _SLICE_CHARS):
+            size += len(texts[to])
+            to += 1
+        yield at, to, models.predict(texts[at:to], index)
+        at = to
+
+
 def _classifier(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = sent.value
         index = models.index()
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
-            at = 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to]) <= _SLICE_CHARS):
-                    size += len(texts[to])
-                    to += 1
-                names, score, nats, rejected = models.predict(texts[at:to], index)
+            for at, to, (names, score, nats, rejected) in _predictions(models, index, batch.column("text")):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(at, to - at), pa.array(names, pa.string()), pa.array(score), pa.array(nats), pa.array(rejected)],
                     ["doc_id", "lang_pred", "score", "nats_per_char", "rejected"],
                 )
-                at = to
+
+    return run
+
+
+def _keeper(sent, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = sent.value
+        index = models.index()
+        for batch in batches:
+            for at, to, (_, _, _, rejected) in _predictions(models, index, batch.column(text_col)):
+                yield batch.slice(at, to - at).filter(pa.array(~rejected))
 
     return run
 
@@ -276,7 +292,8 @@ def classify(docs: DataFrame, models: LanguageModels, *, id_col: str = "doc_id",
     return own_columns(docs, id_col, text_col).mapInArrow(_classifier(sent), "doc_id long, lang_pred string, score double, nats_per_char double, rejected boolean")
 
 
-def keep_known(docs: DataFrame, models: LanguageModels, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all their columns unchanged, that are not rejected. Expects unique ids; rows without an id stay."""
-    gone = classify(docs, models, id_col=id_col, text_col=text_col).where("rejected").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+def keep_known(docs: DataFrame, models: LanguageModels, *, text_col: str = "text") -> DataFrame:
+    """The documents, all their columns unchanged, that are not rejected: judged row by row, without a join."""
+    prepare(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(models)
+    return docs.mapInArrow(_keeper(sent, text_col), docs.schema)

@@ -132,5 +132,6 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """The documents, all their columns unchanged, that have the smallest id of their component. Expects unique ids; rows
     without an id stay."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    # A table: its size is known where the join is planned.
+    gone = Workspace(docs.sparkSession, "simhash-gone").table(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "gone")
     return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")

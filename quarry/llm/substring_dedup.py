@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -159,7 +160,7 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHO
     return spans
 
 
-def _remove_batches(window: int):
+def _remove_batches(window: int, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, bounds in slices(batch.column("text")):
@@ -191,22 +192,32 @@ def _remove_batches(window: int):
                     "n_removed": pa.array(grid.counts - np.diff(total), pa.int64()),
                     "kept": pa.StringArray.from_buffers(hi - lo, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(joined))),
                 }
+                if whole:
+                    columns["kept"] = pc.if_else(pc.equal(columns["n_removed"], 0), batch.column("text").slice(lo, hi - lo), columns["kept"])
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
 
-def remove_repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, whole: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed and kept, the words that no repeated window covers, joined by a space.
 
     A window of `window` words is repeated if its words also start in a document of smaller id, or earlier in its own.
     All windows are judged on the input. A null text has no words; one of fewer than `window` words loses none. A null
     id takes no part across documents. Rows with one id are equal in rank: neither repeats the other, and the spans
-    found in one are removed from all. carry: columns to take along in a struct `rest`.
+    found in one are removed from all. carry: columns to take along in a struct `rest`. whole: a text that loses nothing
+    is kept as it is, white space and all.
     """
     spans = repeated_spans(docs, window=window, anchor=anchor, id_col=id_col, text_col=text_col)
     source = own_columns(docs, id_col, text_col)
     if carry is not None:
         source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in carry)).alias("rest"))
     rest = "" if carry is None else f"rest {source.schema['rest'].dataType.simpleString()}, "
-    return source.join(spans, "doc_id", "left").mapInArrow(_remove_batches(window), f"doc_id long, {rest}n_words long, n_removed long, kept string")
+    return source.join(spans, "doc_id", "left").mapInArrow(_remove_batches(window, whole), f"doc_id long, {rest}n_words long, n_removed long, kept string")
+
+
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents, all their columns, with the text that is left; those that had words and lose all of them go."""
+    other = [c for c in docs.columns if c != text_col]
+    found = remove_repeats(docs, id_col=id_col, text_col=text_col, carry=other, whole=True, **options).where("n_removed = 0 or n_removed < n_words")
+    return found.select(*(F.col("kept").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in docs.columns))

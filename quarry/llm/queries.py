@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, decontaminate, hnsw, language_id, packing, sharding, simhash, substring_dedup, token_output
+from quarry.llm import chat, decontaminate, hnsw, language_id, packing, sharding, simhash, substring_dedup, suffix_dedup, token_output
 from quarry.llm.tokenizing import byte_bpe_path
 
 
@@ -32,6 +32,17 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "nats_per_char", "rejected")
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.expr("aggregate(spans, 0L, (a, x) -> a + x.end - x.start)").alias("n_repeated"),
+        F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), " ").alias("spans"),
+        "others",
+    )
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = token_output.write_tokens(_table(spark, sf_dir, "documents"), token_output.new_folder(spark), vocabulary=byte_bpe_path())
     return token_output.read_index(written)
@@ -91,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_substring_dedup,
         op2_language_id,
+        op3_suffix_array_dedup,
         op4_token_output,
         op5_decontamination,
         op6_sharding,

@@ -1,4 +1,4 @@
-"""The queries over the driver's tables, and the same in SQL."""
+"""The queries over the driver's tables, and the same in DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -7,9 +7,614 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.context import AccessContext
+from quarry.functions import chunking as C
+from quarry.functions import text as X
+from quarry.functions import vector as V
+from quarry.operators import graph as G
+from quarry.operators import maintenance as M
+from quarry.operators import retrieval as R
+from quarry.operators import search as S
+from quarry.operators import security as Z
+from quarry.operators import store
+from quarry.plans.fixtures import Tables, with_views
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+READER = AccessContext("src0", 2)
+
+
+def query(sql: str | None, *views: str):
+    """Register a function of Tables under its name, with its SQL over some views."""
+
+    def register(f: Callable[[Tables], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(Tables(spark, sf_dir))
+
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        QUERIES[f.__name__] = run
+        if sql is not None:
+            ORACLES[f.__name__] = (with_views(*views) + " " if views else "") + sql
+        return run
+
+    return register
+
+
+def _query_vector(t: Tables, vec_id: int = 0):
+    """The vector of one row, as an array literal: one row is read, by a filter that reaches the scan."""
+    row = t.raw("embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()
+    return F.array(*(F.lit(float(x)) for x in row[0])) if row else F.array().cast("array<double>")
+
+
+# Access
+
+
+@query(
+    """SELECT chunk_id, doc_id, title, source_uri, round(sqrt(list_sum(list_transform(list_zip(c.embedding, q.e), lambda z: (z[1] - z[2]) ** 2))), 6) AS distance
+    FROM vector_chunks c JOIN docs USING (doc_id), (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = 0) q
+    WHERE app_id = 'src0' AND classification <= 2 ORDER BY list_sum(list_transform(list_zip(c.embedding, q.e), lambda z: (z[1] - z[2]) ** 2)), chunk_id LIMIT 5""",
+    "docs",
+    "vector_chunks",
+)
+def secured_vector_topk(t: Tables) -> DataFrame:
+    """What an application finds next to a vector, with its sources: the filter on documents comes before the distance."""
+    seen = Z.secure(t.docs(), READER).select("doc_id", "title", "source_uri")
+    best = S.vector_topk(t.vector_chunks().join(seen, "doc_id"), _query_vector(t), 5)
+    return best.select("chunk_id", "doc_id", "title", "source_uri", F.round("distance", 6).alias("distance"))
+
+
+@query("SELECT doc_id, title, classification FROM docs WHERE app_id = 'src0' AND classification <= 2", "docs")
+def secured_docs(t: Tables) -> DataFrame:
+    return Z.secure(t.docs(), READER).select("doc_id", "title", "classification")
+
+
+@query("SELECT count(*) AS visible FROM docs WHERE app_id = 'src0' AND classification <= 0", "docs")
+def secured_docs_clearance_zero(t: Tables) -> DataFrame:
+    """Clearance 0 is 0, not the default."""
+    return Z.secure(t.docs(), AccessContext.of("src0", 0)).agg(F.count("*").alias("visible"))
+
+
+@query("SELECT count(*) AS visible FROM docs WHERE false", "docs")
+def secured_docs_no_clearance(t: Tables) -> DataFrame:
+    return Z.secure(t.docs(), AccessContext("src0", None)).agg(F.count("*").alias("visible"))
+
+
+@query("SELECT version_id, doc_id, content_hash, parser_ver FROM doc_versions v WHERE EXISTS (SELECT 1 FROM docs d WHERE d.doc_id = v.doc_id AND app_id = 'src0' AND classification <= 2)", "doc_versions")
+def secured_versions(t: Tables) -> DataFrame:
+    return Z.secure_versions(t.doc_versions(), t.docs(), READER).select("version_id", "doc_id", "content_hash", "parser_ver")
+
+
+@query("SELECT search_id, clearance FROM searches WHERE app_id = 'app1' AND clearance <= 1", "searches")
+def secured_searches(t: Tables) -> DataFrame:
+    return Z.secure(t.searches(), AccessContext("app1", 1), "clearance").select("search_id", "clearance")
+
+
+@query("SELECT job_id, job_type, status FROM jobs WHERE app_id = 'app1'", "jobs")
+def secured_jobs(t: Tables) -> DataFrame:
+    return Z.secure_jobs(t.jobs(), AccessContext("app1", 3)).select("job_id", "job_type", "status")
+
+
+@query("SELECT entity_id, name FROM entity WHERE app_id = 'app1' AND classification <= 1", "entity")
+def secured_entities(t: Tables) -> DataFrame:
+    return Z.secure(t.entity(), AccessContext("app1", 1)).select("entity_id", "name")
+
+
+@query("SELECT r_regionkey AS kb_id, r_name AS kb_name, CAST(r_regionkey % 4 AS BIGINT) AS required_clearance FROM region WHERE r_regionkey % 4 <= 2")
+def knowledge_bases(t: Tables) -> DataFrame:
+    """Knowledge bases that a clearance opens."""
+    return t.raw("region").select(F.col("r_regionkey").alias("kb_id"), F.col("r_name").alias("kb_name"), (F.col("r_regionkey") % 4).cast("long").alias("required_clearance")).where("required_clearance <= 2")
+
+
+# Documents and versions
+
+
+@query("SELECT app_id, classification, count(*) AS chunks FROM chunks GROUP BY 1, 2", "chunks")
+def chunks_by_app_class(t: Tables) -> DataFrame:
+    return t.chunks().groupBy("app_id", "classification").agg(F.count("*").alias("chunks")).orderBy("app_id", "classification")
+
+
+@query("SELECT doc_id, title, created_at FROM docs WHERE title ILIKE '%doc_1%' OR source_uri ILIKE '%doc_1%' ORDER BY created_at DESC NULLS LAST, doc_id LIMIT 10", "docs")
+def docs_find_ilike(t: Tables) -> DataFrame:
+    return S.find_docs(t.docs(), "DOC_1").select("doc_id", "title", "created_at")
+
+
+@query(
+    """SELECT doc_id, version_id, max_version_no FROM (SELECT doc_id, version_id, max(version_no) OVER (PARTITION BY doc_id) AS max_version_no,
+    row_number() OVER (PARTITION BY doc_id ORDER BY created_at DESC NULLS LAST, version_no DESC) AS n FROM doc_versions) WHERE n = 1""",
+    "doc_versions",
+)
+def latest_version(t: Tables) -> DataFrame:
+    return S.latest_versions(t.doc_versions()).select("doc_id", "version_id", "max_version_no")
+
+
+@query("SELECT doc_id, split_part(regexp_replace(source_uri, '^s3://[^/]*/', ''), '/', 2) AS folder FROM docs", "docs")
+def doc_dir_parse(t: Tables) -> DataFrame:
+    return t.docs().select("doc_id", X.doc_folder(F.col("source_uri"), F.col("app_id")).alias("folder"))
+
+
+@query("SELECT doc_id, title || ' | ' || substring(CAST(doc_id AS VARCHAR), 1, 8) || ' | ' || source_uri AS label, classification FROM docs", "docs")
+def doc_labels(t: Tables) -> DataFrame:
+    return t.docs().select("doc_id", X.doc_label(F.col("title"), F.col("doc_id"), F.col("source_uri")).alias("label"), "classification")
+
+
+@query("SELECT c.chunk_id, d.app_id, d.classification, sha256(c.doc_id || '|' || 3) AS content_hash, 'translate/en' AS parser_ver FROM chunks c JOIN docs d ON c.doc_id = d.doc_id WHERE c.doc_id < 50", "docs", "chunks")
+def add_version(t: Tables) -> DataFrame:
+    """Rows of a third version: application and classification come from the document."""
+    own = t.chunks().where("doc_id < 50").select("chunk_id", "doc_id", "chunk_text")
+    content, parser = store.new_version(F.col("doc_id"), F.lit(3), "translate/en")
+    return store.chunk_rows(t.docs(), own).select("chunk_id", "app_id", "classification", content.alias("content_hash"), parser.alias("parser_ver"))
+
+
+@query("SELECT chunk_id, CASE WHEN chunk_id % 30000 = 0 THEN sha256('new ' || doc_id) ELSE chunk_hash END AS chunk_hash FROM chunks", "chunks")
+def update_chunk(t: Tables) -> DataFrame:
+    changes = t.chunks().where("chunk_id % 30000 = 0").select("chunk_id", F.concat(F.lit(" new "), F.col("doc_id"), F.lit(" ")).alias("new_text"))
+    return store.update_chunks(t.chunks(), changes).select("chunk_id", "chunk_hash")
+
+
+@query(
+    """SELECT 'docs' AS table_name, count(*) AS kept FROM docs WHERE app_id <> 'src3' UNION ALL SELECT 'doc_versions', count(*) FROM doc_versions v WHERE doc_id NOT IN (SELECT doc_id FROM docs WHERE app_id = 'src3')
+    UNION ALL SELECT 'chunks', count(*) FROM chunks WHERE app_id <> 'src3'""",
+    "doc_versions",
+    "chunks",
+)
+def delete_cascade(t: Tables) -> DataFrame:
+    tables = {"docs": t.docs(), "doc_versions": t.doc_versions(), "chunks": t.chunks()}
+    kept = store.cascade(tables, t.docs().where("app_id = 'src3'").select("doc_id"))
+    parts = [kept[n].agg(F.lit(n).alias("table_name"), F.count("*").alias("kept")) for n in tables]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(
+    """SELECT CASE WHEN doc_id % 10 = 0 THEN 'DELETE' ELSE 'UPDATE' END AS action, CAST(doc_id AS VARCHAR) AS row_pk FROM docs WHERE doc_id % 10 IN (0, 1)
+    UNION ALL SELECT 'INSERT', CAST(-1 - doc_id AS VARCHAR) FROM docs WHERE doc_id % 10 = 0""",
+    "docs",
+)
+def change_audit(t: Tables) -> DataFrame:
+    before = t.docs()
+    stay = before.where("doc_id % 10 <> 0").withColumn("title", F.when(F.col("doc_id") % 10 == 1, "renamed").otherwise(F.col("title")))
+    after = stay.unionByName(before.where("doc_id % 10 = 0").withColumn("doc_id", -1 - F.col("doc_id")))
+    return store.change_audit(before, after, "docs", ["doc_id"], "tester", F.lit(0)).select("action", "row_pk")
+
+
+# Chunking and text
+
+
+@query("SELECT chunk_id, chunk_index, length(chunk_text) AS n_chars, chunk_hash FROM chunks", "chunks")
+def sliding_chunks(t: Tables) -> DataFrame:
+    return t.chunks().select("chunk_id", "chunk_index", F.length("chunk_text").cast("long").alias("n_chars"), "chunk_hash")
+
+
+@query(
+    """SELECT chunk_id, '[[META type=text page=' || page_no || ']]' AS header, page_no AS page FROM vector_chunks""",
+    "vector_chunks",
+)
+def meta_roundtrip(t: Tables) -> DataFrame:
+    rows = t.vector_chunks().withColumn("header", X.meta_header(F.lit("text"), F.col("page_no"), F.lit("")))
+    return rows.select("chunk_id", "header", X.meta_page(F.concat("header", F.lit("\nbody"))).cast("long").alias("page"))
+
+
+@query(
+    r"""SELECT doc_id, md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS normalized, CASE WHEN regexp_matches(text, '[\x{0600}-\x{06FF}]') THEN 'ar' WHEN regexp_matches(text, '[A-Za-z]') THEN 'en' ELSE 'auto' END AS lang FROM documents"""
+)
+def normalize_lang(t: Tables) -> DataFrame:
+    return t.raw("documents").select("doc_id", F.md5(X.normalize(F.col("text")).cast("binary")).alias("normalized"), X.query_language(F.col("text")).alias("lang"))
+
+
+@query(
+    """SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block, page_no, part) - 1 AS chunk_index, kind AS block_type, page_no, sha256('[[META type=' || kind || ' page=' || page_no || ']]' || chr(10) || body) AS chunk_hash
+    FROM (SELECT doc_id, page_no, 0 AS block, 'text' AS kind, i AS part, substring(t, i * 3800 + 1, 4000) AS body
+        FROM (SELECT *, unnest(range(CASE WHEN length(t) <= 4000 THEN 1 ELSE CAST(ceil((length(t) - 200) / 3800.0) AS BIGINT) END)) AS i FROM (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM page_rows) WHERE length(t) > 0)
+      UNION ALL SELECT doc_id, page_no, 1, 'Tables', 0, tables FROM page_rows WHERE tables <> ''
+      UNION ALL SELECT doc_id, page_no, 2, 'Figures', 0, figures FROM page_rows WHERE figures <> '')""".replace("\\\\s", "\\s"),
+    "page_rows",
+)
+def pages_to_chunks(t: Tables) -> DataFrame:
+    return C.pages_to_chunks(t.pages()).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "block_type", "page_no", F.sha2("chunk_text", 256).alias("chunk_hash"))
+
+
+@query("SELECT doc_id, sha256(string_agg('[page ' || page_no || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY page_no)) AS full_hash FROM page_rows WHERE trim(text) <> '' GROUP BY 1", "page_rows")
+def fulltext_concat(t: Tables) -> DataFrame:
+    return C.full_text(t.pages()).select("doc_id", F.sha2("full_text", 256).alias("full_hash"))
+
+
+@query("SELECT c.chunk_id, c.page_no FROM vector_chunks c WHERE c.page_no = 3", "vector_chunks")
+def page_filter(t: Tables) -> DataFrame:
+    rows = t.vector_chunks().withColumn("chunk_index", F.col("chunk_id"))
+    return S.page_chunks(rows, 3).select("chunk_id", "page_no")
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 2000 THEN left(text, 2000) || chr(10) || '...(截断)' ELSE text END AS context FROM documents")
+def context_truncate(t: Tables) -> DataFrame:
+    return t.raw("documents").select("doc_id", X.cut(F.col("text"), 2000, "\n...(截断)").alias("context"))
+
+
+# Vectors
+
+
+@query(
+    """SELECT chunk_id, doc_id, round(sqrt(d), 6) AS distance FROM (SELECT c.chunk_id, c.doc_id, list_sum(list_transform(list_zip(c.embedding, q.e), lambda z: (z[1] - z[2]) ** 2)) AS d
+    FROM vector_chunks c, (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = 0) q) ORDER BY d, chunk_id LIMIT 40""",
+    "vector_chunks",
+)
+def vector_topk_l2(t: Tables) -> DataFrame:
+    return S.vector_topk(t.vector_chunks(), _query_vector(t), 40).select("chunk_id", "doc_id", F.round("distance", 6).alias("distance"))
+
+
+@query(
+    """SELECT entity_id, name, round(s, 6) AS similarity FROM (SELECT entity_id, name, list_dot_product(embedding, e) / sqrt(list_dot_product(embedding, embedding) * list_dot_product(e, e)) AS s
+    FROM entity, (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = 0) WHERE is_active AND embedding IS NOT NULL) WHERE s >= 0.05 ORDER BY round(s, 9) DESC, entity_id LIMIT 10""",
+    "entity",
+)
+def entity_topk_cosine(t: Tables) -> DataFrame:
+    rows = t.entity().where("is_active and embedding is not null").withColumn("similarity", V.cosine_similarity(F.col("embedding"), _query_vector(t)))
+    return rows.where("similarity >= 0.05").orderBy(F.desc(F.round("similarity", 9)), "entity_id").limit(10).select("entity_id", "name", F.round("similarity", 6).alias("similarity"))
+
+
+@query(
+    """, q AS (SELECT vec_id AS query_id, CASE vec_id WHEN 0 THEN 'part' WHEN 1 THEN 'no such name' ELSE 'item 1' END AS term, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < 3),
+    named AS (SELECT query_id, entity_id, 1 + 0.2 * ln(occurrence_count + 1) AS score, 'name' AS found_by FROM q JOIN entity ON is_active AND lower(name) LIKE '%' || lower(term) || '%'
+      QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY occurrence_count DESC, entity_id) <= 5),
+    near AS (SELECT query_id, entity_id, list_dot_product(embedding, e) / sqrt(list_dot_product(embedding, embedding) * list_dot_product(e, e)) AS s, occurrence_count FROM q JOIN entity ON is_active AND embedding IS NOT NULL
+      WHERE (SELECT count(*) FROM named WHERE named.query_id = q.query_id) < 5 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, entity_id) <= 5),
+    together AS (SELECT * FROM named UNION ALL SELECT query_id, entity_id, 0.7 * s + 0.2 * ln(occurrence_count + 1), 'vector' FROM near WHERE NOT EXISTS (SELECT 1 FROM named WHERE named.query_id = near.query_id AND named.entity_id = near.entity_id))
+    SELECT query_id, entity_id, found_by, round(score, 6) AS score FROM together QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, entity_id) <= 5""",
+    "entity",
+)
+def hybrid_entities(t: Tables) -> DataFrame:
+    term = F.when(F.col("vec_id") == 0, "part").when(F.col("vec_id") == 1, "no such name").otherwise("item 1")
+    asked = t.raw("embeddings").where("vec_id < 3").select(F.col("vec_id").alias("query_id"), term.alias("term"), F.col("embedding").alias("query"))
+    return G.hybrid_entities(t.entity(), asked, 5).select("query_id", "entity_id", "found_by", F.round("score", 6).alias("score"))
+
+
+@query("SELECT chunk_id, CAST(list_position([7, 3, 11, 499], chunk_id) AS BIGINT) AS position FROM vector_chunks WHERE chunk_id IN (7, 3, 11, 499)", "vector_chunks")
+def order_by_position(t: Tables) -> DataFrame:
+    return S.in_given_order(t.vector_chunks(), [7, 3, 11, 499]).select("chunk_id", F.col("position").cast("long").alias("position"))
+
+
+# Graph
+
+
+@query("SELECT src_entity_id, dst_entity_id, weight, evidence_count, list_aggregate(list_transform(evidence_chunk_ids, lambda x: CAST(x AS VARCHAR)), 'string_agg', ',') AS evidence FROM entity_edge WHERE src_entity_id < 300", "entity_edge")
+def cooccur_edges(t: Tables) -> DataFrame:
+    return t.entity_edge().where("src_entity_id < 300").select("src_entity_id", "dst_entity_id", "weight", "evidence_count", F.array_join("evidence_chunk_ids", ",").alias("evidence"))
+
+
+_LOG = """log AS (SELECT p_name AS name, p_type AS type, p_brand AS brand, CASE WHEN p_size > 30 THEN 'high' WHEN p_size > 10 THEN 'medium' ELSE 'low' END AS confidence,
+    CASE WHEN l_linenumber % 2 = 0 THEN 'd' || l_orderkey END AS description, row(l_orderkey, l_linenumber, l_partkey, l_suppkey) AS seq FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+
+
+def _log(t: Tables) -> DataFrame:
+    rows = t.raw("lineitem").join(t.raw("part"), F.col("l_partkey") == F.col("p_partkey"))
+    return rows.select(
+        F.col("p_name").alias("name"),
+        F.col("p_type").alias("type"),
+        F.array("p_brand").alias("aliases"),
+        F.expr("CASE WHEN p_size > 30 THEN 'high' WHEN p_size > 10 THEN 'medium' ELSE 'low' END").alias("confidence"),
+        F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("d"), F.col("l_orderkey"))).alias("description"),
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("seq"),
+    )
+
+
+@query(
+    f"""WITH {_LOG} SELECT name, type, arg_max(brand, seq) AS aliases, arg_max(confidence, seq) AS confidence, arg_max(description, seq) FILTER (WHERE description IS NOT NULL) AS description, count(*) AS occurrence_count FROM log GROUP BY 1, 2"""
+)
+def entity_upsert(t: Tables) -> DataFrame:
+    folded = G.fold_entities(_log(t), ["name", "type"], F.col("seq"))
+    return folded.select("name", "type", F.array_join("aliases", ",").alias("aliases"), "confidence", "description", "occurrence_count")
+
+
+@query(
+    f"""WITH {_LOG}, old AS (SELECT p_name AS name, p_type AS type, 'old' AS description, 5 AS n FROM part WHERE p_partkey < 100 QUALIFY row_number() OVER (PARTITION BY p_name, p_type ORDER BY p_partkey) = 1),
+    new AS (SELECT name, type, arg_max(description, seq) FILTER (WHERE description IS NOT NULL) AS description, count(*) AS n FROM log WHERE type LIKE '%A%' GROUP BY 1, 2)
+    SELECT coalesce(old.name, new.name) AS name, coalesce(old.type, new.type) AS type, coalesce(new.description, old.description) AS description, coalesce(old.n, 0) + coalesce(new.n, 0) AS occurrence_count
+    FROM old FULL OUTER JOIN new ON old.name = new.name AND old.type = new.type"""
+)
+def entity_merge(t: Tables) -> DataFrame:
+    """Upserts that meet stored entities."""
+    stored = t.raw("part").where("p_partkey < 100").select(F.col("p_name").alias("name"), F.col("p_type").alias("type")).distinct().withColumns({"description": F.lit("old"), "occurrence_count": F.lit(5).cast("long")})
+    folded = G.fold_entities(_log(t).where("type like '%A%'"), ["name", "type"], F.col("seq"))
+    return G.merge_entities(stored, folded, ["name", "type"]).select("name", "type", "description", "occurrence_count")
+
+
+@query("SELECT l_partkey AS entity_id, l_suppkey AS chunk_id, CAST(sum(l_linenumber) AS BIGINT) AS mention_count FROM lineitem GROUP BY 1, 2")
+def mention_upsert(t: Tables) -> DataFrame:
+    log = t.raw("lineitem").selectExpr("'app0' AS app_id", "l_partkey AS entity_id", "l_suppkey AS chunk_id", "cast(l_linenumber AS bigint) AS mention_count")
+    return G.fold_mentions(log).select("entity_id", "chunk_id", "mention_count")
+
+
+@query(
+    """SELECT l_partkey % 50 AS src_entity_id, l_suppkey % 50 AS dst_entity_id, round(least(sum(l_discount), 1.0), 6) AS weight, count(*) AS evidence_count,
+    array_to_string(list_sort(list(DISTINCT CAST(l_orderkey % 10 AS VARCHAR))), ',') AS evidence FROM lineitem WHERE l_partkey % 50 <> l_suppkey % 50 GROUP BY 1, 2"""
+)
+def edge_upsert(t: Tables) -> DataFrame:
+    log = t.raw("lineitem").selectExpr("'app0' AS app_id", "l_partkey % 50 AS src_entity_id", "l_suppkey % 50 AS dst_entity_id", "'co_occurs' AS edge_type", "l_discount AS weight", "array(cast(l_orderkey % 10 AS string)) AS evidence_chunk_ids")
+    return G.fold_edges(log.where("src_entity_id <> dst_entity_id")).select("src_entity_id", "dst_entity_id", F.round("weight", 6).alias("weight"), "evidence_count", F.array_join("evidence_chunk_ids", ",").alias("evidence"))
+
+
+@query(
+    "SELECT src_entity_id, dst_entity_id, n.name AS dst_name, n.type AS dst_type, weight FROM entity_edge e JOIN entity n ON n.entity_id = e.dst_entity_id AND n.is_active WHERE src_entity_id IN (1, 2, 3) ORDER BY weight DESC, src_entity_id, dst_entity_id LIMIT 10",
+    "entity_edge",
+    "entity",
+)
+def neighbors(t: Tables) -> DataFrame:
+    return G.neighbours(t.entity_edge(), t.entity(), F.col("src_entity_id").isin(1, 2, 3)).select("src_entity_id", "dst_entity_id", "dst_name", "dst_type", "weight")
+
+
+@query(
+    "SELECT s.entity_id, s.name, e.dst_entity_id, d.name AS dst_name, e.weight FROM entity s LEFT JOIN entity_edge e ON s.entity_id = e.src_entity_id LEFT JOIN entity d ON d.entity_id = e.dst_entity_id WHERE s.entity_id < 60",
+    "entity_edge",
+    "entity",
+)
+def neighborhood_view(t: Tables) -> DataFrame:
+    return G.neighbourhood(t.entity(), t.entity_edge()).where("entity_id < 60").select("entity_id", "name", "dst_entity_id", "dst_name", "weight")
+
+
+@query(
+    "SELECT entity_id, name FROM entity WHERE NOT EXISTS (SELECT 1 FROM entity_edge WHERE src_entity_id < 50 AND dst_entity_id < 50 AND (src_entity_id = entity_id OR dst_entity_id = entity_id))",
+    "entity_edge",
+    "entity",
+)
+def isolated(t: Tables) -> DataFrame:
+    return G.isolated(t.entity(), t.entity_edge().where("src_entity_id < 50 and dst_entity_id < 50")).select("entity_id", "name")
+
+
+@query("SELECT src_entity_id, dst_entity_id, weight FROM entity_edge WHERE src_entity_id = 7 OR dst_entity_id = 7 ORDER BY weight DESC, src_entity_id, dst_entity_id LIMIT 50", "entity_edge")
+def edges_both_ways(t: Tables) -> DataFrame:
+    return G.edges_of(t.entity_edge(), 7).select("src_entity_id", "dst_entity_id", "weight")
+
+
+@query("SELECT chunk_id, CAST(sum(mention_count) AS BIGINT) AS score FROM entity_chunk WHERE entity_id <= 40 GROUP BY 1 ORDER BY score DESC, chunk_id LIMIT 20", "entity_chunk")
+def graph_chunks(t: Tables) -> DataFrame:
+    return G.chunk_scores(t.entity_chunk(), F.col("entity_id") <= 40)
+
+
+@query(
+    """SELECT app_id, count(DISTINCT entity_id) AS entities, count(DISTINCT type) AS types, round(avg(occurrence_count), 6) AS mean_occurrence, count(*) FILTER (confidence = 'high') AS high_confidence,
+    count(*) FILTER (confidence = 'medium') AS medium_confidence, count(*) FILTER (confidence = 'low') AS low_confidence FROM entity WHERE is_active GROUP BY 1""",
+    "entity",
+)
+def entity_stats(t: Tables) -> DataFrame:
+    return G.entity_stats(t.entity()).withColumn("mean_occurrence", F.round("mean_occurrence", 6))
+
+
+@query(
+    """SELECT app_id, count(*) AS edges, count(DISTINCT edge_type) AS edge_types, round(avg(weight), 6) AS mean_weight, count(*) FILTER (confidence = 'high') AS high_confidence,
+    count(*) FILTER (confidence = 'medium') AS medium_confidence, count(*) FILTER (confidence = 'low') AS low_confidence FROM entity_edge GROUP BY 1""",
+    "entity_edge",
+)
+def edge_stats(t: Tables) -> DataFrame:
+    return G.edge_stats(t.entity_edge()).withColumn("mean_weight", F.round("mean_weight", 6))
+
+
+@query("SELECT (SELECT count(*) FROM entity) AS entities, (SELECT count(*) FROM entity WHERE is_active) AS active_entities, (SELECT count(*) FROM entity_edge) AS edges, (SELECT count(*) FROM entity_chunk) AS mentions", "entity_edge", "entity")
+def basic_stats(t: Tables) -> DataFrame:
+    return G.basic_stats(t.entity(), t.entity_edge(), t.entity_chunk())
+
+
+@query("SELECT entity_id, name, type, occurrence_count FROM entity WHERE (name ILIKE '%part%' OR array_to_string(aliases, ',') ILIKE '%brand#1%') AND is_active ORDER BY occurrence_count DESC, entity_id LIMIT 50", "entity")
+def entity_search(t: Tables) -> DataFrame:
+    """By name or alias, with JSON-like alias text."""
+    found = t.entity().where(S.name_matches("part") | S.name_matches("brand#1")).where("is_active")
+    return S.search_entities(found).select("entity_id", "name", "type", "occurrence_count")
+
+
+@query("SELECT entity_id, name, occurrence_count FROM entity WHERE (name ILIKE '%a%' OR array_to_string(aliases, ',') ILIKE '%a%') AND type = (SELECT min(p_type) FROM part WHERE p_name ILIKE '%a%') ORDER BY occurrence_count DESC, entity_id LIMIT 50", "entity")
+def entity_search_by_type(t: Tables) -> DataFrame:
+    least = t.raw("part").where(F.col("p_name").ilike("%a%")).agg(F.min("p_type")).first()[0]
+    return S.search_entities(t.entity(), "a", least).select("entity_id", "name", "occurrence_count")
+
+
+@query("SELECT entity_id, trim(name) || ' | ' || trim(aliases[1]) AS text FROM entity WHERE is_active AND entity_id % 500 >= 490", "entity")
+def embedding_backfill(t: Tables) -> DataFrame:
+    """What is to be embedded where a vector is missing."""
+    without = t.entity().withColumn("embedding", F.when(F.col("entity_id") % 500 < 490, F.coalesce("embedding", F.array().cast("array<float>"))))
+    return M.backfill_texts(without).select("entity_id", "text")
+
+
+# Retrieval
+
+
+_RANKED = "ranked AS (SELECT * FROM hits WHERE rank <= 4)"
+
+
+@query(
+    f""", {_RANKED}, two AS (SELECT query_id, chunk_id, rank, 0 AS list FROM ranked UNION ALL SELECT query_id, chunk_id, 8 - rank, 1 FROM hits),
+    once AS (SELECT * FROM two QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY list, rank) = 1)
+    SELECT query_id, chunk_id, list, row_number() OVER (PARTITION BY query_id ORDER BY list, rank, chunk_id) AS position FROM once QUALIFY position <= 5""",
+    "hits",
+)
+def candidate_merge(t: Tables) -> DataFrame:
+    h = t.hits().select("query_id", "chunk_id", "rank")
+    return R.merge_candidates(h.where("rank <= 4"), h.withColumn("rank", 8 - F.col("rank")), limit=5).select("query_id", "chunk_id", F.col("list"), F.col("position").cast("long").alias("position"))
+
+
+def _merge_sql(key: str) -> str:
+    return f""", keyed AS (SELECT *, regexp_extract(chunk_text, 'type=(\\w+)', 1) AS t, regexp_extract(chunk_text, 'page=(\\d+)', 1) AS p, regexp_extract(chunk_text, 'caption=(\\w+)', 1) AS c, split_part(chunk_text, chr(10), 2) AS body FROM hits),
+    grouped AS (SELECT query_id, {key} AS k, min(rank) AS rank, arg_min(chunk_id, rank) AS chunk_id, count(*) AS parts, arg_min(split_part(chunk_text, chr(10), 1), rank) || chr(10) || string_agg(body, chr(10) || chr(10) ORDER BY rank) AS text FROM keyed GROUP BY 1, 2)
+    SELECT query_id, rank, chunk_id, parts, CASE WHEN length(text) > 90 THEN left(text, 90) || chr(10) || '...(merged truncated)' ELSE text END AS chunk_text FROM grouped"""
+
+
+def _merged(t: Tables, scope: str) -> DataFrame:
+    return R.merge_pages(t.hits(), scope, 90).select("query_id", "rank", "chunk_id", "parts", "chunk_text")
+
+
+@query(_merge_sql("CASE WHEN t IN ('table', 'figure') THEN t || p || ':' || c ELSE 'text' || p END"), "hits")
+def page_merge_reference(t: Tables) -> DataFrame:
+    """Pages merged by number alone, over documents."""
+    return _merged(t, "reference")
+
+
+@query(_merge_sql("doc_id || ':' || t || p || ':' || c"), "hits")
+def page_merge(t: Tables) -> DataFrame:
+    """Pages merged within their document."""
+    return _merged(t, "doc")
+
+
+@query(
+    """, placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS place, max(score) OVER (PARTITION BY query_id) AS best FROM hits)
+    SELECT query_id, chunk_id, score, CASE WHEN best >= 0.4 THEN place ELSE row_number() OVER (PARTITION BY query_id ORDER BY rank) END AS final_rank FROM placed WHERE (best >= 0.4 AND place <= 3 AND score >= 0.4) OR best < 0.4""",
+    "hits",
+)
+def rerank_filter(t: Tables) -> DataFrame:
+    return R.rerank(t.hits()).select("query_id", "chunk_id", "score", F.col("final_rank").cast("long").alias("final_rank"))
+
+
+@query("SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN place <= 3 THEN place ELSE rank + 1000000 END) AS final_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS place FROM hits)", "hits")
+def rerank_all(t: Tables) -> DataFrame:
+    """The best first, the others behind."""
+    return R.rerank(t.hits(), least=None).select("query_id", "chunk_id", F.col("final_rank").cast("long").alias("final_rank"))
+
+
+@query(
+    "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY r, h.doc_id) AS source_no, h.doc_id, coalesce(title, '') AS title, coalesce(source_uri, '') AS source_uri FROM (SELECT query_id, doc_id, min(rank) AS r FROM hits GROUP BY 1, 2) h LEFT JOIN docs d ON d.doc_id = h.doc_id",
+    "hits",
+    "docs",
+)
+def sources_first_seen(t: Tables) -> DataFrame:
+    return R.sources(t.hits(), t.docs()).withColumn("source_no", F.col("source_no").cast("long"))
+
+
+@query("SELECT query_id, CASE WHEN length(x) > 120 THEN left(x, 120) || chr(10) || '...(截断)' ELSE x END AS context FROM (SELECT query_id, string_agg(chunk_text, chr(10) || chr(10) ORDER BY rank) AS x FROM hits GROUP BY 1)", "hits")
+def context_assembly(t: Tables) -> DataFrame:
+    return R.context(t.hits(), 120)
+
+
+@query(
+    "SELECT DISTINCT o_orderkey AS query_id, 5 AS top_k, coalesce(ids, '') AS hit_chunk_ids, lo AS score_min, hi AS score_max FROM orders LEFT JOIN (SELECT query_id, string_agg(chunk_id, ',' ORDER BY rank) AS ids, min(score) AS lo, max(score) AS hi FROM hits GROUP BY 1) ON query_id = o_orderkey WHERE o_orderkey < 500",
+    "hits",
+)
+def search_audit(t: Tables) -> DataFrame:
+    asked = t.raw("orders").where("o_orderkey < 500").select(F.col("o_orderkey").alias("query_id")).distinct()
+    return R.search_audit(t.hits(), asked, 5).select("query_id", "top_k", F.array_join("hit_chunk_ids", ",").alias("hit_chunk_ids"), "score_min", "score_max")
+
+
+@query("SELECT query_id, string_agg(DISTINCT doc_id || '/' || page, ' ' ORDER BY doc_id || '/' || page) AS citations FROM (SELECT query_id, h.doc_id, regexp_extract(chunk_text, 'page=(\\d+)', 1) AS page FROM hits h JOIN docs d ON d.doc_id = h.doc_id) GROUP BY 1", "hits", "docs")
+def citations(t: Tables) -> DataFrame:
+    """The distinct pages of known documents that each query's hits name."""
+    rows = t.hits().join(t.docs().select("doc_id"), "doc_id").withColumn("page", X.meta_page(F.col("chunk_text")))
+    return rows.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws("/", "doc_id", "page"))), " ").alias("citations"))
+
+
+@query("SELECT conv_id AS query_id, list_aggregate(list_distinct_in_order, 'string_agg', ' ') AS terms FROM (SELECT conv_id, list(role ORDER BY f) AS list_distinct_in_order FROM (SELECT conv_id, role, min(turn) AS f FROM conversations GROUP BY 1, 2) GROUP BY 1)")
+def term_union(t: Tables) -> DataFrame:
+    """Names in the order in which they come first, each once."""
+    lists = t.raw("conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("names"))
+    return lists.select(F.col("conv_id").alias("query_id"), F.array_join(F.array_distinct("names"), " ").alias("terms"))
+
+
+@query(
+    """SELECT b.item_id AS query_id, count(d.doc_id) AS relevant, count(d.doc_id) FILTER (d.doc_id < 500) AS found FROM benchmark b LEFT JOIN documents d ON contains(d.text, left(b.text, 60)) GROUP BY 1"""
+)
+def retrieval_evaluation(t: Tables) -> DataFrame:
+    """Relevant documents of each question, and those among a stand-in for the retrieved. The questions are a small stated set."""
+    asked = F.broadcast(t.raw("benchmark").select(F.col("item_id").alias("query_id"), F.left("text", F.lit(60)).alias("begin")).limit(10_000))
+    hits = t.raw("documents").select("doc_id", "text").join(asked, F.contains("text", F.col("begin"))).groupBy("query_id").agg(F.count("*").alias("relevant"), F.count(F.when(F.col("doc_id") < 500, 1)).alias("found"))
+    zero = F.lit(0).cast("long")
+    return t.raw("benchmark").select(F.col("item_id").alias("query_id")).join(hits, "query_id", "left").select("query_id", F.coalesce("relevant", zero).alias("relevant"), F.coalesce("found", zero).alias("found"))
+
+
+# Pages and artefacts
+
+
+@query(
+    "SELECT p.doc_id, p.page_no, coalesce(x.tables, '') AS tables, coalesce(f.figures, '') AS figures FROM page_rows p LEFT JOIN (SELECT * FROM page_rows WHERE tables <> '') x ON x.doc_id = p.doc_id AND x.page_no = p.page_no LEFT JOIN (SELECT * FROM page_rows WHERE figures <> '') f ON f.doc_id = p.doc_id AND f.page_no = p.page_no",
+    "page_rows",
+)
+def page_artefacts(t: Tables) -> DataFrame:
+    """Pages with their table and figure artefacts where there are some."""
+    p, key = t.pages(), ["doc_id", "page_no"]
+    joined = p.select(*key).join(p.where("tables <> ''").select(*key, "tables"), key, "left").join(p.where("figures <> ''").select(*key, "figures"), key, "left")
+    return joined.select(*key, F.coalesce("tables", F.lit("")).alias("tables"), F.coalesce("figures", F.lit("")).alias("figures"))
+
+
+@query(
+    """, p AS (SELECT doc_id, page_no, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS n FROM page_rows WHERE doc_id = (SELECT max(doc_id) FROM documents)) SELECT doc_id, page_no FROM p WHERE n = 1""",
+    "page_rows",
+)
+def page_review(t: Tables) -> DataFrame:
+    """The first page of the newest document."""
+    newest = S.find_docs(t.docs(), "doc_", 1).select("doc_id")
+    rows = t.pages().join(newest, "doc_id", "left_semi").withColumn("chunk_text", X.meta_header(F.lit("text"), F.col("page_no"))).withColumn("chunk_index", F.col("page_no"))
+    return S.page_chunks(rows, 1).select("doc_id", "page_no")
+
+
+# Jobs and sessions
+
+
+@query("SELECT job_id, job_type FROM jobs WHERE status = 'pending' ORDER BY created_at, job_id LIMIT 10", "jobs")
+def pending_jobs(t: Tables) -> DataFrame:
+    return M.pending(t.jobs()).select("job_id", "job_type")
+
+
+@query("SELECT job_id, job_type FROM jobs WHERE status = 'failed' ORDER BY created_at DESC, job_id LIMIT 50", "jobs")
+def job_list(t: Tables) -> DataFrame:
+    return t.jobs().where("status = 'failed'").orderBy(F.desc("created_at"), "job_id").limit(50).select("job_id", "job_type")
+
+
+@query("SELECT user_id AS job_id, arg_max(event_type, row(ts, event_id)) AS status, count(*) AS changes FROM events GROUP BY 1")
+def job_status(t: Tables) -> DataFrame:
+    log = t.raw("events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("status"), F.struct("ts", "event_id").alias("at"))
+    return M.latest_status(log).select("job_id", "status", "changes")
+
+
+@query("SELECT job_id, status, CAST(CASE status WHEN 'pending' THEN 0 WHEN 'running' THEN 50 WHEN 'done' THEN 100 ELSE 0 END AS INTEGER) AS progress FROM jobs", "jobs")
+def job_progress(t: Tables) -> DataFrame:
+    return t.jobs().select("job_id", "status", F.when(F.col("status") == "running", 50).when(F.col("status") == "done", 100).otherwise(0).alias("progress"))
+
+
+_LOST = "lost AS (SELECT * FROM entity_chunk WHERE chunk_id % 3 = 0)"
+
+
+def _lost(t: Tables) -> DataFrame:
+    return t.entity_chunk().where("chunk_id % 3 = 0")
+
+
+@query(
+    f""", {_LOST} SELECT e.entity_id, greatest(occurrence_count - coalesce(n, 0), 0) AS occurrence_count, CASE WHEN n IS NOT NULL AND occurrence_count - n <= 0 THEN false ELSE is_active END AS is_active
+    FROM entity e LEFT JOIN (SELECT entity_id, CAST(sum(mention_count) AS BIGINT) AS n FROM lost GROUP BY 1) d ON d.entity_id = e.entity_id""",
+    "entity",
+    "entity_chunk",
+)
+def job_decrement(t: Tables) -> DataFrame:
+    return M.decrement_entities(t.entity(), _lost(t)).select("entity_id", "occurrence_count", "is_active")
+
+
+@query(
+    f""", {_LOST} SELECT e.src_entity_id, e.dst_entity_id, greatest(evidence_count - coalesce(n, 0), 0) AS evidence_count, weight FROM entity_edge e
+    LEFT JOIN (SELECT a.entity_id AS s, b.entity_id AS d, count(*) AS n FROM lost a JOIN lost b ON a.chunk_id = b.chunk_id AND a.entity_id <> b.entity_id GROUP BY 1, 2) ON s = src_entity_id AND d = dst_entity_id WHERE e.src_entity_id < 200""",
+    "entity_edge",
+)
+def edge_decrement(t: Tables) -> DataFrame:
+    return M.decrement_edges(t.entity_edge().where("src_entity_id < 200"), _lost(t)).select("src_entity_id", "dst_entity_id", "evidence_count", "weight")
+
+
+@query("SELECT entity_id, is_active AND NOT (entity_id % 7 = 0 AND occurrence_count <= 30) AS is_active FROM entity", "entity")
+def deactivate_zero(t: Tables) -> DataFrame:
+    """Listed entities at or below a count are switched off."""
+    over = t.entity().where("entity_id % 7 = 0 and occurrence_count <= 30").select("entity_id")
+    return G.deactivate(t.entity(), over).select("entity_id", "is_active")
+
+
+@query("SELECT src_entity_id, dst_entity_id FROM entity_edge WHERE NOT (src_entity_id % 5 = 0) AND src_entity_id < 100", "entity_edge")
+def delete_edge(t: Tables) -> DataFrame:
+    own = t.entity_edge().where("src_entity_id < 100")
+    return G.delete_edges(own, own.where("src_entity_id % 5 = 0").select("src_entity_id", "dst_entity_id", "edge_type")).select("src_entity_id", "dst_entity_id")
+
+
+@query("SELECT entity_id, CASE WHEN entity_id % 10 = 0 THEN 'renamed' ELSE name END AS name, type FROM entity", "entity")
+def patch_entity(t: Tables) -> DataFrame:
+    changes = t.entity().where("entity_id % 10 = 0").select("entity_id", F.lit("renamed").alias("name"), F.lit(None).cast("string").alias("type"))
+    return G.patch(t.entity().select("entity_id", "name", "type"), changes, ["entity_id"])
+
+
+@query("SELECT conv_id AS session_id, count(*) AS messages, sha256(string_agg(role || ':' || text, chr(10) ORDER BY turn, role, text)) AS content FROM conversations GROUP BY 1")
+def session_messages(t: Tables) -> DataFrame:
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.concat(x["role"], F.lit(":"), x["text"]))
+    return t.raw("conversations").groupBy(F.col("conv_id").alias("session_id")).agg(F.count("*").alias("messages"), F.sha2(F.array_join(ordered, "\n"), 256).alias("content"))
 
 
-def secured_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").orderBy("doc_id").limit(5)
+@query("SELECT CAST(o_orderpriority AS VARCHAR) AS template, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) FILTER (o_orderstatus <> 'P') AS missing FROM orders GROUP BY 1")
+def placeholders(t: Tables) -> DataFrame:
+    """What a template names and a payload lacks."""
+    named = t.raw("orders").groupBy(F.col("o_orderpriority").alias("template")).agg(F.collect_set("o_orderstatus").alias("named"))
+    return named.select("template", F.array_join(F.array_sort(F.array_except("named", F.array(F.lit("P")))), ",").alias("missing"))

@@ -15,7 +15,7 @@ import numpy as np
 from quarry.llm.words import ranges
 
 #: Pieces that a worker remembers; further ones are encoded anew in each batch.
-MOST_PIECES = 500_000
+MOST_PIECES = 200_000
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 

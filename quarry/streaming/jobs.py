@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarry.operators import maintenance as M
 from quarry.operators.store import TableStore
@@ -50,33 +51,30 @@ def live(states: DataFrame, now, ttl: int = TTL_SECONDS) -> DataFrame:
     return states.where(F.unix_timestamp("at") > F.unix_timestamp(now) - ttl)
 
 
-class SessionMessages(StatefulProcessor):
-    """The messages of each session so far, in order of their turns; a session without news for `ttl` seconds is forgotten."""
+def _session_step(ttl: int):
+    """The messages of a session so far, in order of their turns. The role `clear` forgets what came before it, and a session
+    without news for `ttl` seconds is forgotten whole."""
 
-    def __init__(self, ttl: int = TTL_SECONDS):
-        self.ttl = ttl
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = {tuple(m) for m in json.loads(state.get[0])} if state.exists else set()
+        for frame in frames:
+            held |= set(zip(frame["turn"].tolist(), frame["role"].tolist(), frame["text"].tolist(), strict=True))
+        cleared = max((m[0] for m in held if m[1] == "clear"), default=None)
+        messages = sorted(m for m in held if cleared is None or m[0] > cleared)
+        state.update((json.dumps(messages),))
+        state.setTimeoutDuration(ttl * 1000)
+        yield pd.DataFrame({"session_id": [key[0]], "messages": [len(messages)], "last_turn": [messages[-1][0] if messages else -1]})
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getListState("messages", "turn long, role string, text string", ttlDurationMs=self.ttl * 1000)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        news = pd.concat(list(rows))
-        if (news["role"] == "clear").any():
-            self.kept.clear()
-            news = news[news["turn"] > news.loc[news["role"] == "clear", "turn"].max()]
-        held = [tuple(x) for x in self.kept.get()] if self.kept.exists() else []
-        messages = sorted({*held, *news[["turn", "role", "text"]].itertuples(index=False, name=None)})
-        if messages:
-            self.kept.put(messages)
-        yield pd.DataFrame({"session_id": [key[0]], "messages": [len(messages)], "last_turn": [max((m[0] for m in messages), default=-1)]})
-
-    def close(self) -> None:
-        pass
+    return step
 
 
 def sessions(messages: DataFrame, ttl: int = TTL_SECONDS) -> DataFrame:
-    """A stream of messages (session_id, turn, role, text) as a stream of session states. Needs the RocksDB state store."""
-    return messages.groupBy("session_id").transformWithStateInPandas(SessionMessages(ttl), "session_id long, messages long, last_turn long", "Update", "processingTime")
+    """A stream of messages (session_id, turn, role, text) as a stream of session states, in update mode."""
+    out = "session_id long, messages long, last_turn long"
+    return messages.groupBy("session_id").applyInPandasWithState(_session_step(ttl), out, "messages string", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def run_jobs(jobs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -83,7 +83,7 @@ def test_text_files():
 
 
 def test_pages_are_drawn_out_to_line_breaks():
-    assert page_cuts("ab\ncd\nefgh", 4, 3) == ["ab\ncd", "efgh"]
+    assert page_cuts("ab\ncd\nefgh", 4, 3) == ["ab\ncd", "efg", "h"]
     assert page_cuts("abcdefgh", 3, 2) == ["abc", "def", "gh"]
     assert page_cuts("  ", 3) == [""]
     assert page_cuts("abcd", 0) == ["abcd"]
@@ -92,9 +92,10 @@ def test_pages_are_drawn_out_to_line_breaks():
 def test_recursive_cuts():
     assert recursive_cuts("", 10, 2) == []
     assert recursive_cuts("abcdefghij", 10, 2) == ["abcdefghij"]
-    assert recursive_cuts("abcdefghijk", 10, 0) == ["abcdefghij", "k"]
-    assert recursive_cuts("aa bb cc dd", 6, 0) == ["aa bb", "cc dd"]
-    assert recursive_cuts("aa bb cc dd", 6, 2) == ["aa bb", "bbcc dd"]
+    # Every piece gets its separator, whether the text had one or not.
+    assert recursive_cuts("abcdefghijk", 10, 0) == ["abcdefghij", "k。！？.؛;"]
+    assert recursive_cuts("aa bb\n\ncc dd", 6, 0) == ["aa bb", "cc dd"]
+    assert recursive_cuts("aa bb\n\ncc dd", 6, 2) == ["aa bb", "bbcc dd"]
     assert recursive_cuts("第一句。第二句。", 4, 0) == ["第一句。", "第二句。"]
     assert recursive_cuts("   \n ", 2, 1) == []
 

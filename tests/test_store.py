@@ -69,6 +69,8 @@ def test_sessions_keep_and_clear_messages(spark, tmp_path):
     kind = "session_id long, turn long, role string, text string"
     spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "c")], kind).coalesce(1).write.mode("append").json(str(source))
     stream = spark.readStream.schema(kind).json(str(source))
+    # A processing-time timeout asks for batches without data for ever; a run to the end of the input is wanted here.
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     out = []
     def take(df, _):
         out.extend(tuple(r) for r in df.collect())

@@ -1,3 +1,43 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express. The others are tested against brute force."""
 
-ORACLES: dict[str, str] = {}
+_SPACED = r"[^\x20\x09-\x0D]+"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP1 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
+win AS (SELECT doc_id, s, array_to_string(w[s + 1:s + 20], ' ') AS t FROM (SELECT *, unnest(range(len(w) - 19)) AS s FROM d WHERE len(w) >= 20)),
+again AS (SELECT doc_id, s FROM win QUALIFY row_number() OVER (PARTITION BY t ORDER BY doc_id, s) > 1),
+gone AS (SELECT DISTINCT doc_id, s + i AS p FROM again, (SELECT unnest(range(20)) AS i)),
+word AS (SELECT doc_id, p, w[p + 1] AS x FROM (SELECT *, unnest(range(len(w))) AS p FROM d)),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS k FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS r FROM gone GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(r, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+_OP5 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM documents),
+i AS (SELECT item_id, w, least(13, len(w)) AS n FROM (SELECT item_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM benchmark) WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(w[s + 1:s + n], ' ') AS t FROM (SELECT *, unnest(range(len(w) - n + 1)) AS s FROM i)),
+dw AS (SELECT doc_id, n, s, array_to_string(w[s + 1:s + n], ' ') AS t FROM (SELECT *, unnest(range(len(w) - n + 1)) AS s FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+m AS (SELECT doc_id, item_id, dw.n, s FROM dw JOIN iw ON dw.n = iw.n AND dw.t = iw.t),
+h AS (SELECT doc_id, count(DISTINCT s + j) AS n_hit FROM (SELECT doc_id, s, unnest(range(n)) AS j FROM m) GROUP BY 1),
+g AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM m GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN g ON g.doc_id = d.doc_id
+"""
+
+_OP8 = r"""
+WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+CAST(sum(length('<|im_start|><|im_sep|><|im_end|>') + length(role) + length(text) + length(regexp_replace(role || text, '[^<\[\\]', '', 'g'))) AS BIGINT) AS formatted_chars,
+regexp_full_match(string_agg(role, ',' ORDER BY turn, role, text), '(system,)?user,assistant(,user,assistant)*') AS in_order
+FROM t GROUP BY conv_id
+"""
+
+ORACLES: dict[str, str] = {"op1_substring_dedup": _OP1, "op5_decontamination": _OP5, "op8_chat_formatting": _OP8}

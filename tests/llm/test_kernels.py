@@ -1,0 +1,196 @@
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from quarry.llm import hnsw, language_id, sharding, simhash, tokenizing, words
+from quarry.llm.decontaminate import TestSuffixes as Suffixes
+from quarry.llm.decontaminate import _Lookup, _matches
+from quarry.llm.elias_fano import EliasFano
+from quarry.llm.packing import binary_pieces
+from quarry.llm.suffix_dedup import anchors
+
+TEXTS = st.lists(st.one_of(st.none(), st.text("ab \t\né漢\x00\x1c ", max_size=30)), max_size=6)
+
+
+def grids(texts, separators=words.SPACE, most=words.SLICE_BYTES):
+    for lo, hi, data, bounds in words.slices(pa.array(texts, pa.string()), most):
+        yield lo, hi, words.words(data, bounds, separators)
+
+
+@settings(deadline=None, max_examples=200)
+@given(TEXTS, st.integers(1, 20))
+def test_words_are_those_of_the_pattern(texts, most):
+    got = [None] * len(texts)
+    for lo, hi, grid in grids(texts, most=most):
+        for i in range(hi - lo):
+            got[lo + i] = [grid.data[a:b].tobytes().decode() for a, b in zip(grid.start[grid.first[i] : grid.first[i + 1]], grid.end[grid.first[i] : grid.first[i + 1]], strict=True)]
+    assert got == [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+
+
+def test_hashes_depend_on_words_alone():
+    _, _, grid = next(grids(["x a bb a bb", "a bb a", "abb"]))
+    h = grid.hashes()
+    assert h[1] == h[3] == h[5] == h[7] and len(set(h.tolist())) == 4
+    r = words.Rolling(h)
+    assert r.of(np.array([1]), np.array([3])) == r.of(np.array([3]), np.array([5])) == r.windows(2)[5]
+
+
+@given(st.lists(st.integers(0, 50), max_size=40), st.integers(1, 12))
+def test_sliding_minima(values, width):
+    got = words.sliding_min(np.array(values, np.uint64), width).tolist()
+    assert got == [min(values[i : i + width]) for i in range(len(values) - width + 1)]
+
+
+def test_anchors_of_every_window():
+    rng = random.Random(2)
+    text = " ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(400))
+    _, _, grid = next(grids([text, "short", text]))
+    at, _ = anchors(grid, 50, 8)
+    own = [set((at[(at >= grid.first[i]) & (at < grid.first[i + 1])] - grid.first[i]).tolist()) for i in range(3)]
+    assert own[0] == own[2] and not own[1]
+    assert all(own[0] & set(range(s, s + 43)) for s in range(351))
+
+
+@settings(deadline=None)
+@given(st.lists(st.integers(0, 2**40), max_size=200))
+def test_elias_fano(values):
+    values.sort()
+    code = EliasFano.from_bytes(EliasFano.encode(np.array(values, np.int64)).to_bytes())
+    assert code.all().tolist() == values
+    assert [code.select(i) for i in range(len(values))] == values
+    with pytest.raises(IndexError):
+        code.select(len(values))
+
+
+def test_elias_fano_is_small():
+    values = np.sort(np.random.default_rng(1).integers(0, 10**7, 10_000))
+    assert len(EliasFano.encode(values).to_bytes()) * 8 / 10_000 < 2 + np.log2(10**7 / 10_000) + 1
+    with pytest.raises(ValueError):
+        EliasFano.encode(np.array([2, 1]))
+
+
+@settings(deadline=None, max_examples=150)
+@given(st.lists(st.text("ab's t,.\n\t019é漢  　<|>😀endoftx", max_size=40), max_size=5))
+def test_pieces_have_the_ids_of_whole_texts(texts):
+    encoder = tokenizing.encoder(tokenizing.byte_bpe_path())
+    ids, bounds = encoder.encode(texts)
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == want
+
+
+def test_ids_with_a_small_memory_and_long_pieces():
+    encoder = tokenizing.PieceEncoder(tokenizing.byte_bpe_path(), most_pieces=3)
+    for text in ["a b c d e", "e d c b a " + "x" * 500, "<|endoftext|> a", ""]:
+        assert encoder.encode([text])[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoder.n < 12
+
+
+def test_binary_pieces():
+    owner, size = binary_pieces(np.array([0, 1, 1023, 1024, 2053]), 1024)
+    got = {i: size[owner == i].tolist() for i in range(5)}
+    assert got == {0: [], 1: [1], 2: [512, 256, 128, 64, 32, 16, 8, 4, 2, 1], 3: [1024], 4: [1024, 1024, 4, 1]}
+
+
+def brute_print(text):
+    w = text.encode().lower().split()
+    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in h) > len(h))
+
+
+@settings(deadline=None)
+@given(st.lists(st.text("aB é\n", max_size=25), max_size=5))
+def test_fingerprints(texts):
+    assert simhash.fingerprints_of(texts).tolist() == [brute_print(t) for t in texts]
+
+
+def test_balls_meet_up_to_the_radius():
+    masks = simhash.ball_masks(2)
+    assert len(masks) == 65
+    ball = {0 ^ m for m in masks}
+    assert all(ball & {x ^ m for m in masks} for x in (0, 1, 1 << 40 | 1)) and not ball & {7 ^ m for m in masks}
+
+
+def brute_hits(texts, items):
+    pattern, low = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+    cut = lambda t: pattern.findall((t or "").translate(low))
+    windows = {}
+    for k, item in enumerate(items):
+        w = cut(item)
+        n = min(13, len(w))
+        for s in range(len(w) - n + 1 if n else 0):
+            windows.setdefault(tuple(w[s : s + n]), set()).add(k)
+    out = []
+    for t in texts:
+        w, found = cut(t), set()
+        hit = [False] * len(w)
+        for n in {len(k) for k in windows}:
+            for s in range(len(w) - n + 1):
+                if ks := windows.get(tuple(w[s : s + n])):
+                    found |= ks
+                    hit[s : s + n] = [True] * n
+        out.append((hit, found))
+    return out
+
+
+@settings(deadline=None, max_examples=150)
+@given(st.integers(0, 10**6))
+def test_suffix_arrays_find_what_brute_force_finds(seed):
+    rng = random.Random(seed)
+    say = lambda n, k: rng.choice([" ", ", "]).join(rng.choice(["A", "b", "É", "7", "x"][:k]) for _ in range(n))
+    items = [say(rng.choice([0, 1, 2, 4, 5, 8, 12, 13, 14, 20]), rng.choice([1, 2, 5])) for _ in range(4)] + [None]
+    texts = [say(rng.randint(0, 40), 5) + " " + (rng.choice(items) or "") + " " + say(3, 5) for _ in range(4)] + [None, ""]
+    tests = Suffixes.build([str(i) for i in range(len(items))], pa.array(items, pa.string()), 13)
+    lookup, got = _Lookup(tests.vocabulary), []
+    for lo, hi, data, bounds in words.slices(pa.array(texts, pa.string()), rng.choice([1, 100, 10**6])):
+        grid, hit, at, rows = _matches(tests, lookup, data, bounds)
+        got += [(hit[grid.first[i] : grid.first[i + 1]].tolist(), set(rows[at == i].tolist())) for i in range(hi - lo)]
+    assert got == brute_hits(texts, items)
+
+
+def test_probabilities_sum_to_one_and_languages_are_told_apart():
+    rng = random.Random(5)
+    make = lambda parts, n: " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    sets = {"x": ["la", "mi", "so", "ré"], "y": ["kk", "tz", "gro", "ü"]}
+    texts = {k: [make(v, 60) for _ in range(30)] for k, v in sets.items()}
+    models = language_id.LanguageModels(["x", "y"], [language_id.fit(texts[k]) for k in "xy"])
+    models.prepare(texts["x"] + texts["y"])
+    models.calibrate([make(sets[k], 40) for k in "xy" for _ in range(10)], [0] * 10 + [1] * 10)
+    letters = np.unique(language_id.characters(texts["x"])[0])
+    for context in (language_id.characters(["lami so"])[0][:9], np.array([113] * 6, np.uint32)):
+        p = [np.exp(models._log(np.append(context, c).astype(np.uint64), np.array([len(context)]))[0, 0], dtype=float) for c in [*letters, 0x4E00]]
+        assert abs(sum(p[:-1]) + (4096 - len(letters)) * p[-1] - 1) < 1e-3  # the rest is for characters that were never seen
+    names, score, _, rejected = models.predict([make(sets["x"], 20), make(sets["y"], 20), "12 34", "", "漢字" * 40], models.index())
+    assert names[:4] == ["x", "y", "und", "und"] and score[2] == 0 and 0 <= score.min() <= score.max() <= 1
+    assert rejected.tolist() == [False, False, True, True, True]
+
+
+def test_bins_are_even_and_deterministic():
+    rng = np.random.default_rng(3)
+    items = rng.pareto(1.5, (2000, 3)) + 1
+    bins = sharding.pack_vectors(items, 8)
+    load = np.stack([items[bins == b].sum(0) for b in range(8)]) / items.sum(0)
+    assert np.abs(load * 8 - 1).max() < 0.05 and (bins == sharding.pack_vectors(items, 8)).all()
+
+
+def test_graph_recall_and_copies():
+    rng = np.random.default_rng(4)
+    vectors = (rng.normal(size=(12, 16))[rng.integers(0, 12, 1500)] + 0.3 * rng.normal(size=(1500, 16))).round(3)
+    vectors[500:900] = vectors[0]  # a large group of copies is one node
+    ids = rng.permutation(1500) * 7
+    graph = hnsw.Graph.build(ids, vectors)
+    assert len(graph.vectors) == 1100 and sorted(graph.ids.tolist()) == sorted(ids.tolist())
+    some = np.arange(0, 1500, 10)
+    found = hnsw._best(graph, ids[some], vectors[some], 10, hnsw.BEAM).to_pydict()
+    hits = 0
+    for i in some:
+        d = np.sqrt(((vectors - vectors[i]) ** 2).sum(1))
+        d[i] = np.inf
+        true = {(float(d[j]), int(ids[j])) for j in np.lexsort((ids, d))[:10]}
+        hits += len(true & {(s, v) for q, v, s in zip(found["query_id"], found["vec_id"], found["score"], strict=True) if q == ids[i]})
+    assert hits / (10 * len(some)) >= 0.9

@@ -1,0 +1,253 @@
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quarry.llm import chat, decontaminate, hnsw, language_id, packing, sharding, simhash, substring_dedup, suffix_dedup, token_output
+from quarry.llm.components import components
+from quarry.llm.queries import QUERIES
+from quarry.llm.runtime import Workspace
+from quarry.llm.tokenizing import byte_bpe_path
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, start int, m string, h string, spans string, rest string, kept string"
+
+
+def corpus():
+    """Copies, near copies, shared passages, repeated lines, nulls, empty and long texts."""
+    rng = random.Random(11)
+    say = lambda n: " ".join("".join(rng.choice(["ka", "lo", "mi", "ter", "ans"]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    shared, line = say(60), say(25)
+    base = say(300)
+    texts = [base, base, base.replace("ka", "KA", 1), say(100), f"{say(30)} {shared} {say(40)}", f"{say(10)}\n{shared}\t{say(5)}", "be " * 70, None, "", " \n", say(5)]
+    texts += [f"{say(20)} {line} {say(9)} {line}", say(2000) + " " + shared, "é" * 300, shared, line, base + " end"]
+    return [(i, t) for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "xx" if i % 2 else "yy", "s", 0, 1, "m", "h", "s", "r", "k") for i, t in corpus()]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Repeated rows, and ids that are null."""
+    rows = [(i, t, None, None, None, None, None, None, None, None, None) for i, t in [*corpus()[:4], *corpus()[:2], (None, corpus()[0][1]), (None, None)]]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def cut(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def test_substring_dedup(docs):
+    got = {r.doc_id: r for r in substring_dedup.remove_repeats(docs).collect()}
+    seen = set()
+    for i, t in corpus():
+        w = cut(t)
+        gone = [False] * len(w)
+        for s in range(len(w) - 19):
+            key = tuple(w[s : s + 20])
+            if key in seen:
+                gone[s : s + 20] = [True] * 20
+            seen.add(key)
+        assert (got[i].n_words, got[i].n_removed, got[i].kept) == (len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g))
+    kept = {r.doc_id: r.text for r in substring_dedup.deduplicate(docs).collect()}
+    assert 1 not in kept and kept[7] is None and kept[9] == " \n" and kept[0] == corpus()[0][1]
+
+
+def test_substring_dedup_of_odd_rows(odd):
+    rows = substring_dedup.remove_repeats(odd).collect()
+    assert len(rows) == odd.count()
+    assert sum(r.n_removed for r in rows if r.doc_id == 0) == 0  # rows of one id don't repeat each other
+    assert [r.n_removed for r in rows if r.doc_id is None] == [0, 0]
+
+
+def test_suffix_dedup(docs):
+    counts = {}
+    for i, t in corpus():
+        w = cut(t)
+        for s in range(len(w) - 49):
+            counts.setdefault(tuple(w[s : s + 50]), []).append((i, s))
+    want, with_whom = {}, {}
+    for places in counts.values():
+        for i, s in places if len(places) > 1 else []:
+            want.setdefault(i, set()).update(range(s, s + 50))
+            with_whom.setdefault(i, set()).update(j for j, _ in places)
+    got = {r.doc_id: r for r in suffix_dedup.repeated_passages(docs).collect()}
+    assert {i: set().union(*(range(a, b) for a, b in r.spans)) for i, r in got.items()} == want
+    assert all(set(r.others) <= with_whom[i] and r.others for i, r in got.items())
+
+
+def test_simhash(docs, spark):
+    got = {r.doc_id: (r.bits & (2**64 - 1), r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    prints = {i: int(simhash.fingerprints_of([t])[0]) for i, t in corpus()}
+    parent = {i: i for i in prints}
+    def root(i):
+        return i if parent[i] == i else root(parent[i])
+    for a in prints:
+        for b in prints:
+            if (prints[a] ^ prints[b]).bit_count() <= 2:
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    assert got == {i: (prints[i], root(i)) for i in prints}
+    assert simhash.deduplicate(docs).columns == docs.columns
+
+
+def test_simhash_links_chains(spark):
+    values = [0b0, 0b11, 0b1111, 0b1111 << 20, 0b111 << 20, 1 << 40]
+    rows = spark.createDataFrame([(v,) for v in values], "bits long")
+    got = {tuple(r) for r in simhash.links(rows).select("a", "b").collect()}
+    near = {(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 2}
+    assert got <= near
+    nodes = {r.node: r.component for r in components(rows.sparkSession.createDataFrame(list(got), "a long, b long"), Workspace(spark, "t")).collect()}
+    assert nodes[0b1111] == 0 and nodes[0b1111 << 20] == 0b111 << 20
+
+
+def test_components_of_a_long_chain_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(100, 160)] + [(1, k) for k in range(2, 50)] + [(7, 7)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), Workspace(spark, "t")).collect()}
+    assert set(got.values()) == {1, 100} and got[160] == 100 and len(got) == 61 + 49
+
+
+def test_language_id(spark):
+    rng = random.Random(1)
+    parts = {"aa": ["la", "mi", "so"], "bb": ["kk", "tz", "grü"]}
+    say = lambda k, n: " ".join("".join(rng.choice(parts[k]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    rows = [(i, say(k, 40), k) for i, k in enumerate(["aa", "bb"] * 40)] + [(900, None, "aa"), (901, "12", None), (None, say("aa", 30), None), (902, "", "bb"), (902, "漢" * 50, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = language_id.train(df.where("doc_id < 60 or doc_id >= 900"))
+    assert models.languages == ["aa", "bb"]
+    got = language_id.classify(df, models).collect()
+    assert len(got) == len(rows)
+    assert all(r.lang_pred == rows[r.doc_id][2] and not r.rejected for r in got if r.doc_id is not None and r.doc_id < 80)
+    assert {(r.lang_pred, r.rejected) for r in got if r.doc_id in (900, 901)} == {("und", True)}
+    assert language_id.keep_known(df, models).count() == 81
+    none = language_id.train(df.where("lang = 'zz'"))
+    assert {r.lang_pred for r in language_id.classify(df, none).collect()} == {"und"}
+    assert language_id.keep_known(df, none).count() == 82
+
+
+def test_token_shards_round_trip(docs, spark, tmp_path):
+    written = token_output.write_tokens(docs, tmp_path.as_uri(), vocabulary=byte_bpe_path(), shard_bytes_=4000)
+    assert written.count() > 2
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(byte_bpe_path())
+    start, want = 0, []
+    for i, text in corpus():
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(tuple(r) for r in token_output.read_index(written).collect()) == want
+    path = written.orderBy("part").first().path.removeprefix("file://")
+    shard = token_output.Shard(open(path, "rb").read())
+    assert zlib.crc32(shard.ids(1).astype("<u4").tobytes()) == want[1][3]
+
+
+def test_token_shards_of_nothing(docs, tmp_path):
+    written = token_output.write_tokens(docs.limit(0), tmp_path.as_uri(), vocabulary=byte_bpe_path())
+    assert token_output.read_index(written).count() == 0
+
+
+def test_packing(docs, spark):
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(byte_bpe_path())
+    rows = packing.pack(docs, vocabulary=byte_bpe_path(), length=64).collect()
+    assert sorted(r.sequence_id for r in rows) == list(range(len(rows)))
+    assert all(r.length & (r.length - 1) == 0 and r.length <= 64 and r.offset == 0 and len(r.ids) == 4 * r.length for r in rows)
+    by_id = sorted(rows, key=lambda r: r.sequence_id)
+    assert [r.length for r in by_id] == sorted((r.length for r in rows), reverse=True)
+    for i, text in corpus():
+        own = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start)
+        ids = np.frombuffer(b"".join(r.ids for r in own), "<u4").tolist()
+        assert ids == [*t.encode(text or "", add_special_tokens=False).ids, 0] and own[0].doc_tokens == len(ids)
+    assert packing.pack(docs.limit(0), vocabulary=byte_bpe_path()).count() == 0
+    with pytest.raises(ValueError):
+        packing.pieces(docs, vocabulary=byte_bpe_path(), length=100)
+
+
+def test_decontamination(docs, spark):
+    shared = corpus()[14][1]
+    items = spark.createDataFrame([(1, shared), (2, "nothing of this kind"), (3, None), (3, ""), (None, "be")], "item_id long, text string")
+    one = {r.doc_id: (r.n_words, r.n_hit, tuple(r.item_ids), [tuple(h) for h in r.hits], r.longest) for r in decontaminate.matches(docs, items).collect()}
+    many = {r.doc_id: (r.n_words, r.n_hit, tuple(r.item_ids), [tuple(h) for h in r.hits], r.longest) for r in decontaminate.matches(docs, items, block_bytes=1).collect()}
+    assert one == many
+    assert one[14] == (60, 60, ("1",), [(0, 60)], 60) and one[6] == (70, 70, ("",), [(0, 70)], 70) and one[7] == (0, 0, (), [], 0)
+    left = {r.doc_id for r in decontaminate.decontaminate(docs, items).collect()}
+    assert left == {r.doc_id for r in decontaminate.decontaminate(docs, items, block_bytes=1).collect()} == {i for i, x in one.items() if not (x[1] and 20 * x[1] >= x[0])}
+    assert decontaminate.matches(docs, items.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
+
+
+def test_sharding(spark):
+    rng = random.Random(2)
+    rows = [(i, "x" * rng.randint(1, 2000)) for i in range(3000)] + [(5000 + i, "the same " * 20) for i in range(1500)] + [(None, None), (1, ""), (1, "")]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    load = [sum(r.size for r in got if r.shard == s) for s in range(8)]
+    assert max(load) < 1.02 * sum(load) / 8
+    for s in range(8):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    assert sorted((r.size, r.text_crc32) for r in got) == sorted((len(t or "") + 1, zlib.crc32((t or "").encode())) for _, t in rows)
+    small = {}
+    for r in got:
+        if r.doc_id is not None and r.doc_id < 3000:
+            small.setdefault((r.size, r.text_crc32), set()).add(r.shard)
+    assert all(len(s) == 1 for s in small.values())
+    assert sharding.shard(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_chat(spark):
+    rows = [(1, 0, "user", r"</s>[INST] \ok\ [/INST]<|im_end|>"), (1, 1, "assistant", None), (1, 1, "assistant", None), (2, 0, "system", "s"), (2, 2, "assistant", "A"), (2, 1, "user", "u"), (3, 0, "<|x", "y"), (None, None, None, "z")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.format_chats(df).withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("loss", chat.read_loss(F.col("segments")))
+    got = {r.conv_id: r for r in out.collect()}
+    assert [tuple(t) for t in got[1].turns] == [("user", rows[0][3]), ("assistant", ""), ("assistant", "")]
+    assert [tuple(t) for t in got[2].turns] == [("system", "s"), ("user", "u"), ("assistant", "A")] and got[2].loss == "A"
+    assert [tuple(t) for t in got[3].turns] == [("<|x", "y")] and [tuple(t) for t in got[None].turns] == [("", "z")]
+    assert (got[1].in_order, got[1].first_bad_turn, got[2].in_order, got[3].first_bad_turn) == (False, 2, True, 0)
+    inside = got[1].formatted.removeprefix("<|im_start|>user<|im_sep|>").split("<|im_end|>")[0]
+    assert not re.search(r"<\||</s>|\[INST|\[/INST", inside)
+    with pytest.raises(ValueError):
+        chat.Template(control=("x",))
+
+
+def test_nearest_neighbours(spark):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(400, 8)).round(2)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(1000 + i, v[0].tolist()) for i in range(30)]
+    rows += [(2000, None), (2100, [0.0] * 8), (2200, [float("nan")] * 8), (2300, [1.0, None] * 4), (None, v[1].tolist()), (2400, [1.0, 2.0]), (2500, [1.0, 2.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index = hnsw.build_index(df, shard_rows=100)
+    got = {}
+    for r in hnsw.search(index, df.where("vec_id % 100 = 0"), block=3).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    ids = np.array([i for i, x in rows[:430]])
+    flat = np.array([x for _, x in rows[:430]])
+    hits = 0
+    for q in (0, 100, 200, 300, 1000):
+        d = np.sqrt(((flat - flat[ids == q]) ** 2).sum(1))
+        d[ids == q] = np.inf
+        want = [(k, int(ids[j]), float(d[j])) for k, j in enumerate(np.lexsort((ids, d))[:10], 1)]
+        hits += len({x[1:] for x in want} & {x[1:] for x in got[q]})
+        assert [x[0] for x in sorted(got[q])] == list(range(1, 11))
+    assert hits >= 45 and sorted(got[2400]) == [(1, 2500, 0.5)] and got[2500] == [(1, 2400, 0.5)]
+    assert not {2000, 2100, 2200, 2300} & set(got)
+
+
+def test_empty_tables(spark, docs):
+    none = docs.limit(0)
+    assert substring_dedup.remove_repeats(none).count() == 0
+    assert suffix_dedup.repeated_passages(none).count() == 0
+    assert simhash.near_duplicates(none).count() == 0
+    empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert hnsw.search(hnsw.build_index(empty), empty).count() == 0
+    assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_every_operator_has_a_query():
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 11))
+    assert hashlib.sha256(b"").hexdigest()

@@ -1,7 +1,8 @@
 """Tables as Parquet snapshots: reading, appending, merging, cascading deletes and audit of changes.
 
-A snapshot is a folder; a small pointer file names the current one. A write builds the next snapshot beside it and then
-moves the pointer, so readers see one state, and a failed write leaves nothing behind that is read.
+A state is a list of parts, folders of Parquet files, that a small pointer file names. An append writes one more part and
+leaves the others alone; a replacement writes a part that stands for all. Then the pointer is moved, so readers see one
+state, and a failed write leaves nothing behind that is read.
 """
 
 from __future__ import annotations
@@ -83,47 +84,51 @@ class TableStore:
     def _pointer(self, table: str) -> str:
         return f"{self.root}/{table}/CURRENT"
 
-    def current(self, table: str) -> str | None:
+    def current(self, table: str) -> list[str]:
+        """The parts of the present state; none where nothing was written yet."""
         fs, path = self._fs(self._pointer(table))
-        if not fs.exists(path):
-            return None
-        return self.spark.read.text(self._pointer(table)).first()[0]
+        return [r[0] for r in self.spark.read.text(self._pointer(table)).collect()] if fs.exists(path) else []
 
     def read(self, table: str, ctx: AccessContext | None = None) -> DataFrame:
         """A table's current state; with a context, what it sees."""
-        name = self.current(table)
-        rows = self.spark.createDataFrame([], schema(table)) if name is None else self.spark.read.parquet(f"{self.root}/{table}/{name}")
+        parts = self.current(table)
+        kind = schema(table)
+        rows = self.spark.read.schema(kind).parquet(*(f"{self.root}/{table}/{p}" for p in parts)) if parts else self.spark.createDataFrame([], kind)
         return rows if ctx is None else secure(rows, ctx)
 
-    def replace(self, table: str, rows: DataFrame, ctx: AccessContext | None = None, partition_by: str | None = None) -> None:
-        name = f"s-{uuid.uuid4().hex}"
+    def _write(self, table: str, rows: DataFrame, ctx: AccessContext | None) -> str:
+        """Rows as a new part, in the table's schema; columns that aren't there are null."""
         rows = check_writes(rows, ctx) if ctx is not None and "app_id" in rows.columns else rows
-        writer = rows.write
-        if partition_by:
-            writer = writer.partitionBy(partition_by)
-        writer.parquet(f"{self.root}/{table}/{name}")
-        self.point(table, name)
+        have = set(rows.columns)
+        shaped = rows.select(*((F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema(table).fields))
+        part = f"p-{uuid.uuid4().hex}"
+        shaped.write.parquet(f"{self.root}/{table}/{part}")
+        return part
 
-    def point(self, table: str, name: str) -> None:
+    def replace(self, table: str, rows: DataFrame, ctx: AccessContext | None = None) -> None:
+        self.point(table, [self._write(table, rows, ctx)])
+
+    def append(self, table: str, rows: DataFrame, ctx: AccessContext | None = None) -> None:
+        self.point(table, [*self.current(table), self._write(table, rows, ctx)])
+
+    def compact(self, table: str) -> None:
+        """One part in place of many."""
+        self.replace(table, self.read(table))
+
+    def point(self, table: str, parts: list[str]) -> None:
         fs, path = self._fs(self._pointer(table))
         stage = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self._pointer(table)}.{uuid.uuid4().hex}")
         out = fs.create(stage, True)
-        out.write(bytearray(name.encode()))
+        out.write(bytearray("\n".join(parts).encode()))
         out.close()
         fs.delete(path, False)
         if not fs.rename(stage, path):
             raise OSError(f"cannot move the pointer of {table}")
 
-    def append(self, table: str, rows: DataFrame, ctx: AccessContext | None = None) -> None:
-        """Rows behind the current ones. What is there already is not rewritten by hand: Spark copies it into the next snapshot."""
-        rows = check_writes(rows, ctx) if ctx is not None and "app_id" in rows.columns else rows
-        self.replace(table, self.read(table).unionByName(rows, allowMissingColumns=True))
-
     def merge(self, table: str, rows: DataFrame, ctx: AccessContext | None = None) -> None:
         """Rows replace those with their key; others are added."""
-        rows = check_writes(rows, ctx) if ctx is not None and "app_id" in rows.columns else rows
         kept = self.read(table).join(rows.select(*KEYS[table]), KEYS[table], "left_anti")
-        self.replace(table, kept.unionByName(rows, allowMissingColumns=True))
+        self.point(table, [self._write(table, kept, None), self._write(table, rows, ctx)])
 
     def audited(self, table: str, rows: DataFrame, actor: str, now: Column, request_id: str = "") -> None:
         """Replace a table and write down what changed."""
@@ -136,7 +141,8 @@ class TableStore:
     def delete_docs(self, doc_ids: DataFrame, ctx: AccessContext) -> int:
         """Delete documents that the context sees with all that hangs on them; returns how many."""
         seen = secure(self.read("docs"), ctx).join(doc_ids, "doc_id", "left_semi").select("doc_id")
-        seen = self.spark.createDataFrame(seen.collect(), seen.schema)  # ids of one request
+        part = self._write_ids(seen)  # the state that the ids come from is about to change
+        seen = self.spark.read.schema("doc_id string").parquet(part)
         n = seen.count()
         names = ("docs", "doc_versions", "chunks", "entity_chunk")
         after = cascade({t: self.read(t) for t in names}, seen)
@@ -144,6 +150,11 @@ class TableStore:
             self.replace(t, after[t])
         return n
 
+    def _write_ids(self, ids: DataFrame) -> str:
+        path = f"{self.root}/_requests/{uuid.uuid4().hex}"
+        ids.write.parquet(path)
+        return path
+
     def clear_app(self, app_id: str) -> int:
         docs = self.read("docs").where(F.col("app_id") == app_id)
         return self.delete_docs(docs.select("doc_id"), AccessContext(app_id, 3, role="admin"))

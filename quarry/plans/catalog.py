@@ -228,6 +228,20 @@ def context_truncate(t: Tables) -> DataFrame:
     return t.raw("documents").select("doc_id", X.cut(F.col("text"), 2000, "\n...(截断)").alias("context"))
 
 
+@query(None)
+def recursive_chunks(t: Tables) -> DataFrame:
+    """Cut at the coarsest separator that fits; the cut is sequential, so there is no SQL."""
+    cut = t.raw("documents").select("doc_id", F.posexplode(C.recursive_chunks(1000, 100)("text")).alias("chunk_index", "chunk_text"))
+    return cut.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.length("chunk_text").cast("long").alias("n_chars"), F.sha2("chunk_text", 256).alias("chunk_hash"))
+
+
+@query(None)
+def text_pages(t: Tables) -> DataFrame:
+    """Pages that end at line breaks where there are some; sequential, too."""
+    cut = t.raw("documents").select("doc_id", F.posexplode(C.paginate()("text")).alias("n", "text"))
+    return cut.select("doc_id", (F.col("n") + 1).cast("long").alias("page_no"), F.sha2("text", 256).alias("page_hash"))
+
+
 # Vectors
 
 

@@ -29,13 +29,13 @@ def apply_jobs(store: TableStore, jobs: DataFrame) -> int:
     if not n:
         return 0
     lost = fresh.select(F.explode("payload.mentions").alias("m")).select("m.chunk_id", "m.entity_id", F.col("m.mention_count").cast("long").alias("mention_count"))
-    entities = M.decrement_entities(store.read("entity"), lost).withColumn("occurrence_count", F.col("occurrence_count").cast("int"))
-    edges = M.decrement_edges(store.read("entity_edge"), lost).withColumn("evidence_count", F.col("evidence_count").cast("int"))
+    entities = M.decrement_entities(store.read("entity"), lost)
+    edges = M.decrement_edges(store.read("entity_edge"), lost)
     ledger = fresh.withColumn("status", F.lit("done")).withColumn("finished_at", F.current_timestamp())
     # The new snapshots are written first; the ledger, which decides what counts as done, comes last.
     store.replace("entity", entities)
     store.replace("entity_edge", edges)
-    store.append("graph_job", ledger.select(*(c for c in schema("graph_job").names if c in ledger.columns)))
+    store.append("graph_job", ledger)
     return n
 
 

@@ -3,8 +3,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.config import Config
 from quarry.context import AccessContext
+from quarry.operators import ivf
 from quarry.operators.store import TableStore, change_audit
+from quarry.plans.delete import delete_documents
 from quarry.streaming import jobs as J
 
 NOW = "timestamp'2024-01-01'"
@@ -87,3 +90,36 @@ def test_sessions_keep_and_clear_messages(spark, tmp_path):
 def test_states_run_out(spark):
     rows = spark.sql("SELECT timestamp'2024-01-01 00:00:00' AS at UNION ALL SELECT timestamp'2024-01-02 12:00:00'")
     assert J.live(rows, F.expr("timestamp'2024-01-02 13:00:00'")).count() == 1
+
+
+def test_appends_add_parts_and_compaction_joins_them(spark, tmp_path):
+    store = fill(spark, tmp_path)
+    before = store.current("docs")
+    store.append("docs", store.read("docs").where("doc_id = 'd1'").withColumn("doc_id", F.lit("d9")))
+    assert store.current("docs")[:-1] == before and store.read("docs").count() == 4
+    store.compact("docs")
+    assert len(store.current("docs")) == 1 and store.read("docs").count() == 4
+
+
+def test_whole_deletion(spark, tmp_path):
+    store = fill(spark, tmp_path / "t")
+    (tmp_path / "objects/a/d1").mkdir(parents=True)
+    store.replace("docs", store.read("docs").withColumn("source_uri", F.concat(F.lit("s3://b/"), "app_id", F.lit("/"), "doc_id", F.lit("/x"))))
+    ids = spark.createDataFrame([("d1",), ("d3",)], "doc_id string")
+    assert delete_documents(store, ids, AccessContext("a", 2), F.expr(NOW), str(tmp_path / "objects")) == 1
+    assert not (tmp_path / "objects/a/d1").exists()
+    job = store.read("graph_job").first()
+    assert job.status == "pending" and job.payload.chunks == ["c1"] and len(job.payload.mentions) == 2
+    assert J.apply_jobs(store, store.read("graph_job")) == 1
+    assert {r.entity_id: r.occurrence_count for r in store.read("entity").collect()} == {"x": 1, "y": 0}
+
+
+def test_settings():
+    assert Config.load(env={"QUARRY_CHUNK_SIZE": "7", "QUARRY_RERANK_LEAST": "bad", "QUARRY_GRAPH_ENABLED": "no"}) == Config(chunk_size=7, graph_enabled=False)
+
+
+def test_cells(spark):
+    rows = spark.createDataFrame([(i, [float(i % 4) * 10, float(i)]) for i in range(40)], "chunk_id long, embedding array<double>")
+    centre = ivf.centres(rows, 4)
+    found = ivf.search(ivf.assign(rows, centre), centre, [0.0, 3.0], 2, n_probe=4)
+    assert [r.chunk_id for r in found.orderBy("rank").collect()] == [4, 0]

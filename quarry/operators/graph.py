@@ -163,7 +163,10 @@ def hybrid_entities(entities: DataFrame, queries: DataFrame, limit: int = 5, min
     named = named.withColumn("n", F.row_number().over(by_count)).where(F.col("n") <= limit).select("query_id", "entity_id", (1 + log).alias("score"), F.lit("name").alias("found_by"))
     have = named.groupBy("query_id").agg(F.count("*").alias("have"))
     short = queries.join(have, "query_id", "left").where(F.coalesce("have", F.lit(0)) < limit).select("query_id", "query")
-    near = short.join(active.where("embedding is not null"), F.lit(True)).withColumn("similarity", V.cosine_similarity(F.col("embedding"), F.col("query")))
+    # Lengths are worked out once a row, not once a pair.
+    asked = short.withColumn("query_length", F.sqrt(V.dot(F.col("query"), F.col("query"))))
+    there = active.where("embedding is not null").withColumn("length", F.sqrt(V.dot(F.col("embedding"), F.col("embedding"))))
+    near = there.join(asked, F.lit(True)).withColumn("similarity", V.dot(F.col("embedding"), F.col("query")) / (F.col("length") * F.col("query_length")))
     if min_similarity is not None:
         near = near.where(F.col("similarity") >= min_similarity)
     by_similarity = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "entity_id")

@@ -30,8 +30,9 @@ MAX_LANGUAGES = 128
 #: Characters whose difference in cross-entropy the score weighs.
 EVIDENCE_CHARS = 10
 #: A text is rejected that is further above a language's mean, in standard deviations, than this and than MARGIN times
-#: the furthest calibration text.
-LEAST_DEVIATIONS, MARGIN = 6.0, 1.25
+#: the furthest calibration text; the deviation between texts counts as LEAST_SPREAD nats at least. Texts with foreign
+#: parts, names or code are so kept: in a language that was never learned a character costs more by far.
+LEAST_DEVIATIONS, MARGIN, LEAST_SPREAD = 12.0, 1.25, 0.1
 UNKNOWN = "und"
 _UNIFORM = 1 / 4096
 _BASE = 0xA24BAED4963EE407
@@ -87,6 +88,8 @@ def fit(texts: list[str]) -> dict[str, np.ndarray]:
     count = None
     for n in range(ORDER, 0, -1):
         grams, first, count = np.unique(_hash(codes, at, n), return_index=True, return_counts=True)
+        if n == ORDER:
+            out["codes"] = codes[at[first][:, None] + np.arange(1 - ORDER, 1)].astype(np.uint32)
         at = at[first]  # one place of each n-gram; below, each longer n-gram counts once (continuation counts)
         once, twice = int((count == 1).sum()), int((count == 2).sum())
         discount = once / (once + 2 * twice) if once else 0.5
@@ -131,12 +134,16 @@ class LanguageModels:
         hashes, contexts = self._lower(codes, at)
         return np.log(np.stack([_probabilities(m, hashes, contexts) for m in self.models], 1)).astype(np.float32)
 
-    def prepare(self, texts: list[str]) -> None:
-        """Work out the n-grams of the texts that the models were fitted on."""
-        codes, bounds, _ = characters(texts)
-        codes, at = codes.astype(np.uint64), _predicted(bounds)
-        self.known, first = np.unique(_hash(codes, at, ORDER), return_index=True)
-        self.logs = self._log(codes, at[first])
+    def prepare(self) -> None:
+        """Work out the n-grams of full order that the models know."""
+        codes = np.unique(np.concatenate([np.zeros((0, ORDER), np.uint32), *(m["codes"] for m in self.models)]), axis=0)
+        flat, at = codes.ravel().astype(np.uint64), np.arange(ORDER - 1, codes.size, ORDER)
+        known = _hash(flat, at, ORDER)
+        order = np.argsort(known)
+        parts = [self._log(flat, at[order[i : i + 100_000]]) for i in range(0, len(order), 100_000)]
+        self.known, self.logs = known[order], np.concatenate([np.zeros((0, len(self.models)), np.float32), *parts])
+        for m in self.models:
+            m.pop("codes")
 
     def index(self) -> np.ndarray:
         """Where in `known` the hashes with given top bits begin."""
@@ -170,23 +177,21 @@ class LanguageModels:
         starts = np.cumsum(n) - n
         return -np.add.reduceat(logs, starts, axis=0, dtype=np.float64) / n[:, None], n, letters
 
-    def calibrate(self, texts: list[str], own: list[int]) -> None:
-        """Means and spreads of the entropy of each language's held-back texts, in that language."""
-        own, index = np.array(own, np.int64), self.index()
-        h, n, letters = self.entropies(texts, index) if texts else (np.zeros((0, len(self.models))), np.zeros(0), np.zeros(0))
+    def calibrate(self, own: np.ndarray, h: np.ndarray, n: np.ndarray) -> None:
+        """Means and spreads from held-back texts: the language of each, its entropy in it, and its characters."""
         self.mean, self.spread = np.zeros(len(self.models)), np.zeros((len(self.models), 3))
         for k in range(len(self.models)):
-            mine = np.flatnonzero((own == k) & (letters > 0))
+            mine = np.flatnonzero(own == k)
             if not len(mine):
                 self.spread[k] = 0, 0, np.inf
                 continue
-            mine_h, mine_n = h[mine, k], n[mine]
+            mine_h, mine_n = h[mine], n[mine]
             mean = float(np.average(mine_h, weights=mine_n))
             # Squared deviations are v + c / n: a least-squares fit, neither part negative.
             deviation = (mine_h - mean) ** 2
             a = np.stack([np.ones(len(mine)), 1 / mine_n], 1)
             v, c = np.clip(np.linalg.lstsq(a, deviation, rcond=None)[0], 0, None)
-            v, c = max(v, 1e-4), max(c, 1.0)
+            v, c = max(v, LEAST_SPREAD**2), max(c, 1.0)
             furthest = float(((mine_h - mean) / np.sqrt(v + c / mine_n)).max())
             self.mean[k], self.spread[k] = mean, (v, c, max(LEAST_DEVIATIONS, MARGIN * furthest))
 
@@ -216,12 +221,27 @@ def _fit_group(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"lang": [key[0].as_py()], "model": pa.array([_pack(fit(texts))], pa.binary())})
 
 
+def _held_back(sent):
+    """Entropies of texts in their own languages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = sent.value
+        index, place = models.index(), {k: i for i, k in enumerate(models.languages)}
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                h, n, letters = models.entropies([text], index)
+                if letters[0] and lang in place:
+                    yield pa.RecordBatch.from_pydict({"own": [place[lang]], "h": [float(h[0, place[lang]])], "n": [int(n[0])]})
+
+    return run
+
+
 def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", sample_chars: int = SAMPLE_CHARS, max_languages: int = MAX_LANGUAGES) -> LanguageModels:
     """Fit and calibrate on rows with a language and a text with something in it.
 
     Sizes are summed over all rows; then each language's texts are drawn with the share that sample_chars is of its
-    characters. Each language is fitted in a task of its own, on its bounded sample; models and sample come to the
-    driver, which bounds both. Without labelled rows there are no languages.
+    characters. Each language is fitted in a task of its own, on its bounded sample, and the held-back texts are scored
+    where they are: what comes to the driver is models and numbers. Without labelled rows there are no languages.
     """
     spark = labelled.sparkSession
     prepare(spark)
@@ -232,14 +252,13 @@ def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
     share = F.create_map(*(x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sample_chars / r["chars"])))))
     draw = F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53))
     sample = rows.where(draw < share[F.col("lang")]).dropDuplicates(["lang", "text"]).withColumn("fifth", F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(5)))
-    drawn = sample.select("lang", "text", "fifth").collect()
     fitted = {r["lang"]: r["model"] for r in sample.where("fifth > 0").select("lang", "text").groupBy("lang").applyInArrow(_fit_group, "lang string, model binary").collect()}
     languages = sorted(fitted)
-    models = [dict(np.load(io.BytesIO(fitted[k]))) for k in languages]
-    out = LanguageModels(languages, models)
-    out.prepare([r["text"] for r in drawn if r["fifth"] > 0])
-    held = [r for r in drawn if r["fifth"] == 0 and r["lang"] in fitted]
-    out.calibrate([r["text"] for r in held], [languages.index(r["lang"]) for r in held])
+    out = LanguageModels(languages, [dict(np.load(io.BytesIO(fitted.pop(k)))) for k in languages])
+    out.prepare()
+    sent = spark.sparkContext.broadcast(out)
+    held = sample.where("fifth = 0").select("lang", "text").mapInArrow(_held_back(sent), "own long, h double, n long").toPandas()
+    out.calibrate(held["own"].to_numpy(), held["h"].to_numpy(float), held["n"].to_numpy(float))
     return out
 
 

@@ -30,7 +30,8 @@ def prepare(spark: SparkSession) -> None:
 
 
 @contextlib.contextmanager
-def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for the time of a block."""
     before = spark.conf.get(key, None)
     spark.conf.set(key, value)
     try:
@@ -59,7 +60,7 @@ class Workspace:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and read it back. The shuffle files behind it are removed as soon as it is written."""
         path = f"{self.root}/{name}"
-        with _setting(self.spark, _CLEAN_SHUFFLES, "true"):
+        with setting(self.spark, _CLEAN_SHUFFLES, "true"):
             df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

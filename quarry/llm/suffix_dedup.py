@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.runtime import Workspace, own_columns, prepare
+from quarry.llm.runtime import Workspace, own_columns, prepare, setting
 from quarry.llm.words import SPACE, Grid, Rolling, slices, sliding_min, take_runs, within, words
 
 PASSAGE = 50
@@ -58,6 +58,12 @@ def _anchor_batches(passage: int, anchor: int):
     return run
 
 
+def _joined(grid: Grid, order: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The words in some order, a space behind each, and where each begins (and the end)."""
+    length = grid.end[order] - grid.start[order] + 1
+    return take_runs(grid.data, grid.start[order], grid.end[order]) + b" ", np.append(0, np.cumsum(length))
+
+
 def _suffix_batches(passage: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,12 +74,15 @@ def _suffix_batches(passage: int, anchor: int):
                 grid = words(data, bounds, SPACE)
                 own = slice(*np.searchsorted(owners, [lo, hi]))
                 owner, at = owners[own] - lo, places[own]
-                right, left = [], []
-                for i, a in zip((grid.first[owner] + at).tolist(), owner.tolist(), strict=True):
-                    first, last = int(grid.first[a]), int(grid.first[a + 1])
-                    to, back = min(last, i + passage), max(first, i - passage + anchor)
-                    right.append(take_runs(data, grid.start[i:to], grid.end[i:to]))
-                    left.append(take_runs(data, grid.start[back:i][::-1], grid.end[back:i][::-1]))
+                # The words joined by spaces, and the same from the last to the first: contexts are slices of these.
+                back = np.arange(len(grid.start))[::-1]
+                ahead, first = _joined(grid, np.arange(len(grid.start)))
+                behind, last = _joined(grid, back)
+                i, begin, end = grid.first[owner] + at, grid.first[owner], grid.first[owner + 1]
+                to, lead = np.minimum(end, i + passage), np.maximum(begin, i - passage + anchor)
+                n = len(grid.start)
+                right = [ahead[a : b - 1] for a, b in zip(first[i].tolist(), first[to].tolist(), strict=True)]
+                left = [behind[a : max(a, b - 1)] for a, b in zip(last[n - i].tolist(), last[n - lead].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(right, pa.binary()), pa.array(left, pa.binary()), batch.column("doc_id").slice(lo, hi - lo).take(pa.array(owner)), pa.array(at, pa.int32())],
                     ["right", "left", "doc_id", "at"],
@@ -83,29 +92,30 @@ def _suffix_batches(passage: int, anchor: int):
 
 
 def _common(a: bytes, b: bytes) -> int:
-    """Words that two word sequences have in common at their beginning."""
+    """Words that two word sequences have in common at their beginning: the common bytes are found by bisection."""
     if a == b:
-        return len(a.split())
-    n = 0
-    for x, y in zip(a.split(), b.split(), strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
+        return a.count(b" ") + 1 if a else 0
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            hi = mid - 1
+    whole = lo and a[lo - 1 : lo] != b" " and a[lo : lo + 1] in (b"", b" ") and b[lo : lo + 1] in (b"", b" ")
+    return a.count(b" ", 0, lo) + bool(whole)
 
 
 _MATCH = "doc_id long, start int, n int, other long"
-_ROW = "part int, last boolean, right binary, left binary, doc_id long, at int"
 
 
-def _matches(a: dict, b: dict, passage: int) -> list[tuple]:
-    right = _common(a["right"], b["right"])
-    if right + a["left"].count(b" ") + bool(a["left"]) < passage:
-        return []
-    left = _common(a["left"], b["left"])
-    if right + left < passage:
+def _matches(a: tuple, b: tuple, passage: int) -> list[tuple]:
+    """Matches of two suffixes (right, left, doc_id, at)."""
+    right = _common(a[0], b[0])
+    if right + a[1].count(b" ") + bool(a[1]) < passage:
         return []
-    return [(x["doc_id"], x["at"] - left, right + left, y["doc_id"]) for x, y in ((a, b), (b, a))]
+    n = right + (left := _common(a[1], b[1]))
+    return [(x[2], x[3] - left, n, y[2]) for x, y in ((a, b), (b, a))] if n >= passage else []
 
 
 def _compare(passage: int):
@@ -115,10 +125,10 @@ def _compare(passage: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), None
 
-        def out(found: list[tuple], edge: dict | None, last: bool) -> pa.RecordBatch:
+        def out(found: list[tuple], edge: tuple | None, last: bool) -> pa.RecordBatch:
             n = len(found)
             columns = list(zip(*found, strict=True)) if n else [(), (), (), ()]
-            e = edge or {}
+            e = dict(zip(names, edge, strict=True)) if edge else {}
             pad = [None] * n
             return pa.RecordBatch.from_pydict(
                 {
@@ -136,8 +146,7 @@ def _compare(passage: int):
 
         for batch in batches:
             found = []
-            for values in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                row = dict(zip(names, values, strict=True))
+            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if before is None:
                     yield out([], row, False)
                 else:
@@ -156,7 +165,7 @@ def _edge_pairs(passage: int):
         for batch in batches:
             found = []
             for r in batch.to_pylist():
-                found += _matches(r["a"], r["b"], passage)
+                found += _matches(*(tuple(r[x][c] for c in ("right", "left", "doc_id", "at")) for x in "ab"), passage)
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64()))], ["doc_id", "start", "n", "other"])
 
     return run
@@ -165,7 +174,9 @@ def _edge_pairs(passage: int):
 def _neighbours(suffixes: DataFrame, by: list, parts: int, passage: int, ws: Workspace, name: str) -> list[DataFrame]:
     """Matches of suffixes that are next to each other in the order `by`."""
     dealt = suffixes.repartitionByRange(parts, *by).sortWithinPartitions(*by)
-    compared = ws.table(dealt.mapInArrow(_compare(passage), _MATCH + ", part int, last boolean, right binary, left binary, at int"), name)
+    # Keys are whole contexts: a fifth of the usual sample is enough for even ranges, and bounds what the driver gets.
+    with setting(ws.spark, "spark.sql.execution.rangeExchange.sampleSizePerPartition", "20"):
+        compared = ws.table(dealt.mapInArrow(_compare(passage), _MATCH + ", part int, last boolean, right binary, left binary, at int"), name)
     inside = compared.where("part is null").select("doc_id", "start", "n", "other")
     # Two rows a partition: the end of one is compared with the beginning of the next that has rows.
     ends = compared.where("part is not null").select("part", "last", F.struct("right", "left", "doc_id", "at").alias("b"))

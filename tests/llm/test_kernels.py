@@ -13,7 +13,7 @@ from quarry.llm.decontaminate import TestSuffixes as Suffixes
 from quarry.llm.decontaminate import _Lookup, _matches
 from quarry.llm.elias_fano import EliasFano
 from quarry.llm.packing import binary_pieces
-from quarry.llm.suffix_dedup import anchors
+from quarry.llm.suffix_dedup import _common, anchors
 
 TEXTS = st.lists(st.one_of(st.none(), st.text("ab \t\né漢\x00\x1c ", max_size=30)), max_size=6)
 
@@ -57,6 +57,12 @@ def test_anchors_of_every_window():
     assert all(own[0] & set(range(s, s + 43)) for s in range(351))
 
 
+@given(st.lists(st.sampled_from([b"a", b"ab", b"b"]), max_size=6), st.lists(st.sampled_from([b"a", b"ab", b"b"]), max_size=6))
+def test_common_words(a, b):
+    want = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    assert _common(b" ".join(a), b" ".join(b)) == want
+
+
 @settings(deadline=None)
 @given(st.lists(st.integers(0, 2**40), max_size=200))
 def test_elias_fano(values):
@@ -159,8 +165,10 @@ def test_probabilities_sum_to_one_and_languages_are_told_apart():
     sets = {"x": ["la", "mi", "so", "ré"], "y": ["kk", "tz", "gro", "ü"]}
     texts = {k: [make(v, 60) for _ in range(30)] for k, v in sets.items()}
     models = language_id.LanguageModels(["x", "y"], [language_id.fit(texts[k]) for k in "xy"])
-    models.prepare(texts["x"] + texts["y"])
-    models.calibrate([make(sets[k], 40) for k in "xy" for _ in range(10)], [0] * 10 + [1] * 10)
+    models.prepare()
+    h, n, _ = models.entropies([make(sets[k], 40) for k in "xy" for _ in range(10)], models.index())
+    own = np.array([0] * 10 + [1] * 10)
+    models.calibrate(own, h[np.arange(20), own], n)
     letters = np.unique(language_id.characters(texts["x"])[0])
     for context in (language_id.characters(["lami so"])[0][:9], np.array([113] * 6, np.uint32)):
         p = [np.exp(models._log(np.append(context, c).astype(np.uint64), np.array([len(context)]))[0, 0], dtype=float) for c in [*letters, 0x4E00]]

@@ -89,8 +89,10 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     one (a star); for an odd or larger radius, where members of a group may be further apart than the radius, and so
     a star may miss a link, with all others of the group, which has at most as many as there are variants.
     """
+    # Few bytes grow into many: dealt out by another key than before, or adaptive execution would leave them to a few tasks.
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = (
-        prints.select("bits", F.explode(F.array(*(F.col("bits").bitwiseXOR(F.lit(m)) for m in ball_masks(radius)))).alias("variant"))
+        prints.select("bits").repartition(parts, F.xxhash64("bits")).select("bits", F.explode(F.array(*(F.col("bits").bitwiseXOR(F.lit(m)) for m in ball_masks(radius)))).alias("variant"))
         .groupBy("variant")
         .agg(F.sort_array(F.collect_list("bits")).alias("group"))
         .where(F.size("group") > 1)

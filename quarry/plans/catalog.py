@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from quarry.plans.fixtures import Tables, with_views
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 READER = AccessContext("src0", 2)
+#: Questions of an evaluation that are broadcast at once, about.
+QUESTIONS = 10_000
 
 
 def query(sql: str | None, *views: str):
@@ -520,9 +523,16 @@ def term_union(t: Tables) -> DataFrame:
     """SELECT b.item_id AS query_id, count(d.doc_id) AS relevant, count(d.doc_id) FILTER (d.doc_id < 500) AS found FROM benchmark b LEFT JOIN documents d ON contains(d.text, left(b.text, 60)) GROUP BY 1"""
 )
 def retrieval_evaluation(t: Tables) -> DataFrame:
-    """Relevant documents of each question, and those among a stand-in for the retrieved. The questions are a small stated set."""
-    asked = F.broadcast(t.raw("benchmark").select(F.col("item_id").alias("query_id"), F.left("text", F.lit(60)).alias("begin")).limit(10_000))
-    hits = t.raw("documents").select("doc_id", "text").join(asked, F.contains("text", F.col("begin"))).groupBy("query_id").agg(F.count("*").alias("relevant"), F.count(F.when(F.col("doc_id") < 500, 1)).alias("found"))
+    """Relevant documents of each question, and those among a stand-in for the retrieved. All questions take part: in blocks
+    that are broadcast, with one pass over the documents each."""
+    asked = t.raw("benchmark").select(F.col("item_id").alias("query_id"), F.left("text", F.lit(60)).alias("begin"))
+    blocks = max(1, -(-asked.count() // QUESTIONS))
+    found = []
+    for k in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
+        found.append(t.raw("documents").select("doc_id", "text").join(F.broadcast(block), F.contains("text", F.col("begin"))).select("query_id", "doc_id"))
+    pairs = reduce(DataFrame.unionByName, found)
+    hits = pairs.groupBy("query_id").agg(F.count("*").alias("relevant"), F.count(F.when(F.col("doc_id") < 500, 1)).alias("found"))
     zero = F.lit(0).cast("long")
     return t.raw("benchmark").select(F.col("item_id").alias("query_id")).join(hits, "query_id", "left").select("query_id", F.coalesce("relevant", zero).alias("relevant"), F.coalesce("found", zero).alias("found"))
 

@@ -11,7 +11,7 @@ from quarry.operators import graph as G
 from quarry.operators import retrieval as R
 from quarry.operators import search as S
 from quarry.operators import security as Z
-from quarry.plans import docgen
+from quarry.plans import catalog, docgen
 from quarry.plans.chat import Services, chat, retrieve
 from quarry.plans.ingest import build_graph, ingest
 from quarry.plans.translate import translated_version
@@ -190,3 +190,11 @@ def test_docgen(spark):
     assert out.text == "T: alpha {{B}} / （待补充）\nK\n- c\n    - s, p. 0: e"
     assert (out.missing, out.extra) == (["B"], ["X"])
     assert out.problems == ["citation in a section", "page below 1"]
+
+
+def test_retrieval_evaluation_takes_every_question(spark, tmp_path):
+    n = 10_300
+    spark.range(n).selectExpr("id AS item_id", "concat('<', id, '>') AS text").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.range(0, n, 100).selectExpr("id AS doc_id", "concat('on <', id, '> and <', id + 1, '>') AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in catalog.QUERIES["retrieval_evaluation"](spark, str(tmp_path)).collect())
+    assert got == [(i, int(i % 100 < 2), int(i % 100 < 2 and i < 500)) for i in range(n)]

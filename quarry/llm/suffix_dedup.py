@@ -1,14 +1,15 @@
-"""Repeated passages with sparse suffix arrays.
-
-Only suffixes that begin at a minimiser of some 50-word window are kept (the least hash among the window's 8-word runs,
-chosen by content alone, so that equal windows keep the same suffix), and of these only those whose first 8 words occur
-more than once. They are sorted by their words, over range partitions that split a hot beginning, and every suffix is
-compared with the one before it: equal words are counted to the right and, back from the suffix's start, to the left. A
-stretch of 50 words or more is a repeated passage of both documents. Suffixes that begin alike but whose documents
-differ further right are sorted a second time by the words before them, so that a passage's end finds its like, too.
-
-A suffix carries the words that any 50-word window around its start can have, so what is sorted is bounded by the
-text; longer passages are chains of overlapping stretches.
+"""Repeated passages by the hashes of all 50-word windows.
+
+Every window belongs to its minimiser: the place of the least hash among its 8-word runs, the leftmost of equals, chosen
+by content alone, so that equal windows have it at the same word. The windows of one minimiser that begin well before it
+share the words from there to its end, those that begin later the words from it on: these 29 or 30 words are the key
+that brings equal windows together, and a row carries the hashes of all windows of one key in a row. Rows are shuffled
+and sorted by key once; a window that occurs more than once is part of a repeated passage, whatever else is alike
+around it. Equal windows have equal keys, so none is missed; two 64-bit hashes (key and window) decide equality.
+
+A window's places within one slice of text are compared before the shuffle, and one of them stands for all; so a very
+common passage sends one row a slice, not one a place. Where a key is spread over many batches one place of each of its
+windows is held, so memory follows the distinct windows of a key, not its places.
 """
 
 from __future__ import annotations
@@ -17,12 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.runtime import Workspace, own_columns, prepare, setting
-from quarry.llm.words import SPACE, Grid, Rolling, slices, sliding_min, take_runs, within, words
+from quarry.llm.runtime import own_columns, prepare
+from quarry.llm.words import SPACE, Grid, Rolling, mix, ranges, slices, sliding_min, within, words
 
 PASSAGE = 50
 ANCHOR = 8
@@ -43,52 +43,14 @@ def anchors(grid: Grid, passage: int, anchor: int) -> tuple[np.ndarray, np.ndarr
     return places, v[places]
 
 
-def _anchor_batches(passage: int, anchor: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, bounds in slices(batch.column("text")):
-                grid = words(data, bounds, SPACE)
-                at, hashes = anchors(grid, passage, anchor)
-                owner = np.searchsorted(grid.first, at, "right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes.view(np.int64)), batch.column("doc_id").slice(lo, hi - lo).take(pa.array(owner)), pa.array((at - grid.first[owner]).astype(np.int32))],
-                    ["m", "doc_id", "at"],
-                )
-
-    return run
-
-
-def _joined(grid: Grid, order: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The words in some order, a space behind each, and where each begins (and the end)."""
-    length = grid.end[order] - grid.start[order] + 1
-    return take_runs(grid.data, grid.start[order], grid.end[order]) + b" ", np.append(0, np.cumsum(length))
-
-
-def _suffix_batches(passage: int, anchor: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = batch.column("kept")
-            owners = np.repeat(np.arange(batch.num_rows), np.asarray(kept.value_lengths()))
-            places = np.asarray(kept.flatten())
-            for lo, hi, data, bounds in slices(batch.column("text")):
-                grid = words(data, bounds, SPACE)
-                own = slice(*np.searchsorted(owners, [lo, hi]))
-                owner, at = owners[own] - lo, places[own]
-                # The words joined by spaces, and the same from the last to the first: contexts are slices of these.
-                back = np.arange(len(grid.start))[::-1]
-                ahead, first = _joined(grid, np.arange(len(grid.start)))
-                behind, last = _joined(grid, back)
-                i, begin, end = grid.first[owner] + at, grid.first[owner], grid.first[owner + 1]
-                to, lead = np.minimum(end, i + passage), np.maximum(begin, i - passage + anchor)
-                n = len(grid.start)
-                right = [ahead[a : b - 1] for a, b in zip(first[i].tolist(), first[to].tolist(), strict=True)]
-                left = [behind[a : max(a, b - 1)] for a, b in zip(last[n - i].tolist(), last[n - lead].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(right, pa.binary()), pa.array(left, pa.binary()), batch.column("doc_id").slice(lo, hi - lo).take(pa.array(owner)), pa.array(at, pa.int32())],
-                    ["right", "left", "doc_id", "at"],
-                )
-
-    return run
+def _least_places(v: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least of each `width` values in a row, the leftmost of equals."""
+    place, have = np.arange(len(v)), 1
+    while have < width:
+        step = min(have, width - have)
+        a, b = place[:-step], place[step:]
+        place, have = np.where(v[a] <= v[b], a, b), have + step
+    return place
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -107,107 +69,125 @@ def _common(a: bytes, b: bytes) -> int:
 
 
 _MATCH = "doc_id long, start int, n int, other long"
+_ROWS = "key long, " + _MATCH + ", windows array<long>"
 
 
-def _matches(a: tuple, b: tuple, passage: int) -> list[tuple]:
-    """Matches of two suffixes (right, left, doc_id, at)."""
-    right = _common(a[0], b[0])
-    if right + a[1].count(b" ") + bool(a[1]) < passage:
-        return []
-    n = right + (left := _common(a[1], b[1]))
-    return [(x[2], x[3] - left, n, y[2]) for x, y in ((a, b), (b, a))] if n >= passage else []
+def _first(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
 
 
-def _compare(passage: int):
-    """Matches of neighbours in a sorted partition, and its first and last suffix, to be compared with the next partitions'."""
-    names = ("right", "left", "doc_id", "at")
+def _again(doc: np.ndarray, start: np.ndarray, first: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, start, words, other) of the windows that are not alone, those that follow each other as one; first: where the places
+    of each window begin. A place's other is the document of the first of them, and the first one's that of the last."""
+    many = np.diff(np.append(first, len(doc)))
+    head, tail = np.repeat(doc[first], many), np.repeat(doc[first + many - 1], many)
+    again = np.repeat(many > 1, many)
+    doc, start, other = doc[again], start[again], np.where(doc != head, head, tail)[again]
+    order = np.lexsort((start, other, doc))
+    doc, start, other = doc[order], start[order], other[order]
+    run = np.ones(len(doc), bool)
+    run[1:] = (doc[1:] != doc[:-1]) | (other[1:] != other[:-1]) | (start[1:] > start[:-1] + 1)
+    begin = np.flatnonzero(run)
+    last = np.append(begin[1:], len(doc))[: len(begin)] - 1
+    return doc[begin], start[begin], start[last] - start[begin] + passage, other[begin]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, before = TaskContext.get().partitionId(), None
-
-        def out(found: list[tuple], edge: tuple | None, last: bool) -> pa.RecordBatch:
-            n = len(found)
-            columns = list(zip(*found, strict=True)) if n else [(), (), (), ()]
-            e = dict(zip(names, edge, strict=True)) if edge else {}
-            pad = [None] * n
-            return pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": pa.array([*columns[0]] + [e.get("doc_id")] * bool(edge), pa.int64()),
-                    "start": pa.array([*columns[1]] + [None] * bool(edge), pa.int32()),
-                    "n": pa.array([*columns[2]] + [None] * bool(edge), pa.int32()),
-                    "other": pa.array([*columns[3]] + [None] * bool(edge), pa.int64()),
-                    "part": pa.array(pad + [part] * bool(edge), pa.int32()),
-                    "last": pa.array(pad + [last] * bool(edge), pa.bool_()),
-                    "right": pa.array(pad + [e.get("right")] * bool(edge), pa.binary()),
-                    "left": pa.array(pad + [e.get("left")] * bool(edge), pa.binary()),
-                    "at": pa.array(pad + [e.get("at")] * bool(edge), pa.int32()),
-                }
-            )
 
+def _window_batches(passage: int, anchor: int):
+    """Rows of windows: their key, their document, where the first begins, and the hashes of it and those behind it. Of a window
+    that occurs again in the same slice only one place has such a row; the ranges of all of them are rows without windows."""
+    middle = (passage - anchor + 1) // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                if before is None:
-                    yield out([], row, False)
-                else:
-                    found += _matches(before, row, passage)
-                before = row
-            if found:
-                yield out(found, None, False)
-        if before is not None:
-            yield out([], before, True)
+            for lo, hi, data, bounds in slices(batch.column("text")):
+                grid = words(data, bounds, SPACE)
+                at = within(grid, passage)
+                if not len(at):
+                    continue
+                ids = np.asarray(batch.column("doc_id").slice(lo, hi - lo))
+                rolling = Rolling(grid.hashes())
+                place = _least_places(rolling.windows(anchor), passage - anchor + 1)[at]
+                early = place - at >= middle
+                key = rolling.of(np.where(early, place - middle, place), np.where(early, place + anchor, place + passage - middle + 1)).view(np.int64)
+                window = rolling.windows(passage)[at].view(np.int64)
+                owner = np.searchsorted(grid.first, at, "right") - 1
+                doc, start = ids[owner], at - grid.first[owner]
+                order = np.argsort(window, kind="stable")
+                first = _first(window[order], key[order])
+                again = _again(doc[order], start[order], first, passage)
+                kept = np.sort(order[first])
+                key, window, doc, start, at, place = (x[kept] for x in (key, window, doc, start, at, place))
+                row = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)))
+                n, m = len(row), len(again[0])
+                spread = mix(again[0].astype(np.uint64) + again[1].astype(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([key[row], spread])),
+                        pa.array(np.concatenate([doc[row], again[0]])),
+                        pa.array(np.concatenate([start[row], again[1]]).astype(np.int32)),
+                        pa.array(np.concatenate([np.zeros(n, np.int32), again[2].astype(np.int32)])),
+                        pa.array(np.concatenate([np.zeros(n, np.int64), again[3]])),
+                        pa.ListArray.from_arrays(pa.array(np.concatenate([row, np.full(m + 1, len(key))]).astype(np.int32)), pa.array(window)),
+                    ],
+                    ["key", "doc_id", "start", "n", "other", "windows"],
+                )
 
     return run
 
 
-def _edge_pairs(passage: int):
+def _repeated(passage: int):
+    """Ranges of the windows that occur more than once, of rows sorted by key, and those found before."""
+    names = ["doc_id", "start", "n", "other"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 4
         for batch in batches:
-            found = []
-            for r in batch.to_pylist():
-                found += _matches(*(tuple(r[x][c] for c in ("right", "left", "doc_id", "at")) for x in "ab"), passage)
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64()))], ["doc_id", "start", "n", "other"])
+            before = np.asarray(batch.column("n")) > 0
+            if before.any():
+                yield batch.select(names).filter(pa.array(before))
+                batch = batch.filter(pa.array(~before))
+            if not batch.num_rows:
+                continue
+            key = np.asarray(batch.column("key"))
+            same = key[1:] == key[:-1]
+            rows = np.append(False, same) | np.append(same, False)
+            rows[0] |= len(held[0]) > 0 and held[0][0] == key[0]
+            rows[-1] = True  # the next batch may have its key
+            own = batch.filter(pa.array(rows))
+            n = np.asarray(own.column("windows").value_lengths())
+            starts = ranges(np.asarray(own.column("start")).astype(np.int64), n)
+            flat = [np.repeat(key[rows], n), np.asarray(own.column("windows").flatten()), np.repeat(np.asarray(own.column("doc_id")), n), starts]
+            key, window, doc, start = (np.concatenate(x) for x in zip(held, flat, strict=True))
+            order = np.lexsort((doc, window, key))
+            key, window, doc, start = key[order], window[order], doc[order], start[order]
+            first = _first(key, window)
+            again = _again(doc, start, first, passage)
+            if len(again[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(again, (np.int64, np.int32, np.int32, np.int64), strict=True)], names)
+            keep = first[key[first] == flat[0][-1]]
+            held = [key[keep], window[keep], doc[keep], start[keep]]
 
     return run
 
 
-def _neighbours(suffixes: DataFrame, by: list, parts: int, passage: int, ws: Workspace, name: str) -> list[DataFrame]:
-    """Matches of suffixes that are next to each other in the order `by`."""
-    dealt = suffixes.repartitionByRange(parts, *by).sortWithinPartitions(*by)
-    # Keys are whole contexts: a fifth of the usual sample is enough for even ranges, and bounds what the driver gets.
-    with setting(ws.spark, "spark.sql.execution.rangeExchange.sampleSizePerPartition", "20"):
-        compared = ws.table(dealt.mapInArrow(_compare(passage), _MATCH + ", part int, last boolean, right binary, left binary, at int"), name)
-    inside = compared.where("part is null").select("doc_id", "start", "n", "other")
-    # Two rows a partition: the end of one is compared with the beginning of the next that has rows.
-    ends = compared.where("part is not null").select("part", "last", F.struct("right", "left", "doc_id", "at").alias("b"))
-    edge = ends.withColumn("a", F.lag("b").over(Window.orderBy("part", "last"))).where("not last and a is not null")
-    return [inside, edge.select("a", "b").mapInArrow(_edge_pairs(passage), _MATCH)]
-
-
 def repeated_passages(docs: DataFrame, *, passage: int = PASSAGE, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans, others) of each document with a passage of at least `passage` words that occurs elsewhere, in another
     document or again in itself.
 
     spans: the word ranges [start, end) of its passages, joined where they overlap, ascending; others: the ids of
-    documents found to share one, ascending (its neighbours among the sorted suffixes: of many copies not all are named, but
-    all are linked). Words are runs of other characters than ASCII white space. Null texts and ids take no part; rows
+    documents that share one, ascending (of many copies not all are named, but all are linked). Words are runs of other
+    characters than ASCII white space. Null texts and ids take no part; rows
     with one id are one document here. Documents without such a passage have no row.
     """
     spark = docs.sparkSession
     prepare(spark)
-    ws = Workspace(spark, "suffix-dedup")
     source = own_columns(docs, id_col, text_col).where("doc_id is not null and text is not null")
-    found = source.mapInArrow(_anchor_batches(passage, anchor), "m long, doc_id long, at int")
-    repeated = ws.table(found.groupBy("m").agg(F.count("*").alias("rows")).where("rows > 1").select("m"), "anchors")
-    kept = ws.table(found.join(repeated, "m").groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("kept")), "kept")
-    suffixes = ws.table(source.join(kept, "doc_id").mapInArrow(_suffix_batches(passage, anchor), "right binary, left binary, doc_id long, at int"), "suffixes")
+    windows = source.mapInArrow(_window_batches(passage, anchor), _ROWS)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    begin = F.substring_index(F.col("right").cast("string"), " ", anchor)
-    matches = _neighbours(suffixes, [F.col("right"), F.col("left"), F.col("doc_id"), F.col("at")], parts, passage, ws, "by-suffix")
-    matches += _neighbours(suffixes, [begin, F.col("left"), F.col("right"), F.col("doc_id"), F.col("at")], parts, passage, ws, "by-prefix")
-    rows = matches[0]
-    for m in matches[1:]:
-        rows = rows.unionByName(m)
+    rows = windows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_repeated(passage), _MATCH)
     joined = F.expr(
         """aggregate(ranges, cast(array() as array<struct<start:int,end:int>>), (a, x) ->
              if(size(a) > 0 and element_at(a, -1).end >= x.start,

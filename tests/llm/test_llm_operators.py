@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, decontaminate, hnsw, language_id, packing, sharding, simhash, substring_dedup, suffix_dedup, token_output
+from quarry.llm import chat, decontaminate, hnsw, language_id, packing, sharding, simhash, substring_dedup, suffix_dedup, token_output, words
 from quarry.llm.components import components
 from quarry.llm.queries import QUERIES
 from quarry.llm.runtime import Workspace
@@ -83,6 +83,22 @@ def test_suffix_dedup(docs):
     assert all(set(r.others) <= with_whom[i] and r.others for i, r in got.items())
 
 
+def test_suffix_dedup_with_parts_of_the_passage_in_between(spark):
+    """Quotes of a passage's end and of its beginning lie between two copies in any order of the suffixes."""
+    rng = random.Random(5)
+    say = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared = say(50)
+    text = " ".join(shared).encode()
+    grid = words.words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), words.SPACE)
+    at = int(suffix_dedup.anchors(grid, 50, 8)[0][0])
+    assert 0 < at < 42
+    texts = [say(30) + shared + say(30) for _ in range(2)]
+    texts += [say(30) + shared[max(0, at - 1) :] + say(30) for _ in range(200)] + [say(30) + shared[: at + 8] + say(30) for _ in range(200)]
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: ([tuple(x) for x in r.spans], r.others) for r in suffix_dedup.repeated_passages(rows).collect()}
+    assert got == {0: ([(30, 80)], [1]), 1: ([(30, 80)], [0])}
+
+
 def test_simhash(docs, spark):
     got = {r.doc_id: (r.bits & (2**64 - 1), r.component_id) for r in simhash.near_duplicates(docs).collect()}
     prints = {i: int(simhash.fingerprints_of([t])[0]) for i, t in corpus()}

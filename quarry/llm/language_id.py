@@ -6,7 +6,9 @@ language of the lowest cross-entropy per character; it is rejected if even that
 texts have. Texts are lower-cased, and each run of characters that are not letters is one space.
 
 Training sample: SAMPLE_CHARS characters of each language are expected in it, and MAX_LANGUAGES languages at most (the
-most frequent ones); it is drawn by a hash of the text, and equal texts count once. One fifth of it calibrates.
+most frequent ones); it is drawn by a hash of the text, and equal texts count once. Long texts are drawn in pieces of a
+hundredth of that, and the piece with a language's least hash is always in, so that no language is without. One fifth
+of the sample calibrates; a language without a text there is calibrated with the halves of its others.
 """
 
 from __future__ import annotations
@@ -236,29 +238,53 @@ def _held_back(sent):
     return run
 
 
+def _crossed(key: tuple, table: pa.Table) -> pa.Table:
+    """Entropies of each half of a language's texts in a model of the other halves."""
+    texts = table.column("text").to_pylist()
+    halves = [t[: len(t) // 2] for t in texts], [t[len(t) // 2 :] for t in texts]
+    found = []
+    for fitted, judged in (halves, halves[::-1]):
+        models = LanguageModels([key[0].as_py()], [fit(fitted)])
+        models.prepare()
+        h, n, letters = models.entropies(judged, models.index())
+        found += [(float(x[0]), int(k)) for x, k, some in zip(h, n, letters, strict=True) if some]
+    return pa.table({"lang": pa.array([key[0].as_py()] * len(found), pa.string()), "h": pa.array([x for x, _ in found], pa.float64()), "n": pa.array([k for _, k in found], pa.int64())})
+
+
 def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", sample_chars: int = SAMPLE_CHARS, max_languages: int = MAX_LANGUAGES) -> LanguageModels:
     """Fit and calibrate on rows with a language and a text with something in it.
 
     Sizes are summed over all rows; then each language's texts are drawn with the share that sample_chars is of its
-    characters. Each language is fitted in a task of its own, on its bounded sample, and the held-back texts are scored
-    where they are: what comes to the driver is models and numbers. Without labelled rows there are no languages.
+    distinct characters. Each language is fitted in a task of its own, on its bounded sample, and the held-back texts are
+    scored where they are: what comes to the driver is models and numbers. Without labelled rows there are no languages.
     """
     spark = labelled.sparkSession
     prepare(spark)
     rows = labelled.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).where("lang is not null and length(text) > 0")
-    sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).orderBy(F.desc("chars"), "lang").limit(max_languages).collect()
+    most = max(ORDER, sample_chars // 100)
+    pieces = F.when(F.length("text") > most, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{most}}}"), F.lit(0))).otherwise(F.array("text"))
+    drawn = rows.select("lang", F.explode(pieces).alias("text")).withColumn("draw", F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53)))
+    distinct = drawn.groupBy("lang", "draw").agg(F.sum(F.length("text")).alias("chars"), F.max(F.length("text")).alias("own"))
+    sizes = distinct.groupBy("lang").agg(F.sum("chars").alias("chars"), F.sum("own").alias("own"), F.min("draw").alias("least")).orderBy(F.desc("chars"), "lang").limit(max_languages).collect()
     if not sizes:
         return LanguageModels([], [], np.zeros(0, np.uint64), np.zeros((0, 0), np.float32), np.zeros(0), np.zeros((0, 3)))
-    share = F.create_map(*(x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sample_chars / r["chars"])))))
-    draw = F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53))
-    sample = rows.where(draw < share[F.col("lang")]).dropDuplicates(["lang", "text"]).withColumn("fifth", F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(5)))
+    share = F.create_map(*(x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sample_chars / r["own"])))))[F.col("lang")]
+    least = F.create_map(*(x for r in sizes for x in (F.lit(r["lang"]), F.lit(r["least"]))))[F.col("lang")]
+    fold = F.when(F.col("draw") == least, 1).otherwise(F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(5)))
+    sample = drawn.where((F.col("draw") < share) | (F.col("draw") == least)).dropDuplicates(["lang", "text"]).withColumn("fifth", fold)
     fitted = {r["lang"]: r["model"] for r in sample.where("fifth > 0").select("lang", "text").groupBy("lang").applyInArrow(_fit_group, "lang string, model binary").collect()}
     languages = sorted(fitted)
     out = LanguageModels(languages, [dict(np.load(io.BytesIO(fitted.pop(k)))) for k in languages])
     out.prepare()
     sent = spark.sparkContext.broadcast(out)
     held = sample.where("fifth = 0").select("lang", "text").mapInArrow(_held_back(sent), "own long, h double, n long").toPandas()
-    out.calibrate(held["own"].to_numpy(), held["h"].to_numpy(float), held["n"].to_numpy(float))
+    own, h, n = held["own"].to_numpy(), held["h"].to_numpy(float), held["n"].to_numpy(float)
+    without = [k for i, k in enumerate(languages) if i not in set(own.tolist())]
+    if without:
+        halves = sample.where(F.col("lang").isin(without)).select("lang", "text").groupBy("lang").applyInArrow(_crossed, "lang string, h double, n long").toPandas()
+        own = np.concatenate([own, [languages.index(k) for k in halves["lang"]]])
+        h, n = np.concatenate([h, halves["h"].to_numpy(float)]), np.concatenate([n, halves["n"].to_numpy(float)])
+    out.calibrate(own, h, n)
     return out
 
 

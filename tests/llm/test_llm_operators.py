@@ -130,6 +130,23 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert set(got.values()) == {1, 100} and got[160] == 100 and len(got) == 61 + 49
 
 
+def test_language_id_learns_every_language(spark):
+    """Languages whose text lies in two long documents, and languages with one text, alone or repeated."""
+    rng = random.Random(3)
+    say = lambda k, n: " ".join("".join(rng.choice(k) for _ in range(rng.randint(2, 6))) for _ in range(n))
+    letters = lambda i: "".join(chr(0x4E00 + 20 * i + j) for j in range(8))
+    rows = [(f"long{i}", say(letters(i), 4000)) for i in range(6) for _ in range(2)]
+    rows += [(f"one{i}", say(letters(10 + i), 60)) for i in range(12)]
+    rows += [(f"same{i}", t) for i in range(6) for t in [say(letters(30 + i), 60)] * 100]
+    labelled = spark.createDataFrame(rows, "lang string, text string")
+    models = language_id.train(labelled, sample_chars=2000)
+    assert models.languages == sorted({k for k, _ in rows})
+    assert np.isfinite(models.spread).all()
+    docs = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(sorted(set(rows)))], "doc_id long, lang string, text string")
+    got = language_id.classify(docs, models).join(docs, "doc_id")
+    assert got.where("lang_pred <> lang or rejected").count() == 0
+
+
 def test_language_id(spark):
     rng = random.Random(1)
     parts = {"aa": ["la", "mi", "so"], "bb": ["kk", "tz", "grü"]}

@@ -7,6 +7,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from quarry.llm import hnsw, language_id, sharding, simhash, tokenizing, words
 from quarry.llm.decontaminate import TestSuffixes as Suffixes
@@ -90,6 +91,13 @@ def test_pieces_have_the_ids_of_whole_texts(texts):
     assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == want
 
 
+@pytest.mark.parametrize("text", ["<|endoftext|>", "a <|endoftext|> b", "a<|endoftext|>b c", "x\n<|endoftext|>\n y", "a  <|endoftext|>  b", "<|endoftext|> <|endoftext|><|endoftext|> it's", "<|endoftext| >"])
+def test_special_tokens_have_the_ids_of_the_library(text):
+    fresh = Tokenizer.from_file(tokenizing.byte_bpe_path())
+    ids, _ = tokenizing.PieceEncoder(tokenizing.byte_bpe_path()).encode([text])
+    assert ids.tolist() == fresh.encode(text, add_special_tokens=False).ids
+
+
 def test_ids_with_a_small_memory_and_long_pieces():
     encoder = tokenizing.PieceEncoder(tokenizing.byte_bpe_path(), most_pieces=3)
     for text in ["a b c d e", "e d c b a " + "x" * 500, "<|endoftext|> a", ""]:

@@ -1,6 +1,10 @@
 import io
+import re
 import zipfile
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from quarry.functions import markdown as MD
 from quarry.functions.chunking import page_cuts, recursive_cuts
 from quarry.sources import files, layout, office
@@ -136,6 +140,22 @@ def test_layout_tables_leave_the_text():
     assert text == "Report one"
 
 
+def test_layout_loses_no_word():
+    # One positive gap among words that touch: all of them are in one of the two cells.
+    touching = [(0, 0, 20, 8, "a"), (20, 0, 40, 8, "b"), (100, 0, 120, 8, "c"), (120, 0, 140, 8, "d")]
+    assert layout.columns(touching) == ["a b", "c d"]
+    # A lone line of two columns is no table, and stays in the text.
+    assert layout.tables_and_text([word(0, 0, "left"), word(200, 0, "right"), word(0, 20, "next")]) == ("", "left right\nnext")
+
+
+@settings(deadline=None, max_examples=100)
+@given(st.lists(st.tuples(st.integers(0, 300), st.integers(0, 80), st.integers(1, 40)), max_size=30))
+def test_layout_keeps_every_word_once(places):
+    words = [(x, y, x + w, y + 8, f"w{i}") for i, (x, y, w) in enumerate(places)]
+    tables, text = layout.tables_and_text(words)
+    assert sorted(re.findall(r"w\d+", f"{tables}\n{text}")) == sorted(w[4] for w in words)
+
+
 def test_layout_pairs_of_text_and_number():
     words = [word(0, 20 * n, t) for n, t in enumerate(["a", "1", "b", "2", "c", "3,000"])]
     tables, text = layout.tables_and_text(words)
@@ -148,8 +168,8 @@ def test_plain_tables_and_packing():
     assert MD.looks_like_table(lines)
     assert MD.plain_table(lines).startswith("| a | b |\n| --- | --- |\n| 1 | 2 |")
     assert MD.plain_table(["a  b"]) == ""
-    assert MD.pack(["a", "", "b", "c" * 9], 5, "+") == ["a+b", "c" * 9]
-    assert MD.pack(["c" * 9], 5, "+") == ["ccccc\n...(truncated)"]
+    assert MD.pack(["a", "", "b", "c" * 9], 5, "+") == ["a+b", "ccccc", "cccc"]
+    assert MD.pack(["c" * 9], 5, "+") == ["ccccc", "cccc"]
     text = "x\n| a | b |\n|---|---|\n| 123456 | 2 |\ny"
     assert MD.table_blocks(text) == ["| a | b |\n|---|---|\n| 123456 | 2 |"]
 
@@ -157,6 +177,11 @@ def test_plain_tables_and_packing():
 def test_sections():
     tags = {"text": "## Text", "table": "## Tables", "figure": "## Figures"}
     assert MD.sections("## Text\nhi\n## Figures\nf", tags) == {"text": {"caption": "", "text": "hi"}, "figure": {"caption": "", "text": "f"}}
+    before = MD.sections("head\n## Figures\nf\n## Text\na\n## Text\nb", tags)
+    assert before == {"text": {"caption": "", "text": "head\n\na\n\nb"}, "figure": {"caption": "", "text": "f"}}
+    rows = "| a | b |\n|---|---|\n| 123456 | {} |"
+    both = MD.sections("Table 1\n" + rows.format(1) + "\nand\n" + rows.format(2), tags, most=40)["table"]
+    assert both["text"] == rows.format(1) + "\n\n" + rows.format(2) and both["parts"] == [rows.format(1), rows.format(2)]
     loose = MD.sections("Figure 1: it\nbody", tags)
     assert loose["figure"]["caption"] == "Figure 1: it" and loose["text"]["text"] == "Figure 1: it\nbody"
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable
+from itertools import accumulate, chain, groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -31,33 +32,38 @@ def sliding_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = OVERLAP)
     return F.when(n > 0, cuts).otherwise(F.array().cast("array<string>"))
 
 
-def _pack(text: str, separator: str, size: int) -> Iterator[str]:
-    """Pieces that end with the separator, put together as long as they fit."""
+def _groups(lengths: Iterable[int], size: int) -> list[int]:
+    """A group number for each piece: a piece is in the group of the one before it while they fit together."""
+
+    def place(group: tuple[int, int], length: int) -> tuple[int, int]:
+        number, filled = group
+        return (number, filled + length) if filled + length <= size else (number + 1, length)
+
+    return [number for number, _ in accumulate(lengths, place, initial=(0, 0))][1:]
+
+
+def _pieces(text: str, separator: str, size: int) -> list[str]:
+    """A text in pieces that each end with the separator; without one, in pieces of `size` characters."""
     if not separator:
-        yield from (text[i : i + size] for i in range(0, len(text), size))
-        return
-    held = ""
-    for part in filter(None, text.split(separator)):
-        part += separator
-        if len(held) + len(part) > size:
-            if held.strip():
-                yield held
-            held = ""
-        held += part
-    if held.strip():
-        yield held
+        return [text[at : at + size] for at in range(0, len(text), size)]
+    parts = [part + separator for part in text.split(separator) if part]
+    numbered = zip(_groups(map(len, parts), size), parts, strict=True)
+    joined = ("".join(part for _, part in own) for _, own in groupby(numbered, key=lambda pair: pair[0]))
+    return [piece for piece in joined if piece.strip()]
 
 
 def recursive_cuts(text: str | None, size: int, overlap: int) -> list[str]:
     """Cut at the coarsest separator that makes pieces fit, then put the end of each chunk before the next one."""
-    level = [text or ""]
+    pieces = [text or ""]
     for separator in SEPARATORS:
-        stripped = [s for t in level if (s := t.strip())]
-        level = [p for t in stripped for p in ([t] if len(t) <= size else _pack(t, separator, size))]
-    chunks: list[str] = []
-    for t in level:
-        chunks.append((chunks[-1][-overlap:] + t).strip() if chunks and overlap > 0 else t)
-    return [s for t in chunks if (s := t.strip())]
+        kept = filter(None, map(str.strip, pieces))
+        pieces = list(chain.from_iterable([t] if len(t) <= size else _pieces(t, separator, size) for t in kept))
+
+    def lead(before: str, piece: str) -> str:
+        return (before[-overlap:] + piece).strip()
+
+    chunks = accumulate(pieces, lead) if overlap > 0 else pieces
+    return [c for c in map(str.strip, chunks) if c]
 
 
 def recursive_chunks(size: int = CHUNK_SIZE, overlap: int = OVERLAP):
@@ -109,14 +115,12 @@ def pages_to_chunks(pages: DataFrame, key: str = "doc_id", method: str = "slidin
     def trimmed(name: str) -> Column:
         return F.regexp_replace(F.coalesce(F.col(name), F.lit("")), r"^\s+|\s+$", "")
 
-    texts = pages.select(key, "page_no", F.lit(0).alias("block"), F.lit("text").alias("block_type"), F.posexplode(chunk_text(trimmed("text"), method, size, overlap)).alias("part", "body"))
-    blocks = [
-        pages.select(key, "page_no", F.lit(n).alias("block"), F.lit(kind).alias("block_type"), F.lit(0).alias("part"), X.cut(trimmed(name), cap, "\n...(truncated)").alias("body"))
-        for n, (name, kind) in enumerate((("tables", "Tables"), ("figures", "Figures")), 1)
-    ]
-    rows = texts
-    for b in blocks:
-        rows = rows.unionByName(b)
+    def block(order: int, kind: str, part: Column, body: Column) -> Column:
+        return F.struct(F.lit(order).alias("block"), F.lit(kind).alias("block_type"), part.alias("part"), body.alias("body"))
+
+    texts = F.transform(chunk_text(trimmed("text"), method, size, overlap), lambda body, part: block(0, "text", part, body))
+    others = F.array(*(block(n, kind, F.lit(0), X.cut(trimmed(name), cap, "\n...(truncated)")) for n, (name, kind) in enumerate((("tables", "Tables"), ("figures", "Figures")), 1)))
+    rows = pages.select(key, "page_no", F.inline(F.concat(texts, others)))
     order = Window.partitionBy(key).orderBy("block", "page_no", "part")
     header = X.meta_header(F.col("block_type"), F.col("page_no"))
     return rows.where("body <> ''").select(

@@ -1,10 +1,14 @@
 """Approximate nearest neighbours with a hierarchical navigable small-world graph per shard.
 
-Vectors are dealt over shards by a hash of their ids, about SHARD_ROWS to each. A shard's graph is built at once: the
-nodes of a layer are linked to a diverse choice of their nearest ones and back. It is stored as flat arrays: vectors,
-ids, and for each layer its nodes and a matrix of neighbours. Equal vectors of a shard are one node with all their ids.
-Queries go to every shard in blocks of bounded size, all queries of a block descend together, and the shards' results
-are merged.
+Equal vectors are one node. Nodes are dealt over cells around centres, and a cell over shards of about SHARD_ROWS nodes.
+A shard's graph grows by insertion: on each of its layers a node searches the graph that is there for its nearest ones,
+is linked to a diverse choice of them, and they are linked back, with a new choice where that makes too many. Nodes come
+in batches that are searched together, nodes of the upper layers first. What a search from the top would not reach at the
+end gets a link from its nearest node that it does reach. A graph is stored as flat arrays.
+
+A query goes to the shards of its nearest cell first. Its k-th distance there then rules out each cell whose ball around
+its centre, or whose side of the plane half-way to the nearest centre, is further away; it goes to the others, and the
+results are merged. So routing itself loses no neighbour: what is approximate is the search within a shard alone.
 """
 
 from __future__ import annotations
@@ -19,13 +23,16 @@ from pyspark.sql import functions as F
 
 from quarry.llm.runtime import Workspace, prepare
 
-SHARD_ROWS = 4096
+SHARD_ROWS = 8192
+#: Centres at most, and rows a centre that they are fitted on: at most MOST_CELLS * SAMPLE_PER_CELL rows are sampled.
+MOST_CELLS, SAMPLE_PER_CELL = 1024, 32
 LINKS = 16
-CONSTRUCTION = 48
-BEAM = 96
-#: Queries that are broadcast at once.
-QUERY_BLOCK = 4096
-_TOGETHER = 256
+CONSTRUCTION = 64
+BEAM = 128
+MOST_NEIGHBOURS = 10
+#: Queries of a shard that are searched in one row of a task.
+QUERY_BLOCK = 2048
+_TOGETHER, _AHEAD, _FIRST = 256, 4, 64
 
 
 @dataclass
@@ -42,96 +49,202 @@ class Graph:
         order = np.lexsort((ids, node.ravel()))
         n = len(distinct)
         bounds = np.searchsorted(node.ravel()[order], np.arange(n + 1))
-        level = np.floor(-np.log(1 - np.random.default_rng(seed).random(n)) / np.log(links)).astype(int)
-        if n:
-            level[np.argmax(level)] = level.max()
-        nodes, neighbours = [], []
-        for layer in range(int(level.max(initial=0)) + 1):
+        rng = np.random.default_rng(seed)
+        level = np.floor(-np.log(1 - rng.random(n)) / np.log(links)).astype(int)
+        turn = rng.permutation(n)
+        out = cls(distinct, ids[order], bounds, [], [])
+        points = _points(distinct, distinct)[0]
+        for layer in range(int(level.max(initial=0)), -1, -1):
             own = np.flatnonzero(level >= layer)
-            nodes.append(own)
-            neighbours.append(_layer(distinct[own], links, 2 * links if layer == 0 else links, candidates))
-        return cls(distinct, ids[order], bounds, nodes, neighbours)
-
-    def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(nodes, squared distances) of the nearest nodes found, by query; -1 and infinity where there are no more."""
+            # Nodes that are on the layer above, too, come first; others in a random order.
+            order = own[np.lexsort((turn[own], -np.minimum(level[own], layer + 1)))]
+            entry = None
+            if out.nodes:
+                above = np.concatenate([out._layers(points, points[order[i : i + _TOGETHER]], CONSTRUCTION, links) for i in range(0, len(order), _TOGETHER)])
+                entry = np.where(above >= 0, np.searchsorted(own, out.nodes[0][above]), -1)
+            rows = _insert(points[own], np.searchsorted(own, order), entry, links, 2 * links if layer == 0 else links, candidates)
+            out.nodes.insert(0, own)
+            out.neighbours.insert(0, rows)
+        return out
+
+    def _layers(self, points: np.ndarray, queries: np.ndarray, beam: int, keep: int, to: int = 0) -> np.ndarray:
+        """Rows on layer `to` of the nearest nodes there to each query, after a descent from the top."""
         found = np.zeros((len(queries), 1), np.int64)
-        for layer in range(len(self.nodes) - 1, -1, -1):
+        for layer in range(len(self.nodes) - 1, to - 1, -1):
             own = self.nodes[layer]
-            width = beam if layer == 0 else min(beam, LINKS)
-            rows, distance = _descend(self.vectors[own], self.neighbours[layer], queries, found if layer < len(self.nodes) - 1 else np.zeros((len(queries), 1), np.int64), width)
-            if layer:
-                below = np.searchsorted(self.nodes[layer - 1], own)
-                found = np.where(rows >= 0, below[rows], -1)
-        return rows, distance
-
-
-def _layer(vectors: np.ndarray, links: int, most: int, candidates: int) -> np.ndarray:
-    """Neighbours of each vector among the others: near ones in different directions, then the nearest, and back."""
-    n = len(vectors)
-    k = min(candidates, n - 1)
-    if k < 1:
-        return np.full((n, 1), -1, np.int32)
-    norm = (vectors**2).sum(1)
-    edges = []
-    for lo in range(0, n, 256):
-        rows = np.arange(lo, min(n, lo + 256))
-        d = norm[rows, None] + norm[None] - 2 * vectors[rows] @ vectors.T
-        d[np.arange(len(rows)), rows] = np.inf
-        near = np.argpartition(d, k - 1, axis=1)[:, :k]
-        dist = np.take_along_axis(d, near, 1)
-        by = np.argsort(dist, axis=1, kind="stable")
-        near, dist = np.take_along_axis(near, by, 1), np.take_along_axis(dist, by, 1)
-        v = vectors[near]
-        between = (norm[near][:, :, None] + norm[near][:, None, :]) - 2 * v @ v.transpose(0, 2, 1)
-        chosen = np.zeros((len(rows), k), bool)
-        for j in range(k):
-            blocked = (chosen & (between[:, j] < dist[:, j, None])).any(1)
-            chosen[:, j] = ~blocked & (chosen.sum(1) < links)
-        # What is free is filled with the nearest that were passed over.
-        score = np.where(chosen, np.arange(k), k + np.arange(k))
-        pick = np.argsort(score, axis=1, kind="stable")[:, : min(links, k)]
-        edges.append(np.stack([np.repeat(rows, pick.shape[1]), np.take_along_axis(near, pick, 1).ravel()]))
-    a, b = np.concatenate(edges, 1)
-    pairs = np.unique(np.concatenate([a * n + b, b * n + a]))
-    a, b = pairs // n, pairs % n
-    dist = ((vectors[a] - vectors[b]) ** 2).sum(1)
-    order = np.lexsort((dist, a))
-    a, b = a[order], b[order]
-    rank = np.arange(len(a)) - np.searchsorted(a, a)
-    keep = rank < most
-    out = np.full((n, int(min(most, rank.max() + 1))), -1, np.int32)
-    out[a[keep], rank[keep]] = b[keep]
-    return out
-
-
-def _descend(vectors: np.ndarray, neighbours: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best-first search with a beam, of all queries together. Returns the beams, nearest first."""
-    q, n = len(queries), len(vectors)
+            found, _ = _descend(points[own], self.neighbours[layer], queries, found, beam)
+            found = found[:, :keep] if layer == to else np.where(found >= 0, np.searchsorted(self.nodes[layer - 1], own[found]), -1)
+        return found
+
+    def search(self, queries: np.ndarray, beam: int) -> np.ndarray:
+        """The nearest nodes found, by query; -1 where there are no more."""
+        if not len(self.vectors):
+            return np.full((len(queries), 1), -1, np.int64)
+        points, asked = _points(self.vectors, queries)
+        return self._layers(points, asked, beam, beam)
+
+
+def _points(vectors: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors and queries as a walk compares them: of unit scale, in single precision where that can hold them."""
+    scale = np.abs(vectors).max(initial=0) or 1.0
+    reach = np.abs(queries).max(initial=0) / scale
+    kind = np.float32 if reach < 1e6 else np.float64
+    return (vectors / scale).astype(kind), (queries / scale).astype(kind)
+
+
+def _squares(points: np.ndarray, a: np.ndarray, others: np.ndarray, b: np.ndarray) -> np.ndarray:
+    step = points[a] - others[b]
+    return np.einsum("ij,ij->i", step, step)
+
+
+def _choose(points: np.ndarray, near: np.ndarray, distance: np.ndarray, most: int) -> np.ndarray:
+    """Which of each row's candidates (nearest first, -1 for none) are kept: those nearer to the row's node than to any
+    kept before, up to `most`."""
+    n, k = near.shape
+    v = points[np.maximum(near, 0)]
+    norm = np.einsum("ijk,ijk->ij", v, v)
+    chosen = np.zeros((n, k), bool)
+    blocked = near < 0
+    for j in range(k):
+        take = ~blocked[:, j] & (chosen.sum(1) < most)
+        chosen[:, j] = take
+        rows = np.flatnonzero(take)
+        if len(rows) and j + 1 < k:
+            between = norm[rows, j + 1 :] + norm[rows, j, None] - 2 * np.einsum("ijk,ik->ij", v[rows, j + 1 :], v[rows, j])
+            blocked[rows, j + 1 :] |= between < distance[rows, j + 1 :]
+    return chosen
+
+
+def _left_packed(values: np.ndarray, chosen: np.ndarray, width: int) -> np.ndarray:
+    """The chosen values of each row, moved to its beginning; -1 behind them."""
+    order = np.argsort(~chosen, axis=1, kind="stable")[:, :width]
+    return np.where(np.take_along_axis(chosen, order, 1), np.take_along_axis(values, order, 1), -1)
+
+
+def _insert(points: np.ndarray, order: np.ndarray, entry: np.ndarray | None, links: int, most: int, candidates: int) -> np.ndarray:
+    """Neighbours of each node of a layer after all were inserted in an order. entry: nodes from which each insertion's search
+    begins, in that order; those that are not there yet don't count."""
+    n = len(points)
+    out = np.full((n, most), -1, np.int32)
+    there = np.zeros(n, bool)
+    done = 0
+    while done < n:
+        batch = order[done : done + (_FIRST if not done else min(done, _TOGETHER))]
+        # What the graph has near each node, and what else is in the batch.
+        between = np.array([_squares(points, np.full(len(batch), b), points, batch) for b in batch]).reshape(len(batch), len(batch))
+        np.fill_diagonal(between, np.inf)
+        some = np.argsort(between, axis=1, kind="stable")[:, : links * 2 if done else candidates]
+        near, distance = batch[some], np.take_along_axis(between, some, 1)
+        if done:
+            first = np.full((len(batch), 1), order[0])
+            if entry is not None:
+                own = entry[done : done + len(batch)]
+                first = np.concatenate([np.where((own >= 0) & there[own], own, -1), first], 1)
+                first[:, -1] = np.where((first[:, :-1] == order[0]).any(1), -1, order[0])
+            found, d = _descend(points, out, points[batch], first, candidates)
+            near, distance = np.concatenate([near, found], 1), np.concatenate([distance, d], 1)
+        near = np.where(np.isfinite(distance), near, -1)
+        by = np.argsort(distance, axis=1, kind="stable")[:, :candidates]
+        near, distance = np.take_along_axis(near, by, 1), np.take_along_axis(distance, by, 1)
+        chosen = _choose(points, near, distance, links)
+        out[batch, : min(most, near.shape[1])] = _left_packed(near, chosen, most)
+        r, c = np.nonzero(chosen)
+        _link_back(points, out, near[r, c], batch[r], distance[r, c])
+        there[batch] = True
+        done += len(batch)
+    return out if not n else _reachable(points, out, order[0] if entry is None else np.unique(entry[entry >= 0]), candidates)
+
+
+def _link_back(points: np.ndarray, out: np.ndarray, to: np.ndarray, new: np.ndarray, distance: np.ndarray) -> None:
+    """Put each new node among the neighbours of the one that it was linked to; where there are too many, choose again."""
+    most = out.shape[1]
+    have = (out[to] == new[:, None]).any(1)
+    to, new, distance = to[~have], new[~have], distance[~have]
+    order = np.lexsort((distance, to))
+    to, new = to[order], new[order]
+    nodes, first, many = np.unique(to, return_index=True, return_counts=True)
+    for lo in range(0, len(nodes), _TOGETHER):
+        own = nodes[lo : lo + _TOGETHER]
+        count = np.minimum(many[lo : lo + _TOGETHER], 3 * most)
+        width = int(count.max())
+        at = np.arange(width)
+        more = np.where(at < count[:, None], new[np.minimum(first[lo : lo + _TOGETHER, None] + at, len(new) - 1)], -1)
+        near = np.concatenate([out[own], more], 1).astype(np.int64)
+        r, c = np.nonzero(near >= 0)
+        d = np.full(near.shape, np.inf, points.dtype)
+        d[r, c] = _squares(points, near[r, c], points, own[r])
+        by = np.argsort(d, axis=1, kind="stable")
+        near, d = np.take_along_axis(near, by, 1), np.take_along_axis(d, by, 1)
+        full = (near >= 0).sum(1) > most
+        chosen = near >= 0
+        if full.any():
+            chosen[full] = _choose(points, near[full], d[full], most)
+        out[own] = _left_packed(near, chosen, most)
+
+
+def _reach(rows: np.ndarray, begin) -> np.ndarray:
+    """Which nodes a walk over neighbours gets to."""
+    seen = np.zeros(len(rows), bool)
+    seen[begin] = True
+    front = np.flatnonzero(seen)
+    while len(front):
+        near = rows[front].ravel()
+        near = np.unique(near[near >= 0])
+        front = near[~seen[near]]
+        seen[front] = True
+    return seen
+
+
+def _reachable(points: np.ndarray, rows: np.ndarray, begin, beam: int) -> np.ndarray:
+    """Neighbours with a link to every node that no walk gets to, from the nearest node that one does get to."""
+    begin = np.atleast_1d(begin)
+    lost = np.flatnonzero(~_reach(rows, begin))
+    if not len(lost):
+        return rows
+    entry = np.broadcast_to(begin[:16], (len(lost), len(begin[:16])))
+    nearest = np.concatenate([_descend(points, rows, points[lost[i : i + _TOGETHER]], entry[i : i + _TOGETHER], beam)[0][:, 0] for i in range(0, len(lost), _TOGETHER)])
+    order = np.argsort(nearest, kind="stable")
+    nearest, lost = nearest[order], lost[order]
+    place = np.arange(len(lost)) - np.searchsorted(nearest, nearest)
+    more = np.full((len(rows), int(place.max()) + 1), -1, np.int32)
+    more[nearest, place] = lost
+    return np.concatenate([rows, more], 1)
+
+
+def _descend(points: np.ndarray, neighbours: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """Best-first search with a beam, of all queries together, some nodes of each a step. Returns (nodes, squared distances) of
+    the beams, nearest first, -1 and infinity behind them. entry: distinct nodes of each query, -1 for none."""
+    q, n = len(queries), len(points)
     width = max(beam, entry.shape[1])
     pool = np.full((q, width), -1, np.int64)
-    distance = np.full((q, width), np.inf)
+    distance = np.full((q, width), np.inf, points.dtype)
     pool[:, : entry.shape[1]] = entry
-    here = pool[:, : entry.shape[1]]
-    distance[:, : entry.shape[1]] = np.where(here >= 0, ((vectors[here] - queries[:, None]) ** 2).sum(2), np.inf)
     seen = np.zeros((q, n), bool)
-    r, c = np.nonzero(here >= 0)
-    seen[r, here[r, c]] = True
+    r, c = np.nonzero(entry >= 0)
+    seen[r, entry[r, c]] = True
+    distance[r, c] = _squares(points, entry[r, c], queries, r)
     open_ = pool >= 0
+    active = np.arange(q)
     while True:
-        ahead = np.where(open_, distance, np.inf)
-        at = ahead.argmin(1)
-        active = np.flatnonzero(np.isfinite(ahead[np.arange(q), at]))
+        ahead = np.where(open_[active], distance[active], np.inf)
+        live = np.isfinite(ahead).any(1)
+        active, ahead = active[live], ahead[live]
         if not len(active):
             break
-        at = at[active]
-        current = pool[active, at]
-        open_[active, at] = False
-        near = neighbours[current].astype(np.int64)
+        step = min(_AHEAD, width)
+        at = np.argpartition(ahead, step - 1, axis=1)[:, :step] if step < width else np.broadcast_to(np.arange(width), ahead.shape)
+        fine = np.isfinite(np.take_along_axis(ahead, at, 1))
+        current = np.where(fine, np.take_along_axis(pool[active], at, 1), -1)
+        open_[active[:, None], at] = False
+        near = np.where(current[:, :, None] >= 0, neighbours[current], -1).reshape(len(active), -1).astype(np.int64)
+        near.sort(axis=1)
         fresh = (near >= 0) & ~seen[active[:, None], near]
+        fresh[:, 1:] &= near[:, 1:] != near[:, :-1]
         r, c = np.nonzero(fresh)
-        seen[active[r], near[r, c]] = True
-        d = np.full(near.shape, np.inf)
-        d[r, c] = ((vectors[near[r, c]] - queries[active[r]]) ** 2).sum(1)
+        node = near[r, c]
+        seen[active[r], node] = True
+        d = np.full(near.shape, np.inf, points.dtype)
+        d[r, c] = _squares(points, node, queries, active[r])
         all_d = np.concatenate([distance[active], d], 1)
         all_p = np.concatenate([pool[active], np.where(fresh, near, -1)], 1)
         all_o = np.concatenate([open_[active], fresh], 1)
@@ -141,17 +254,87 @@ def _descend(vectors: np.ndarray, neighbours: np.ndarray, queries: np.ndarray, e
     return np.take_along_axis(pool, by, 1), np.take_along_axis(distance, by, 1)
 
 
-_INDEX = "dim int, shard int, nodes array<binary>, neighbours array<binary>, widths array<int>, vectors binary, ids binary, bounds binary"
+# Cells
+
+
+def _gaps(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Distances of points to centres, without the cancellation of squares for near ones."""
+    out = np.empty((len(points), len(centres)))
+    for lo in range(0, len(points), 64):
+        out[lo : lo + 64] = np.sqrt(((points[lo : lo + 64, None] - centres) ** 2).sum(2))
+    return out
+
+
+def fit_centres(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
+    """k-means; a centre that is left without points goes."""
+    sample = np.unique(sample, axis=0)
+    centres = sample[np.random.default_rng(seed).permutation(len(sample))[:cells]]
+    for _ in range(rounds):
+        own = np.concatenate([_gaps(sample[i : i + 1024], centres).argmin(1) for i in range(0, len(sample), 1024)])
+        centres = np.stack([sample[own == c].mean(0) for c in np.unique(own)])
+    return centres
+
+
+@dataclass
+class Index:
+    """shards: a row for each graph. cells: (dim, cell, shards, radius). centres: by dimension, where there are several cells.
+    k: neighbours that may be asked for."""
+
+    shards: DataFrame
+    cells: DataFrame
+    centres: dict[int, np.ndarray]
+    k: int
+
+
+def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(vec_id, vector, dim) of the rows that take part: with an id, and a vector that isn't null or zero and has finite
+    components alone."""
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
+    fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
+    rows = rows.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & F.coalesce(fine, F.lit(False)))
+    return rows.withColumn("vector", F.transform("vector", lambda x: x + 0.0)).withColumn("dim", F.size("vector"))
+
+
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return np.asarray(column.flatten()).reshape(-1, dim)
+
+
+def _by_dim(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    dims = np.asarray(batch.column("dim"))
+    for dim in np.unique(dims).tolist():
+        yield dim, batch.filter(pa.array(dims == dim))
+
+
+def _assigner(sent):
+    """Rows with their nearest centre and the distance to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, own in _by_dim(batch):
+                centres = sent.value.get(dim)
+                cell, far = np.zeros(own.num_rows, np.int32), np.zeros(own.num_rows)
+                if centres is not None:
+                    gaps = _gaps(_matrix(own.column("vector"), dim), centres)
+                    cell = gaps.argmin(1).astype(np.int32)
+                    far = gaps[np.arange(len(cell)), cell]
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(cell), pa.array(far)], [*own.schema.names, "cell", "far"])
+
+    return run
+
+
+_GRAPH = "dim int, cell int, shard int, nodes array<binary>, neighbours array<binary>, widths array<int>, vectors binary, ids binary, bounds binary"
 
 
 def _build_group(key: tuple, table: pa.Table) -> pa.Table:
     dim = key[0].as_py()
-    flat = table.column("vector").combine_chunks().flatten()
-    g = Graph.build(np.asarray(table.column("vec_id").combine_chunks()), np.asarray(flat).reshape(-1, dim))
+    g = Graph.build(np.asarray(table.column("vec_id").combine_chunks()), _matrix(table.column("vector"), dim))
     return pa.table(
         {
             "dim": pa.array([dim], pa.int32()),
-            "shard": pa.array([key[1].as_py()], pa.int32()),
+            "cell": pa.array([key[1].as_py()], pa.int32()),
+            "shard": pa.array([key[2].as_py()], pa.int32()),
             "nodes": pa.array([[x.astype("<i8").tobytes() for x in g.nodes]], pa.list_(pa.binary())),
             "neighbours": pa.array([[x.astype("<i4").tobytes() for x in g.neighbours]], pa.list_(pa.binary())),
             "widths": pa.array([[x.shape[1] for x in g.neighbours]], pa.list_(pa.int32())),
@@ -172,84 +355,142 @@ def _load(row: dict) -> Graph:
     )
 
 
-def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, vector, dim) of the rows that take part: with an id, and a vector that isn't null or zero and has finite
-    components alone."""
-    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
-    fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
-    return rows.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & F.coalesce(fine, F.lit(False))).withColumn("dim", F.size("vector"))
-
+def build_index(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, k: int = MOST_NEIGHBOURS, workspace: Workspace | None = None) -> Index:
+    """Graphs over every distinct vector. Vectors of different dimension are in different shards.
 
-def build_index(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, workspace: Workspace | None = None) -> DataFrame:
-    """A table with a row per shard. Vectors of different dimension are in different shards."""
+    Of the rows with equal vectors the node lists the k + 1 of least ids: as ties go to the smaller id, and one of them may
+    be the query itself, the others can be among no query's k nearest. Rows with one id are rows of their own. Centres are
+    fitted on at most MOST_CELLS * SAMPLE_PER_CELL rows, drawn by a hash of their vectors; every row is indexed.
+    """
     spark = vectors.sparkSession
     prepare(spark)
     ws = workspace or Workspace(spark, "hnsw")
-    rows = usable(vectors, id_col, vector_col)
-    sizes = rows.groupBy("dim").agg(F.count("*").alias("n")).withColumn("shards", F.ceil(F.col("n") / shard_rows).cast("int"))
-    dealt = rows.join(F.broadcast(sizes.select("dim", "shards")), "dim").select("dim", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int").alias("shard"), "vec_id", "vector")
-    return ws.table(dealt.groupBy("dim", "shard").applyInArrow(_build_group, _INDEX), "index")
-
-
-def _searcher(sent, k: int, beam: int):
+    copies = Window.partitionBy("vector").orderBy("vec_id")
+    rows = ws.table(usable(vectors, id_col, vector_col).withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1), "rows")
+    large = rows.groupBy("dim").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows).collect()
+    centres = {}
+    for r in large:
+        cells = min(MOST_CELLS, -(-r["n"] // shard_rows))
+        drawn = rows.where((F.col("dim") == r["dim"]) & (F.col("copy") == 1)).select("vector").orderBy(F.xxhash64("vector")).limit(cells * SAMPLE_PER_CELL)
+        centres[r["dim"]] = fit_centres(np.array([x["vector"] for x in drawn.toLocalIterator()]), cells)
+    sent = spark.sparkContext.broadcast(centres)
+    placed = ws.table(rows.drop("copy").mapInArrow(_assigner(sent), "vec_id long, vector array<double>, dim int, cell int, far double"), "placed")
+    found = placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"), F.max("far").alias("radius"))
+    cells = ws.table(found, "cells")
+    dealt = placed.join(cells.select("dim", "cell", "shards"), ["dim", "cell"]).select("dim", "cell", F.pmod(F.xxhash64("vector"), F.col("shards")).cast("int").alias("shard"), "vec_id", "vector")
+    shards = ws.table(dealt.groupBy("dim", "cell", "shard").applyInArrow(_build_group, _GRAPH), "shards")
+    ws.drop("rows")
+    ws.drop("placed")
+    return Index(shards, cells, centres, k)
+
+
+# Search
+
+
+def _searcher(k: int, beam: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_ids, all_vectors = sent.value
         for batch in batches:
             for row in batch.to_pylist():
-                query_ids, queries = all_ids.get(row["dim"]), all_vectors.get(row["dim"])
-                if query_ids is None:
-                    continue
                 graph = _load(row)
-                for lo in range(0, len(query_ids), _TOGETHER):
-                    yield _best(graph, query_ids[lo : lo + _TOGETHER], queries[lo : lo + _TOGETHER], k, max(beam, 2 * k))
+                reps = np.array([x["rep"] for x in row["asked"]])
+                queries = np.array([x["vector"] for x in row["asked"]], float)
+                for lo in range(0, len(reps), _TOGETHER):
+                    yield _best(graph, reps[lo : lo + _TOGETHER], queries[lo : lo + _TOGETHER], k, max(beam, 2 * k))
 
     return run
 
 
-def _best(graph: Graph, query_ids: np.ndarray, queries: np.ndarray, k: int, beam: int) -> pa.RecordBatch:
-    nodes, _ = graph.search(queries, beam)
+def _length(step: np.ndarray) -> np.ndarray:
+    """Euclidean lengths, also where squares leave the range of numbers."""
+    with np.errstate(over="ignore"):
+        out = np.sqrt((step**2).sum(1))
+    odd = ~np.isfinite(out)
+    if odd.any():
+        most = np.abs(step[odd]).max(1)
+        out[odd] = most * np.sqrt(((step[odd] / most[:, None]) ** 2).sum(1))
+    return out
+
+
+def _best(graph: Graph, reps: np.ndarray, queries: np.ndarray, k: int, beam: int) -> pa.RecordBatch:
+    """The k + 1 nearest rows of a shard to each query: its own may be one of them."""
+    nodes = graph.search(queries, beam)
     out = []
-    for query, vector, own in zip(query_ids.tolist(), queries, nodes, strict=True):
+    for rep, vector, own in zip(reps.tolist(), queries, nodes, strict=True):
         own = own[own >= 0]
-        # k + 1 ids of a node are enough: they are the smallest ones, and one may be the query's own.
         many = np.minimum(np.diff(graph.bounds)[own], k + 1)
-        ids = np.concatenate([graph.ids[graph.bounds[x] : graph.bounds[x] + m] for x, m in zip(own.tolist(), many.tolist(), strict=True)])
-        score = np.repeat(np.sqrt(((graph.vectors[own] - vector) ** 2).sum(1)), many)
-        ids, score = ids[ids != query], score[ids != query]
-        order = np.lexsort((ids, score))[:k]
-        out.append((np.full(len(order), query), ids[order], score[order]))
+        ids = np.concatenate([np.zeros(0, np.int64), *(graph.ids[graph.bounds[x] : graph.bounds[x] + m] for x, m in zip(own.tolist(), many.tolist(), strict=True))])
+        score = np.repeat(_length(graph.vectors[own] - vector), many)
+        order = np.lexsort((ids, score))[: k + 1]
+        out.append((np.full(len(order), rep), ids[order], score[order]))
     q, v, s = (np.concatenate(x) for x in zip(*out, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], ["query_id", "vec_id", "score"])
+    return pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], ["rep", "vec_id", "score"])
+
+
+def _further(sent):
+    """(rep, vector, dim, cell) of the other cells that may hold one of the nearest, from the distance that was reached."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, radius = sent.value
+        for batch in batches:
+            for dim, own in _by_dim(batch):
+                if dim not in centres:
+                    continue
+                points, c = _matrix(own.column("vector"), dim), centres[dim]
+                gaps = _gaps(points, c)
+                nearest = np.asarray(own.column("cell"))
+                between = _gaps(c, c)[nearest]
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    plane = (gaps**2 - (gaps[np.arange(len(gaps)), nearest] ** 2)[:, None]) / (2 * between)
+                least = np.fmax(plane, gaps - radius[dim])
+                may = least * (1 - 1e-9) <= np.asarray(own.column("reached"))[:, None]
+                may &= radius[dim] >= 0
+                may[np.arange(len(gaps)), nearest] = False
+                r, cell = np.nonzero(may)
+                some = own.take(pa.array(r))
+                yield pa.RecordBatch.from_arrays([some.column("rep"), some.column("vector"), some.column("dim"), pa.array(cell.astype(np.int32))], ["rep", "vector", "dim", "cell"])
+
+    return run
+
+
+def _ask(index: Index, pairs: DataFrame, k: int, beam: int, block: int) -> DataFrame:
+    """(rep, vec_id, score) of queries (rep, vector, dim, cell) in the shards of their cells. pairs: a table."""
+    key = ["dim", "cell"]
+    blocks = pairs.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    # The shards of a cell are rows to join: a cell of many shards has its queries copied to each.
+    each = index.cells.join(blocks, key).select(*key, "blocks", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    asked = pairs.join(each, key).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    grouped = asked.groupBy(*key, "shard", "block").agg(F.collect_list(F.struct("rep", "vector")).alias("asked"))
+    return grouped.join(index.shards, [*key, "shard"]).mapInArrow(_searcher(k, beam), "rep long, vec_id long, score double")
 
 
-def search(index: DataFrame, queries: DataFrame, *, k: int = 10, beam: int = BEAM, id_col: str = "vec_id", vector_col: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
+def search(index: Index, queries: DataFrame, *, k: int = MOST_NEIGHBOURS, beam: int = BEAM, id_col: str = "vec_id", vector_col: str = "embedding", block: int = QUERY_BLOCK, workspace: Workspace | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query, nearest first, ties by smaller id, with their exact
     Euclidean distances. A query's own id is no candidate. Queries that take no part (see `usable`) have no rows; of query
-    rows with one id the least vector counts; vectors of another dimension than a query's are no candidates.
+    rows with one id the least vector counts; a candidate id that has several rows comes once, with its least distance;
+    vectors of another dimension than a query's are no candidates. Equal queries are searched once.
     """
-    spark = index.sparkSession
+    if k > index.k:
+        raise ValueError(f"the index was built for {index.k} neighbours")
+    spark = queries.sparkSession
     prepare(spark)
-    own = usable(queries, id_col, vector_col).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    ws, parts, held = Workspace(spark, "hnsw-search"), [], []
-
-    def ask() -> None:
-        ids, vectors = {}, {}
-        for dim in {len(r["vector"]) for r in held}:
-            some = [r for r in held if len(r["vector"]) == dim]
-            ids[dim], vectors[dim] = np.array([r["vec_id"] for r in some]), np.array([r["vector"] for r in some], float)
-        sent = spark.sparkContext.broadcast((ids, vectors))
-        found = index.mapInArrow(_searcher(sent, k, beam), "query_id long, vec_id long, score double")
-        parts.append(ws.table(found, f"block-{len(parts)}"))
-        held.clear()
-
-    for row in own.toLocalIterator():
-        held.append(row)
-        if len(held) == block:
-            ask()
-    if held or not parts:
-        ask()
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    ws = workspace or Workspace(spark, "hnsw-search")
+    own = ws.table(usable(queries, id_col, vector_col).groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumnRenamed("vec_id", "query_id"), "queries")
+    reps = own.groupBy("vector").agg(F.min("query_id").alias("rep")).withColumn("dim", F.size("vector"))
+    sent = spark.sparkContext.broadcast(index.centres)
+    placed = ws.table(reps.select("rep", "vector", "dim").mapInArrow(_assigner(sent), "rep long, vector array<double>, dim int, cell int, far double").drop("far"), "placed")
+    found = ws.table(_ask(index, placed, k, beam, block), "near")
+    if index.centres:
+        radius = {dim: np.full(len(c), -1.0) for dim, c in index.centres.items()}
+        for r in index.cells.where(F.col("dim").isin(*index.centres)).collect():  # MOST_CELLS rows a dimension at most
+            radius[r["dim"]][r["cell"]] = r["radius"]
+        last = Window.partitionBy("rep").orderBy("score", "vec_id")
+        reached = found.withColumn("n", F.row_number().over(last)).where(F.col("n") == k + 1).select("rep", F.col("score").alias("reached"))
+        bound = placed.join(reached, "rep", "left").withColumn("reached", F.coalesce("reached", F.lit(float("inf"))))
+        routing = spark.sparkContext.broadcast((index.centres, radius))
+        more = ws.table(bound.mapInArrow(_further(routing), "rep long, vector array<double>, dim int, cell int"), "more")
+        found = found.unionByName(ws.table(_ask(index, more, k, beam, block), "far"))
+    members = own.join(placed.select("rep", "vector"), "vector").select("rep", "query_id")
+    once = found.groupBy("rep", "vec_id").agg(F.min("score").alias("score"))
     nearest = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    pairs = once.join(members, "rep").where("vec_id <> query_id")
+    return pairs.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

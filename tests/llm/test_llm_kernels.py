@@ -194,19 +194,59 @@ def test_bins_are_even_and_deterministic():
     assert np.abs(load * 8 - 1).max() < 0.05 and (bins == sharding.pack_vectors(items, 8)).all()
 
 
-def test_graph_recall_and_copies():
-    rng = np.random.default_rng(4)
-    vectors = (rng.normal(size=(12, 16))[rng.integers(0, 12, 1500)] + 0.3 * rng.normal(size=(1500, 16))).round(3)
-    vectors[500:900] = vectors[0]  # a large group of copies is one node
-    ids = rng.permutation(1500) * 7
+def graph_recall(vectors, ids, step):
     graph = hnsw.Graph.build(ids, vectors)
-    assert len(graph.vectors) == 1100 and sorted(graph.ids.tolist()) == sorted(ids.tolist())
-    some = np.arange(0, 1500, 10)
+    some = np.arange(0, len(vectors), step)
     found = hnsw._best(graph, ids[some], vectors[some], 10, hnsw.BEAM).to_pydict()
+    got = {}
+    for q, v, s in zip(found["rep"], found["vec_id"], found["score"], strict=True):
+        if v != q:
+            got.setdefault(q, []).append((s, v))
     hits = 0
     for i in some:
         d = np.sqrt(((vectors - vectors[i]) ** 2).sum(1))
         d[i] = np.inf
         true = {(float(d[j]), int(ids[j])) for j in np.lexsort((ids, d))[:10]}
-        hits += len(true & {(s, v) for q, v, s in zip(found["query_id"], found["vec_id"], found["score"], strict=True) if q == ids[i]})
-    assert hits / (10 * len(some)) >= 0.9
+        hits += len(true & set(got[ids[i]][:10]))
+    return graph, hits / (10 * len(some))
+
+
+def test_graph_recall_and_copies():
+    rng = np.random.default_rng(4)
+    vectors = (rng.normal(size=(12, 16))[rng.integers(0, 12, 1500)] + 0.3 * rng.normal(size=(1500, 16))).round(3)
+    vectors[500:900] = vectors[0]  # a large group of copies is one node
+    ids = rng.permutation(1500) * 7
+    graph, recall = graph_recall(vectors, ids, 10)
+    assert len(graph.vectors) == 1100 and sorted(graph.ids.tolist()) == sorted(ids.tolist())
+    assert recall >= 0.9
+
+
+@pytest.mark.parametrize("clusters, size, dim", [(64, 60, 64), (40, 100, 16), (16, 250, 64), (64, 64, 4), (1, 3000, 64)])
+@pytest.mark.parametrize("spread", [0.02, 0.3])
+def test_graph_recall_on_clusters(clusters, size, dim, spread):
+    """Clusters that are larger than a node's links, tight and loose, and one without structure."""
+    rng = np.random.default_rng(4)
+    vectors = np.repeat(rng.normal(size=(clusters, dim)), size, 0) + spread * rng.normal(size=(clusters * size, dim))
+    graph, recall = graph_recall(vectors, rng.permutation(len(vectors)), 13)
+    assert recall >= 0.9
+    for nodes, rows in zip(graph.nodes, graph.neighbours, strict=True):
+        assert rows.shape == (len(nodes), rows.shape[1]) and rows.max(initial=0) < len(nodes)
+        assert all(len(set(r[r >= 0].tolist()) - {i}) == (r >= 0).sum() for i, r in enumerate(rows))  # distinct others
+
+
+def test_graph_of_extreme_numbers():
+    vectors = np.array([[1e200, 0], [-1e200, 0], [1e200, 1e190], [1e-300, 1], [3e-300, 1]])
+    graph = hnsw.Graph.build(np.arange(5), vectors)
+    found = hnsw._best(graph, np.arange(5), vectors, 2, 10).to_pydict()
+    assert found["vec_id"][:2] == [0, 2] and np.isfinite(found["score"]).all() and found["score"][1] == pytest.approx(1e190)
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.integers(0, 10**6), st.integers(0, 40), st.integers(1, 3))
+def test_graphs_of_any_size_find_everything(seed, n, dim):
+    rng = np.random.default_rng(seed)
+    vectors = rng.integers(0, 4, (n, dim)).astype(float)
+    graph = hnsw.Graph.build(np.arange(n), vectors, links=2, candidates=4)
+    if n:
+        found = hnsw._best(graph, np.arange(n), vectors, n, 10 * n).to_pydict()
+        assert found["vec_id"] == [j for i in range(n) for j in np.lexsort((np.arange(n), ((vectors - vectors[i]) ** 2).sum(1))).tolist()]

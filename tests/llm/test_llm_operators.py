@@ -269,6 +269,35 @@ def test_nearest_neighbours(spark):
         assert [x[0] for x in sorted(got[q])] == list(range(1, 11))
     assert hits >= 45 and sorted(got[2400]) == [(1, 2500, 0.5)] and got[2500] == [(1, 2400, 0.5)]
     assert not {2000, 2100, 2200, 2300} & set(got)
+    with pytest.raises(ValueError):
+        hnsw.search(index, df, k=11)
+
+
+def test_nearest_neighbours_over_cells(spark):
+    """Many cells of several shards, a vector that a third of the rows have, repeated ids and columns with clashing names: as
+    brute force, but for what the search within a shard may miss."""
+    rng = np.random.default_rng(8)
+    flat = np.concatenate([np.repeat(rng.normal(size=(30, 8)), 30, 0) + 0.1 * rng.normal(size=(900, 8)), np.repeat(rng.normal(size=(1, 8)), 450, 0)]).round(4)
+    ids = rng.permutation(len(flat))
+    rows = [(int(i), x.tolist(), 0, 0, 0, 0.0, "s") for i, x in zip(ids, flat, strict=True)] + [(5, flat[0].tolist(), 0, 0, 0, 0.0, "s")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, cell int, shard int, score double, vector string")
+    index = hnsw.build_index(df, shard_rows=60)
+    assert len(index.centres[8]) > 10 and index.shards.count() >= index.cells.count()
+    asked = df.where("vec_id % 9 = 0")
+    got = {}
+    for r in hnsw.search(index, asked, block=7).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(got) == {i for i in range(len(flat)) if i % 9 == 0}
+    own = {int(i): [] for i in ids}
+    for i, x, *_ in rows:
+        own[i].append(np.array(x))
+    hits = 0
+    for q, found in got.items():
+        vector = min(map(tuple, own[q]))
+        true = sorted((min(float(np.sqrt(((x - vector) ** 2).sum())) for x in xs), i) for i, xs in own.items() if i != q)[:10]
+        hits += len({(i, round(d, 9)) for d, i in true} & {(v, round(s, 9)) for _, v, s in found})
+        assert [r for r, _, _ in sorted(found)] == list(range(1, 11))
+    assert hits / (10 * len(got)) >= 0.98
 
 
 def test_empty_tables(spark, docs):

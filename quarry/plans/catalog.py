@@ -140,10 +140,10 @@ def doc_labels(t: Tables) -> DataFrame:
     return t.docs().select("doc_id", X.doc_label(F.col("title"), F.col("doc_id"), F.col("source_uri")).alias("label"), "classification")
 
 
-@query("SELECT c.chunk_id, d.app_id, d.classification, sha256(c.doc_id || '|' || 3) AS content_hash, 'translate/en' AS parser_ver FROM chunks c JOIN docs d ON c.doc_id = d.doc_id WHERE c.doc_id < 50", "docs", "chunks")
+@query("SELECT c.chunk_id, d.app_id, d.classification, sha256(c.doc_id || '|' || 3) AS content_hash, 'translate/en' AS parser_ver FROM chunks c JOIN docs d ON c.doc_id = d.doc_id", "docs", "chunks")
 def add_version(t: Tables) -> DataFrame:
     """Rows of a third version: application and classification come from the document."""
-    own = t.chunks().where("doc_id < 50").select("chunk_id", "doc_id", "chunk_text")
+    own = t.chunks().select("chunk_id", "doc_id", "chunk_text")
     content, parser = store.new_version(F.col("doc_id"), F.lit(3), "translate/en")
     return store.chunk_rows(t.docs(), own).select("chunk_id", "app_id", "classification", content.alias("content_hash"), parser.alias("parser_ver"))
 
@@ -268,7 +268,7 @@ def entity_topk_cosine(t: Tables) -> DataFrame:
 
 
 @query(
-    """, q AS (SELECT vec_id AS query_id, CASE vec_id WHEN 0 THEN 'part' WHEN 1 THEN 'no such name' ELSE 'item 1' END AS term, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < 3),
+    """, q AS (SELECT vec_id AS query_id, CASE vec_id % 3 WHEN 0 THEN 'part' WHEN 1 THEN 'no such name' ELSE 'item 1' END AS term, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 20 = 0),
     named AS (SELECT query_id, entity_id, 1 + 0.2 * ln(occurrence_count + 1) AS score, 'name' AS found_by FROM q JOIN entity ON is_active AND lower(name) LIKE '%' || lower(term) || '%'
       QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY occurrence_count DESC, entity_id) <= 5),
     near AS (SELECT query_id, entity_id, list_dot_product(embedding, e) / sqrt(list_dot_product(embedding, embedding) * list_dot_product(e, e)) AS s, occurrence_count FROM q JOIN entity ON is_active AND embedding IS NOT NULL
@@ -278,8 +278,9 @@ def entity_topk_cosine(t: Tables) -> DataFrame:
     "entity",
 )
 def hybrid_entities(t: Tables) -> DataFrame:
-    term = F.when(F.col("vec_id") == 0, "part").when(F.col("vec_id") == 1, "no such name").otherwise("item 1")
-    asked = t.raw("embeddings").where("vec_id < 3").select(F.col("vec_id").alias("query_id"), term.alias("term"), F.col("embedding").alias("query"))
+    """Every twentieth vector asks, with one of three terms, against all entities."""
+    term = F.when(F.col("vec_id") % 3 == 0, "part").when(F.col("vec_id") % 3 == 1, "no such name").otherwise("item 1")
+    asked = t.raw("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), term.alias("term"), F.col("embedding").alias("query"))
     return G.hybrid_entities(t.entity(), asked, 5).select("query_id", "entity_id", "found_by", F.round("score", 6).alias("score"))
 
 
@@ -291,9 +292,9 @@ def order_by_position(t: Tables) -> DataFrame:
 # Graph
 
 
-@query("SELECT src_entity_id, dst_entity_id, weight, evidence_count, list_aggregate(list_transform(evidence_chunk_ids, lambda x: CAST(x AS VARCHAR)), 'string_agg', ',') AS evidence FROM entity_edge WHERE src_entity_id < 300", "entity_edge")
+@query("SELECT src_entity_id, dst_entity_id, weight, evidence_count, list_aggregate(list_transform(evidence_chunk_ids, lambda x: CAST(x AS VARCHAR)), 'string_agg', ',') AS evidence FROM entity_edge", "entity_edge")
 def cooccur_edges(t: Tables) -> DataFrame:
-    return t.entity_edge().where("src_entity_id < 300").select("src_entity_id", "dst_entity_id", "weight", "evidence_count", F.array_join("evidence_chunk_ids", ",").alias("evidence"))
+    return t.entity_edge().select("src_entity_id", "dst_entity_id", "weight", "evidence_count", F.array_join("evidence_chunk_ids", ",").alias("evidence"))
 
 
 _LOG = """log AS (SELECT p_name AS name, p_type AS type, p_brand AS brand, CASE WHEN p_size > 30 THEN 'high' WHEN p_size > 10 THEN 'medium' ELSE 'low' END AS confidence,
@@ -321,14 +322,14 @@ def entity_upsert(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH {_LOG}, old AS (SELECT p_name AS name, p_type AS type, 'old' AS description, 5 AS n FROM part WHERE p_partkey < 100 QUALIFY row_number() OVER (PARTITION BY p_name, p_type ORDER BY p_partkey) = 1),
+    f"""WITH {_LOG}, old AS (SELECT p_name AS name, p_type AS type, 'old' AS description, 5 AS n FROM part QUALIFY row_number() OVER (PARTITION BY p_name, p_type ORDER BY p_partkey) = 1),
     new AS (SELECT name, type, arg_max(description, seq) FILTER (WHERE description IS NOT NULL) AS description, count(*) AS n FROM log WHERE type LIKE '%A%' GROUP BY 1, 2)
     SELECT coalesce(old.name, new.name) AS name, coalesce(old.type, new.type) AS type, coalesce(new.description, old.description) AS description, coalesce(old.n, 0) + coalesce(new.n, 0) AS occurrence_count
     FROM old FULL OUTER JOIN new ON old.name = new.name AND old.type = new.type"""
 )
 def entity_merge(t: Tables) -> DataFrame:
     """Upserts that meet stored entities."""
-    stored = t.raw("part").where("p_partkey < 100").select(F.col("p_name").alias("name"), F.col("p_type").alias("type")).distinct().withColumns({"description": F.lit("old"), "occurrence_count": F.lit(5).cast("long")})
+    stored = t.raw("part").select(F.col("p_name").alias("name"), F.col("p_type").alias("type")).distinct().withColumns({"description": F.lit("old"), "occurrence_count": F.lit(5).cast("long")})
     folded = G.fold_entities(_log(t).where("type like '%A%'"), ["name", "type"], F.col("seq"))
     return G.merge_entities(stored, folded, ["name", "type"]).select("name", "type", "description", "occurrence_count")
 
@@ -358,21 +359,22 @@ def neighbors(t: Tables) -> DataFrame:
 
 
 @query(
-    "SELECT s.entity_id, s.name, e.dst_entity_id, d.name AS dst_name, e.weight FROM entity s LEFT JOIN entity_edge e ON s.entity_id = e.src_entity_id LEFT JOIN entity d ON d.entity_id = e.dst_entity_id WHERE s.entity_id < 60",
+    "SELECT s.entity_id, s.name, e.dst_entity_id, d.name AS dst_name, e.weight FROM entity s LEFT JOIN entity_edge e ON s.entity_id = e.src_entity_id LEFT JOIN entity d ON d.entity_id = e.dst_entity_id",
     "entity_edge",
     "entity",
 )
 def neighborhood_view(t: Tables) -> DataFrame:
-    return G.neighbourhood(t.entity(), t.entity_edge()).where("entity_id < 60").select("entity_id", "name", "dst_entity_id", "dst_name", "weight")
+    return G.neighbourhood(t.entity(), t.entity_edge()).select("entity_id", "name", "dst_entity_id", "dst_name", "weight")
 
 
 @query(
-    "SELECT entity_id, name FROM entity WHERE NOT EXISTS (SELECT 1 FROM entity_edge WHERE src_entity_id < 50 AND dst_entity_id < 50 AND (src_entity_id = entity_id OR dst_entity_id = entity_id))",
+    "SELECT entity_id, name FROM entity WHERE NOT EXISTS (SELECT 1 FROM (SELECT src_entity_id AS x FROM entity_edge WHERE confidence = 'high' UNION ALL SELECT dst_entity_id FROM entity_edge WHERE confidence = 'high') WHERE x = entity_id)",
     "entity_edge",
     "entity",
 )
 def isolated(t: Tables) -> DataFrame:
-    return G.isolated(t.entity(), t.entity_edge().where("src_entity_id < 50 and dst_entity_id < 50")).select("entity_id", "name")
+    """Entities at no end of an edge with more than one chunk of evidence."""
+    return G.isolated(t.entity(), t.entity_edge().where("confidence = 'high'")).select("entity_id", "name")
 
 
 @query("SELECT src_entity_id, dst_entity_id, weight FROM entity_edge WHERE src_entity_id = 7 OR dst_entity_id = 7 ORDER BY weight DESC, src_entity_id, dst_entity_id LIMIT 50", "entity_edge")
@@ -421,10 +423,10 @@ def entity_search_by_type(t: Tables) -> DataFrame:
     return S.search_entities(t.entity(), "a", least).select("entity_id", "name", "occurrence_count")
 
 
-@query("SELECT entity_id, trim(name) || ' | ' || trim(aliases[1]) AS text FROM entity WHERE is_active AND entity_id % 500 >= 490", "entity")
+@query("SELECT entity_id, trim(name) || ' | ' || trim(aliases[1]) AS text FROM entity WHERE is_active", "entity")
 def embedding_backfill(t: Tables) -> DataFrame:
-    """What is to be embedded where a vector is missing."""
-    without = t.entity().withColumn("embedding", F.when(F.col("entity_id") % 500 < 490, F.coalesce("embedding", F.array().cast("array<float>"))))
+    """What is to be embedded where no vector is there yet."""
+    without = t.entity().withColumn("embedding", F.lit(None).cast("array<float>"))
     return M.backfill_texts(without).select("entity_id", "text")
 
 
@@ -497,11 +499,11 @@ def context_assembly(t: Tables) -> DataFrame:
 
 
 @query(
-    "SELECT DISTINCT o_orderkey AS query_id, 5 AS top_k, coalesce(ids, '') AS hit_chunk_ids, lo AS score_min, hi AS score_max FROM orders LEFT JOIN (SELECT query_id, string_agg(chunk_id, ',' ORDER BY rank) AS ids, min(score) AS lo, max(score) AS hi FROM hits GROUP BY 1) ON query_id = o_orderkey WHERE o_orderkey < 500",
+    "SELECT DISTINCT o_orderkey AS query_id, 5 AS top_k, coalesce(ids, '') AS hit_chunk_ids, lo AS score_min, hi AS score_max FROM orders LEFT JOIN (SELECT query_id, string_agg(chunk_id, ',' ORDER BY rank) AS ids, min(score) AS lo, max(score) AS hi FROM hits GROUP BY 1) ON query_id = o_orderkey",
     "hits",
 )
 def search_audit(t: Tables) -> DataFrame:
-    asked = t.raw("orders").where("o_orderkey < 500").select(F.col("o_orderkey").alias("query_id")).distinct()
+    asked = t.raw("orders").select(F.col("o_orderkey").alias("query_id")).distinct()
     return R.search_audit(t.hits(), asked, 5).select("query_id", "top_k", F.array_join("hit_chunk_ids", ",").alias("hit_chunk_ids"), "score_min", "score_max")
 
 
@@ -520,7 +522,7 @@ def term_union(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT b.item_id AS query_id, count(d.doc_id) AS relevant, count(d.doc_id) FILTER (d.doc_id < 500) AS found FROM benchmark b LEFT JOIN documents d ON contains(d.text, left(b.text, 60)) GROUP BY 1"""
+    """SELECT b.item_id AS query_id, count(d.doc_id) AS relevant, count(d.doc_id) FILTER (d.source = 'src0') AS found FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY 1"""
 )
 def retrieval_evaluation(t: Tables) -> DataFrame:
     """Relevant documents of each question, and those among a stand-in for the retrieved. All questions take part: in blocks
@@ -605,11 +607,11 @@ def job_decrement(t: Tables) -> DataFrame:
 
 @query(
     f""", {_LOST} SELECT e.src_entity_id, e.dst_entity_id, greatest(evidence_count - coalesce(n, 0), 0) AS evidence_count, weight FROM entity_edge e
-    LEFT JOIN (SELECT a.entity_id AS s, b.entity_id AS d, count(*) AS n FROM lost a JOIN lost b ON a.chunk_id = b.chunk_id AND a.entity_id <> b.entity_id GROUP BY 1, 2) ON s = src_entity_id AND d = dst_entity_id WHERE e.src_entity_id < 200""",
+    LEFT JOIN (SELECT a.entity_id AS s, b.entity_id AS d, count(*) AS n FROM lost a JOIN lost b ON a.chunk_id = b.chunk_id AND a.entity_id <> b.entity_id GROUP BY 1, 2) ON s = src_entity_id AND d = dst_entity_id""",
     "entity_edge",
 )
 def edge_decrement(t: Tables) -> DataFrame:
-    return M.decrement_edges(t.entity_edge().where("src_entity_id < 200"), _lost(t)).select("src_entity_id", "dst_entity_id", "evidence_count", "weight")
+    return M.decrement_edges(t.entity_edge(), _lost(t)).select("src_entity_id", "dst_entity_id", "evidence_count", "weight")
 
 
 @query("SELECT entity_id, is_active AND NOT (entity_id % 7 = 0 AND occurrence_count <= 30) AS is_active FROM entity", "entity")
@@ -619,10 +621,11 @@ def deactivate_zero(t: Tables) -> DataFrame:
     return G.deactivate(t.entity(), over).select("entity_id", "is_active")
 
 
-@query("SELECT src_entity_id, dst_entity_id FROM entity_edge WHERE NOT (src_entity_id % 5 = 0) AND src_entity_id < 100", "entity_edge")
+@query("SELECT src_entity_id, dst_entity_id FROM entity_edge WHERE confidence <> 'low'", "entity_edge")
 def delete_edge(t: Tables) -> DataFrame:
-    own = t.entity_edge().where("src_entity_id < 100")
-    return G.delete_edges(own, own.where("src_entity_id % 5 = 0").select("src_entity_id", "dst_entity_id", "edge_type")).select("src_entity_id", "dst_entity_id")
+    """All edges of little confidence are taken away by their keys."""
+    own = t.entity_edge()
+    return G.delete_edges(own, own.where("confidence = 'low'").select("src_entity_id", "dst_entity_id", "edge_type")).select("src_entity_id", "dst_entity_id")
 
 
 @query("SELECT entity_id, CASE WHEN entity_id % 10 = 0 THEN 'renamed' ELSE name END AS name, type FROM entity", "entity")

@@ -36,11 +36,11 @@ def delete_documents(store: TableStore, doc_ids: DataFrame, ctx: AccessContext,
     if not all_versions:
         versions = latest_versions(store.read("doc_versions")).select("version_id")
     lost = M.payloads(seen.select("doc_id"), store.read("chunks"), store.read("entity_chunk"), versions)
-    store.append("graph_job", deletion_jobs(lost, ctx.app_id, now))  # written before the rows go
+    # Objects go first: if this stops before the commit, the documents are still there and a second run deletes them.
     if object_root is not None:
         for row in seen.select("app_id", X.doc_folder(F.col("source_uri"), F.col("app_id")).alias("folder")).where("folder <> ''").distinct().toLocalIterator():
             remove_prefix(store.spark, f"{object_root}/{row['app_id']}/{row['folder']}")
-    return store.delete_docs(seen.select("doc_id"), ctx)
+    return store.delete_docs(seen.select("doc_id"), ctx, deletion_jobs(lost, ctx.app_id, now))
 
 
 def diagnostics(chunks: DataFrame, query: Column) -> tuple[DataFrame, DataFrame]:

@@ -70,9 +70,9 @@ class Tables:
         return self.raw("events").selectExpr("event_id AS search_id", "concat('app', user_id % 2) AS app_id", "user_id % 4 AS clearance", "value AS score")
 
     def hits(self) -> DataFrame:
-        """Some hits of each query, from lineitem."""
+        """Hits of each query: an order asks, and its lines are what is found."""
         first = Window.partitionBy("query_id", "chunk_id").orderBy("rank")
-        rows = self.raw("lineitem").where("l_orderkey < 400").selectExpr(
+        rows = self.raw("lineitem").selectExpr(
             "l_orderkey AS query_id", "l_linenumber * 1000000 + l_partkey AS chunk_id", "l_suppkey AS doc_id", "round(l_discount * 10, 3) AS score",
             "concat('[[META type=', CASE l_linenumber % 3 WHEN 0 THEN 'table' WHEN 1 THEN 'text' ELSE 'figure' END, ' page=', l_partkey % 3, CASE WHEN l_partkey % 5 = 0 THEN ' caption=c' || l_partkey % 2 ELSE '' END, ']]\\npart ', l_partkey, ' of ', l_suppkey) AS chunk_text",
             "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rank",
@@ -110,7 +110,7 @@ VIEWS = {
     "searches": "SELECT event_id AS search_id, 'app' || (user_id % 2) AS app_id, user_id % 4 AS clearance, value AS score FROM events",
     "hits": """SELECT query_id, chunk_id, doc_id, score, chunk_text, rank FROM (SELECT l_orderkey AS query_id, l_linenumber * 1000000 + l_partkey AS chunk_id, l_suppkey AS doc_id, round(l_discount * 10, 3) AS score,
         '[[META type=' || CASE l_linenumber % 3 WHEN 0 THEN 'table' WHEN 1 THEN 'text' ELSE 'figure' END || ' page=' || (l_partkey % 3) || CASE WHEN l_partkey % 5 = 0 THEN ' caption=c' || (l_partkey % 2) ELSE '' END || ']]' || chr(10) || 'part ' || l_partkey || ' of ' || l_suppkey AS chunk_text,
-        row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rank FROM lineitem WHERE l_orderkey < 400)
+        row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rank FROM lineitem)
         QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY rank) = 1""",
 }
 _NEEDS = {"doc_versions": ["docs"], "entity_edge": ["entity_chunk"]}

@@ -20,22 +20,21 @@ TTL_SECONDS = 86_400
 def apply_jobs(store: TableStore, jobs: DataFrame) -> int:
     """Apply a batch of deletion jobs as one merge; returns how many were new.
 
-    The ledger of done jobs lies in the same tables, so a job that comes twice is applied once. A job's payload says
-    what it takes away: mentions by chunk and entity.
+    Entities, edges and the ledger of done jobs change in one commit, so a batch that fails midway has changed nothing,
+    and a job that comes twice is applied once. A job's payload says what it takes away: mentions by chunk and entity.
     """
-    done = store.read("graph_job").where("status = 'done'").select("job_id")
+    change = store.begin()
+    done = change.read("graph_job").where("status = 'done'").select("job_id")
     fresh = jobs.dropDuplicates(["job_id"]).join(done, "job_id", "left_anti")
     n = fresh.count()
     if not n:
         return 0
     lost = fresh.select(F.explode("payload.mentions").alias("m")).select("m.chunk_id", "m.entity_id", F.col("m.mention_count").cast("long").alias("mention_count"))
-    entities = M.decrement_entities(store.read("entity"), lost)
-    edges = M.decrement_edges(store.read("entity_edge"), lost)
-    ledger = fresh.withColumn("status", F.lit("done")).withColumn("finished_at", F.current_timestamp())
-    # The new snapshots are written first; the ledger, which decides what counts as done, comes last.
-    store.replace("entity", entities)
-    store.replace("entity_edge", edges)
-    store.append("graph_job", ledger)
+    entities, edges = change.read("entity"), change.read("entity_edge")
+    change.replace("entity", M.decrement_entities(entities, lost))
+    change.replace("entity_edge", M.decrement_edges(edges, lost))
+    change.append("graph_job", fresh.withColumn("status", F.lit("done")).withColumn("finished_at", F.current_timestamp()))
+    change.commit()
     return n
 
 

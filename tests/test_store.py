@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quarry.config import Config
 from quarry.context import AccessContext
 from quarry.operators import ivf
-from quarry.operators.store import TableStore, change_audit
+from quarry.operators.store import Conflict, TableStore, change_audit
 from quarry.plans.delete import delete_documents
 from quarry.streaming import jobs as J
 
@@ -66,6 +66,68 @@ def test_jobs_that_come_twice_are_applied_once(spark, tmp_path):
     assert store.read("graph_job").count() == 1
 
 
+@pytest.mark.parametrize("fails_at", [1, 2, 3, "publish"])
+def test_a_batch_of_jobs_that_stops_midway_changes_nothing(spark, tmp_path, monkeypatch, fails_at):
+    store = fill(spark, tmp_path)
+    payload = {"doc_id": "d1", "chunks": ["c1"], "mentions": [("c1", e, 1) for e in "xy"]}
+    jobs = spark.createDataFrame([("j1", (payload["doc_id"], payload["chunks"], payload["mentions"]))], "job_id string, payload struct<doc_id:string,chunks:array<string>,mentions:array<struct<chunk_id:string,entity_id:string,mention_count:int>>>")
+    before, calls = store.state(), []
+
+    def broken(kind):
+        real = getattr(TableStore, kind)
+
+        def step(self, *args):
+            calls.append(kind)
+            if kind == fails_at or len(calls) == fails_at:
+                raise OSError("lost")
+            return real(self, *args)
+
+        return step
+
+    with monkeypatch.context() as m:
+        for kind in ("publish",) if fails_at == "publish" else ("write_part",):
+            m.setattr(TableStore, kind, broken(kind))
+        with pytest.raises(OSError):
+            J.apply_jobs(store, jobs)
+    assert store.state() == before
+    assert J.apply_jobs(store, jobs) == 1 and J.apply_jobs(store, jobs) == 0
+    assert {r.entity_id: r.occurrence_count for r in store.read("entity").collect()} == {"x": 1, "y": 0}
+
+
+def test_of_two_writers_one_fails_and_appends_both_count(spark, tmp_path):
+    store = fill(spark, tmp_path)
+    first, second = store.begin(), store.begin()
+    for change in (first, second):
+        change.replace("docs", change.read("docs").where("doc_id = 'd1'"))
+    first.commit()
+    with pytest.raises(Conflict):
+        second.commit()
+    assert store.read("docs").count() == 1
+    row = store.read("docs")
+    late = store.begin()
+    store.append("docs", row)
+    store.append("docs", row)
+    assert store.read("docs").count() == 3 and late.read("docs").count() == 1  # a transaction reads the state it began with
+    for _ in range(3):
+        store.compact("docs")
+    assert len(store.current("docs")) == 1 and store.read("docs").count() == 3
+
+
+def test_summaries_are_replaced_and_touched(spark, tmp_path):
+    store = fill(spark, tmp_path)
+    ctx = AccessContext("a", 2)
+    say = lambda text: spark.createDataFrame([("a", "x", text, 1), ("a", "x", text, 1)], "app_id string, entity_id string, summary_text string, classification short")
+    store.upsert_summary(say("one"), ctx, F.expr("timestamp'2024-01-01'"))
+    store.upsert_summary(say("two"), ctx, F.expr("timestamp'2024-01-02'"))
+    ids = spark.createDataFrame([("x",), ("y",)], "entity_id string")
+    got = store.summary(ctx, ids).collect()
+    assert [(r.summary_text, str(r.last_updated_at)) for r in got] == [("two", "2024-01-02 00:00:00")]
+    assert store.summary(AccessContext("a", 0), ids).count() == 0
+    entities = store.read("entity").withColumn("name", F.when(F.col("entity_id") == "x", "new").otherwise(F.col("name")))
+    store.merge("entity", entities, now=F.expr("timestamp'2024-01-03'"))
+    assert {r.entity_id: str(r.updated_at) for r in store.read("entity").collect()} == {"x": "2024-01-03 00:00:00", "y": "None"}
+
+
 def test_sessions_keep_and_clear_messages(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()

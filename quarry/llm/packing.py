@@ -35,7 +35,7 @@ def binary_pieces(n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 def _piece_batches(vocabulary: str, end_id: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, bounds = encode_with_end(batch.column("text").to_pylist(), vocabulary, end_id)
+            ids, bounds = encode_with_end(batch.column("text"), vocabulary, end_id)
             n = np.diff(bounds)
             owner, size = binary_pieces(n, length)
             at = np.cumsum(size) - size

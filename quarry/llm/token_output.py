@@ -66,7 +66,7 @@ def _writer(folder: str, vocabulary: str, end_id: int, width: int):
         part = TaskContext.get().partitionId()
         doc_ids, lengths, chunks = [], [], []
         for batch in batches:
-            ids, bounds = encode_with_end(batch.column("text").to_pylist(), vocabulary, end_id)
+            ids, bounds = encode_with_end(batch.column("text"), vocabulary, end_id)
             if len(ids) and int(ids.max()) >> (8 * width):
                 raise ValueError(f"ids don't fit {width} bytes")
             doc_ids.append(np.asarray(batch.column("doc_id")))

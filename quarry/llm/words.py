@@ -61,6 +61,14 @@ def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(total)
 
 
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes start[i] to end[i]."""
+    up, down = _BYTES.upto(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _ODD)
+
+
 @dataclass
 class Grid:
     """Words of several texts: text i has the words first[i] to first[i + 1], word j the bytes start[j] to end[j]."""
@@ -75,10 +83,7 @@ class Grid:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        up, down = _BYTES.upto(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * up[: len(self.data)], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64) * _ODD)
+        return byte_hashes(self.data, self.start, self.end)
 
 
 def words(data: np.ndarray, bounds: np.ndarray, separators: np.ndarray) -> Grid:

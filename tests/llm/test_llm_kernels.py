@@ -83,8 +83,8 @@ def test_elias_fano_is_small():
 
 
 @settings(deadline=None, max_examples=150)
-@given(st.lists(st.text("ab's t,.\n\t019é漢  　<|>😀endoftx", max_size=40), max_size=5))
-def test_pieces_have_the_ids_of_whole_texts(texts):
+@given(st.lists(st.text("ab's t,.\n\t019é漢  　<|>😀endoftx\x1c\x85\xa0½ʰ̂'''revmlS", max_size=40), max_size=5))
+def test_texts_have_the_ids_of_the_library(texts):
     encoder = tokenizing.encoder(tokenizing.byte_bpe_path())
     ids, bounds = encoder.encode(texts)
     want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
@@ -94,17 +94,32 @@ def test_pieces_have_the_ids_of_whole_texts(texts):
 @pytest.mark.parametrize("text", ["<|endoftext|>", "a <|endoftext|> b", "a<|endoftext|>b c", "x\n<|endoftext|>\n y", "a  <|endoftext|>  b", "<|endoftext|> <|endoftext|><|endoftext|> it's", "<|endoftext| >"])
 def test_special_tokens_have_the_ids_of_the_library(text):
     fresh = Tokenizer.from_file(tokenizing.byte_bpe_path())
-    ids, _ = tokenizing.PieceEncoder(tokenizing.byte_bpe_path()).encode([text])
+    ids, _ = tokenizing.UnitEncoder(tokenizing.byte_bpe_path()).encode([text])
     assert ids.tolist() == fresh.encode(text, add_special_tokens=False).ids
 
 
-def test_ids_with_a_small_memory_and_long_pieces():
-    encoder = tokenizing.PieceEncoder(tokenizing.byte_bpe_path(), most_pieces=3)
+def test_ids_with_a_small_memory_and_long_units():
+    encoder = tokenizing.UnitEncoder(tokenizing.byte_bpe_path(), most_units=3)
     for text in ["a b c d e", "e d c b a " + "x" * 500, "<|endoftext|> a", ""]:
         assert encoder.encode([text])[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
     assert encoder.n < 12
 
 
+def test_every_character_is_of_the_librarys_kind():
+    encoder = tokenizing.UnitEncoder(tokenizing.byte_bpe_path())
+    texts = [f"{a}{chr(c)}{b}" for c in range(0x520) for a, b in (("a", "b"), ("1", " 2"), ("!", "?"), (" ", "\n"))]
+    ids, bounds = encoder.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.lists(st.text("'srevtmld S!1 \n\té", max_size=14), max_size=6))
+def test_contractions_and_blanks(texts):
+    encoder = tokenizing.encoder(tokenizing.byte_bpe_path())
+    ids, bounds = encoder.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_binary_pieces():
     owner, size = binary_pieces(np.array([0, 1, 1023, 1024, 2053]), 1024)
     got = {i: size[owner == i].tolist() for i in range(5)}

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quarry.llm import hnsw, language_id, sharding, simhash, tokenizing, words
+from quarry.llm import hnsw, language_id, sharding, simhash, token_output, tokenizing, words
 from quarry.llm.decontaminate import TestSuffixes as Suffixes
 from quarry.llm.decontaminate import _Lookup, _matches
 from quarry.llm.elias_fano import EliasFano
@@ -65,23 +65,36 @@ def test_common_words(a, b):
 
 
 @settings(deadline=None)
-@given(st.lists(st.integers(0, 2**40), max_size=200))
-def test_elias_fano(values):
+@given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**64 - 1)), max_size=300), st.data())
+def test_elias_fano(values, data):
     values.sort()
-    code = EliasFano.from_bytes(EliasFano.encode(np.array(values, np.int64)).to_bytes())
-    assert code.all().tolist() == values
+    code = EliasFano.from_bytes(EliasFano.encode(np.array(values, np.uint64)).to_bytes())
+    assert code.slice(0, len(values)).tolist() == values
     assert [code.select(i) for i in range(len(values))] == values
+    begin, end = data.draw(st.integers(0, len(values))), data.draw(st.integers(0, len(values) + 2))
+    assert code.slice(begin, end).tolist() == values[begin:end]
     with pytest.raises(IndexError):
         code.select(len(values))
 
 
 def test_elias_fano_is_small():
     values = np.sort(np.random.default_rng(1).integers(0, 10**7, 10_000))
-    assert len(EliasFano.encode(values).to_bytes()) * 8 / 10_000 < 2 + np.log2(10**7 / 10_000) + 1
+    assert len(EliasFano.encode(values).to_bytes()) * 8 / 10_000 < 2.5 + np.log2(10**7 / 10_000) + 0.5
     with pytest.raises(ValueError):
         EliasFano.encode(np.array([2, 1]))
 
 
+@settings(deadline=None)
+@given(st.lists(st.integers(-(2**63), 2**63 - 1), max_size=20), st.integers(0, 3))
+def test_shards_have_their_document_ids(names, unnamed):
+    names.sort()
+    n = len(names) + unnamed
+    data = token_output.shard_bytes(np.array(names, np.int64), unnamed, np.arange(n + 1) * 2, np.arange(2 * n), 2)
+    shard = token_output.Shard(data)
+    assert shard.doc_ids(0, n).to_pylist() == names + [None] * unnamed
+    assert all(shard.doc_ids(i, i + 1).to_pylist() == [(names + [None] * unnamed)[i]] and shard.ids(i).tolist() == [2 * i, 2 * i + 1] for i in range(n))
+
+
 @settings(deadline=None, max_examples=150)
 @given(st.lists(st.text("ab's t,.\n\t019é漢  　<|>😀endoftx\x1c\x85\xa0½ʰ̂'''revmlS", max_size=40), max_size=5))
 def test_texts_have_the_ids_of_the_library(texts):

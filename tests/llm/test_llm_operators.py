@@ -181,6 +181,16 @@ def test_token_shards_round_trip(docs, spark, tmp_path):
     assert zlib.crc32(shard.ids(1).astype("<u4").tobytes()) == want[1][3]
 
 
+def test_token_shards_of_odd_rows(odd, spark, tmp_path):
+    """Repeated rows, a row that is there a thousand times, and rows without an id, which come last."""
+    many = odd.unionByName(spark.createDataFrame([(0, "again and again " * 3)] * 1000, "doc_id long, text string"), allowMissingColumns=True)
+    written = token_output.write_tokens(many, tmp_path.as_uri(), vocabulary=byte_bpe_path(), shard_bytes_=8000)
+    got = sorted(token_output.read_index(written).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [0] * 1002 + [1, 1, 2, 3, None, None]
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+    assert written.agg(F.max("n_docs")).first()[0] < 400
+
+
 def test_token_shards_of_nothing(docs, tmp_path):
     written = token_output.write_tokens(docs.limit(0), tmp_path.as_uri(), vocabulary=byte_bpe_path())
     assert token_output.read_index(written).count() == 0

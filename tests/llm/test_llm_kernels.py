@@ -214,12 +214,27 @@ def test_probabilities_sum_to_one_and_languages_are_told_apart():
     assert rejected.tolist() == [False, False, True, True, True]
 
 
-def test_bins_are_even_and_deterministic():
+def brute_bins(items, bins):
+    """The dot-product rule, item by item, in plain Python."""
+    total = [sum(c) for c in zip(*items, strict=True)]
+    share = [[x / t for x, t in zip(i, total, strict=True)] for i in items]
+    left, out = [[1 / bins] * 3 for _ in range(bins)], [0] * len(items)
+    for i in sorted(range(len(items)), key=lambda i: (-max(share[i]), i)):
+        products = [sum(a * b for a, b in zip(row, share[i], strict=True)) for row in left]
+        out[i] = products.index(max(products))
+        left[out[i]] = [a - b for a, b in zip(left[out[i]], share[i], strict=True)]
+    return out
+
+
+def test_bins_are_even_and_those_of_the_rule():
     rng = np.random.default_rng(3)
     items = rng.pareto(1.5, (2000, 3)) + 1
-    bins = sharding.pack_vectors(items, 8)
+    room = np.ones((8, 1)) * items.sum(0) / 8
+    bins = sharding.pack_vectors(items, room)
     load = np.stack([items[bins == b].sum(0) for b in range(8)]) / items.sum(0)
-    assert np.abs(load * 8 - 1).max() < 0.05 and (bins == sharding.pack_vectors(items, 8)).all()
+    assert np.abs(load * 8 - 1).max() < 0.05
+    assert room == pytest.approx((1 / 8 - load) * items.sum(0), abs=1e-6 * items.sum())
+    assert np.mean(bins == brute_bins(items.tolist(), 8)) > 0.98  # products that are equal but for rounding may differ
 
 
 def graph_recall(vectors, ids, step):

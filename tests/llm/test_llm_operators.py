@@ -225,22 +225,51 @@ def test_decontamination(docs, spark):
     assert decontaminate.matches(docs, items.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
 
+def check_shards(rows, got, shards=8):
+    """What holds of any sharding by bytes: whole rows, gapless slots, groups together, and those that are cut marked."""
+    assert sorted((r.size, r.text_crc32) for r in got) == sorted((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t in rows)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((i is None, i or 0) for i, _ in rows)
+    for s in range(shards):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    groups, total = {}, [sum(r.size for r in got), sum(r.tokens for r in got), len(got)]
+    for r in got:
+        groups.setdefault((r.size, r.text_crc32), []).append(r)
+    for own in groups.values():
+        share = max(sum(r.size for r in own) / total[0], sum(r.tokens for r in own) / max(1, total[1]), len(own) / total[2])
+        assert len({r.group_pieces for r in own}) == 1
+        if share <= 1 / (shards * sharding.SPLIT):
+            assert own[0].group_pieces == 1 and len({r.shard for r in own}) == 1
+        else:
+            assert len({r.shard for r in own}) <= own[0].group_pieces == int(np.ceil(share * shards * sharding.SPLIT - 1e-9))
+
+
 def test_sharding(spark):
     rng = random.Random(2)
-    rows = [(i, "x" * rng.randint(1, 2000)) for i in range(3000)] + [(5000 + i, "the same " * 20) for i in range(1500)] + [(None, None), (1, ""), (1, "")]
+    rows = [(i, " ".join("x" * rng.randint(1, 9) for _ in range(rng.randint(1, 300)))) for i in range(3000)] + [(None, "the same " * 20)] * 1500 + [(None, None), (1, ""), (1, "")]
     got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len(got) == len(rows)
-    load = [sum(r.size for r in got if r.shard == s) for s in range(8)]
-    assert max(load) < 1.02 * sum(load) / 8
-    for s in range(8):
-        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
-    assert sorted((r.size, r.text_crc32) for r in got) == sorted((len(t or "") + 1, zlib.crc32((t or "").encode())) for _, t in rows)
-    small = {}
-    for r in got:
-        if r.doc_id is not None and r.doc_id < 3000:
-            small.setdefault((r.size, r.text_crc32), set()).add(r.shard)
-    assert all(len(s) == 1 for s in small.values())
-    assert sharding.shard(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    check_shards(rows, got)
+    # A third of the rows are copies, in pieces of a quarter of a shard's rows: with these, rows are less even than bytes.
+    for size, most in (("size", 1.03), ("tokens", 1.03), (None, 1.1)):
+        load = [sum(getattr(r, size) if size else 1 for r in got if r.shard == s) for s in range(8)]
+        assert max(load) < most * sum(load) / 8, (size, load)
+
+
+def test_sharding_over_many_tasks(spark):
+    """Groups that are packed in several tasks, columns with clashing names and a very long text."""
+    rng = random.Random(4)
+    rows = [(i, "y" * rng.randint(1, 400) + f" {i // 3}") for i in range(4000)] + [(9000, "z " * 600_000)]
+    df = spark.createDataFrame([(i, t, 1, 2, 3, "p") for i, t in rows], "doc_id long, text string, shard int, key int, size int, place string")
+    got = sharding.shard(df, groups_per_task=500, large=64).collect()
+    check_shards(rows, got)
+    load = sorted(sum(r.size for r in got if r.shard == s) for s in range(8))
+    assert load[-1] > 1_200_000 and max(load[:-1]) < 1.03 * sum(load[:-1]) / 7
+
+
+def test_sharding_of_nothing(spark):
+    out = sharding.shard(spark.createDataFrame([], "doc_id long, text string"))
+    assert out.count() == 0 and out.columns == ["doc_id", "size", "tokens", "text_crc32", "shard", "slot", "group_pieces"]
+    one = sharding.shard(spark.createDataFrame([(None, None)], "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.size, r.slot) for r in one] == [(None, 1, 0)]
 
 
 def test_chat(spark):

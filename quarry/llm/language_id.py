@@ -2,13 +2,18 @@
 
 For each language a model over n-grams of up to five characters is fitted on a bounded sample of labelled texts. Its
 discounted probabilities and back-off weights are kept in arrays sorted by the n-grams' hashes. A text gets the
-language of the lowest cross-entropy per character; it is rejected if even that is far above what the language's own
-texts have. Texts are lower-cased, and each run of characters that are not letters is one space.
-
-Training sample: SAMPLE_CHARS characters of each language are expected in it, and MAX_LANGUAGES languages at most (the
-most frequent ones); it is drawn by a hash of the text, and equal texts count once. Long texts are drawn in pieces of a
-hundredth of that, and the piece with a language's least hash is always in, so that no language is without. One fifth
-of the sample calibrates; a language without a text there is calibrated with the halves of its others.
+language of the lowest cross-entropy per character. Texts are lower-cased, and each run of characters that are not letters
+is one space.
+
+Training sample: every language is learned. SAMPLE_CHARS characters of each are expected in it, or TOTAL_CHARS divided by
+the languages if that is less; so models are of bounded size, however many languages there are. It is drawn by a hash of
+the text, and equal texts count once. Long texts are drawn in pieces of a hundredth of that, and the piece with a
+language's least hash is always in. One fifth of the sample calibrates; a language without a text there is calibrated with
+the halves of its others.
+
+Rejection: a text is rejected whose entropy is further above its language's mean, in standard deviations for its length,
+than the language's limit. Held-back texts set it from both sides: it lies between where the language's own texts end and
+where those of other languages begin, scored as if their own had not been learned.
 """
 
 from __future__ import annotations
@@ -23,18 +28,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.runtime import own_columns, prepare
+from quarry.llm.runtime import Workspace, own_columns, prepare
 from quarry.llm.words import mix
 
 ORDER = 5
-SAMPLE_CHARS = 1_000_000
-MAX_LANGUAGES = 128
+SAMPLE_CHARS, TOTAL_CHARS = 1_000_000, 8_000_000
+#: Bytes of the table of n-grams whose log-probabilities are worked out in advance; others are backed off when they come.
+TABLE_BYTES = 64 << 20
 #: Characters whose difference in cross-entropy the score weighs.
 EVIDENCE_CHARS = 10
-#: A text is rejected that is further above a language's mean, in standard deviations, than this and than MARGIN times
-#: the furthest calibration text; the deviation between texts counts as LEAST_SPREAD nats at least. Texts with foreign
-#: parts, names or code are so kept: in a language that was never learned a character costs more by far.
-LEAST_DEVIATIONS, MARGIN, LEAST_SPREAD = 12.0, 1.25, 0.1
+#: The limit is WAY of the way from MARGIN times this quantile of the deviations of own texts to that quantile of those of other
+#: languages' texts, of FOREIGN_CHARS characters and FOREIGN_TEXTS of them at least; without them it is LIMIT. A language
+#: that was never seen may be nearer than those that were, so it is not the middle.
+OWN, MARGIN, FOREIGN, FOREIGN_CHARS, FOREIGN_TEXTS, WAY, LIMIT = 0.999, 1.25, 0.05, 200, 20, 0.25, 6.0
+#: The deviation between texts counts as this many nats a character at least, and 1 for a single character.
+LEAST_SPREAD = 0.1
 UNKNOWN = "und"
 _UNIFORM = 1 / 4096
 _BASE = 0xA24BAED4963EE407
@@ -92,6 +100,7 @@ def fit(texts: list[str]) -> dict[str, np.ndarray]:
         grams, first, count = np.unique(_hash(codes, at, n), return_index=True, return_counts=True)
         if n == ORDER:
             out["codes"] = codes[at[first][:, None] + np.arange(1 - ORDER, 1)].astype(np.uint32)
+            out["times"] = count
         at = at[first]  # one place of each n-gram; below, each longer n-gram counts once (continuation counts)
         once, twice = int((count == 1).sum()), int((count == 2).sum())
         discount = once / (once + 2 * twice) if once else 0.5
@@ -118,15 +127,15 @@ def _probabilities(model: dict[str, np.ndarray], hashes: list[np.ndarray], conte
 
 @dataclass
 class LanguageModels:
-    """Models of all languages. Of the n-grams of full order that any language knows, the log-probabilities in every
-    language are worked out in advance; others are backed off when they come."""
+    """Models of all languages. Of the n-grams of full order that come most often, the log-probabilities in every language are
+    worked out in advance; others are backed off when they come, to the same values."""
 
     languages: list[str]
     models: list[dict[str, np.ndarray]]
     known: np.ndarray | None = None
     logs: np.ndarray | None = None
     mean: np.ndarray | None = None
-    spread: np.ndarray | None = None  # by language: variance between texts, variance of a character, most deviations
+    spread: np.ndarray | None = None  # by language: variance between texts, variance of a character, limit in deviations
 
     def _lower(self, codes: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         hashes = [_hash(codes, at, n) for n in range(1, ORDER + 1)]
@@ -136,16 +145,19 @@ class LanguageModels:
         hashes, contexts = self._lower(codes, at)
         return np.log(np.stack([_probabilities(m, hashes, contexts) for m in self.models], 1)).astype(np.float32)
 
-    def prepare(self) -> None:
-        """Work out the n-grams of full order that the models know."""
-        codes = np.unique(np.concatenate([np.zeros((0, ORDER), np.uint32), *(m["codes"] for m in self.models)]), axis=0)
-        flat, at = codes.ravel().astype(np.uint64), np.arange(ORDER - 1, codes.size, ORDER)
-        known = _hash(flat, at, ORDER)
-        order = np.argsort(known)
-        parts = [self._log(flat, at[order[i : i + 100_000]]) for i in range(0, len(order), 100_000)]
-        self.known, self.logs = known[order], np.concatenate([np.zeros((0, len(self.models)), np.float32), *parts])
-        for m in self.models:
-            m.pop("codes")
+    def prepare(self, table_bytes: int = TABLE_BYTES) -> None:
+        """Work out the n-grams of full order that the models know, the most frequent ones up to the size of the table."""
+        codes = np.concatenate([np.zeros((0, ORDER), np.uint32), *(m.pop("codes") for m in self.models)])
+        times = np.concatenate([np.zeros(0, np.int64), *(m.pop("times") for m in self.models)])
+        known = _hash(codes.ravel().astype(np.uint64), np.arange(ORDER - 1, codes.size, ORDER), ORDER)
+        known, first, back = np.unique(known, return_index=True, return_inverse=True)
+        most = table_bytes // (8 + 4 * max(1, len(self.models)))
+        if len(known) > most:
+            kept = np.sort(np.argsort(-np.bincount(back, times), kind="stable")[:most])
+            known, first = known[kept], first[kept]
+        flat, at = codes[first].ravel().astype(np.uint64), np.arange(ORDER - 1, ORDER * len(first), ORDER)
+        parts = [self._log(flat, at[i : i + 100_000]) for i in range(0, len(at), 100_000)]
+        self.known, self.logs = known, np.concatenate([np.zeros((0, len(self.models)), np.float32), *parts])
 
     def index(self) -> np.ndarray:
         """Where in `known` the hashes with given top bits begin."""
@@ -179,9 +191,11 @@ class LanguageModels:
         starts = np.cumsum(n) - n
         return -np.add.reduceat(logs, starts, axis=0, dtype=np.float64) / n[:, None], n, letters
 
-    def calibrate(self, own: np.ndarray, h: np.ndarray, n: np.ndarray) -> None:
-        """Means and spreads from held-back texts: the language of each, its entropy in it, and its characters."""
+    def calibrate(self, own: np.ndarray, h: np.ndarray, n: np.ndarray, other: np.ndarray | None = None, h_other: np.ndarray | None = None) -> None:
+        """Means, spreads and limits from held-back texts: the language of each, its entropy in it, its characters, the best of the
+        other languages (-1 for none) and the entropy in that one."""
         self.mean, self.spread = np.zeros(len(self.models)), np.zeros((len(self.models), 3))
+        furthest = np.zeros(len(self.models))
         for k in range(len(self.models)):
             mine = np.flatnonzero(own == k)
             if not len(mine):
@@ -194,8 +208,16 @@ class LanguageModels:
             a = np.stack([np.ones(len(mine)), 1 / mine_n], 1)
             v, c = np.clip(np.linalg.lstsq(a, deviation, rcond=None)[0], 0, None)
             v, c = max(v, LEAST_SPREAD**2), max(c, 1.0)
-            furthest = float(((mine_h - mean) / np.sqrt(v + c / mine_n)).max())
-            self.mean[k], self.spread[k] = mean, (v, c, max(LEAST_DEVIATIONS, MARGIN * furthest))
+            furthest[k] = MARGIN * float(np.quantile((mine_h - mean) / np.sqrt(v + c / mine_n), OWN))
+            self.mean[k], self.spread[k] = mean, (v, c, max(furthest[k], LIMIT))
+        if other is None:
+            return
+        for k in range(len(self.models)):
+            theirs = np.flatnonzero((other == k) & (n >= FOREIGN_CHARS))
+            if len(theirs) >= FOREIGN_TEXTS and np.isfinite(self.spread[k, 2]):
+                v, c, _ = self.spread[k]
+                limit = float(np.quantile((h_other[theirs] - self.mean[k]) / np.sqrt(v + c / n[theirs]), FOREIGN))
+                self.spread[k, 2] = furthest[k] + max(0.0, WAY * (limit - furthest[k]))
 
     def predict(self, texts: list[str], index: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """(language, score, nats per character, rejected) of each text."""
@@ -224,7 +246,7 @@ def _fit_group(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def _held_back(sent):
-    """Entropies of texts in their own languages."""
+    """Entropies of texts in their own languages, and in the best of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = sent.value
@@ -233,7 +255,10 @@ def _held_back(sent):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 h, n, letters = models.entropies([text], index)
                 if letters[0] and lang in place:
-                    yield pa.RecordBatch.from_pydict({"own": [place[lang]], "h": [float(h[0, place[lang]])], "n": [int(n[0])]})
+                    own, low = place[lang], h[0].copy()
+                    low[own] = np.inf
+                    best = int(low.argmin()) if len(low) > 1 else -1
+                    yield pa.RecordBatch.from_pydict({"own": [own], "h": [float(h[0, own])], "n": [int(n[0])], "other": [best], "h_other": [float(low[best])]})
 
     return run
 
@@ -251,40 +276,45 @@ def _crossed(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"lang": pa.array([key[0].as_py()] * len(found), pa.string()), "h": pa.array([x for x, _ in found], pa.float64()), "n": pa.array([k for _, k in found], pa.int64())})
 
 
-def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", sample_chars: int = SAMPLE_CHARS, max_languages: int = MAX_LANGUAGES) -> LanguageModels:
+def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", sample_chars: int = SAMPLE_CHARS, total_chars: int = TOTAL_CHARS) -> LanguageModels:
     """Fit and calibrate on rows with a language and a text with something in it.
 
-    Sizes are summed over all rows; then each language's texts are drawn with the share that sample_chars is of its
-    distinct characters. Each language is fitted in a task of its own, on its bounded sample, and the held-back texts are
-    scored where they are: what comes to the driver is models and numbers. Without labelled rows there are no languages.
+    Sizes are summed over all rows; then each language's texts are drawn with the share that its part of the sample is of
+    its distinct characters. Each language is fitted in a task of its own, on its bounded sample, and the held-back texts
+    are scored where they are: what comes to the driver is models and numbers. Without labelled rows there are no
+    languages.
     """
     spark = labelled.sparkSession
     prepare(spark)
     rows = labelled.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).where("lang is not null and length(text) > 0")
+    languages = rows.agg(F.count_distinct("lang")).first()[0]
+    if not languages:
+        return LanguageModels([], [], np.zeros(0, np.uint64), np.zeros((0, 0), np.float32), np.zeros(0), np.zeros((0, 3)))
+    sample_chars = min(sample_chars, max(1, total_chars // languages))
     most = max(ORDER, sample_chars // 100)
     pieces = F.when(F.length("text") > most, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{most}}}"), F.lit(0))).otherwise(F.array("text"))
     drawn = rows.select("lang", F.explode(pieces).alias("text")).withColumn("draw", F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53)))
-    distinct = drawn.groupBy("lang", "draw").agg(F.sum(F.length("text")).alias("chars"), F.max(F.length("text")).alias("own"))
-    sizes = distinct.groupBy("lang").agg(F.sum("chars").alias("chars"), F.sum("own").alias("own"), F.min("draw").alias("least")).orderBy(F.desc("chars"), "lang").limit(max_languages).collect()
-    if not sizes:
-        return LanguageModels([], [], np.zeros(0, np.uint64), np.zeros((0, 0), np.float32), np.zeros(0), np.zeros((0, 3)))
-    share = F.create_map(*(x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sample_chars / r["own"])))))[F.col("lang")]
-    least = F.create_map(*(x for r in sizes for x in (F.lit(r["lang"]), F.lit(r["least"]))))[F.col("lang")]
-    fold = F.when(F.col("draw") == least, 1).otherwise(F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(5)))
-    sample = drawn.where((F.col("draw") < share) | (F.col("draw") == least)).dropDuplicates(["lang", "text"]).withColumn("fifth", fold)
-    fitted = {r["lang"]: r["model"] for r in sample.where("fifth > 0").select("lang", "text").groupBy("lang").applyInArrow(_fit_group, "lang string, model binary").collect()}
+    distinct = drawn.groupBy("lang", "draw").agg(F.max(F.length("text")).alias("own"))
+    share = (F.lit(float(sample_chars)) / F.sum("own")).alias("share")
+    sizes = distinct.groupBy(F.col("lang").alias("_lang")).agg(share, F.min("draw").alias("least"))  # a row a language
+    fold = F.when(F.col("draw") == F.col("least"), 1).otherwise(F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(5)))
+    chosen = drawn.join(sizes, F.col("lang") == F.col("_lang")).where((F.col("draw") < F.col("share")) | (F.col("draw") == F.col("least")))
+    sample = Workspace(spark, "language-id").table(chosen.withColumn("fifth", fold).select("lang", "text", "fifth").dropDuplicates(["lang", "text"]), "sample")
+    fitted = {r["lang"]: r["model"] for r in sample.where("fifth > 0").select("lang", "text").groupBy("lang").applyInArrow(_fit_group, "lang string, model binary").toLocalIterator()}
     languages = sorted(fitted)
     out = LanguageModels(languages, [dict(np.load(io.BytesIO(fitted.pop(k)))) for k in languages])
     out.prepare()
     sent = spark.sparkContext.broadcast(out)
-    held = sample.where("fifth = 0").select("lang", "text").mapInArrow(_held_back(sent), "own long, h double, n long").toPandas()
-    own, h, n = held["own"].to_numpy(), held["h"].to_numpy(float), held["n"].to_numpy(float)
+    held = sample.where("fifth = 0").select("lang", "text").mapInArrow(_held_back(sent), "own long, h double, n long, other long, h_other double").toPandas()
+    sent.unpersist()
+    own, h, n, other, h_other = (held[c].to_numpy(t) for c, t in (("own", int), ("h", float), ("n", float), ("other", int), ("h_other", float)))
     without = [k for i, k in enumerate(languages) if i not in set(own.tolist())]
     if without:
         halves = sample.where(F.col("lang").isin(without)).select("lang", "text").groupBy("lang").applyInArrow(_crossed, "lang string, h double, n long").toPandas()
-        own = np.concatenate([own, [languages.index(k) for k in halves["lang"]]])
+        own = np.concatenate([own, [languages.index(k) for k in halves["lang"]]]).astype(int)
         h, n = np.concatenate([h, halves["h"].to_numpy(float)]), np.concatenate([n, halves["n"].to_numpy(float)])
-    out.calibrate(own, h, n)
+        other, h_other = np.concatenate([other, np.full(len(halves), -1)]), np.concatenate([h_other, np.full(len(halves), np.inf)])
+    out.calibrate(own, h, n, other, h_other)
     return out
 
 

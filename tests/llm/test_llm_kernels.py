@@ -1,5 +1,8 @@
+import math
 import random
 import re
+import unicodedata
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -195,6 +198,76 @@ def test_suffix_arrays_find_what_brute_force_finds(seed):
     assert got == brute_hits(texts, items)
 
 
+def brute_kneser_ney(texts, asked, order=5, uniform=1 / 4096):
+    """Log-probabilities of characters by interpolated Kneser-Ney with dictionaries, from its definition."""
+    def normal(t):
+        # A character that is no letter stays, as a space, only behind a letter.
+        out, before = [], ""
+        for c in t.lower():
+            letter = unicodedata.category(c)[0] == "L"
+            if letter or before == "L":
+                out.append(c if letter else " ")
+            before = "L" if letter else " "
+        return " " * (order - 1) + "".join(out) + " "
+
+    counts = [None] * (order + 1)
+    counts[order] = Counter(t[i - order : i] for t in map(normal, texts) for i in range(order, len(t) + 1))
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    discount, total, kinds = {}, {}, {}
+    for n in range(1, order + 1):
+        once, twice = sum(c == 1 for c in counts[n].values()), sum(c == 2 for c in counts[n].values())
+        discount[n] = once / (once + 2 * twice) if once else 0.5
+        total[n], kinds[n] = Counter(), Counter()
+        for g, c in counts[n].items():
+            total[n][g[:-1]] += c
+            kinds[n][g[:-1]] += 1
+
+    def p(g):
+        n = len(g)
+        lower = p(g[1:]) if n > 1 else uniform
+        context = g[:-1]
+        if context not in total[n]:
+            return lower
+        return max(counts[n][g] - discount[n], 0) / total[n][context] + discount[n] * kinds[n][context] / total[n][context] * lower
+
+    out = []
+    for t in map(normal, asked):
+        logs = [math.log(p(t[i - order : i])) for i in range(order, len(t) + 1)]
+        out.append(-sum(logs) / len(logs))
+    return out
+
+
+def test_entropies_are_those_of_kneser_ney():
+    rng = random.Random(6)
+    say = lambda k, n: "".join(rng.choice(k) for _ in range(n))
+    sets = {"x": "abcab de.é", "y": "xyz  wéa!"}
+    texts = {k: [say(v, rng.randint(1, 60)) + "a" for _ in range(25)] for k, v in sets.items()}
+    asked = [say("abcdexyz é1漢", rng.randint(1, 40)) + "b" for _ in range(30)] + ["a", "  a  b--c "]
+    for table in (1 << 20, 300):  # all n-grams worked out in advance, and few of them
+        models = language_id.LanguageModels(["x", "y"], [language_id.fit(texts[k]) for k in "xy"])
+        models.prepare(table)
+        assert len(models.known) <= table // 16
+        h, n, _ = models.entropies(asked, models.index())
+        want = np.array([brute_kneser_ney(texts[k], asked) for k in "xy"]).T
+        assert h == pytest.approx(want, rel=2e-6)
+
+
+def test_limits_lie_between_own_and_foreign_texts():
+    """A language that was not learned is rejected, and texts of the learned ones are kept."""
+    rng = random.Random(9)
+    parts = {k: [rng.choice("bcdfglmnprst") + rng.choice("aeiou") + rng.choice(["", "n", "r"]) for _ in range(14)] for k in "xyz"}
+    say = lambda k, n: " ".join("".join(rng.choice(parts[k]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    models = language_id.LanguageModels(["x", "y"], [language_id.fit([say(k, 60) for _ in range(60)]) for k in "xy"])
+    models.prepare()
+    own = np.repeat([0, 1], 40)
+    h, n, _ = models.entropies([say("xy"[k], 60) for k in own], models.index())
+    models.calibrate(own, h[np.arange(80), own], n, 1 - own, h[np.arange(80), 1 - own])
+    assert (models.spread[:, 2] < 100).all()
+    clean, foreign = (models.predict([say(k, 60) for k in keys for _ in range(100)], models.index())[3] for keys in ("xy", "z"))
+    assert clean.mean() == 0 and foreign.mean() > 0.9
+
+
 def test_probabilities_sum_to_one_and_languages_are_told_apart():
     rng = random.Random(5)
     make = lambda parts, n: " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(n))

@@ -5,8 +5,12 @@ key of word codes, and every test suffix of the benchmark (a window of its words
 suffixes that a search leaves are sorted and searched by their next four words, and so on to the window's end: the
 array is ordered only as deep as the searches need. Words that no benchmark item has get code 0, which matches none.
 
+Windows of one item that follow each other in a document as they do in the item are one verbatim match. So every longest
+match of at least a window is known with its places in the document and in the item, and no match is made up of several.
+
 The benchmark is sent to the executors in blocks of at most BLOCK_BYTES of text, each with its own pass over the
-documents, so that what is broadcast does not grow with the data. Documents are never shuffled in the search.
+documents, so that what is broadcast does not grow with the data. Documents are never shuffled in the search; where there
+are several blocks they are written once with their place, which tells equal rows apart, and only what was found is joined.
 """
 
 from __future__ import annotations
@@ -14,13 +18,15 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.runtime import own_columns, prepare
+from quarry.llm.runtime import Workspace, own_columns, prepare, tidy
 from quarry.llm.words import LOWER, NOT_WORD, Grid, ranges, slices, words
 
 #: Words of a test suffix that must be found together.
@@ -36,13 +42,13 @@ class TestSuffixes:
     """Windows of the benchmark items of one block, as codes of a vocabulary of their own.
 
     vocabulary: sorted hashes of the words; a word's code is its place in it plus 1. windows: by length, an array of
-    codes with a row for each distinct window. items: by length, (first, item row) of the items of each window.
+    codes with a row for each distinct window. items: by length, (first, item row, offset) of the places of each window.
     """
 
     vocabulary: np.ndarray
     item_ids: list[str]
     windows: dict[int, np.ndarray] = field(default_factory=dict)
-    items: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+    items: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     @classmethod
     def build(cls, ids: list[str], texts: pa.Array, window: int) -> TestSuffixes:
@@ -57,14 +63,15 @@ class TestSuffixes:
             if len(h):
                 n = min(window, len(h))
                 codes = np.searchsorted(out.vocabulary, h).astype(np.uint32) + 1
-                found[n] += [(codes[i : i + n].tobytes(), row) for i in range(len(h) - n + 1)]
-        for n, pairs in found.items():
-            owners = defaultdict(set)
-            for w, row in pairs:
-                owners[w].add(row)
-            keys = sorted(owners)
+                found[n] += [(codes[i : i + n].tobytes(), row, i) for i in range(len(h) - n + 1)]
+        for n, triples in found.items():
+            places = defaultdict(list)
+            for w, row, i in triples:
+                places[w].append((row, i))
+            keys = sorted(places)
             out.windows[n] = np.frombuffer(b"".join(keys), np.uint32).reshape(-1, n)
-            out.items[n] = (np.cumsum([0, *(len(owners[k]) for k in keys)]), np.array([r for k in keys for r in sorted(owners[k])]))
+            flat = np.array([x for k in keys for x in places[k]], np.int64).reshape(-1, 2)
+            out.items[n] = (np.cumsum([0, *(len(places[k]) for k in keys)]), flat[:, 0], flat[:, 1])
         return out
 
 
@@ -163,24 +170,31 @@ def _bisect(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, wanted: np.ndarr
     return lo
 
 
-def _matches(tests: TestSuffixes, lookup: _Lookup, data: np.ndarray, bounds: np.ndarray) -> tuple[Grid, np.ndarray, np.ndarray, np.ndarray]:
-    """The grid of a shard, a mark for each hit word, and (text, item row) of each item found in a text."""
+def _matches(tests: TestSuffixes, lookup: _Lookup, data: np.ndarray, bounds: np.ndarray) -> tuple[Grid, np.ndarray, np.ndarray]:
+    """The grid of a shard, a mark for each hit word, and a row (text, item row, first word, first word in the item, words) for
+    each verbatim match of a window at least, as long as it goes on, in the order of the texts."""
     grid = words(LOWER[data], bounds, NOT_WORD)
     array = SuffixArray(lookup.codes(grid.hashes()), grid, len(tests.vocabulary) >= 1 << _CODE_BITS)
     change = np.zeros(len(grid.start) + 1, np.int64)
-    owner = np.repeat(np.arange(len(bounds) - 1), grid.counts)
-    texts, items = [], []
+    found = [np.zeros((0, 5), np.int64)]
     for n, windows in tests.windows.items():
         at, row = array.search(windows)
         np.add.at(change, at, 1)
         np.add.at(change, at + n, -1)
-        first, item = tests.items[n]
-        pair = np.unique(np.stack([owner[at], row], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
-        many = first[pair[:, 1] + 1] - first[pair[:, 1]]
-        texts.append(np.repeat(pair[:, 0], many))
-        items.append(item[ranges(first[pair[:, 1]], many)] if len(pair) else np.zeros(0, np.int64))
-    hit = np.cumsum(change)[:-1] > 0
-    return grid, hit, np.concatenate([*texts, np.zeros(0, np.int64)]), np.concatenate([*items, np.zeros(0, np.int64)])
+        first, item, offset = tests.items[n]
+        many = first[row + 1] - first[row]
+        here, of = np.repeat(at, many), ranges(first[row], many)
+        item, offset = item[of], offset[of]
+        order = np.lexsort((here, here - offset, item))
+        here, item, offset = here[order], item[order], offset[order]
+        new = np.ones(len(here), bool)
+        new[1:] = (item[1:] != item[:-1]) | (here[1:] != here[:-1] + 1) | (offset[1:] != offset[:-1] + 1)
+        begin = np.flatnonzero(new)
+        length = np.diff(np.append(begin, len(here))) - 1 + n
+        text = np.searchsorted(grid.first, here[begin], "right") - 1
+        found.append(np.stack([text, item[begin], here[begin] - grid.first[text], offset[begin], length], 1))
+    found = np.concatenate(found)
+    return grid, np.cumsum(change)[:-1] > 0, found[np.lexsort((found[:, 3], found[:, 1], found[:, 2], found[:, 0]))]
 
 
 def _runs(hit: np.ndarray, grid: Grid, i: int) -> list[tuple[int, int]]:
@@ -204,82 +218,121 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> Iter
     yield ids, texts
 
 
-_FOUND = "doc_id long, n_words long, n_hit long, item_ids array<string>, hits array<struct<start:int,end:int>>, longest int"
+_RANGES, _VERBATIM = "array<struct<start:int,end:int>>", "array<struct<item_id:string,start:int,item_start:int,words:int>>"
+_FOUND = f"doc_id long, n_words long, n_hit long, item_ids array<string>, hits {_RANGES}, matches {_VERBATIM}, longest int"
+_PART = f"_place long, n_words long, hits {_RANGES}, matches {_VERBATIM}"
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, item_ids (of the items that have a window in it, ascending), hits
-    (word ranges [start, end) of verbatim matches, ascending) and longest (words of the longest of them).
+    """One row per document: doc_id, n_words, n_hit, item_ids (of the items that have a window in it, ascending), hits (word ranges
+    [start, end) that windows cover, ascending), matches (verbatim matches with single items, as long as they go on: item_id,
+    start in the document, item_start in the item, words; ascending) and longest (words of the longest of them).
 
     Words are runs of letters and digits after lower-casing A-Z (whatever isn't ASCII counts as a letter). An item of
     fewer than `window` words, but not none, must occur whole. A null text has no words; an empty benchmark or one
-    without words hits nothing; a null item id counts as ''. Repeated rows and ids are treated one by one.
+    without words hits nothing; a null item id counts as ''. Repeated rows and ids are treated one by one, with any number
+    of benchmark blocks.
     """
     prepare(docs.sparkSession)
     source = own_columns(docs, id_col, text_col)
+    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    first = next(blocks)
+    second = next(blocks, None)
+    if second is None:
+        return source.mapInArrow(tidy(_searcher(_send(docs.sparkSession, first, window))), _FOUND)
+    ws = Workspace(docs.sparkSession, "decontaminate")
+    numbered = ws.table(source.withColumn("_place", F.monotonically_increasing_id()), "documents")
+    found = _united(ws, numbered, "text", chain([first, second], blocks), window)
+    sums = F.expr("aggregate(hits, 0L, (a, x) -> a + x.end - x.start)")
+    out = numbered.select("doc_id", "_place").join(found, "_place", "left")
+    return out.select(
+        "doc_id",
+        "n_words",
+        F.coalesce(sums, F.lit(0).cast("long")).alias("n_hit"),
+        F.array_sort(F.array_distinct(F.col("matches.item_id"))).alias("item_ids"),
+        "hits",
+        "matches",
+        F.coalesce(F.array_max("matches.words"), F.lit(0)).alias("longest"),
+    )
+
+
+def _send(spark: SparkSession, block: tuple[list[str], list[str]], window: int):
+    ids, texts = block
+    return spark.sparkContext.broadcast(TestSuffixes.build(ids, pa.array(texts, pa.string()), window))
+
+
+def _united(ws: Workspace, numbered: DataFrame, text_col: str, blocks: Iterator, window: int) -> DataFrame:
+    """(_place, n_words, hits, matches) of every row of a table with places: one pass for each block, of which all but the first
+    write only rows with something found."""
     parts = []
-    for ids, texts in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        tests = TestSuffixes.build(ids, pa.array(texts, pa.string()), window)
-        sent = docs.sparkSession.sparkContext.broadcast(tests)
-        parts.append(source.mapInArrow(_searcher(sent), _FOUND))
-    if len(parts) == 1:
-        return parts[0]
-    return _united(docs, parts)
-
-
-def _united(docs: DataFrame, parts: list[DataFrame]) -> DataFrame:
-    """One row per document from those of several benchmark blocks. Rows of one doc_id are told apart by their text's rank only
-    within a block, so ids are expected to be unique when a benchmark exceeds one block."""
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    spans = rows.groupBy("doc_id").agg(
+    for k, block in enumerate(blocks):
+        sent = _send(ws.spark, block, window)
+        rows = numbered.select("_place", F.col(f"`{text_col}`").cast("string").alias("text"))
+        parts.append(ws.table(rows.mapInArrow(tidy(_part_searcher(sent, k == 0)), _PART), f"block-{k}"))
+        sent.unpersist()
+    united = reduce(DataFrame.unionByName, parts).groupBy("_place").agg(
         F.max("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
-        F.array_sort(F.flatten(F.collect_list("hits"))).alias("all_hits"),
+        F.array_sort(F.flatten(F.collect_list("hits"))).alias("all_hits"),  # a list a block
+        F.sort_array(F.flatten(F.collect_list("matches"))).alias("all_matches"),
     )
     joined = F.expr(
-        """aggregate(all_hits, cast(array() as array<struct<start:int,end:int>>), (a, x) ->
+        f"""aggregate(all_hits, cast(array() as {_RANGES}), (a, x) ->
              if(size(a) > 0 and element_at(a, -1).end >= x.start,
                 concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end)))),
                 concat(a, array(x))))"""
     )
-    spans = spans.withColumn("hits", joined)
-    return spans.select(
-        "doc_id",
-        "n_words",
-        F.expr("aggregate(hits, 0L, (a, x) -> a + x.end - x.start)").alias("n_hit"),
-        "item_ids",
-        "hits",
-        F.expr("cast(aggregate(hits, 0, (a, x) -> greatest(a, x.end - x.start)) as int)").alias("longest"),
-    )
+    order = F.expr("array_sort(all_matches, (a, b) -> if(a.start <> b.start, a.start - b.start, if(a.item_id <> b.item_id, if(a.item_id < b.item_id, -1, 1), a.item_start - b.item_start)))")
+    return united.select("_place", "n_words", joined.alias("hits"), order.alias("matches"))
+
+
+def _listed(tests: TestSuffixes, grid: Grid, hit: np.ndarray, found: np.ndarray, rows: np.ndarray) -> tuple[pa.Array, pa.Array, list[list[str]]]:
+    """(hits, matches, distinct item ids) of some texts of a shard."""
+    at = np.searchsorted(found[:, 0], rows), np.searchsorted(found[:, 0], rows, "right")
+    hits, listed, names = [], [], []
+    for i, a, b in zip(rows.tolist(), *(x.tolist() for x in at), strict=True):
+        own = sorted(({"item_id": tests.item_ids[row], "start": s, "item_start": t, "words": n} for _, row, s, t, n in found[a:b].tolist()), key=lambda m: (m["start"], m["item_id"], m["item_start"]))
+        listed.append(own)
+        names.append(sorted({m["item_id"] for m in own}))
+        hits.append([{"start": x, "end": y} for x, y in _runs(hit, grid, i)] if b > a else [])
+    ranges_ = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    verbatim = pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int32()), ("item_start", pa.int32()), ("words", pa.int32())]))
+    return pa.array(hits, ranges_), pa.array(listed, verbatim), names
+
+
+def _searched(sent, batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple]:
+    """(batch part, grid, hit marks, matches) of shards."""
+    tests = sent.value
+    lookup = _Lookup(tests.vocabulary)
+    for batch in batches:
+        for lo, hi, data, bounds in slices(batch.column(column)):
+            yield tests, batch.slice(lo, hi - lo), *_matches(tests, lookup, data, bounds)
+
+
+def _counts(grid: Grid, hit: np.ndarray) -> np.ndarray:
+    total = np.append(0, np.cumsum(hit))
+    return total[grid.first[1:]] - total[grid.first[:-1]]
 
 
 def _searcher(sent):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = sent.value
-        lookup = _Lookup(tests.vocabulary)
-        for batch in batches:
-            text = batch.column("text")
-            for lo, hi, data, bounds in slices(text):
-                grid, hit, texts, items = _matches(tests, lookup, data, bounds)
-                total = np.concatenate([[0], np.cumsum(hit)])
-                n_hit = total[grid.first[1:]] - total[grid.first[:-1]]
-                named = defaultdict(set)
-                for i, row in zip(texts.tolist(), items.tolist(), strict=True):
-                    named[i].add(tests.item_ids[row])
-                runs = [_runs(hit, grid, i) if n_hit[i] else [] for i in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(lo, hi - lo),
-                        pa.array(grid.counts, pa.int64()),
-                        pa.array(n_hit, pa.int64()),
-                        pa.array([sorted(named.get(i, ())) for i in range(hi - lo)], pa.list_(pa.string())),
-                        pa.array([[{"start": a, "end": b} for a, b in r] for r in runs], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                        pa.array([max((b - a for a, b in r), default=0) for r in runs], pa.int32()),
-                    ],
-                    ["doc_id", "n_words", "n_hit", "item_ids", "hits", "longest"],
-                )
+        for tests, part, grid, hit, found in _searched(sent, batches, "text"):
+            hits, listed, names = _listed(tests, grid, hit, found, np.arange(part.num_rows))
+            longest = np.zeros(part.num_rows, np.int32)
+            np.maximum.at(longest, found[:, 0], found[:, 4].astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(grid.counts, pa.int64()), pa.array(_counts(grid, hit), pa.int64()), pa.array(names, pa.list_(pa.string())), hits, listed, pa.array(longest)],
+                ["doc_id", "n_words", "n_hit", "item_ids", "hits", "matches", "longest"],
+            )
+
+    return search
+
+
+def _part_searcher(sent, every: bool):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tests, part, grid, hit, found in _searched(sent, batches, "text"):
+            rows = np.arange(part.num_rows) if every else np.unique(found[:, 0])
+            hits, listed, _ = _listed(tests, grid, hit, found, rows)
+            yield pa.RecordBatch.from_arrays([part.column("_place").take(pa.array(rows)), pa.array(grid.counts[rows], pa.int64()), hits, listed], ["_place", "n_words", "hits", "matches"])
 
     return search
 
@@ -291,31 +344,26 @@ def contaminated(n_hit, n_words, share: int = 20):
 
 def _keeper(sent, text_col: str):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = sent.value
-        lookup = _Lookup(tests.vocabulary)
-        for batch in batches:
-            for lo, hi, data, bounds in slices(batch.column(text_col)):
-                grid, hit, _, _ = _matches(tests, lookup, data, bounds)
-                total = np.concatenate([[0], np.cumsum(hit)])
-                bad = contaminated(total[grid.first[1:]] - total[grid.first[:-1]], grid.counts)
-                yield batch.slice(lo, hi - lo).filter(pa.array(~bad))
+        for _, part, grid, hit, _ in _searched(sent, batches, text_col):
+            yield part.filter(pa.array(~contaminated(_counts(grid, hit), grid.counts)))
 
     return keep
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents, all their columns unchanged, that aren't contaminated.
-
-    With a benchmark of one block they are judged row by row. Hits of several blocks are added up by document first and
-    then joined, which expects unique ids; a null id stays.
-    """
+    """The documents, all their columns unchanged, that aren't contaminated. They are judged row by row, whatever their ids."""
     spark = docs.sparkSession
     prepare(spark)
     blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
-    ids, texts = next(blocks)
-    if next(blocks, None) is None:
-        sent = spark.sparkContext.broadcast(TestSuffixes.build(ids, pa.array(texts, pa.string()), window))
-        return docs.mapInArrow(_keeper(sent, text_col), docs.schema)
-    found = matches(docs, benchmark, window=window, id_col=id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col, block_bytes=block_bytes)
-    bad = found.where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, F.col(f"`{id_col}`") == F.col("_bad"), "left_anti")
+    first = next(blocks)
+    second = next(blocks, None)
+    if second is None:
+        return docs.mapInArrow(tidy(_keeper(_send(spark, first, window), text_col)), docs.schema)
+    if "_place" in docs.columns:
+        raise ValueError("a column is named _place")
+    ws = Workspace(spark, "decontaminate")
+    numbered = ws.table(docs.withColumn("_place", F.monotonically_increasing_id()), "documents")
+    found = _united(ws, numbered, text_col, chain([first, second], blocks), window)
+    hit = F.expr("aggregate(hits, 0L, (a, x) -> a + x.end - x.start)")
+    bad = found.where(contaminated(hit, F.col("n_words"))).select("_place")
+    return numbered.join(bad, "_place", "left_anti").select(*docs.columns)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.runtime import Workspace, prepare
+from quarry.llm.runtime import Workspace, prepare, tidy
 
 SHARD_ROWS = 8192
 #: Centres at most, and rows a centre that they are fitted on: at most MOST_CELLS * SAMPLE_PER_CELL rows are sampled.
@@ -374,7 +374,7 @@ def build_index(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str =
         drawn = rows.where((F.col("dim") == r["dim"]) & (F.col("copy") == 1)).select("vector").orderBy(F.xxhash64("vector")).limit(cells * SAMPLE_PER_CELL)
         centres[r["dim"]] = fit_centres(np.array([x["vector"] for x in drawn.toLocalIterator()]), cells)
     sent = spark.sparkContext.broadcast(centres)
-    placed = ws.table(rows.drop("copy").mapInArrow(_assigner(sent), "vec_id long, vector array<double>, dim int, cell int, far double"), "placed")
+    placed = ws.table(rows.drop("copy").mapInArrow(tidy(_assigner(sent)), "vec_id long, vector array<double>, dim int, cell int, far double"), "placed")
     found = placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"), F.max("far").alias("radius"))
     cells = ws.table(found, "cells")
     dealt = placed.join(cells.select("dim", "cell", "shards"), ["dim", "cell"]).select("dim", "cell", F.pmod(F.xxhash64("vector"), F.col("shards")).cast("int").alias("shard"), "vec_id", "vector")
@@ -460,7 +460,7 @@ def _ask(index: Index, pairs: DataFrame, k: int, beam: int, block: int) -> DataF
     each = index.cells.join(blocks, key).select(*key, "blocks", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
     asked = pairs.join(each, key).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     grouped = asked.groupBy(*key, "shard", "block").agg(F.collect_list(F.struct("rep", "vector")).alias("asked"))
-    return grouped.join(index.shards, [*key, "shard"]).mapInArrow(_searcher(k, beam), "rep long, vec_id long, score double")
+    return grouped.join(index.shards, [*key, "shard"]).mapInArrow(tidy(_searcher(k, beam)), "rep long, vec_id long, score double")
 
 
 def search(index: Index, queries: DataFrame, *, k: int = MOST_NEIGHBOURS, beam: int = BEAM, id_col: str = "vec_id", vector_col: str = "embedding", block: int = QUERY_BLOCK, workspace: Workspace | None = None) -> DataFrame:
@@ -477,7 +477,7 @@ def search(index: Index, queries: DataFrame, *, k: int = MOST_NEIGHBOURS, beam:
     own = ws.table(usable(queries, id_col, vector_col).groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumnRenamed("vec_id", "query_id"), "queries")
     reps = own.groupBy("vector").agg(F.min("query_id").alias("rep")).withColumn("dim", F.size("vector"))
     sent = spark.sparkContext.broadcast(index.centres)
-    placed = ws.table(reps.select("rep", "vector", "dim").mapInArrow(_assigner(sent), "rep long, vector array<double>, dim int, cell int, far double").drop("far"), "placed")
+    placed = ws.table(reps.select("rep", "vector", "dim").mapInArrow(tidy(_assigner(sent)), "rep long, vector array<double>, dim int, cell int, far double").drop("far"), "placed")
     found = ws.table(_ask(index, placed, k, beam, block), "near")
     if index.centres:
         radius = {dim: np.full(len(c), -1.0) for dim, c in index.centres.items()}

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.runtime import Workspace, own_columns, prepare
+from quarry.llm.runtime import Workspace, own_columns, prepare, tidy
 from quarry.llm.words import mix
 
 ORDER = 5
@@ -305,7 +305,7 @@ def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
     out = LanguageModels(languages, [dict(np.load(io.BytesIO(fitted.pop(k)))) for k in languages])
     out.prepare()
     sent = spark.sparkContext.broadcast(out)
-    held = sample.where("fifth = 0").select("lang", "text").mapInArrow(_held_back(sent), "own long, h double, n long, other long, h_other double").toPandas()
+    held = sample.where("fifth = 0").select("lang", "text").mapInArrow(tidy(_held_back(sent)), "own long, h double, n long, other long, h_other double").toPandas()
     sent.unpersist()
     own, h, n, other, h_other = (held[c].to_numpy(t) for c, t in (("own", int), ("h", float), ("n", float), ("other", int), ("h_other", float)))
     without = [k for i, k in enumerate(languages) if i not in set(own.tolist())]
@@ -364,11 +364,11 @@ def classify(docs: DataFrame, models: LanguageModels, *, id_col: str = "doc_id",
     """
     prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(models)
-    return own_columns(docs, id_col, text_col).mapInArrow(_classifier(sent), "doc_id long, lang_pred string, score double, nats_per_char double, rejected boolean")
+    return own_columns(docs, id_col, text_col).mapInArrow(tidy(_classifier(sent)), "doc_id long, lang_pred string, score double, nats_per_char double, rejected boolean")
 
 
 def keep_known(docs: DataFrame, models: LanguageModels, *, text_col: str = "text") -> DataFrame:
     """The documents, all their columns unchanged, that are not rejected: judged row by row, without a join."""
     prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(models)
-    return docs.mapInArrow(_keeper(sent, text_col), docs.schema)
+    return docs.mapInArrow(tidy(_keeper(sent, text_col)), docs.schema)

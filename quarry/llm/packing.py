@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.runtime import Workspace, number_rows, own_columns, prepare
+from quarry.llm.runtime import Workspace, number_rows, own_columns, prepare, tidy
 from quarry.llm.tokenizing import encode_with_end
 
 LENGTH = 1024
@@ -58,7 +58,7 @@ def pieces(docs: DataFrame, *, vocabulary: str, end_id: int = 0, length: int = L
     if length & (length - 1) or length < 1:
         raise ValueError("length must be a power of two")
     prepare(docs.sparkSession)
-    return own_columns(docs, id_col, text_col).mapInArrow(_piece_batches(vocabulary, end_id, length), "doc_id long, start long, length long, doc_tokens long, ids binary")
+    return own_columns(docs, id_col, text_col).mapInArrow(tidy(_piece_batches(vocabulary, end_id, length)), "doc_id long, start long, length long, doc_tokens long, ids binary")
 
 
 def number_sequences(cut: DataFrame, parts: int = PARTS) -> DataFrame:

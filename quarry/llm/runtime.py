@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import os
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.llm import words
+
 #: Rows and bytes that one Arrow batch may hold; they bound the memory of a Python worker, whatever the texts' lengths.
 BATCH_ROWS = 1024
 BATCH_BYTES = 2 << 20
@@ -29,6 +34,26 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (here, known) if x)
 
 
+def release_memory() -> None:
+    """Give what a task has freed back to the system: Python workers are kept for other stages, beside those of their executor."""
+    words.forget()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A function over Arrow batches that releases memory when its partition is done."""
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return whole
+
+
 @contextlib.contextmanager
 def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     """A session setting for the time of a block."""
@@ -41,9 +66,12 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets a temporary one
+    (tests), and a cluster is an error: its executors would each write to a disk of their own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = Path(tempfile.mkdtemp(prefix="shared-")).as_uri()
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.components import components
-from quarry.llm.runtime import Workspace, own_columns, prepare
+from quarry.llm.runtime import Workspace, own_columns, prepare, tidy
 
 SHINGLE = 3
 RADIUS = 2
@@ -72,7 +72,7 @@ def _fingerprint_batches(size: int):
 def fingerprints(docs: DataFrame, *, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, bits): the fingerprint of each row as a signed long. A null text and one without words have 0."""
     prepare(docs.sparkSession)
-    return own_columns(docs, id_col, text_col).mapInArrow(_fingerprint_batches(size), "doc_id long, bits long")
+    return own_columns(docs, id_col, text_col).mapInArrow(tidy(_fingerprint_batches(size)), "doc_id long, bits long")
 
 
 def ball_masks(radius: int) -> list[int]:

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.runtime import Workspace, own_columns, prepare
+from quarry.llm.runtime import Workspace, own_columns, prepare, tidy
 from quarry.llm.words import SPACE, Grid, Rolling, mix, ranges, slices, sliding_min, within, words
 
 WINDOW = 20
@@ -136,7 +136,7 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHO
     prepare(spark)
     ws = workspace or Workspace(spark, "substring-dedup")
     source = own_columns(docs, id_col, text_col).where("doc_id is not null and text is not null")
-    found = source.mapInArrow(_path_batches(window, anchor), "m long, h long, doc_id long, start int, n int")
+    found = source.mapInArrow(tidy(_path_batches(window, anchor)), "m long, h long, doc_id long, start int, n int")
 
     minimisers = ws.table(found.groupBy("m").agg(F.count("*").alias("rows")).where("rows > 1").select("m"), "minimisers")
     occurrences = ws.table(found.join(minimisers, "m"), "occurrences")
@@ -149,7 +149,7 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHO
 
     whole = judged.where("again").select("doc_id", "start", "n")
     sources = judged.where("not again").join(branching, "m").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).cast(_SPANS).alias("spans"))
-    edges = ws.table(source.join(sources, "doc_id").mapInArrow(_edge_batches(window, anchor), "m long, h long, doc_id long, start int"), "edges")
+    edges = ws.table(source.join(sources, "doc_id").mapInArrow(tidy(_edge_batches(window, anchor)), "m long, h long, doc_id long, start int"), "edges")
     ws.drop("branching")
     # Two aggregates of the key's documents, not one count: equal edges of one document are one row already.
     shared = ws.table(edges.groupBy("m", "h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("m", "h", "first"), "shared-edges")
@@ -213,7 +213,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHO
     if carry is not None:
         source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in carry)).alias("rest"))
     rest = "" if carry is None else f"rest {source.schema['rest'].dataType.simpleString()}, "
-    return source.join(spans, "doc_id", "left").mapInArrow(_remove_batches(window, whole), f"doc_id long, {rest}n_words long, n_removed long, kept string")
+    return source.join(spans, "doc_id", "left").mapInArrow(tidy(_remove_batches(window, whole)), f"doc_id long, {rest}n_words long, n_removed long, kept string")
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

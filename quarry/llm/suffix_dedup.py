@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.runtime import own_columns, prepare
+from quarry.llm.runtime import own_columns, prepare, tidy
 from quarry.llm.words import SPACE, Grid, Rolling, mix, ranges, slices, sliding_min, within, words
 
 PASSAGE = 50
@@ -185,9 +185,9 @@ def repeated_passages(docs: DataFrame, *, passage: int = PASSAGE, anchor: int =
     spark = docs.sparkSession
     prepare(spark)
     source = own_columns(docs, id_col, text_col).where("doc_id is not null and text is not null")
-    windows = source.mapInArrow(_window_batches(passage, anchor), _ROWS)
+    windows = source.mapInArrow(tidy(_window_batches(passage, anchor)), _ROWS)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = windows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_repeated(passage), _MATCH)
+    rows = windows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(tidy(_repeated(passage)), _MATCH)
     joined = F.expr(
         """aggregate(ranges, cast(array() as array<struct<start:int,end:int>>), (a, x) ->
              if(size(a) > 0 and element_at(a, -1).end >= x.start,

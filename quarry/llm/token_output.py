@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.elias_fano import EliasFano
-from quarry.llm.runtime import own_columns, prepare, shared_folder
+from quarry.llm.runtime import own_columns, prepare, shared_folder, tidy
 from quarry.llm.tokenizing import encode_with_end
 
 MAGIC = b"TOKENS02"
@@ -117,7 +117,7 @@ def write_tokens(docs: DataFrame, folder: str, *, vocabulary: str, end_id: int =
     order = [F.asc_nulls_last("doc_id"), F.xxhash64("text"), "place"]
     placed = rows.withColumn("place", F.monotonically_increasing_id())
     dealt = placed.repartitionByRange(int(shards), *order).sortWithinPartitions(*order).select("doc_id", "text")
-    written = dealt.mapInArrow(_writer(folder, vocabulary, end_id, id_width), "part int, path string, n_docs long, n_ids long")
+    written = dealt.mapInArrow(tidy(_writer(folder, vocabulary, end_id, id_width)), "part int, path string, n_docs long, n_ids long")
     manifest = f"{folder}/manifest"
     written.write.mode("overwrite").parquet(manifest)
     listed = spark.read.schema(written.schema).parquet(manifest)
@@ -151,7 +151,7 @@ def read_index(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the shard files."""
     prepare(manifest.sparkSession)
     few = manifest.select("path", "start")
-    return few.repartition(max(1, min(few.count(), 4096)), "path").mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return few.repartition(max(1, min(few.count(), 4096)), "path").mapInArrow(tidy(_reader), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def new_folder(spark: SparkSession) -> str:

@@ -51,6 +51,15 @@ class _Powers:
 
 
 _BYTES, _WORDS = _Powers(_BASE_BYTE), _Powers(_BASE_WORD)
+#: Powers that are kept from one task to the next.
+_KEPT_POWERS = 1 << 21
+
+
+def forget() -> None:
+    """Drop the powers that a very long text needed."""
+    for powers in (_BYTES, _WORDS):
+        if len(powers.up) > _KEPT_POWERS:
+            powers.up, powers.down = powers.up[:1].copy(), powers.down[:1].copy()
 
 
 def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:

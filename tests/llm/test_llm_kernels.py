@@ -183,6 +183,27 @@ def brute_hits(texts, items):
     return out
 
 
+def brute_matches(texts, items):
+    """(item, start, item_start, words) of matches that can't be drawn out to either side, by comparing word by word."""
+    pattern, low = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+    cut = lambda t: pattern.findall((t or "").translate(low))
+    out = []
+    for t in texts:
+        w, own = cut(t), []
+        for k, v in enumerate(map(cut, items)):
+            for s in range(len(w)):
+                for i in range(len(v)):
+                    if s and i and w[s - 1] == v[i - 1]:
+                        continue
+                    n = 0
+                    while s + n < len(w) and i + n < len(v) and w[s + n] == v[i + n]:
+                        n += 1
+                    if v and n >= min(13, len(v)):
+                        own.append((k, s, i, n))
+        out.append(sorted(own))
+    return out
+
+
 @settings(deadline=None, max_examples=150)
 @given(st.integers(0, 10**6))
 def test_suffix_arrays_find_what_brute_force_finds(seed):
@@ -191,11 +212,13 @@ def test_suffix_arrays_find_what_brute_force_finds(seed):
     items = [say(rng.choice([0, 1, 2, 4, 5, 8, 12, 13, 14, 20]), rng.choice([1, 2, 5])) for _ in range(4)] + [None]
     texts = [say(rng.randint(0, 40), 5) + " " + (rng.choice(items) or "") + " " + say(3, 5) for _ in range(4)] + [None, ""]
     tests = Suffixes.build([str(i) for i in range(len(items))], pa.array(items, pa.string()), 13)
-    lookup, got = _Lookup(tests.vocabulary), []
+    lookup, got, verbatim = _Lookup(tests.vocabulary), [], []
     for lo, hi, data, bounds in words.slices(pa.array(texts, pa.string()), rng.choice([1, 100, 10**6])):
-        grid, hit, at, rows = _matches(tests, lookup, data, bounds)
-        got += [(hit[grid.first[i] : grid.first[i + 1]].tolist(), set(rows[at == i].tolist())) for i in range(hi - lo)]
+        grid, hit, found = _matches(tests, lookup, data, bounds)
+        got += [(hit[grid.first[i] : grid.first[i + 1]].tolist(), set(found[found[:, 0] == i, 1].tolist())) for i in range(hi - lo)]
+        verbatim += [sorted(map(tuple, found[found[:, 0] == i, 1:].tolist())) for i in range(hi - lo)]
     assert got == brute_hits(texts, items)
+    assert verbatim == brute_matches(texts, items)
 
 
 def brute_kneser_ney(texts, asked, order=5, uniform=1 / 4096):

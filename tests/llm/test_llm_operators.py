@@ -213,16 +213,34 @@ def test_packing(docs, spark):
         packing.pieces(docs, vocabulary=byte_bpe_path(), length=100)
 
 
-def test_decontamination(docs, spark):
+def test_decontamination(docs, odd, spark):
     shared = corpus()[14][1]
     items = spark.createDataFrame([(1, shared), (2, "nothing of this kind"), (3, None), (3, ""), (None, "be")], "item_id long, text string")
-    one = {r.doc_id: (r.n_words, r.n_hit, tuple(r.item_ids), [tuple(h) for h in r.hits], r.longest) for r in decontaminate.matches(docs, items).collect()}
-    many = {r.doc_id: (r.n_words, r.n_hit, tuple(r.item_ids), [tuple(h) for h in r.hits], r.longest) for r in decontaminate.matches(docs, items, block_bytes=1).collect()}
-    assert one == many
-    assert one[14] == (60, 60, ("1",), [(0, 60)], 60) and one[6] == (70, 70, ("",), [(0, 70)], 70) and one[7] == (0, 0, (), [], 0)
-    left = {r.doc_id for r in decontaminate.decontaminate(docs, items).collect()}
-    assert left == {r.doc_id for r in decontaminate.decontaminate(docs, items, block_bytes=1).collect()} == {i for i, x in one.items() if not (x[1] and 20 * x[1] >= x[0])}
+    columns = ["doc_id", "n_words", "n_hit", "item_ids", "hits", "matches", "longest"]
+    key = lambda r: (str(r), len(str(r)))
+    for table in (docs, odd, docs.unionByName(odd)):
+        one = sorted((tuple(r) for r in decontaminate.matches(table, items).select(*columns).collect()), key=key)
+        many = sorted((tuple(r) for r in decontaminate.matches(table, items, block_bytes=1).select(*columns).collect()), key=key)
+        assert one == many and len(one) == table.count()
+        left = [sorted(map(key, decontaminate.decontaminate(table, items, block_bytes=size).collect())) for size in (decontaminate.BLOCK_BYTES, 1)]
+        assert left[0] == left[1] and len(left[0]) == sum(not (r[2] and 20 * r[2] >= r[1]) for r in one)
+    got = {r.doc_id: r for r in decontaminate.matches(docs, items).collect()}
+    assert (got[14].n_words, got[14].n_hit, got[14].item_ids, got[14].longest) == (60, 60, ["1"], 60)
+    assert [tuple(m) for m in got[14].matches] == [("1", 0, 0, 60)] and [tuple(h) for h in got[6].hits] == [(0, 70)] and len(got[6].matches) == 70
+    assert (got[7].n_words, got[7].n_hit, got[7].item_ids, got[7].matches, got[7].longest) == (0, 0, [], [], 0)
     assert decontaminate.matches(docs, items.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
+    assert decontaminate.matches(docs.limit(0), items).count() == 0 == decontaminate.decontaminate(docs.limit(0), items, block_bytes=1).count()
+
+
+def test_longest_matches_are_of_one_item(spark):
+    """Two items that overlap in a text: the hits are united, the matches are not."""
+    say = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    docs = spark.createDataFrame([(1, "x " + say(0, 30) + " y")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, say(0, 15)), (2, "a b " + say(10, 30))], "item_id long, text string")
+    for size in (decontaminate.BLOCK_BYTES, 1):
+        r = decontaminate.matches(docs, items, block_bytes=size).first()
+        assert [tuple(h) for h in r.hits] == [(1, 31)] and r.longest == 20
+        assert [tuple(m) for m in r.matches] == [("1", 1, 0, 15), ("2", 11, 2, 20)]
 
 
 def check_shards(rows, got, shards=8):

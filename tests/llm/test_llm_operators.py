@@ -60,6 +60,50 @@ def test_substring_dedup(docs):
     assert 1 not in kept and kept[7] is None and kept[9] == " \n" and kept[0] == corpus()[0][1]
 
 
+def brute_repeats(rows, size=20):
+    """Words that are left, by sets of windows: those of smaller ids, and earlier ones of the document."""
+    seen, out = set(), []
+    for i, t in sorted(rows):
+        w = cut(t)
+        gone = [False] * len(w)
+        for s in range(len(w) - size + 1):
+            if tuple(w[s : s + size]) in seen:
+                gone[s : s + size] = [True] * size
+            seen.add(tuple(w[s : s + size]))
+        out.append((i, " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_substring_dedup_of_a_branching_graph(spark, seed):
+    """Documents that are put together from a few passages and cut anywhere, with loops and copies: few minimisers, many branches."""
+    rng = random.Random(seed)
+    vocabulary = [f"v{i}" for i in range(12)]
+    passages = [[rng.choice(vocabulary) for _ in range(rng.randint(8, 90))] for _ in range(10)]
+    rows = []
+    for i in range(60):
+        w = [x for _ in range(rng.randint(1, 4)) for x in rng.choice(passages)]
+        a = rng.randrange(max(1, len(w) // 2))
+        rows.append((i, " ".join(w[a:])))
+    rows += [(100 + i, rows[0][1]) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.kept) for r in substring_dedup.remove_repeats(df).collect()) == brute_repeats(rows)
+
+
+def test_compaction_stops_at_branches(spark):
+    """Four pieces in a row at one source; the third begins at a node that another piece leads to, too, and the last is rarer."""
+    rows = [(1, 1, 0, 0, 5, 3, 100, 101), (2, 2, 0, 5, 4, 3, 101, 102), (3, 3, 0, 9, 6, 3, 102, 103), (4, 4, 0, 15, 2, 2, 103, 104), (5, 5, 7, 30, 3, 2, 200, 102), (6, 6, 9, 1, 3, 1, 101, 300)]
+    pieces = spark.createDataFrame(rows, "m long, h long, source long, source_start int, n int, times long, enters long, leaves long")
+    assert {r.m: r["head"] for r in substring_dedup.compacted(pieces).collect()} == {1: 0, 2: 0, 3: 9, 4: 15, 5: 30, 6: None}
+
+
+def test_spans_are_verified_by_their_words():
+    """Digests are those of the words, wherever they stand."""
+    grid = words.words(np.frombuffer(b"a b c d a b x d", np.uint8), np.array([0, 15]), words.SPACE)
+    one, two, three = substring_dedup._digests(grid, np.array([0, 4, 4]), np.array([2, 6, 7])).to_pylist()
+    assert one == two != three and len(one) == 16
+
+
 def test_substring_dedup_of_odd_rows(odd):
     rows = substring_dedup.remove_repeats(odd).collect()
     assert len(rows) == odd.count()

@@ -16,6 +16,16 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(r, 0) AS n_removed,
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
 
+_OP3 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
+win AS (SELECT doc_id, s, array_to_string(w[s + 1:s + 50], ' ') AS t FROM (SELECT *, unnest(range(len(w) - 49)) AS s FROM d WHERE len(w) >= 50)),
+again AS (SELECT doc_id, s FROM win QUALIFY count(*) OVER (PARTITION BY t) > 1),
+edge AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50 THEN 0 ELSE 1 END AS new FROM again),
+run AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM edge),
+span AS (SELECT doc_id, min(s) AS a, max(s) + 50 AS e FROM run GROUP BY doc_id, k)
+SELECT doc_id, count(*) AS n_spans, CAST(sum(e - a) AS BIGINT) AS n_repeated, string_agg(a || '-' || e, ' ' ORDER BY a) AS spans FROM span GROUP BY doc_id
+"""
+
 _OP5 = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM documents),
 i AS (SELECT item_id, w, least(13, len(w)) AS n FROM (SELECT item_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM benchmark) WHERE len(w) > 0),
@@ -40,4 +50,4 @@ regexp_full_match(string_agg(role, ',' ORDER BY turn, role, text), '(system,)?us
 FROM t GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": _OP1, "op5_decontamination": _OP5, "op8_chat_formatting": _OP8}
+ORACLES: dict[str, str] = {"op1_substring_dedup": _OP1, "op3_suffix_array_dedup": _OP3, "op5_decontamination": _OP5, "op8_chat_formatting": _OP8}

@@ -39,7 +39,6 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.expr("aggregate(spans, 0L, (a, x) -> a + x.end - x.start)").alias("n_repeated"),
         F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), " ").alias("spans"),
-        "others",
     )
 
 

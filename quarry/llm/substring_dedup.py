@@ -303,6 +303,10 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHO
     is kept as it is, white space and all.
     """
     spans = repeated_spans(docs, window=window, anchor=anchor, id_col=id_col, text_col=text_col)
+    return _removed(docs, spans, window, id_col, text_col, carry, whole)
+
+
+def _removed(docs: DataFrame, spans: DataFrame, window: int, id_col: str, text_col: str, carry: list[str] | None, whole: bool) -> DataFrame:
     source = own_columns(docs, id_col, text_col)
     if carry is not None:
         source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in carry)).alias("rest"))
@@ -310,8 +314,15 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHO
     return source.join(spans, "doc_id", "left").mapInArrow(tidy(_remove_batches(window, whole)), f"doc_id long, {rest}n_words long, n_removed long, kept string")
 
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents, all their columns, with the text that is left; those that had words and lose all of them go."""
+def without_spans(docs: DataFrame, spans: DataFrame, window: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all their columns, without the words that windows of their spans (doc_id, spans) cover, nor those of windows
+    that come earlier in the same text; those that had words and lose all of them go."""
     other = [c for c in docs.columns if c != text_col]
-    found = remove_repeats(docs, id_col=id_col, text_col=text_col, carry=other, whole=True, **options).where("n_removed = 0 or n_removed < n_words")
+    found = _removed(docs, spans, window, id_col, text_col, other, True).where("n_removed = 0 or n_removed < n_words")
     return found.select(*(F.col("kept").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in docs.columns))
+
+
+def deduplicate(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all their columns, with the text that is left; those that had words and lose all of them go."""
+    spans = repeated_spans(docs, window=window, anchor=anchor, id_col=id_col, text_col=text_col)
+    return without_spans(docs, spans, window, id_col=id_col, text_col=text_col)

@@ -17,7 +17,6 @@ from quarry.llm.decontaminate import TestSuffixes as Suffixes
 from quarry.llm.decontaminate import _Lookup, _matches
 from quarry.llm.elias_fano import EliasFano
 from quarry.llm.packing import binary_pieces
-from quarry.llm.suffix_dedup import _common, anchors
 
 TEXTS = st.lists(st.one_of(st.none(), st.text("ab \t\né漢\x00\x1c ", max_size=30)), max_size=6)
 
@@ -51,22 +50,6 @@ def test_sliding_minima(values, width):
     assert got == [min(values[i : i + width]) for i in range(len(values) - width + 1)]
 
 
-def test_anchors_of_every_window():
-    rng = random.Random(2)
-    text = " ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(400))
-    _, _, grid = next(grids([text, "short", text]))
-    at, _ = anchors(grid, 50, 8)
-    own = [set((at[(at >= grid.first[i]) & (at < grid.first[i + 1])] - grid.first[i]).tolist()) for i in range(3)]
-    assert own[0] == own[2] and not own[1]
-    assert all(own[0] & set(range(s, s + 43)) for s in range(351))
-
-
-@given(st.lists(st.sampled_from([b"a", b"ab", b"b"]), max_size=6), st.lists(st.sampled_from([b"a", b"ab", b"b"]), max_size=6))
-def test_common_words(a, b):
-    want = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-    assert _common(b" ".join(a), b" ".join(b)) == want
-
-
 @settings(deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**64 - 1)), max_size=300), st.data())
 def test_elias_fano(values, data):

@@ -111,7 +111,8 @@ def test_substring_dedup_of_odd_rows(odd):
     assert [r.n_removed for r in rows if r.doc_id is None] == [0, 0]
 
 
-def test_suffix_dedup(docs):
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])
+def test_suffix_dedup(docs, hot):
     counts = {}
     for i, t in corpus():
         w = cut(t)
@@ -122,9 +123,44 @@ def test_suffix_dedup(docs):
         for i, s in places if len(places) > 1 else []:
             want.setdefault(i, set()).update(range(s, s + 50))
             with_whom.setdefault(i, set()).update(j for j, _ in places)
-    got = {r.doc_id: r for r in suffix_dedup.repeated_passages(docs).collect()}
+    got = {r.doc_id: r for r in suffix_dedup.repeated_passages(docs, hot=hot).collect()}
     assert {i: set().union(*(range(a, b) for a, b in r.spans)) for i, r in got.items()} == want
     assert all(set(r.others) <= with_whom[i] and r.others for i, r in got.items())
+    left = {r.doc_id: " ".join(cut(r.text)) for r in suffix_dedup.deduplicate(docs, hot=hot).select("doc_id", "text").collect()}
+    want = dict(brute_repeats(corpus(), 50))
+    words_ = {i: len(cut(t)) for i, t in corpus()}
+    assert left == {i: t for i, t in want.items() if t or not words_[i]}
+
+
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 2])
+def test_suffix_dedup_of_hot_passages(spark, hot):
+    """A passage that most documents share, with other words around it, and copies: no place is lost whichever way keys go."""
+    rng = random.Random(7)
+    say = lambda n: [f"w{rng.randrange(40)}" for _ in range(n)]
+    common, copy = say(70), say(130)
+    rows = [(i, " ".join(say(rng.randint(0, 30)) + common[rng.randint(0, 9) :] + say(rng.randint(0, 30)))) for i in range(60)]
+    rows += [(100 + i, " ".join(copy)) for i in range(20)] + [(200, " ".join(say(30) + common + say(5) + common))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    counts = {}
+    for i, t in rows:
+        w = cut(t)
+        for s in range(len(w) - 49):
+            counts.setdefault(tuple(w[s : s + 50]), []).append((i, s))
+    want = {}
+    for places in counts.values():
+        for i, s in places if len(places) > 1 else []:
+            want.setdefault(i, set()).update(range(s, s + 50))
+    got = {r.doc_id: set().union(*(range(a, b) for a, b in r.spans)) for r in suffix_dedup.repeated_passages(df, hot=hot).collect()}
+    assert got == want
+    left = sorted((r.doc_id, " ".join(cut(r.text))) for r in suffix_dedup.deduplicate(df, hot=hot).collect())
+    assert left == [x for x in brute_repeats(rows, 50) if x[1]]
+
+
+def test_suffix_dedup_of_odd_rows(odd):
+    """Rows with one id are one document: a copy under the same id is no repeat; null ids and texts take no part."""
+    got = {r.doc_id for r in suffix_dedup.repeated_passages(odd).collect()}
+    assert got == {0, 1, 2}  # they share passages with each other
+    assert suffix_dedup.deduplicate(odd).columns == odd.columns
 
 
 def test_suffix_dedup_with_parts_of_the_passage_in_between(spark):
@@ -134,7 +170,7 @@ def test_suffix_dedup_with_parts_of_the_passage_in_between(spark):
     shared = say(50)
     text = " ".join(shared).encode()
     grid = words.words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), words.SPACE)
-    at = int(suffix_dedup.anchors(grid, 50, 8)[0][0])
+    at = int(suffix_dedup._least_places(words.Rolling(grid.hashes()).windows(8), 43)[0])
     assert 0 < at < 42
     texts = [say(30) + shared + say(30) for _ in range(2)]
     texts += [say(30) + shared[max(0, at - 1) :] + say(30) for _ in range(200)] + [say(30) + shared[: at + 8] + say(30) for _ in range(200)]

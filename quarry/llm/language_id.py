@@ -296,7 +296,8 @@ def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
     drawn = rows.select("lang", F.explode(pieces).alias("text")).withColumn("draw", F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53)))
     distinct = drawn.groupBy("lang", "draw").agg(F.max(F.length("text")).alias("own"))
     share = (F.lit(float(sample_chars)) / F.sum("own")).alias("share")
-    sizes = distinct.groupBy(F.col("lang").alias("_lang")).agg(share, F.min("draw").alias("least"))  # a row a language
+    # A row a language: the models, which the driver holds, are as many.
+    sizes = F.broadcast(distinct.groupBy(F.col("lang").alias("_lang")).agg(share, F.min("draw").alias("least")))
     fold = F.when(F.col("draw") == F.col("least"), 1).otherwise(F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(5)))
     chosen = drawn.join(sizes, F.col("lang") == F.col("_lang")).where((F.col("draw") < F.col("share")) | (F.col("draw") == F.col("least")))
     sample = Workspace(spark, "language-id").table(chosen.withColumn("fifth", fold).select("lang", "text", "fifth").dropDuplicates(["lang", "text"]), "sample")

@@ -62,27 +62,33 @@ def pieces(docs: DataFrame, *, vocabulary: str, end_id: int = 0, length: int = L
 
 
 def number_sequences(cut: DataFrame, parts: int = PARTS) -> DataFrame:
-    """Add sequence_id, without gaps from 0 and bucket after bucket, the longest first, and offset (0) to pieces.
+    """Add sequence_id, without gaps from 0 and bucket after bucket, the longest first, and offset (0) to pieces with a `place`.
 
-    Reads its input twice: pass a table. The number comes from counts by bucket and part and a rank in each.
+    Reads its input twice: pass a table. The number comes from counts by bucket and part and a rank in each; parts follow
+    the rows' places, so that many rows of one id are in many parts.
     """
     lengths = cut.groupBy("length").agg(F.count("*").alias("_n"))  # as many rows as there are powers of two
     larger = lengths.select(F.col("length").alias("_length"), F.col("_n").alias("_larger"))
     first = lengths.join(F.broadcast(larger), F.col("_length") > F.col("length"), "left").groupBy("length").agg(F.coalesce(F.sum("_larger"), F.lit(0)).alias("_first"))
-    dealt = cut.withColumn("_part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts)).cast("int"))
-    numbered = number_rows(dealt, ["length"], "_part", ["doc_id", "start"], "_within")
-    return numbered.join(F.broadcast(first), "length").withColumn("sequence_id", F.col("_first") + F.col("_within")).withColumn("offset", F.lit(0).cast("long")).drop("_part", "_first", "_within")
+    dealt = cut.withColumn("_part", F.pmod(F.xxhash64("place"), F.lit(parts)).cast("int"))
+    numbered = number_rows(dealt, ["length"], "_part", ["doc_id", "start", "place"], "_within")
+    return numbered.join(F.broadcast(first), "length").withColumn("sequence_id", F.col("_first") + F.col("_within")).withColumn("offset", F.lit(0).cast("long")).drop("_part", "_first", "_within", "place")
 
 
 def pack(docs: DataFrame, **options) -> DataFrame:
     """The pieces with their ids and sequences, from a table in the shared folder."""
-    return number_sequences(Workspace(docs.sparkSession, "packing").table(pieces(docs, **options), "pieces"))
+    return number_sequences(_placed(pieces(docs, **options)))
+
+
+def _placed(cut: DataFrame) -> DataFrame:
+    """A table of pieces, each with a number of its own."""
+    return Workspace(cut.sparkSession, "packing").table(cut.withColumn("place", F.monotonically_increasing_id()), "pieces")
 
 
 def pack_index(docs: DataFrame, **options) -> DataFrame:
     """As `pack`, with the unsigned crc32 of the ids in place of the ids themselves."""
     cut = pieces(docs, **options).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return number_sequences(Workspace(docs.sparkSession, "packing").table(cut, "pieces"))
+    return number_sequences(_placed(cut))
 
 
 def unpack(packed: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import ClassVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -79,11 +80,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 class Workspace:
     """Tables of one operator run below the shared folder. Writing a table cuts lineage, and a lost executor costs
-    no more than the tasks since the last table."""
+    no more than the tasks since the last table. What an operator returns reads some of them, so they stay until
+    `dropped_behind` or the owner of the folder removes them."""
+
+    made: ClassVar[list[Workspace]] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        Workspace.made.append(self)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and read it back. The shuffle files behind it are removed as soon as it is written."""
@@ -99,6 +104,18 @@ class Workspace:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def dropped_behind() -> Iterator[None]:
+    """Remove the workspaces that were made in a block when it is left: whatever was worked out there has to be written by then."""
+    mark = len(Workspace.made)
+    try:
+        yield
+    finally:
+        for workspace in Workspace.made[mark:]:
+            workspace.drop()
+        del Workspace.made[mark:]
+
+
 def number_rows(df: DataFrame, group: list[str], bucket: str, order: list, out: str) -> DataFrame:
     """Number the rows of each group from 0 without gaps, and without one task per group.
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.components import components
-from quarry.llm.runtime import Workspace, own_columns, prepare, tidy
+from quarry.llm.runtime import Workspace, prepare, tidy
 
 SHINGLE = 3
 RADIUS = 2
@@ -64,15 +64,18 @@ def _fingerprint_batches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = fingerprints_of(batch.column("text").to_pylist(), size)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "bits"])
+            others = [name for name in batch.schema.names if name != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in others), pa.array(prints.view(np.int64))], [*others, "bits"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, *, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, bits): the fingerprint of each row as a signed long. A null text and one without words have 0."""
+def fingerprints(docs: DataFrame, *, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", place_col: str | None = None) -> DataFrame:
+    """(doc_id, bits): the fingerprint of each row as a signed long. A null text and one without words have 0. place_col: a long
+    column to take along, as `place`."""
     prepare(docs.sparkSession)
-    return own_columns(docs, id_col, text_col).mapInArrow(tidy(_fingerprint_batches(size)), "doc_id long, bits long")
+    columns = [F.col(f"`{id_col}`").cast("long").alias("doc_id"), *([F.col(f"`{place_col}`").alias("place")] if place_col else []), F.col(f"`{text_col}`").cast("string").alias("text")]
+    return docs.select(*columns).mapInArrow(tidy(_fingerprint_batches(size)), "doc_id long, " + ("place long, " if place_col else "") + "bits long")
 
 
 def ball_masks(radius: int) -> list[int]:
@@ -105,6 +108,14 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.withColumn("distance", F.bit_count(F.col("a").bitwiseXOR(F.col("b")))).where(F.col("distance") <= radius)
 
 
+def classes(distinct: DataFrame, radius: int, workspace: Workspace) -> DataFrame:
+    """The rows of distinct fingerprints (bits, ...) with `component`: the smallest fingerprint that each reaches over links."""
+    edges = workspace.table(links(distinct.select("bits"), radius).select("a", "b"), "links")
+    nodes = components(edges, workspace)
+    joined = distinct.join(nodes.withColumnRenamed("node", "bits"), "bits", "left").withColumn("component", F.coalesce("component", "bits"))
+    return workspace.table(joined, "classes")
+
+
 def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, bits, component_id) of every row. Rows whose fingerprints differ in at most `radius` bits are linked, and
     component_id is the smallest doc_id that a row reaches over links, its own included.
@@ -114,12 +125,7 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, radius: int = RADIU
     """
     workspace = Workspace(docs.sparkSession, "simhash")
     rows = workspace.table(fingerprints(docs, size=size, id_col=id_col, text_col=text_col), "prints")
-    distinct = rows.groupBy("bits").agg(F.min("doc_id").alias("least"))
-    edges = workspace.table(links(distinct.select("bits"), radius).select("a", "b"), "links")
-    nodes = components(edges, workspace)
-    # The component of fingerprints, by its smallest signed value, and then that of documents, by their smallest id.
-    of = distinct.join(nodes.withColumnRenamed("node", "bits"), "bits", "left").withColumn("component", F.coalesce("component", "bits"))
-    of = workspace.table(of, "classes")
+    of = classes(rows.groupBy("bits").agg(F.min("doc_id").alias("least")), radius, workspace)
     least = of.groupBy("component").agg(F.min("least").alias("component_id"))
     labels = workspace.table(of.join(least, "component").select("bits", "component_id"), "labels")
     return rows.join(labels, "bits").select("doc_id", "bits", "component_id")
@@ -130,10 +136,16 @@ def hex_digits(bits):
     return F.lpad(F.lower(F.hex(bits)), 16, "0")
 
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents, all their columns unchanged, that have the smallest id of their component. Expects unique ids; rows
-    without an id stay."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    # A table: its size is known where the join is planned.
-    gone = Workspace(docs.sparkSession, "simhash-gone").table(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "gone")
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+def deduplicate(docs: DataFrame, *, size: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, all its columns unchanged: that of the smallest id, of rows with one id the first in the table,
+    and one without an id only where none has one."""
+    place = "_place"
+    while place in docs.columns:
+        place += "_"
+    workspace = Workspace(docs.sparkSession, "simhash")
+    rows = workspace.table(docs.withColumn(place, F.monotonically_increasing_id()), "documents")
+    prints = workspace.table(fingerprints(rows, size=size, id_col=id_col, text_col=text_col, place_col=place), "prints")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "place")).alias("first")
+    of = classes(prints.groupBy("bits").agg(first), radius, workspace)
+    kept = workspace.table(of.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.place").alias(place)), "kept")
+    return rows.join(kept, place, "left_semi").select(*docs.columns)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, language_id, packing, simhash, substring_dedup
 from quarry.llm.queries import held_out
-from quarry.llm.runtime import Workspace
+from quarry.llm.runtime import Workspace, dropped_behind
 from quarry.llm.tokenizing import byte_bpe_path
 
 
@@ -54,11 +54,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. What a stage keeps is written to the shared folder and read by the next one."""
+    """All stages over documents. What a stage keeps is written to the shared folder and read by the next one; its own tables, and
+    its predecessor's result, are dropped then."""
     workspace = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for n, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if n < len(STAGES) - 1:
-            docs = workspace.table(docs, name)
-    return docs
+    *filters, (_, last) = STAGES
+    before = None
+    for name, stage in filters:
+        with dropped_behind():
+            docs = workspace.table(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            workspace.drop(before)
+        before = name
+    return last(spark, docs, sf_dir)

@@ -1,0 +1,216 @@
+"""The text layer of PDF pages as positioned words, with the standard library alone.
+
+Read are objects (also those in object streams), the page tree, content streams without a filter or with Flate, and the text
+operators. Codes become characters by a font's ToUnicode map, else as Windows Latin. A character counts as half its font
+size wide, which is enough to tell words and columns apart. Encrypted files and other filters have no words here; their
+pages go to a page model.
+"""
+
+from __future__ import annotations
+
+import re
+import zlib
+from dataclasses import dataclass, field
+
+#: The mean width of a character, and the gap between words, in font sizes.
+CHARACTER, WORD_GAP = 0.5, 0.25
+_OBJECT = re.compile(rb"(?<!\d)(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj\b", re.S)
+_STREAM = re.compile(rb"\bstream\r?\n(.*?)\r?\n?endstream\b", re.S)
+_REFERENCE = re.compile(rb"(\d+)\s+\d+\s+R\b")
+_TOKEN = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<<|>>|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s/\[\]()<>]*|[-+]?\d*\.?\d+|[A-Za-z'\"*]+[0-9]?", re.S)
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+@dataclass
+class Pdf:
+    """Objects by number; the stream of an object, where it has one, is unpacked."""
+
+    bodies: dict[int, bytes] = field(default_factory=dict)
+    streams: dict[int, bytes] = field(default_factory=dict)
+
+    @classmethod
+    def read(cls, data: bytes) -> Pdf:
+        if not data.lstrip()[:5] == b"%PDF-":
+            raise ValueError("not a PDF")
+        out = cls()
+        for m in _OBJECT.finditer(data):
+            out._add(int(m[1]), m[3])
+        for number, body in list(out.bodies.items()):
+            if re.search(rb"/Type\s*/ObjStm\b", body) and number in out.streams:
+                out._unpack(body, out.streams[number])
+        return out
+
+    def _add(self, number: int, body: bytes) -> None:
+        stream = _STREAM.search(body)
+        self.bodies[number] = body[: stream.start()] if stream else body
+        if stream:
+            filters = re.search(rb"/Filter\s*(\[[^\]]*\]|/\w+)", self.bodies[number])
+            if filters is None:
+                self.streams[number] = stream[1]
+            elif re.findall(rb"/(\w+)", filters[1]) == [b"FlateDecode"]:
+                try:
+                    self.streams[number] = zlib.decompressobj().decompress(stream[1])
+                except zlib.error:
+                    self.streams[number] = b""
+
+    def _unpack(self, body: bytes, stream: bytes) -> None:
+        count, first = (int(re.search(rb"/%s\s+(\d+)" % name, body)[1]) for name in (b"N", b"First"))
+        heads = [int(x) for x in stream[:first].split()[: 2 * count]]
+        ends = [*heads[3::2], len(stream) - first]
+        for number, begin, end in zip(heads[::2], heads[1::2], ends, strict=True):
+            self.bodies.setdefault(number, stream[first + begin : first + end])
+
+    def value(self, body: bytes, name: bytes) -> bytes:
+        """What stands behind a name in a dictionary: a dictionary or list whole, a reference looked up."""
+        at = re.search(rb"/%s(?![A-Za-z0-9])\s*" % re.escape(name), body)
+        if at is None:
+            return b""
+        rest = body[at.end() :]
+        if reference := _REFERENCE.match(rest):
+            return self.bodies.get(int(reference[1]), b"")
+        for opens, closes in ((b"<<", b">>"), (b"[", b"]")):
+            if rest.startswith(opens):
+                depth = 0
+                for m in re.finditer(re.escape(opens) + b"|" + re.escape(closes), rest):
+                    depth += 1 if m[0] == opens else -1
+                    if not depth:
+                        return rest[: m.end()]
+        return re.match(rb"/?[^\s/<>\[\]]*", rest)[0]
+
+    def pages(self) -> list[bytes]:
+        """Page dictionaries in the order of the page tree; without one, in the order of the file."""
+        roots = [b for b in self.bodies.values() if re.search(rb"/Type\s*/Catalog\b", b)]
+        out: list[bytes] = []
+
+        def walk(number: int, inherited: bytes, seen: frozenset[int]) -> None:
+            body = self.bodies.get(number, b"")
+            if number in seen:
+                return
+            kids = self.value(body, b"Kids")
+            resources = self.value(body, b"Resources") or inherited
+            if kids:
+                for kid in _REFERENCE.findall(kids):
+                    walk(int(kid), resources, seen | {number})
+            elif re.search(rb"/Type\s*/Page\b", body):
+                out.append(body + (b"" if b"/Resources" in body else b"/Resources " + inherited))
+
+        for root in roots[-1:]:
+            if top := re.search(rb"/Pages\s+(\d+)\s+\d+\s+R", root):
+                walk(int(top[1]), b"", frozenset())
+        return out or [b for b in self.bodies.values() if re.search(rb"/Type\s*/Page\b", b)]
+
+    def content(self, page: bytes) -> bytes:
+        at = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", page)
+        numbers = [int(n) for n in _REFERENCE.findall(at[1])] if at else []
+        # A reference may lead to a list of streams.
+        listed = [int(m) for n in numbers for m in (_REFERENCE.findall(self.bodies.get(n, b"")) if n not in self.streams else [n])]
+        return b"\n".join(self.streams.get(n, b"") for n in listed)
+
+    def fonts(self, page: bytes) -> dict[bytes, dict[int, str] | None]:
+        """Characters of codes, by font name; None where a font has no map."""
+        table = self.value(self.value(page, b"Resources"), b"Font")
+        out = {}
+        for name, number in re.findall(rb"/([^\s/<>\[\]()]+)\s+(\d+)\s+\d+\s+R", table):
+            to = re.search(rb"/ToUnicode\s+(\d+)", self.bodies.get(int(number), b""))
+            out[name] = _characters(self.streams.get(int(to[1]), b"")) if to else None
+        return out
+
+
+def _characters(cmap: bytes) -> dict[int, str]:
+    def text(digits: bytes) -> str:
+        return bytes.fromhex(digits.decode()).decode("utf-16-be", "replace")
+
+    out: dict[int, str] = {}
+    for block in re.findall(rb"beginbfchar(.*?)endbfchar", cmap, re.S):
+        for code, to in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block):
+            out[int(code, 16)] = text(to)
+    for block in re.findall(rb"beginbfrange(.*?)endbfrange", cmap, re.S):
+        for first, last, to in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block):
+            head = text(to)
+            for i in range(min(int(last, 16) - int(first, 16) + 1, 1 << 16)):
+                out[int(first, 16) + i] = head[:-1] + chr(ord(head[-1]) + i)
+    return out
+
+
+def _bytes(token: bytes) -> bytes:
+    """A string operand."""
+    if token.startswith(b"<"):
+        digits = re.sub(rb"\s", b"", token[1:-1])
+        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+
+    def plain(m: re.Match) -> bytes:
+        c = m[1]
+        return bytes([int(c, 8) & 255]) if c[:1].isdigit() else _ESCAPES.get(c, b"" if c in (b"\n", b"\r") else c)
+
+    return re.sub(rb"\\([0-7]{1,3}|.)", plain, token[1:-1], flags=re.S)
+
+
+def words(content: bytes, fonts: dict[bytes, dict[int, str] | None], height: float = 10_000.0) -> list[tuple[float, float, float, float, str]]:
+    """(x0, y0, x1, y1, text) of the words that a content stream shows, y from the top down."""
+    out: list[tuple[float, float, float, float, str]] = []
+    operands: list = []
+    x = y = line_x = line_y = leading = 0.0
+    size, scale, font = 12.0, 1.0, None
+
+    def show(raw: bytes) -> None:
+        nonlocal x
+        if font:
+            wide = 2 if max(font) > 255 else 1
+            text = "".join(font.get(int.from_bytes(raw[i : i + wide], "big"), "") for i in range(0, len(raw), wide))
+        else:
+            text = raw.decode("cp1252", "replace")
+        step = CHARACTER * size * scale
+        for part in re.finditer(r"\S+", text):
+            begin = x + part.start() * step
+            end = x + part.end() * step
+            before = out[-1] if out else None
+            if before and part.start() == 0 and abs(before[1] - (height - y)) < 0.1 and abs(begin - before[2]) <= WORD_GAP * size * scale:
+                out[-1] = (before[0], before[1], end, before[3], before[4] + part[0])
+            else:
+                out.append((begin, height - y, end, height - y + size * scale, part[0]))
+        x += len(text) * step
+
+    def down(by: float) -> None:
+        nonlocal x, y, line_y
+        line_y -= by * scale
+        x, y = line_x, line_y
+
+    for m in _TOKEN.finditer(content):
+        token = m[0]
+        if token[:1] in b"(<[]/" or token[:1].isdigit() or token[:1] in b"+-.":
+            operands.append(token)
+            continue
+        numbers = [float(t) for t in operands if re.fullmatch(rb"[-+]?\d*\.?\d+", t)]
+        if token == b"BT":
+            x = y = line_x = line_y = 0.0
+            scale = 1.0
+        elif token == b"Tf" and numbers:
+            size, font = numbers[-1], next((fonts.get(t[1:]) for t in operands if t.startswith(b"/")), None)
+        elif token == b"TL" and numbers:
+            leading = numbers[-1]
+        elif token in (b"Td", b"TD") and len(numbers) >= 2:
+            line_x, line_y = line_x + numbers[-2] * scale, line_y + numbers[-1] * scale
+            x, y = line_x, line_y
+            leading = -numbers[-1] if token == b"TD" else leading
+        elif token == b"Tm" and len(numbers) >= 6:
+            scale = abs(numbers[-3]) or abs(numbers[-6]) or 1.0
+            line_x, line_y = numbers[-2], numbers[-1]
+            x, y = line_x, line_y
+        elif token == b"T*":
+            down(leading)
+        elif token in (b"Tj", b"'", b'"', b"TJ"):
+            if token in (b"'", b'"'):
+                down(leading)
+            for t in operands:
+                if t[:1] in b"(" or (t[:1] == b"<" and t != b"<<"):
+                    show(_bytes(t))
+                elif token == b"TJ" and re.fullmatch(rb"[-+]?\d*\.?\d+", t):
+                    x -= float(t) / 1000 * size * scale
+        operands = []
+    return out
+
+
+def page_words(data: bytes) -> list[list[tuple[float, float, float, float, str]]]:
+    """The words of each page."""
+    pdf = Pdf.read(data)
+    return [words(pdf.content(page), pdf.fonts(page)) for page in pdf.pages()]

@@ -1,13 +1,15 @@
 import io
 import re
 import zipfile
+import zlib
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quarry.functions import markdown as MD
 from quarry.functions.chunking import page_cuts, recursive_cuts
-from quarry.sources import files, layout, office
+from quarry.sources import files, layout, objects, office
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
@@ -121,6 +123,71 @@ def test_files_become_pages(spark, tmp_path):
     assert rows["c.bin"].page_no == 0
 
 
+def pdf_file(pages: list[str], packed: bool = True) -> bytes:
+    """A file whose pages show lines of (x, y, text) drawn from content streams."""
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Count %d /Kids [%s] >>" % (len(pages), b" ".join(b"%d 0 R" % (10 + 2 * i) for i in range(len(pages))))}
+    objects[3] = b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"
+    for i, content in enumerate(pages):
+        objects[10 + 2 * i] = b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R /Resources << /Font << /F1 3 0 R >> >> >>" % (11 + 2 * i)
+        raw = zlib.compress(content.encode("cp1252")) if packed else content.encode("cp1252")
+        objects[11 + 2 * i] = b"<< /Length %d %s >>\nstream\n%s\nendstream" % (len(raw), b"/Filter /FlateDecode" if packed else b"", raw)
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % x for x in objects.items()) + b"trailer << /Root 1 0 R >>\n%%EOF"
+
+
+def at(x: int, y: int, text: str) -> str:
+    return f"BT /F1 10 Tf {x} {y} Td ({text}) Tj ET "
+
+
+def test_pdf_text_layer():
+    rows = [at(50, 700, "A \\(small\\) report"), *(at(50, 650 - 20 * n, f"k{n}") + at(300, 650 - 20 * n, f"v{n}") for n in range(3))]
+    kerned = "BT /F1 10 Tf 14 TL 1 0 0 1 50 500 Tm [(Hel) 10 (lo) -600 (there)] TJ T* (caf\\351 <) ' ET"
+    for packed in (True, False):
+        one, two = files.pdf_hints(pdf_file(["".join(rows), kerned], packed))
+        assert one == "| k0 | v0 |\n| --- | --- |\n| k1 | v1 |\n| k2 | v2 |\n\nA (small) report"
+        assert two == "Hello there\ncaf\xe9 <"
+    assert files.pdf_hints(pdf_file([""])) == [""]
+
+
+def test_pdf_pages_are_rows(spark, tmp_path):
+    class Model:
+        def page(self, data, kind, page_no, hint, turn):
+            if page_no == 2:
+                raise OSError("no answer")
+            return {"text": f"{kind}{page_no}:{hint}", "tables": "", "figures": "", "png_bytes": None}
+
+    (tmp_path / "a.pdf").write_bytes(pdf_file([at(1, 9, f"p{n}") for n in range(1, 4)]))
+    (tmp_path / "b.pdf").write_bytes(b"nothing")
+    (tmp_path / "c.txt").write_bytes(b"t")
+    rows = sorted((r.doc_key, r.page_no, r.text, r.error) for r in files.read_pages(spark, str(tmp_path), files.Parsers(Model())).collect())
+    assert rows == [("a.pdf", 1, "pdf1:p1", None), ("a.pdf", 2, "p2", "OSError: no answer"), ("a.pdf", 3, "pdf3:p3", None), ("b.pdf", 0, None, "ValueError: not a PDF"), ("c.txt", 1, "t", None)]
+
+
+def test_pictures_say_how_they_are_turned():
+    def picture(mark: int, order: str) -> bytes:
+        n = "little" if order == "II" else "big"
+        entry = (0x0112).to_bytes(2, n) + (3).to_bytes(2, n) + (1).to_bytes(4, n) + mark.to_bytes(2, n) + b"\0\0"
+        return b"\xff\xd8\xff\xe1\0\x20Exif\0\0" + order.encode() + (42).to_bytes(2, n) + (8).to_bytes(4, n) + (1).to_bytes(2, n) + entry
+
+    assert [files.turn(picture(m, o)) for o in ("II", "MM") for m in (1, 3, 6, 8)] == [0, 180, 90, 270] * 2
+    assert files.turn(b"\x89PNG") == 0 == files.turn(b"\xff\xd8\xff")
+
+
+def test_objects(spark, tmp_path):
+    store = objects.ObjectStore(spark, f"{tmp_path}/bucket")
+    assert not store.exists("a/x.txt")
+    assert store.put("a/x.txt", "caf\xe9") == store.uri("a/x.txt") == f"{tmp_path}/bucket/a/x.txt"
+    assert store.get("a/x.txt") == "caf\xe9".encode() and store.exists("a/x.txt")
+    rows = spark.createDataFrame([("a/y.bin", b"12"), ("b/z.bin", b""), (None, b"1")], "key string, content binary")
+    assert sorted((r.key, r.n_bytes) for r in store.put_all(rows).collect()) == [("a/y.bin", 2), ("b/z.bin", 0)]
+    assert store.get("a/y.bin") == b"12"
+    assert store.clear("a") and not store.clear("a") and store.exists("b/z.bin")
+    with pytest.raises(KeyError):
+        store.get("a/x.txt")
+    for bad in (lambda: store.clear("/"), lambda: store.uri("../x")):
+        with pytest.raises(ValueError):
+            bad()
+
+
 def test_html_tables():
     html = "<p>x</p><table><tr><th>A <b>b</b></th><th>C</th></tr><tr><td> 1\n 2 </td></tr></table><table><tr><td>z</td></tr></table>"
     assert MD.html_table(html) == "| A b | C |\n| --- | --- |\n| 1 2 |  |"

@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 DEFAULT_CLEARANCE = 2
 HIGHEST_CLEARANCE = 3
+#: What a role may do beside reading its application's rows: an owner reads and writes all of an application, an administrator all.
+ROLES = ("reader", "writer", "owner", "admin")
 
 
 @dataclass(frozen=True)
@@ -15,7 +17,15 @@ class AccessContext:
     app_id: str
     clearance: int | None = DEFAULT_CLEARANCE
     request_id: str = ""
-    role: str = "reader"
+    role: str = "writer"
+
+    def __post_init__(self):
+        if self.role not in ROLES:
+            raise ValueError(f"role must be one of {ROLES}: {self.role}")
+
+    @property
+    def may_write(self) -> bool:
+        return self.role != "reader"
 
     @classmethod
     def of(cls, app_id: str, clearance: int | None = None, default: int = DEFAULT_CLEARANCE, request_id: str = "") -> AccessContext:

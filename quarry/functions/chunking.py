@@ -128,6 +128,19 @@ def pages_to_chunks(pages: DataFrame, key: str = "doc_id", method: str = "slidin
     )
 
 
+def captioned_chunks(blocks: DataFrame, key: str = "doc_id", size: int = CHUNK_SIZE, overlap: int = OVERLAP, cap: int = BLOCK_CAP) -> DataFrame:
+    """(key, chunk_index, chunk_text, block_type, page_no) of blocks (key, page_no, block_no, block_type, caption, text), in their order:
+    the older form, in which a table or figure keeps its caption in its header. Text is cut, anything else stays whole up to
+    `cap` characters; a text block has no caption."""
+    kind = F.lower(F.coalesce("block_type", F.lit("text")))
+    body = F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "")
+    parts = F.when(kind == "text", sliding_chunks(body, size, overlap)).otherwise(F.array(X.cut(body, cap, "\n...(truncated)")))
+    cut = blocks.select(key, "page_no", "block_no", kind.alias("block_type"), F.when(kind == "text", "").otherwise(F.coalesce("caption", F.lit(""))).alias("caption"), F.posexplode(parts).alias("part", "body"))
+    order = Window.partitionBy(key).orderBy("page_no", "block_no", "part")
+    header = X.meta_header(F.col("block_type"), F.col("page_no"), F.col("caption"))
+    return cut.where("body <> ''").select(key, (F.row_number().over(order) - 1).alias("chunk_index"), F.concat(header, F.lit("\n"), F.col("body")).alias("chunk_text"), "block_type", "page_no")
+
+
 def full_text(pages: DataFrame, key: str = "doc_id") -> DataFrame:
     """Each document's pages with something in them, in order, each under its number."""
     some = pages.where(F.trim(F.coalesce("text", F.lit(""))) != "")

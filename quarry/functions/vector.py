@@ -30,7 +30,7 @@ def cosine_similarity(a: Column, b: Column) -> Column:
 
 def checked(v: Column, dim: int) -> Column:
     """v, or an error where its dimension is another one."""
-    return F.when(v.isNull() | (F.size(v) == dim), v).otherwise(F.raise_error(F.lit(f"vector is not of dimension {dim}")).cast("array<float>"))
+    return F.when(v.isNull() | (F.size(v) == dim), v).otherwise(F.raise_error(F.lit(f"vector is not of dimension {dim}")))
 
 
 def l2_to(query: list[float]):

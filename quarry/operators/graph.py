@@ -15,14 +15,26 @@ def cooccurrence(mentions: DataFrame, weight: float = CO_OCCURS_WEIGHT) -> DataF
 
     Mentions are made distinct first, so that an entity is never paired with itself.
     """
-    own = mentions.select("app_id", "chunk_id", "entity_id").distinct()
-    other = own.select("app_id", "chunk_id", F.col("entity_id").alias("dst_entity_id"))
-    pairs = own.withColumnRenamed("entity_id", "src_entity_id").join(other, ["app_id", "chunk_id"]).where("src_entity_id <> dst_entity_id")
-    return pairs.groupBy("app_id", "src_entity_id", "dst_entity_id").agg(
+    folded = pairs(mentions, "app_id").groupBy("app_id", "a", "b").agg(
         F.least(F.lit(weight) * F.count("*"), F.lit(1.0)).alias("weight"),
         F.count("*").alias("evidence_count"),
-        F.array_sort(F.collect_set("chunk_id")).alias("evidence_chunk_ids"),
-    ).withColumn("edge_type", F.lit(CO_OCCURS))
+        F.array_sort(F.collect_list("chunk_id")).alias("evidence_chunk_ids"),
+    )
+    return both_ways(folded).withColumn("edge_type", F.lit(CO_OCCURS))
+
+
+def pairs(mentions: DataFrame, *group: str) -> DataFrame:
+    """(*group, chunk_id, a, b) of the entities of a chunk, a < b, each pair once a chunk: from one sorted list a chunk, which is as
+    short as a chunk's text."""
+    lists = mentions.groupBy(*group, "chunk_id").agg(F.sort_array(F.collect_set("entity_id")).alias("own"))
+    firsts = lists.select(*group, "chunk_id", "own", F.posexplode("own").alias("at", "a"))
+    return firsts.select(*group, "chunk_id", "a", F.explode(F.expr("slice(own, at + 2, size(own))")).alias("b"))
+
+
+def both_ways(folded: DataFrame) -> DataFrame:
+    """Rows of unordered pairs (a, b) as edges from each to the other."""
+    ends = F.array(F.struct(F.col("a").alias("src_entity_id"), F.col("b").alias("dst_entity_id")), F.struct(F.col("b").alias("src_entity_id"), F.col("a").alias("dst_entity_id")))
+    return folded.select("*", F.inline(ends)).drop("a", "b")
 
 
 def fold_entities(log: DataFrame, key: list[str], seq: Column) -> DataFrame:
@@ -63,11 +75,13 @@ def fold_mentions(log: DataFrame, seq: Column | None = None) -> DataFrame:
 
 def fold_edges(log: DataFrame) -> DataFrame:
     """Weights added up to 1 at most, evidence counted and its chunks united. Increments aren't negative, and the first one is 1 at most."""
-    return log.groupBy("app_id", "src_entity_id", "dst_entity_id", "edge_type").agg(
-        F.least(F.sum("weight"), F.lit(1.0)).alias("weight"),
-        F.count("*").alias("evidence_count"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence_chunk_ids")))).alias("evidence_chunk_ids"),
-    )
+    key = ["app_id", "src_entity_id", "dst_entity_id", "edge_type"]
+    sums = log.groupBy(*key).agg(F.least(F.sum("weight"), F.lit(1.0)).alias("weight"), F.count("*").alias("evidence_count"))
+    # Evidence is made distinct as rows, combined before the shuffle; what a pair collects has no chunk twice.
+    chunks = log.select(*key, F.explode("evidence_chunk_ids").alias("chunk_id")).distinct()
+    evidence = chunks.groupBy(*key).agg(F.sort_array(F.collect_list("chunk_id")).alias("evidence_chunk_ids"))
+    none = F.array().cast(log.schema["evidence_chunk_ids"].dataType)
+    return sums.join(evidence, key, "left").withColumn("evidence_chunk_ids", F.coalesce("evidence_chunk_ids", none))
 
 
 def merge_edges(stored: DataFrame, folded: DataFrame) -> DataFrame:
@@ -108,6 +122,21 @@ def neighbours(edges: DataFrame, entities: DataFrame, sources: Column, edge_type
     return own.join(ends, "dst_entity_id").orderBy(F.desc("weight"), "src_entity_id", "dst_entity_id").limit(limit)
 
 
+def strongest_edges(edges: DataFrame, sources: Column, edge_type: str | None = None, limit: int = 10) -> DataFrame:
+    """The strongest edges from some entities, the edges alone."""
+    own = edges.where(sources) if edge_type is None else edges.where(sources & (F.col("edge_type") == edge_type))
+    return own.orderBy(F.desc("weight"), "src_entity_id", "dst_entity_id").limit(limit)
+
+
+def edges_of_many(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(entity_id, edge columns): every edge that begins or ends at one of many entities, once for each of them at its ends. Two
+    equi-joins, as a join on either end would compare all with all."""
+    own = ids.select("entity_id").distinct()
+    out = own.join(edges, F.col("entity_id") == F.col("src_entity_id"))
+    into = own.join(edges.where("src_entity_id <> dst_entity_id"), F.col("entity_id") == F.col("dst_entity_id"))
+    return out.unionByName(into)
+
+
 def edges_of(edges: DataFrame, entity_id, limit: int = 50) -> DataFrame:
     """Edges that begin or end at an entity."""
     return edges.where((F.col("src_entity_id") == entity_id) | (F.col("dst_entity_id") == entity_id)).orderBy(F.desc("weight"), "src_entity_id", "dst_entity_id").limit(limit)

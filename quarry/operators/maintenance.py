@@ -2,15 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions import models as M
+from quarry.operators import graph as G
+
 
 def pending(jobs: DataFrame, limit: int = 10, status: str = "pending") -> DataFrame:
     """Jobs in the order in which they came."""
     return jobs.where(F.col("status") == status).orderBy("created_at", "job_id").limit(limit)
 
 
+def claim(jobs: DataFrame, now: Column, limit: int = 10) -> DataFrame:
+    """The jobs, the first pending ones of them set to running: what a worker takes in one commit, so that two don't take the same."""
+    taken = pending(jobs, limit).select(F.col("job_id").alias("_taken"))
+    both = jobs.join(taken, F.col("job_id") == F.col("_taken"), "left")
+    mine = F.col("_taken").isNotNull()
+    return both.withColumn("status", F.when(mine, "running").otherwise(F.col("status"))).withColumn("started_at", F.when(mine, now).otherwise(F.col("started_at"))).drop("_taken")
+
+
+def listed(jobs: DataFrame, status: str, limit: int = 50) -> DataFrame:
+    """Jobs of a state, the newest first."""
+    return jobs.where(F.col("status") == status).orderBy(F.desc("created_at"), "job_id").limit(limit)
+
+
+#: How far a job of a state is, in percent.
+PROGRESS = {"pending": 0, "running": 50, "done": 100}
+
+
+def progress(status: Column) -> Column:
+    table = F.create_map(*(F.lit(x) for pair in PROGRESS.items() for x in pair))
+    return F.coalesce(table[status], F.lit(0))
+
+
 def latest_status(log: DataFrame) -> DataFrame:
     """The present state of each job in an append-only log (job_id, status, at)."""
     return log.groupBy("job_id").agg(F.max_by("status", "at").alias("status"), F.max("at").alias("at"), F.count("*").alias("changes"))
@@ -31,9 +56,7 @@ def entity_decrements(lost: DataFrame) -> DataFrame:
 
 def edge_decrements(lost: DataFrame) -> DataFrame:
     """By ordered pair of entities: chunks lost that mention both."""
-    own = lost.select("chunk_id", "entity_id").distinct()
-    other = own.select("chunk_id", F.col("entity_id").alias("dst_entity_id"))
-    return own.withColumnRenamed("entity_id", "src_entity_id").join(other, "chunk_id").where("src_entity_id <> dst_entity_id").groupBy("src_entity_id", "dst_entity_id").agg(F.count("*").alias("n"))
+    return G.both_ways(G.pairs(lost).groupBy("a", "b").agg(F.count("*").alias("n")))
 
 
 def decrement_entities(entities: DataFrame, lost: DataFrame) -> DataFrame:
@@ -61,6 +84,13 @@ def backfill_texts(entities: DataFrame) -> DataFrame:
     return entities.where("is_active and embedding is null").orderBy(F.desc("occurrence_count"), "entity_id").select("entity_id", F.array_join(F.concat(F.array(F.trim("name")), aliases), " | ").alias("text"))
 
 
+def backfill(entities: DataFrame, embedder: M.Embedder) -> DataFrame:
+    """The entities with a vector for each active one that had none."""
+    made = backfill_texts(entities).select(F.col("entity_id").alias("_id"), M.embed(embedder)("text").alias("_vector"))
+    both = entities.join(made, F.col("entity_id") == F.col("_id"), "left")
+    return both.withColumn("embedding", F.coalesce("embedding", F.col("_vector").cast(entities.schema["embedding"].dataType))).select(*entities.columns)
+
+
 def parse_aliases(raw):
     """Aliases from a JSON array or a comma-separated string."""
     array = F.from_json(raw, "array<string>")

@@ -70,6 +70,25 @@ def sources(hits: DataFrame, docs: DataFrame, query_col: str = "query_id") -> Da
     return named.select(query_col, "source_no", "doc_id", X.clean(F.col("title")).alias("title"), X.clean(F.col("source_uri")).alias("source_uri"))
 
 
+def citations(hits: DataFrame, docs: DataFrame, query_col: str = "query_id") -> DataFrame:
+    """(query_id, doc_id, page_no): the distinct pages of known documents that each query's hits name, by their META headers."""
+    named = hits.withColumn("page_no", X.meta_page(F.col("chunk_text"))).where("page_no is not null")
+    return named.join(docs.select("doc_id"), "doc_id", "left_semi").select(query_col, "doc_id", "page_no").distinct()
+
+
+def cited_pages(cited: DataFrame, assets: DataFrame) -> DataFrame:
+    """Citations with what is stored of their pages (doc_id, page_no, ...); a page without anything stored stays, empty."""
+    others = [c for c in assets.columns if c not in ("doc_id", "page_no")]
+    return cited.join(assets, ["doc_id", "page_no"], "left").withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in others})
+
+
+def source_lines(sources_: DataFrame, query_col: str = "query_id") -> DataFrame:
+    """(query_id, lines): the sources as numbered lines, as they stand below an answer."""
+    line = F.concat(F.lit("["), F.col("source_no").cast("string"), F.lit("] "), F.concat_ws(" | ", F.when(F.col("title") == "", "(no title)").otherwise(F.col("title")), F.col("source_uri")))
+    ordered = F.array_sort(F.collect_list(F.struct("source_no", line.alias("line"))))
+    return sources_.groupBy(query_col).agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("lines"))
+
+
 def context(hits: DataFrame, cap: int = CONTEXT_CAP, query_col: str = "query_id") -> DataFrame:
     """The hits' texts in order, joined by blank lines and cut."""
     texts = F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_text"))), lambda x: x["chunk_text"])
@@ -89,6 +108,12 @@ def search_audit(hits: DataFrame, queries: DataFrame, top_k: int, query_col: str
     return queries.join(per, query_col, "left").withColumn("top_k", F.lit(top_k)).withColumn("hit_chunk_ids", F.coalesce("hit_chunk_ids", none)).withColumn("hit_doc_ids", F.coalesce("hit_doc_ids", none))
 
 
+def first_named(rows: DataFrame, key: str, order: str, name: str) -> DataFrame:
+    """(key, terms): the names of a group in the order in which they come first, each once."""
+    first = rows.groupBy(key, name).agg(F.min(order).alias("_first"))
+    return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_first", name))), lambda x: x[name]).alias("terms"))
+
+
 def expanded_query(text: Column, terms: Column, neighbours: Column) -> Column:
     """The question with the distinct names around it, in order, below."""
     names = F.array_distinct(F.concat(terms, neighbours))

@@ -14,13 +14,24 @@ DEFAULT_K = 5
 def vector_topk(rows: DataFrame, query: Column, k: int = DEFAULT_K, *, metric: str = "l2", id_col: str = "chunk_id", vector_col: str = "embedding", min_similarity: float | None = None) -> DataFrame:
     """The k nearest rows of one query, ties by id. metric l2 adds `distance`, cosine `similarity` (greatest first)."""
     k = k if k > 0 else DEFAULT_K
-    rows = rows.where(F.col(vector_col).isNotNull())
+    rows = rows.where(F.col(vector_col).isNotNull() & query.isNotNull())
     if metric == "l2":
         return rows.withColumn("distance", V.l2(F.col(vector_col), query)).orderBy("distance", id_col).limit(k)
     rows = rows.withColumn("similarity", V.cosine_similarity(F.col(vector_col), query))
     if min_similarity is not None:
         rows = rows.where(F.col("similarity") >= min_similarity)
-    return rows.orderBy(F.desc("similarity"), id_col).limit(k)
+    # Rounded, so that the order of equal vectors doesn't hang on the order in which products were added.
+    return rows.orderBy(F.desc(F.round("similarity", 9)), id_col).limit(k)
+
+
+def with_query(rows: DataFrame, queries: DataFrame, vector_col: str = "embedding", dim: int | None = None) -> DataFrame:
+    """Rows beside the vector of a one-row table, as `query`: a join with one row, that an aggregate guarantees. More rows than
+    one, or a vector of another dimension than `dim`, are an error; without a row the query is null."""
+    one = queries.agg(F.count("*").alias("_n"), F.first(F.col(vector_col)).alias("query"))
+    query = F.when(F.col("_n") > 1, F.raise_error(F.lit("more than one query vector")).cast(one.schema["query"].dataType)).otherwise(F.col("query"))
+    if dim is not None:
+        query = V.checked(query, dim)
+    return rows.crossJoin(F.broadcast(one.select(query.alias("query"))))
 
 
 def vector_topk_batch(rows: DataFrame, queries: DataFrame, k: int = DEFAULT_K, *, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
@@ -38,12 +49,12 @@ def name_matches(term: str, escape: bool = False) -> Column:
     return F.col("name").ilike(pattern) | aliases.ilike(pattern)
 
 
-def search_entities(entities: DataFrame, term: str = "", entity_type: str | None = None, active_only: bool = False, limit: int = 50, escape: bool = False) -> DataFrame:
+def search_entities(entities: DataFrame, term: str = "", entity_type: str | Column | None = None, active_only: bool = False, limit: int = 50, escape: bool = False) -> DataFrame:
     """By name or alias, type and state, the most frequent first. An empty term or the type ALL filters nothing."""
     out = entities
     if term:
         out = out.where(name_matches(term, escape))
-    if entity_type and entity_type != "ALL":
+    if isinstance(entity_type, Column) or (entity_type and entity_type != "ALL"):
         out = out.where(F.col("type") == entity_type)
     if active_only:
         out = out.where("is_active")

@@ -33,10 +33,18 @@ def secure_mutations(audit: DataFrame, actor: str) -> DataFrame:
     return audit.where(F.col("actor") == actor)
 
 
+def open_bases(bases: DataFrame, ctx: AccessContext, level: str = "required_clearance") -> DataFrame:
+    """The knowledge bases that a clearance opens, whatever their application."""
+    return bases.where(F.lit(False) if ctx.clearance is None else F.col(level) <= F.lit(ctx.clearance))
+
+
 def check_writes(rows: DataFrame, ctx: AccessContext) -> DataFrame:
-    """The rows, unless one belongs to another application: then writing them fails."""
+    """The rows, unless one belongs to another application: then writing them fails. A reader writes nothing. A row may be above its
+    writer's clearance, who then doesn't see it: classification says who reads, and a decision upwards is no leak."""
     if ctx.role == "admin":
         return rows
+    if not ctx.may_write:
+        raise PermissionError(f"the role {ctx.role} does not write")
     message = f"row of another application than {ctx.app_id}"
     fine = F.coalesce(F.col("app_id") == ctx.app_id, F.lit(False))
     return rows.withColumn("app_id", F.when(fine, F.col("app_id")).otherwise(F.raise_error(F.lit(message)).cast("string")))

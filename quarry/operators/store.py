@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quarry.context import AccessContext
 from quarry.functions import text as X
+from quarry.functions.models import embed
 from quarry.operators.security import check_writes, secure
 from quarry.schemas import KEYS, schema
 
@@ -129,6 +130,13 @@ class Transaction:
         self.store.publish(self.number + 1, self.parts)
 
 
+def reviewed_chunks(chunks: DataFrame, changes: DataFrame, embedder=None) -> DataFrame:
+    """Chunks with reviewed texts (chunk_id, new_text); with an embedder the vectors follow the texts, without one they stay."""
+    if embedder is not None:
+        changes = changes.withColumn("new_embedding", embed(embedder)(F.trim("new_text")))
+    return update_chunks(chunks, changes)
+
+
 class TableStore:
     """The persistent tables below one folder."""
 

@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 from quarry.context import AccessContext
 from quarry.functions import chunking as C
 from quarry.functions import text as X
-from quarry.functions import vector as V
 from quarry.operators import graph as G
 from quarry.operators import maintenance as M
 from quarry.operators import retrieval as R
 from quarry.operators import search as S
 from quarry.operators import security as Z
 from quarry.operators import store
+from quarry.plans import delete as D
+from quarry.plans import docgen
 from quarry.plans.fixtures import Tables, with_views
+from quarry.sources import files
+from quarry.streaming import jobs as J
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,10 +46,9 @@ def query(sql: str | None, *views: str):
     return register
 
 
-def _query_vector(t: Tables, vec_id: int = 0):
-    """The vector of one row, as an array literal: one row is read, by a filter that reaches the scan."""
-    row = t.raw("embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()
-    return F.array(*(F.lit(float(x)) for x in row[0])) if row else F.array().cast("array<double>")
+def _query(t: Tables) -> DataFrame:
+    """The one row whose vector asks."""
+    return t.raw("embeddings").where(F.col("vec_id") == 0).select("embedding")
 
 
 # Access
@@ -62,7 +64,7 @@ def _query_vector(t: Tables, vec_id: int = 0):
 def secured_vector_topk(t: Tables) -> DataFrame:
     """What an application finds next to a vector, with its sources: the filter on documents comes before the distance."""
     seen = Z.secure(t.docs(), READER).select("doc_id", "title", "source_uri")
-    best = S.vector_topk(t.vector_chunks().join(seen, "doc_id"), _query_vector(t), 5)
+    best = S.vector_topk(S.with_query(t.vector_chunks().join(seen, "doc_id"), _query(t)), F.col("query"), 5)
     return best.select("chunk_id", "doc_id", "title", "source_uri", F.round("distance", 6).alias("distance"))
 
 
@@ -105,7 +107,16 @@ def secured_entities(t: Tables) -> DataFrame:
 @query("SELECT r_regionkey AS kb_id, r_name AS kb_name, CAST(r_regionkey % 4 AS BIGINT) AS required_clearance FROM region WHERE r_regionkey % 4 <= 2")
 def knowledge_bases(t: Tables) -> DataFrame:
     """Knowledge bases that a clearance opens."""
-    return t.raw("region").select(F.col("r_regionkey").alias("kb_id"), F.col("r_name").alias("kb_name"), (F.col("r_regionkey") % 4).cast("long").alias("required_clearance")).where("required_clearance <= 2")
+    bases = t.raw("region").select(F.col("r_regionkey").alias("kb_id"), F.col("r_name").alias("kb_name"), (F.col("r_regionkey") % 4).cast("long").alias("required_clearance"))
+    return Z.open_bases(bases, READER)
+
+
+@query("SELECT action, row_pk FROM (SELECT 'DELETE' AS action, CAST(doc_id AS VARCHAR) AS row_pk, doc_id % 2 AS own FROM docs WHERE classification = 3) WHERE own = 1", "docs")
+def secured_mutations(t: Tables) -> DataFrame:
+    """What one actor has changed, from the audit of two."""
+    docs = t.docs()
+    logs = [store.change_audit(docs, docs.where(f"not (classification = 3 and doc_id % 2 = {n})"), "docs", ["doc_id"], f"actor{n}", F.lit(0)) for n in (0, 1)]
+    return Z.secure_mutations(logs[0].unionByName(logs[1]), "actor1").select("action", "row_pk")
 
 
 # Documents and versions
@@ -113,7 +124,33 @@ def knowledge_bases(t: Tables) -> DataFrame:
 
 @query("SELECT app_id, classification, count(*) AS chunks FROM chunks GROUP BY 1, 2", "chunks")
 def chunks_by_app_class(t: Tables) -> DataFrame:
-    return t.chunks().groupBy("app_id", "classification").agg(F.count("*").alias("chunks")).orderBy("app_id", "classification")
+    return D.chunk_counts(t.chunks())
+
+
+@query(
+    """SELECT chunk_id, round(s, 6) AS similarity FROM (SELECT chunk_id, list_dot_product(embedding, e) / sqrt(list_dot_product(embedding, embedding) * list_dot_product(e, e)) AS s
+    FROM vector_chunks, (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = 0)) ORDER BY round(s, 9) DESC, chunk_id LIMIT 5""",
+    "vector_chunks",
+)
+def diagnostics_sample(t: Tables) -> DataFrame:
+    chunks = t.vector_chunks().withColumns({"app_id": F.lit("a"), "classification": F.lit(1)})
+    return D.diagnostics(chunks, _query(t))[1].select("chunk_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE title END AS title, CASE WHEN doc_id % 3 = 0 THEN 99 ELSE created_at END AS changed_at FROM docs UNION ALL SELECT -1 - doc_id, title, created_at FROM docs WHERE classification = 0", "docs")
+def touch_timestamps(t: Tables) -> DataFrame:
+    """Changed rows get the time of the change; others, and new ones, keep theirs."""
+    before = t.docs().select("doc_id", "title", F.col("created_at").alias("changed_at"))
+    new = t.docs().where("classification = 0").select((-1 - F.col("doc_id")).alias("doc_id"), "title", F.col("created_at").alias("changed_at"))
+    after = before.withColumn("title", F.when(F.col("doc_id") % 3 == 0, "new").otherwise(F.col("title"))).unionByName(new)
+    return store.touch(before, after, ["doc_id"], "changed_at", F.lit(99).cast("long"))
+
+
+@query("SELECT l_partkey AS entity_id, max(l_orderkey) AS last_updated_at, arg_max(s, row(l_orderkey, s)) AS summary_text FROM (SELECT *, 'line ' || l_linenumber || ' of ' || l_suppkey AS s FROM lineitem) GROUP BY 1")
+def summary_upsert(t: Tables) -> DataFrame:
+    """The summary of each entity that was written last."""
+    log = t.raw("lineitem").selectExpr("l_partkey AS entity_id", "l_orderkey AS last_updated_at", "concat('line ', l_linenumber, ' of ', l_suppkey) AS summary_text")
+    return store.last_by_key(log, ["entity_id"], "last_updated_at")
 
 
 @query("SELECT doc_id, title, created_at FROM docs WHERE title ILIKE '%doc_1%' OR source_uri ILIKE '%doc_1%' ORDER BY created_at DESC NULLS LAST, doc_id LIMIT 10", "docs")
@@ -238,9 +275,14 @@ def recursive_chunks(t: Tables) -> DataFrame:
     return cut.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.length("chunk_text").cast("long").alias("n_chars"), F.sha2("chunk_text", 256).alias("chunk_hash"))
 
 
-@query(None)
+@query(
+    r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM documents),
+    p AS (SELECT doc_id, t, 1 AS page_no, 0 AS a, CASE WHEN length(t) <= 5000 THEN length(t) ELSE 5000 + CASE strpos(reverse(substring(t, 5001, 3000)), chr(10)) WHEN 0 THEN 0 ELSE length(substring(t, 5001, 3000)) - strpos(reverse(substring(t, 5001, 3000)), chr(10)) END END AS e FROM d
+      UNION ALL SELECT doc_id, t, page_no + 1, e, CASE WHEN length(t) <= e + 5000 THEN length(t) ELSE e + 5000 + CASE strpos(reverse(substring(t, e + 5001, 3000)), chr(10)) WHEN 0 THEN 0 ELSE length(substring(t, e + 5001, 3000)) - strpos(reverse(substring(t, e + 5001, 3000)), chr(10)) END END FROM p WHERE e < length(t))
+    SELECT doc_id, CAST(page_no AS BIGINT) AS page_no, sha256(regexp_replace(substring(t, a + 1, e - a), '^\s+|\s+$', '', 'g')) AS page_hash FROM p"""
+)
 def text_pages(t: Tables) -> DataFrame:
-    """Pages that end at line breaks where there are some; sequential, too."""
+    """Pages that end at line breaks where there are some."""
     cut = t.raw("documents").select("doc_id", F.posexplode(C.paginate()("text")).alias("n", "text"))
     return cut.select("doc_id", (F.col("n") + 1).cast("long").alias("page_no"), F.sha2("text", 256).alias("page_hash"))
 
@@ -254,7 +296,7 @@ def text_pages(t: Tables) -> DataFrame:
     "vector_chunks",
 )
 def vector_topk_l2(t: Tables) -> DataFrame:
-    return S.vector_topk(t.vector_chunks(), _query_vector(t), 40).select("chunk_id", "doc_id", F.round("distance", 6).alias("distance"))
+    return S.vector_topk(S.with_query(t.vector_chunks(), _query(t)), F.col("query"), 40).select("chunk_id", "doc_id", F.round("distance", 6).alias("distance"))
 
 
 @query(
@@ -263,8 +305,20 @@ def vector_topk_l2(t: Tables) -> DataFrame:
     "entity",
 )
 def entity_topk_cosine(t: Tables) -> DataFrame:
-    rows = t.entity().where("is_active and embedding is not null").withColumn("similarity", V.cosine_similarity(F.col("embedding"), _query_vector(t)))
-    return rows.where("similarity >= 0.05").orderBy(F.desc(F.round("similarity", 9)), "entity_id").limit(10).select("entity_id", "name", F.round("similarity", 6).alias("similarity"))
+    rows = S.with_query(t.entity().where("is_active"), _query(t))
+    return S.vector_topk(rows, F.col("query"), 10, metric="cosine", id_col="entity_id", min_similarity=0.05).select("entity_id", "name", F.round("similarity", 6).alias("similarity"))
+
+
+@query(
+    """SELECT query_id, rank, chunk_id, round(sqrt(d), 6) AS distance FROM (SELECT q.vec_id AS query_id, c.chunk_id, list_sum(list_transform(list_zip(c.embedding, q.e), lambda z: (z[1] - z[2]) ** 2)) AS d,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY list_sum(list_transform(list_zip(c.embedding, q.e), lambda z: (z[1] - z[2]) ** 2)), c.chunk_id) AS rank
+    FROM vector_chunks c, (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 20 = 0) q) WHERE rank <= 5""",
+    "vector_chunks",
+)
+def vector_topk_batch(t: Tables) -> DataFrame:
+    """Every twentieth vector asks, all at once."""
+    asked = t.raw("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return S.vector_topk_batch(t.vector_chunks(), asked, 5).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("distance", 6).alias("distance"))
 
 
 @query(
@@ -382,6 +436,31 @@ def edges_both_ways(t: Tables) -> DataFrame:
     return G.edges_of(t.entity_edge(), 7).select("src_entity_id", "dst_entity_id", "weight")
 
 
+@query("SELECT src_entity_id, dst_entity_id, weight FROM entity_edge WHERE src_entity_id IN (1, 2, 3) ORDER BY weight DESC, src_entity_id, dst_entity_id LIMIT 10", "entity_edge")
+def neighbor_edges(t: Tables) -> DataFrame:
+    return G.strongest_edges(t.entity_edge(), F.col("src_entity_id").isin(1, 2, 3)).select("src_entity_id", "dst_entity_id", "weight")
+
+
+@query("SELECT n.entity_id, e.src_entity_id, e.dst_entity_id, e.weight FROM entity_edge e JOIN entity n ON n.entity_id = e.src_entity_id OR n.entity_id = e.dst_entity_id WHERE n.confidence = 'high'", "entity_edge", "entity")
+def edges_of_many(t: Tables) -> DataFrame:
+    """The edges at either end of all entities of high confidence."""
+    return G.edges_of_many(t.entity_edge(), t.entity().where("confidence = 'high'")).select("entity_id", "src_entity_id", "dst_entity_id", "weight")
+
+
+@query(
+    """SELECT coalesce(a.src, b.src) AS src_entity_id, coalesce(a.dst, b.dst) AS dst_entity_id, round(CASE WHEN a.w IS NULL THEN b.w WHEN b.w IS NULL THEN a.w ELSE least(a.w + b.w, 1.0) END, 6) AS weight,
+    coalesce(a.n, 0) + coalesce(b.n, 0) AS evidence_count, array_to_string(list_sort(list_distinct(list_concat(coalesce(a.ids, []), coalesce(b.ids, [])))), ',') AS evidence
+    FROM (SELECT l_partkey % 50 AS src, l_suppkey % 50 AS dst, least(sum(l_discount), 1.0) AS w, count(*) AS n, list(DISTINCT CAST(l_orderkey % 10 AS VARCHAR)) AS ids FROM lineitem WHERE l_partkey % 50 <> l_suppkey % 50 AND l_returnflag = 'R' GROUP BY 1, 2) a
+    FULL OUTER JOIN (SELECT l_partkey % 50 AS src, l_suppkey % 50 AS dst, least(sum(l_discount), 1.0) AS w, count(*) AS n, list(DISTINCT CAST(l_orderkey % 10 AS VARCHAR)) AS ids FROM lineitem WHERE l_partkey % 50 <> l_suppkey % 50 AND l_returnflag <> 'R' GROUP BY 1, 2) b
+    ON a.src = b.src AND a.dst = b.dst"""
+)
+def edge_merge(t: Tables) -> DataFrame:
+    """Upserts of edges that meet stored ones."""
+    log = t.raw("lineitem").selectExpr("'app0' AS app_id", "l_partkey % 50 AS src_entity_id", "l_suppkey % 50 AS dst_entity_id", "'co_occurs' AS edge_type", "l_discount AS weight", "array(cast(l_orderkey % 10 AS string)) AS evidence_chunk_ids", "l_returnflag").where("src_entity_id <> dst_entity_id")
+    merged = G.merge_edges(G.fold_edges(log.where("l_returnflag = 'R'").drop("l_returnflag")), G.fold_edges(log.where("l_returnflag <> 'R'").drop("l_returnflag")))
+    return merged.select("src_entity_id", "dst_entity_id", F.round("weight", 6).alias("weight"), "evidence_count", F.array_join("evidence_chunk_ids", ",").alias("evidence"))
+
+
 @query("SELECT chunk_id, CAST(sum(mention_count) AS BIGINT) AS score FROM entity_chunk WHERE entity_id <= 40 GROUP BY 1 ORDER BY score DESC, chunk_id LIMIT 20", "entity_chunk")
 def graph_chunks(t: Tables) -> DataFrame:
     return G.chunk_scores(t.entity_chunk(), F.col("entity_id") <= 40)
@@ -419,8 +498,8 @@ def entity_search(t: Tables) -> DataFrame:
 
 @query("SELECT entity_id, name, occurrence_count FROM entity WHERE (name ILIKE '%a%' OR array_to_string(aliases, ',') ILIKE '%a%') AND type = (SELECT min(p_type) FROM part WHERE p_name ILIKE '%a%') ORDER BY occurrence_count DESC, entity_id LIMIT 50", "entity")
 def entity_search_by_type(t: Tables) -> DataFrame:
-    least = t.raw("part").where(F.col("p_name").ilike("%a%")).agg(F.min("p_type")).first()[0]
-    return S.search_entities(t.entity(), "a", least).select("entity_id", "name", "occurrence_count")
+    least = t.raw("part").where(F.col("p_name").ilike("%a%")).agg(F.min("p_type").alias("least_type"))
+    return S.search_entities(t.entity().crossJoin(F.broadcast(least)), "a", F.col("least_type")).select("entity_id", "name", "occurrence_count")
 
 
 @query("SELECT entity_id, trim(name) || ' | ' || trim(aliases[1]) AS text FROM entity WHERE is_active", "entity")
@@ -510,31 +589,59 @@ def search_audit(t: Tables) -> DataFrame:
 @query("SELECT query_id, string_agg(DISTINCT doc_id || '/' || page, ' ' ORDER BY doc_id || '/' || page) AS citations FROM (SELECT query_id, h.doc_id, regexp_extract(chunk_text, 'page=(\\d+)', 1) AS page FROM hits h JOIN docs d ON d.doc_id = h.doc_id) GROUP BY 1", "hits", "docs")
 def citations(t: Tables) -> DataFrame:
     """The distinct pages of known documents that each query's hits name."""
-    rows = t.hits().join(t.docs().select("doc_id"), "doc_id").withColumn("page", X.meta_page(F.col("chunk_text")))
-    return rows.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws("/", "doc_id", "page"))), " ").alias("citations"))
+    cited = R.citations(t.hits(), t.docs())
+    return cited.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("/", "doc_id", "page_no"))), " ").alias("citations"))
+
+
+@query(
+    "SELECT DISTINCT query_id, h.doc_id, h.page AS page_no, coalesce(p.tables, '') AS tables, coalesce(p.figures, '') AS figures FROM (SELECT query_id, doc_id, CAST(regexp_extract(chunk_text, 'page=(\\d+)', 1) AS INTEGER) AS page FROM hits) h JOIN docs d ON d.doc_id = h.doc_id LEFT JOIN page_rows p ON p.doc_id = h.doc_id AND p.page_no = h.page",
+    "hits",
+    "docs",
+    "page_rows",
+)
+def cited_pages(t: Tables) -> DataFrame:
+    """The pages that are cited with their stored tables and figures."""
+    return R.cited_pages(R.citations(t.hits(), t.docs()), t.pages().select("doc_id", "page_no", "tables", "figures")).select("query_id", "doc_id", "page_no", "tables", "figures")
+
+
+@query(
+    "SELECT query_id, string_agg('[' || n || '] ' || title || ' | ' || source_uri, chr(10) ORDER BY n) AS lines FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY r, h.doc_id) AS n, coalesce(title, '(no title)') AS title, coalesce(source_uri, '') AS source_uri FROM (SELECT query_id, doc_id, min(rank) AS r FROM hits GROUP BY 1, 2) h LEFT JOIN docs d ON d.doc_id = h.doc_id) GROUP BY 1",
+    "hits",
+    "docs",
+)
+def source_lines(t: Tables) -> DataFrame:
+    return R.source_lines(R.sources(t.hits(), t.docs()))
 
 
 @query("SELECT conv_id AS query_id, list_aggregate(list_distinct_in_order, 'string_agg', ' ') AS terms FROM (SELECT conv_id, list(role ORDER BY f) AS list_distinct_in_order FROM (SELECT conv_id, role, min(turn) AS f FROM conversations GROUP BY 1, 2) GROUP BY 1)")
 def term_union(t: Tables) -> DataFrame:
     """Names in the order in which they come first, each once."""
-    lists = t.raw("conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("names"))
-    return lists.select(F.col("conv_id").alias("query_id"), F.array_join(F.array_distinct("names"), " ").alias("terms"))
+    named = R.first_named(t.raw("conversations"), "conv_id", "turn", "role")
+    return named.select(F.col("conv_id").alias("query_id"), F.array_join("terms", " ").alias("terms"))
+
+
+@query("SELECT conv_id AS query_id, sha256(any_value(t) || chr(10) || chr(10) || string_agg(role, ' ' ORDER BY f, role)) AS expanded FROM (SELECT conv_id, role, min(turn) AS f, 'question ' || conv_id AS t FROM conversations GROUP BY 1, 2) GROUP BY 1")
+def query_expansion(t: Tables) -> DataFrame:
+    """A question with the distinct names around it below."""
+    named = R.first_named(t.raw("conversations"), "conv_id", "turn", "role")
+    text = R.expanded_query(F.concat(F.lit("question "), F.col("conv_id")), F.slice("terms", 1, 1), F.col("terms"))
+    return named.select(F.col("conv_id").alias("query_id"), F.sha2(text, 256).alias("expanded"))
 
 
 @query(
     """SELECT b.item_id AS query_id, count(d.doc_id) AS relevant, count(d.doc_id) FILTER (d.source = 'src0') AS found FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY 1"""
 )
 def retrieval_evaluation(t: Tables) -> DataFrame:
-    """Relevant documents of each question, and those among a stand-in for the retrieved. All questions take part: in blocks
-    that are broadcast, with one pass over the documents each."""
-    asked = t.raw("benchmark").select(F.col("item_id").alias("query_id"), F.left("text", F.lit(60)).alias("begin"))
+    """Documents that hold each question's whole text, and those of them that the reader's application has. All questions take
+    part: in blocks that are broadcast, with one pass over the documents each."""
+    asked = t.raw("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     blocks = max(1, -(-asked.count() // QUESTIONS))
     found = []
     for k in range(blocks):
         block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
-        found.append(t.raw("documents").select("doc_id", "text").join(F.broadcast(block), F.contains("text", F.col("begin"))).select("query_id", "doc_id"))
+        found.append(t.raw("documents").select("doc_id", "text", "source").join(F.broadcast(block), F.contains("text", F.col("passage"))).select("query_id", "source"))
     pairs = reduce(DataFrame.unionByName, found)
-    hits = pairs.groupBy("query_id").agg(F.count("*").alias("relevant"), F.count(F.when(F.col("doc_id") < 500, 1)).alias("found"))
+    hits = pairs.groupBy("query_id").agg(F.count("*").alias("relevant"), F.count(F.when(F.col("source") == READER.app_id, 1)).alias("found"))
     zero = F.lit(0).cast("long")
     return t.raw("benchmark").select(F.col("item_id").alias("query_id")).join(hits, "query_id", "left").select("query_id", F.coalesce("relevant", zero).alias("relevant"), F.coalesce("found", zero).alias("found"))
 
@@ -548,20 +655,66 @@ def retrieval_evaluation(t: Tables) -> DataFrame:
 )
 def page_artefacts(t: Tables) -> DataFrame:
     """Pages with their table and figure artefacts where there are some."""
-    p, key = t.pages(), ["doc_id", "page_no"]
-    joined = p.select(*key).join(p.where("tables <> ''").select(*key, "tables"), key, "left").join(p.where("figures <> ''").select(*key, "figures"), key, "left")
-    return joined.select(*key, F.coalesce("tables", F.lit("")).alias("tables"), F.coalesce("figures", F.lit("")).alias("figures"))
+    p = t.pages().select(F.lit("app").alias("app_id"), F.col("doc_id").cast("string").alias("folder"), "page_no", "doc_id", "tables", "figures")
+    stored = {name: p.where(f"{name} <> ''").withColumn("content", F.col(name)) for name in ("tables", "figures")}
+    return files.page_assets(p.select("app_id", "folder", "page_no", "doc_id"), **stored).select("doc_id", "page_no", "tables", "figures")
+
+
+@query("SELECT doc_id, app_id || '/doc_' || doc_id || '/ocr/tab/doc_' || doc_id || '_page' || classification || '.txt' AS place, app_id || '/doc_' || doc_id || '/ocr/table_trans/doc_' || doc_id || '_page' || classification || '.txt' AS translated FROM docs", "docs")
+def artefact_keys(t: Tables) -> DataFrame:
+    folder = X.doc_folder(F.col("source_uri"), F.col("app_id"))
+    keys = [files.artefact_key(F.col("app_id"), folder, "table", F.col("classification"), late) for late in (False, True)]
+    return t.docs().select("doc_id", keys[0].alias("place"), keys[1].alias("translated"))
+
+
+@query("SELECT doc_id, CASE lower(trim(l)) WHEN 'zh' THEN 'ch' WHEN 'chinese' THEN 'ch' WHEN 'english' THEN 'en' WHEN 'arabic' THEN 'ar' ELSE lower(trim(l)) END AS language FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN ' Chinese' WHEN 1 THEN 'zh' WHEN 2 THEN 'English ' ELSE lang END AS l FROM documents)")
+def ocr_languages(t: Tables) -> DataFrame:
+    name = F.expr("CASE doc_id % 4 WHEN 0 THEN ' Chinese' WHEN 1 THEN 'zh' WHEN 2 THEN 'English ' ELSE lang END")
+    return t.raw("documents").select("doc_id", files.ocr_language(name).alias("language"))
+
+
+@query("SELECT doc_id, page_no, '## Table (Markdown) 1' || chr(10) || tables || chr(10) || chr(10) || '## Table (Markdown) 2' || chr(10) AS blocks FROM page_rows WHERE tables <> ''", "page_rows")
+def ocr_tables(t: Tables) -> DataFrame:
+    """The tables of a page reader's JSON answers, one of which has no markdown."""
+    table = F.struct(F.col("tables").alias("markdown"), F.array().cast("array<string>").alias("neighbor_texts"))
+    answer = F.to_json(F.struct(F.lit("t").alias("text"), F.array(table, F.struct(F.lit(None).cast("string").alias("markdown"), F.array().cast("array<string>").alias("neighbor_texts"))).alias("tables")))
+    return t.pages().where("tables <> ''").select("doc_id", "page_no", files.ocr_blocks(answer).alias("blocks"))
+
+
+@query("SELECT doc_id, sha256('<div dir=\"' || CASE WHEN lang = 'ar' THEN 'rtl' ELSE 'ltr' END || '\">' || replace(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;'), chr(10), '<br>') || '</div>') AS block FROM documents WHERE text IS NOT NULL".replace('\\"', '"'))
+def html_blocks(t: Tables) -> DataFrame:
+    docs = t.raw("documents").where("text is not null")
+    return docs.select("doc_id", F.sha2(X.html_block(F.col("text"), F.coalesce(F.col("lang") == "ar", F.lit(False))), 256).alias("block"))
 
 
 @query(
-    """, p AS (SELECT doc_id, page_no, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS n FROM page_rows WHERE doc_id = (SELECT max(doc_id) FROM documents)) SELECT doc_id, page_no FROM p WHERE n = 1""",
+    """SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, block, part) - 1 AS chunk_index, kind AS block_type, page_no, sha256('[[META type=' || kind || ' page=' || page_no || CASE WHEN kind = 'text' THEN '' ELSE ' caption=page ' || page_no END || ']]' || chr(10) || body) AS chunk_hash
+    FROM (SELECT doc_id, page_no, 0 AS block, 'text' AS kind, i AS part, substring(t, i * 3800 + 1, 4000) AS body
+        FROM (SELECT *, unnest(range(CASE WHEN length(t) <= 4000 THEN 1 ELSE CAST(ceil((length(t) - 200) / 3800.0) AS BIGINT) END)) AS i FROM (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM page_rows) WHERE length(t) > 0)
+      UNION ALL SELECT doc_id, page_no, 1, 'table', 0, tables FROM page_rows WHERE tables <> ''
+      UNION ALL SELECT doc_id, page_no, 2, 'figure', 0, figures FROM page_rows WHERE figures <> '')""",
+    "page_rows",
+)
+def captioned_chunks(t: Tables) -> DataFrame:
+    """The older form of chunks, with captions in their headers."""
+    kinds = [("text", "text"), ("Table", "tables"), ("figure", "figures")]
+    each = F.array(*(F.struct(F.lit(n).alias("block_no"), F.lit(kind).alias("block_type"), F.concat(F.lit("page "), F.col("page_no")).alias("caption"), F.col(c).alias("text")) for n, (kind, c) in enumerate(kinds)))
+    blocks = t.pages().select("doc_id", "page_no", F.inline(each))
+    return C.captioned_chunks(blocks).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "block_type", "page_no", F.sha2("chunk_text", 256).alias("chunk_hash"))
+
+
+@query(
+    """, newest AS (SELECT arg_max(doc_id, created_at) AS d FROM docs), v AS (SELECT arg_max(version_id, row(created_at, version_no)) AS version_id, max(version_no) AS version_no FROM doc_versions, newest WHERE doc_id = d)
+    SELECT doc_id, page_no, version_id, '[[META type=text page=' || page_no || ']]' || chr(10) || 'version ' || version_no AS chunk_text FROM page_rows, newest, v WHERE doc_id = d AND page_no = 1""",
+    "docs",
+    "doc_versions",
     "page_rows",
 )
 def page_review(t: Tables) -> DataFrame:
-    """The first page of the newest document."""
-    newest = S.find_docs(t.docs(), "doc_", 1).select("doc_id")
-    rows = t.pages().join(newest, "doc_id", "left_semi").withColumn("chunk_text", X.meta_header(F.lit("text"), F.col("page_no"))).withColumn("chunk_index", F.col("page_no"))
-    return S.page_chunks(rows, 1).select("doc_id", "page_no")
+    """A page of the newest document, in its latest version."""
+    header = F.concat(X.meta_header(F.lit("text"), F.col("page_no")), F.lit("\nversion "), F.col("version_no"))
+    chunks = t.pages().join(t.doc_versions().select("doc_id", "version_id", "version_no"), "doc_id").select("doc_id", "page_no", "version_id", F.col("page_no").alias("chunk_index"), header.alias("chunk_text"))
+    return S.page_review(t.docs(), t.doc_versions(), chunks, "doc_", 1).select("doc_id", "page_no", "version_id", "chunk_text")
 
 
 # Jobs and sessions
@@ -574,7 +727,13 @@ def pending_jobs(t: Tables) -> DataFrame:
 
 @query("SELECT job_id, job_type FROM jobs WHERE status = 'failed' ORDER BY created_at DESC, job_id LIMIT 50", "jobs")
 def job_list(t: Tables) -> DataFrame:
-    return t.jobs().where("status = 'failed'").orderBy(F.desc("created_at"), "job_id").limit(50).select("job_id", "job_type")
+    return M.listed(t.jobs(), "failed").select("job_id", "job_type")
+
+
+@query("SELECT job_id, CASE WHEN n <= 10 AND status = 'pending' THEN 'running' ELSE status END AS status, CASE WHEN n <= 10 AND status = 'pending' THEN 7 END AS started_at FROM (SELECT *, row_number() OVER (PARTITION BY status ORDER BY created_at, job_id) AS n FROM jobs)", "jobs")
+def claim_jobs(t: Tables) -> DataFrame:
+    """The first pending jobs become a worker's."""
+    return M.claim(t.jobs().withColumn("started_at", F.lit(None).cast("int")), F.lit(7)).select("job_id", "status", "started_at")
 
 
 @query("SELECT user_id AS job_id, arg_max(event_type, row(ts, event_id)) AS status, count(*) AS changes FROM events GROUP BY 1")
@@ -585,7 +744,7 @@ def job_status(t: Tables) -> DataFrame:
 
 @query("SELECT job_id, status, CAST(CASE status WHEN 'pending' THEN 0 WHEN 'running' THEN 50 WHEN 'done' THEN 100 ELSE 0 END AS INTEGER) AS progress FROM jobs", "jobs")
 def job_progress(t: Tables) -> DataFrame:
-    return t.jobs().select("job_id", "status", F.when(F.col("status") == "running", 50).when(F.col("status") == "done", 100).otherwise(0).alias("progress"))
+    return t.jobs().select("job_id", "status", M.progress(F.col("status")).alias("progress"))
 
 
 _LOST = "lost AS (SELECT * FROM entity_chunk WHERE chunk_id % 3 = 0)"
@@ -636,12 +795,11 @@ def patch_entity(t: Tables) -> DataFrame:
 
 @query("SELECT conv_id AS session_id, count(*) AS messages, sha256(string_agg(role || ':' || text, chr(10) ORDER BY turn, role, text)) AS content FROM conversations GROUP BY 1")
 def session_messages(t: Tables) -> DataFrame:
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.concat(x["role"], F.lit(":"), x["text"]))
-    return t.raw("conversations").groupBy(F.col("conv_id").alias("session_id")).agg(F.count("*").alias("messages"), F.sha2(F.array_join(ordered, "\n"), 256).alias("content"))
+    return J.session_contents(t.raw("conversations").withColumnRenamed("conv_id", "session_id")).withColumn("content", F.sha2("content", 256))
 
 
-@query("SELECT CAST(o_orderpriority AS VARCHAR) AS template, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) FILTER (o_orderstatus <> 'P') AS missing FROM orders GROUP BY 1")
+@query("SELECT o_orderkey AS template_id, o_orderstatus || ',P' || left(o_orderpriority, 1) AS names FROM orders")
 def placeholders(t: Tables) -> DataFrame:
-    """What a template names and a payload lacks."""
-    named = t.raw("orders").groupBy(F.col("o_orderpriority").alias("template")).agg(F.collect_set("o_orderstatus").alias("named"))
-    return named.select("template", F.array_join(F.array_sort(F.array_except("named", F.array(F.lit("P")))), ",").alias("missing"))
+    """What templates name, each once, in the order in which it comes first."""
+    template = F.concat(F.lit("To {{ "), F.col("o_orderstatus"), F.lit(" }} and {{P"), F.left("o_orderpriority", F.lit(1)), F.lit("}}, {not} {{"), F.col("o_orderstatus"), F.lit("}} {{ bad name }}"))
+    return t.raw("orders").select(F.col("o_orderkey").alias("template_id"), F.array_join(docgen.placeholders(template), ",").alias("names"))

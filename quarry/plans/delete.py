@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from quarry.context import AccessContext
 from quarry.functions import text as X
 from quarry.operators import maintenance as M
-from quarry.operators.search import latest_versions, vector_topk
+from quarry.operators.search import latest_versions, vector_topk, with_query
 from quarry.operators.security import secure
 from quarry.operators.store import TableStore
 from quarry.plans.ingest import stable_id
 
 
+#: Documents that a person can be asked to confirm.
+FOUND = 50
+
+
 def deletion_jobs(lost: DataFrame, app_id: str, now: Column) -> DataFrame:
     """A job for each document: its chunks and their mentions."""
     mention = F.struct(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("entity_id").cast("string").alias("entity_id"), F.col("mention_count").cast("int").alias("mention_count"))
@@ -29,9 +33,17 @@ def remove_prefix(spark: SparkSession, prefix: str) -> bool:
     return path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def delete_documents(store: TableStore, doc_ids: DataFrame, ctx: AccessContext, now: Column, object_root: str | None = None, all_versions: bool = True) -> int:
-    """Delete what the context sees of some documents, over all versions or the latest one's chunks for the graph; returns how many."""
+def delete_documents(store: TableStore, doc_ids: DataFrame, ctx: AccessContext, now: Column, object_root: str | None = None, all_versions: bool = True, confirm: list[str] | None = None) -> int:
+    """Delete what the context sees of some documents, over all versions or the latest one's chunks for the graph; returns how many.
+
+    confirm: the ids that whoever asks has seen and means, at most FOUND of them; where they are given and are not exactly
+    the documents that would go, nothing is deleted.
+    """
     seen = secure(store.read("docs"), ctx).join(doc_ids, "doc_id", "left_semi")
+    if confirm is not None:
+        ids = [r["doc_id"] for r in seen.select("doc_id").distinct().limit(FOUND + 1).collect()]
+        if sorted(ids) != sorted(set(confirm)):
+            raise ValueError("the confirmed documents are not those that would be deleted")
     versions = None
     if not all_versions:
         versions = latest_versions(store.read("doc_versions")).select("version_id")
@@ -43,6 +55,11 @@ def delete_documents(store: TableStore, doc_ids: DataFrame, ctx: AccessContext,
     return store.delete_docs(seen.select("doc_id"), ctx, deletion_jobs(lost, ctx.app_id, now))
 
 
-def diagnostics(chunks: DataFrame, query: Column) -> tuple[DataFrame, DataFrame]:
-    """(chunks by application and classification, the five most similar ones to a vector)."""
-    return chunks.groupBy("app_id", "classification").agg(F.count("*").alias("chunks")).orderBy("app_id", "classification"), vector_topk(chunks, query, 5, metric="cosine")
+def chunk_counts(chunks: DataFrame) -> DataFrame:
+    """Chunks by application and classification."""
+    return chunks.groupBy("app_id", "classification").agg(F.count("*").alias("chunks")).orderBy("app_id", "classification")
+
+
+def diagnostics(chunks: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chunk counts, the five most similar ones to the vector of a one-row table)."""
+    return chunk_counts(chunks), vector_topk(with_query(chunks, queries), F.col("query"), 5, metric="cosine")

@@ -76,6 +76,12 @@ def sessions(messages: DataFrame, ttl: int = TTL_SECONDS) -> DataFrame:
     return messages.groupBy("session_id").applyInPandasWithState(_session_step(ttl), out, "messages string", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def session_contents(messages: DataFrame) -> DataFrame:
+    """(session_id, messages, content) of messages (session_id, turn, role, text) that are there: the batch form of `sessions`."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.concat(x["role"], F.lit(":"), x["text"]))
+    return messages.groupBy("session_id").agg(F.count("*").alias("messages"), F.array_join(ordered, "\n").alias("content"))
+
+
 def run_jobs(jobs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(job_id, status, at) log rows of jobs that were worked on: running, then done, or failed where `work` gives ok = false."""
     done = work(jobs).select("job_id", F.when(F.col("ok"), "done").otherwise("failed").alias("status"), F.lit(2).alias("step"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -177,25 +179,50 @@ def basic_stats(entities: DataFrame, edges: DataFrame, mentions: DataFrame) -> D
     return one.crossJoin(edges.agg(F.count("*").alias("edges"))).crossJoin(mentions.agg(F.count("*").alias("mentions")))
 
 
-def hybrid_entities(entities: DataFrame, queries: DataFrame, limit: int = 5, min_similarity: float | None = None) -> DataFrame:
+#: Queries with vectors that are broadcast at once.
+QUERY_BLOCK = 4096
+
+
+def names_like(entities: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, entity columns) of the distinct lower-case terms that an entity's name holds, % and _ being wildcards.
+
+    The first three letters of a term's longest literal run are looked up among the trigrams of the names, by an equi-join,
+    and LIKE decides. Terms without three literal letters in a row are few and are compared with all names.
+    """
+    low = F.lower("name")
+    runs = F.transform(F.split("term", "[%_]+"), lambda r: F.struct(F.length(r).alias("n"), r.alias("run")))
+    keyed = terms.select("term").distinct().withColumn("run", F.array_max(runs)).select("term", F.when(F.col("run.n") >= 3, F.left("run.run", F.lit(3))).alias("gram"))
+    grams = F.when(F.length(low) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3)))))
+    matches = F.like(low, F.concat(F.lit("%"), F.col("term"), F.lit("%")))
+    with_gram = entities.withColumn("gram", F.explode(grams)).join(keyed.where("gram is not null"), "gram").where(matches)
+    short = entities.crossJoin(F.broadcast(keyed.where("gram is null").select("term"))).where(matches)
+    columns = ["term", *entities.columns]
+    return with_gram.select(*columns).unionByName(short.select(*columns))
+
+
+def hybrid_entities(entities: DataFrame, queries: DataFrame, limit: int = 5, min_similarity: float | None = None, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, entity_id, score, found_by) of many queries (query_id, term, query): by name first, and only where that gives
     fewer than `limit`, by vector, too.
 
     A name scores 1 + 0.2 ln(occurrences + 1), a vector 0.7 similarity + 0.2 ln(occurrences + 1). The queries are a
-    stated set; candidates are cut to `limit` by query before anything is joined again.
+    stated set: each distinct term is looked up once, vectors are sent to the entities in blocks, and candidates are cut
+    to `limit` by term or query before anything is joined again.
     """
     active = entities.where("is_active")
-    pattern = F.concat(F.lit("%"), F.col("term"), F.lit("%"))
     log = F.lit(0.2) * F.ln(F.col("occurrence_count") + 1)
-    named = queries.select("query_id", "term").join(active, F.like(F.lower("name"), F.lower(pattern)))
-    by_count = Window.partitionBy("query_id").orderBy(F.desc("occurrence_count"), "entity_id")
-    named = named.withColumn("n", F.row_number().over(by_count)).where(F.col("n") <= limit).select("query_id", "entity_id", (1 + log).alias("score"), F.lit("name").alias("found_by"))
+    terms = queries.select("query_id", F.lower("term").alias("term"))
+    by_count = Window.partitionBy("term").orderBy(F.desc("occurrence_count"), "entity_id")
+    best_names = names_like(active.select("entity_id", "name", "occurrence_count"), terms).withColumn("n", F.row_number().over(by_count)).where(F.col("n") <= limit)
+    named = terms.join(best_names, "term").select("query_id", "entity_id", (1 + log).alias("score"), F.lit("name").alias("found_by"))
     have = named.groupBy("query_id").agg(F.count("*").alias("have"))
     short = queries.join(have, "query_id", "left").where(F.coalesce("have", F.lit(0)) < limit).select("query_id", "query")
     # Lengths are worked out once a row, not once a pair.
     asked = short.withColumn("query_length", F.sqrt(V.dot(F.col("query"), F.col("query"))))
     there = active.where("embedding is not null").withColumn("length", F.sqrt(V.dot(F.col("embedding"), F.col("embedding"))))
-    near = there.join(asked, F.lit(True)).withColumn("similarity", V.dot(F.col("embedding"), F.col("query")) / (F.col("length") * F.col("query_length")))
+    blocks = max(1, -(-asked.count() // block))
+    similarity = V.dot(F.col("embedding"), F.col("query")) / (F.col("length") * F.col("query_length"))
+    pairs_ = [there.crossJoin(F.broadcast(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k))).withColumn("similarity", similarity) for k in range(blocks)]
+    near = reduce(DataFrame.unionByName, pairs_)
     if min_similarity is not None:
         near = near.where(F.col("similarity") >= min_similarity)
     by_similarity = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "entity_id")

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from quarry.functions import chunking as C
 from quarry.functions import models as M
 from quarry.functions import text as X
 from quarry.operators import graph as G
+from quarry.operators import maintenance
 from quarry.operators import retrieval as R
 from quarry.operators import search as S
 from quarry.operators import security as Z
@@ -15,6 +17,7 @@ from quarry.plans import catalog, docgen
 from quarry.plans.chat import Services, chat, retrieve
 from quarry.plans.ingest import build_graph, ingest
 from quarry.plans.translate import translated_version
+from quarry.streaming import jobs as J
 
 
 def one(spark, expr, value, kind="string"):
@@ -195,6 +198,63 @@ def test_docgen(spark):
 def test_retrieval_evaluation_takes_every_question(spark, tmp_path):
     n = 10_300
     spark.range(n).selectExpr("id AS item_id", "concat('<', id, '>') AS text").write.parquet(f"{tmp_path}/benchmark.parquet")
-    spark.range(0, n, 100).selectExpr("id AS doc_id", "concat('on <', id, '> and <', id + 1, '>') AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(0, n, 100).selectExpr("id AS doc_id", "concat('on <', id, '> and <', id + 1, '>') AS text", "if(id < 500, 'src0', 'other') AS source").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(tuple(r) for r in catalog.QUERIES["retrieval_evaluation"](spark, str(tmp_path)).collect())
     assert got == [(i, int(i % 100 < 2), int(i % 100 < 2 and i < 500)) for i in range(n)]
+
+
+def test_edges_are_folded_without_repeated_evidence(spark):
+    log = spark.createDataFrame([("a", 1, 2, "t", 0.4, ["x", "y"]), ("a", 1, 2, "t", 0.5, ["y"]), ("a", 1, 2, "t", 0.4, []), ("a", 2, 1, "t", 0.1, [])], "app_id string, src_entity_id long, dst_entity_id long, edge_type string, weight double, evidence_chunk_ids array<string>")
+    got = {r.src_entity_id: (r.weight, r.evidence_count, r.evidence_chunk_ids) for r in G.fold_edges(log).collect()}
+    assert got == {1: (1.0, 3, ["x", "y"]), 2: (0.1, 1, [])}
+
+
+def test_pairs_of_entities(spark):
+    mentions = spark.createDataFrame([("a", c, e) for c, es in ((1, [3, 1, 2, 1]), (2, [1, 2]), (3, [5]), (4, [])) for e in es], "app_id string, chunk_id long, entity_id long")
+    got = {(r.src_entity_id, r.dst_entity_id): (r.weight, r.evidence_chunk_ids) for r in G.cooccurrence(mentions).collect()}
+    one, two = (0.5, [1]), (1.0, [1, 2])
+    assert got == {(1, 2): two, (2, 1): two, (1, 3): one, (3, 1): one, (2, 3): one, (3, 2): one}
+
+
+def test_backfill_gives_vectors_to_active_entities_without_one(spark):
+    rows = [(1, "one", ["a"], None, True, 3), (2, "two", [], [1.0, 0.0], True, 1), (3, "three", [], None, False, 1)]
+    entities = spark.createDataFrame(rows, "entity_id long, name string, aliases array<string>, embedding array<float>, is_active boolean, occurrence_count long")
+    model = M.HashedEmbedder(8)
+    got = {r.entity_id: r.embedding for r in maintenance.backfill(entities, model).collect()}
+    assert got[1] == pytest.approx(model.embed(["one | a"])[0].tolist()) and got[2] == [1.0, 0.0] and got[3] is None
+
+
+def test_one_query_vector_of_the_right_size(spark):
+    rows = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 1.0]), (3, None)], "chunk_id long, embedding array<double>")
+    asked = rows.where("chunk_id = 1").select("embedding")
+    assert [r.chunk_id for r in S.vector_topk(S.with_query(rows, asked, dim=2), F.col("query")).collect()] == [1, 2]
+    assert S.vector_topk(S.with_query(rows, asked.limit(0)), F.col("query")).count() == 0
+    for bad in (S.with_query(rows, rows.select("embedding")), S.with_query(rows, asked, dim=3)):
+        with pytest.raises(Exception, match="query vector|dimension"):
+            S.vector_topk(bad, F.col("query")).collect()
+
+
+def test_roles(spark):
+    with pytest.raises(ValueError, match="role"):
+        AccessContext("a", 1, role="king")
+    rows = spark.createDataFrame([("a", 3)], "app_id string, classification int")
+    with pytest.raises(PermissionError):
+        Z.check_writes(rows, AccessContext("a", 1, role="reader"))
+    assert Z.check_writes(rows, AccessContext("a", 1)).count() == 1  # above the writer's clearance, but of the application
+    assert Z.open_bases(rows.withColumnRenamed("classification", "required_clearance"), AccessContext("a", None)).count() == 0
+
+
+def test_batches_of_sessions_and_sources(spark):
+    messages = spark.createDataFrame([(1, 1, "assistant", "b"), (1, 0, "user", "a"), (2, 0, "user", "c")], "session_id long, turn long, role string, text string")
+    assert {r.session_id: (r.messages, r.content) for r in J.session_contents(messages).collect()} == {1: (2, "user:a\nassistant:b"), 2: (1, "user:c")}
+    sources = spark.createDataFrame([(1, 2, "", "u2"), (1, 1, "T", "u1")], "query_id long, source_no int, title string, source_uri string")
+    assert R.source_lines(sources).first().lines == "[1] T | u1\n[2] (no title) | u2"
+
+
+def test_names_like_terms(spark):
+    names = ["Alpha beta", "alp", "BETA", "a_b", "xbe%ta", "", None, "al"]
+    entities = spark.createDataFrame(list(enumerate(names)), "entity_id long, name string")
+    terms = ["beta", "al", "a_b", "be%ta", "alpha beta gamma", "", "p_a", "et"]
+    got = {(r.term, r.entity_id) for r in G.names_like(entities, spark.createDataFrame([(t,) for t in [*terms, *terms]], "term string")).collect()}
+    pattern = lambda t: re.compile(".*" + re.escape(t).replace("%", ".*").replace("_", ".") + ".*", re.S)
+    assert got == {(t, i) for t in terms for i, n in enumerate(names) if n is not None and pattern(t).fullmatch(n.lower())}

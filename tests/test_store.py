@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 
 from quarry.config import Config
 from quarry.context import AccessContext
+from quarry.functions.models import HashedEmbedder
 from quarry.operators import ivf
-from quarry.operators.store import Conflict, TableStore, change_audit
+from quarry.operators.store import Conflict, TableStore, change_audit, reviewed_chunks
 from quarry.plans.delete import delete_documents
+from quarry.sources.objects import ObjectStore
 from quarry.streaming import jobs as J
 
 NOW = "timestamp'2024-01-01'"
@@ -113,6 +115,31 @@ def test_of_two_writers_one_fails_and_appends_both_count(spark, tmp_path):
     assert len(store.current("docs")) == 1 and store.read("docs").count() == 3
 
 
+def test_deletion_is_confirmed_and_clears_objects(spark, tmp_path):
+    store = fill(spark, tmp_path / "tables")
+    ids, ctx = spark.createDataFrame([("d1",), ("d2",)], "doc_id string"), AccessContext("a", 3)
+    for wrong in ([], ["d1"], ["d1", "d2", "d3"]):
+        with pytest.raises(ValueError, match="confirmed"):
+            delete_documents(store, ids, ctx, F.expr(NOW), confirm=wrong)
+    assert store.read("docs").count() == 3
+    assert delete_documents(store, ids, ctx, F.expr(NOW), confirm=["d2", "d1"]) == 2
+    assert store.read("graph_job").count() == 1 and [r.doc_id for r in store.read("docs").collect()] == ["d3"]
+    objects = ObjectStore(spark, f"{tmp_path}/objects")
+    objects.put("b/x", "1")
+    objects.put("c/x", "1")
+    assert store.clear_app("b", objects.root) == 1 and not objects.exists("b/x") and objects.exists("c/x")
+
+
+def test_reviewed_chunks_follow_their_texts(spark):
+    chunks = spark.createDataFrame([("c1", "old", "h", [1.0]), ("c2", "other", "h", [1.0])], "chunk_id string, chunk_text string, chunk_hash string, embedding array<float>")
+    changes = spark.createDataFrame([("c1", " new ")], "chunk_id string, new_text string")
+    kept = {r.chunk_id: r for r in reviewed_chunks(chunks, changes).collect()}
+    assert kept["c1"].chunk_text == "new" and kept["c1"].embedding == [1.0] and kept["c2"].chunk_hash == "h"
+    model = HashedEmbedder(4)
+    again = {r.chunk_id: r.embedding for r in reviewed_chunks(chunks, changes, model).collect()}
+    assert again["c1"] == pytest.approx(model.embed(["new"])[0].tolist()) and again["c2"] == [1.0]
+
+
 def test_summaries_are_replaced_and_touched(spark, tmp_path):
     store = fill(spark, tmp_path)
     ctx = AccessContext("a", 2)

@@ -71,8 +71,8 @@ def format_chats(turns: DataFrame, template: Template | None = None, *, conv_col
     first_bad_turn (its place, from 0).
 
     Turns are taken by their number, then role and text; repeated rows stay. A null text or role is empty, a null
-    number comes first, and turns without a conversation are one together. A conversation out of order is formatted
-    like any other and marked.
+    number comes first, and a turn without a conversation is one by itself. A conversation out of order is formatted like
+    any other and marked.
     """
     template = template or Template()
     rows = turns.select(
@@ -82,8 +82,9 @@ def format_chats(turns: DataFrame, template: Template | None = None, *, conv_col
             F.coalesce(F.col(f"`{role_col}`").cast("string"), F.lit("")).alias("role"),
             F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
         ).alias("row"),
+        F.when(F.col(f"`{conv_col}`").isNull(), F.monotonically_increasing_id()).alias("alone"),
     )
-    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("row")).alias("turns"))
+    grouped = rows.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("row")).alias("turns"))
     segments = F.flatten(
         F.transform(
             "turns",

@@ -47,7 +47,7 @@ CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS lo
 sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
 CAST(sum(length('<|im_start|><|im_sep|><|im_end|>') + length(role) + length(text) + length(regexp_replace(role || text, '[^<\[\\]', '', 'g'))) AS BIGINT) AS formatted_chars,
 regexp_full_match(string_agg(role, ',' ORDER BY turn, role, text), '(system,)?user,assistant(,user,assistant)*') AS in_order
-FROM t GROUP BY conv_id
+FROM (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM t) GROUP BY conv_id, alone
 """
 
 ORACLES: dict[str, str] = {"op1_substring_dedup": _OP1, "op3_suffix_array_dedup": _OP3, "op5_decontamination": _OP5, "op8_chat_formatting": _OP8}

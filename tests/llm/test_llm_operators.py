@@ -194,6 +194,17 @@ def test_simhash(docs, spark):
     assert simhash.deduplicate(docs).columns == docs.columns
 
 
+def test_simhash_of_odd_rows(odd):
+    """Rows stay apart; null ids count in no minimum; of each group one row stays, one without an id only where none has one."""
+    rows = simhash.near_duplicates(odd).collect()
+    prints = {i: int(simhash.fingerprints_of([t])[0]) for i, t in corpus()[:4]}
+    assert prints[0] == prints[1] and len(rows) == odd.count()
+    assert sorted((r.doc_id is None, r.doc_id, r.component_id) for r in rows if r.doc_id is not None) == [(False, 0, 0), (False, 0, 0), (False, 1, 0), (False, 1, 0), (False, 2, 0), (False, 3, 3)]
+    assert sorted(str(r.component_id) for r in rows if r.doc_id is None) == ["0", "None"]
+    left = [(r.doc_id, r.text) for r in simhash.deduplicate(odd).collect()]
+    assert sorted(left, key=str) == sorted([(0, corpus()[0][1]), (3, corpus()[3][1]), (None, None)], key=str)
+
+
 def test_simhash_links_chains(spark):
     values = [0b0, 0b11, 0b1111, 0b1111 << 20, 0b111 << 20, 1 << 40]
     rows = spark.createDataFrame([(v,) for v in values], "bits long")
@@ -293,6 +304,31 @@ def test_packing(docs, spark):
         packing.pieces(docs, vocabulary=byte_bpe_path(), length=100)
 
 
+def test_packing_of_odd_rows(odd, spark):
+    rows = packing.pack(odd, vocabulary=byte_bpe_path()).collect()
+    assert sorted(r.sequence_id for r in rows) == list(range(len(rows)))
+    assert sum(r.length for r in rows if r.start == 0 and r.doc_id is None) >= 2 and sum(r.start == 0 for r in rows) == odd.count()
+    many = spark.createDataFrame([(None, "a b c")] * 3000, "doc_id long, text string")
+    got = packing.pack_index(many, vocabulary=byte_bpe_path())
+    assert got.count() == 3000 and got.agg(F.max("sequence_id"), F.count_distinct("sequence_id")).first() == (2999, 3000)
+
+
+def test_very_long_texts(spark):
+    """Texts of over a slice: a passage and a benchmark item in them are found like in any other."""
+    rng = random.Random(13)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    shared, item = say(60), say(20)
+    rows = [(1, f"{say(100_000)} {shared} {say(60_000)}"), (2, f"x {shared} y"), (3, f"{say(90_000)} {item} {say(70_000)}")]
+    assert all(len(t) > words.SLICE_BYTES for i, t in rows if i != 2)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    removed = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(df).select("doc_id", "n_words", "n_removed").collect()}
+    assert removed == {1: (160_060, 0), 2: (62, 60), 3: (160_020, 0)}
+    spans = {r.doc_id: [tuple(x) for x in r.spans] for r in suffix_dedup.repeated_passages(df).collect()}
+    assert spans == {1: [(100_000, 100_060)], 2: [(1, 61)]}
+    found = {r.doc_id: [tuple(m) for m in r.matches] for r in decontaminate.matches(df, spark.createDataFrame([("i", item)], "item_id string, text string")).collect()}
+    assert found == {1: [], 2: [], 3: [("i", 90_000, 0, 20)]}
+
+
 def test_decontamination(docs, odd, spark):
     shared = corpus()[14][1]
     items = spark.createDataFrame([(1, shared), (2, "nothing of this kind"), (3, None), (3, ""), (None, "be")], "item_id long, text string")
@@ -371,13 +407,14 @@ def test_sharding_of_nothing(spark):
 
 
 def test_chat(spark):
-    rows = [(1, 0, "user", r"</s>[INST] \ok\ [/INST]<|im_end|>"), (1, 1, "assistant", None), (1, 1, "assistant", None), (2, 0, "system", "s"), (2, 2, "assistant", "A"), (2, 1, "user", "u"), (3, 0, "<|x", "y"), (None, None, None, "z")]
+    rows = [(1, 0, "user", r"</s>[INST] \ok\ [/INST]<|im_end|>"), (1, 1, "assistant", None), (1, 1, "assistant", None), (2, 0, "system", "s"), (2, 2, "assistant", "A"), (2, 1, "user", "u"), (3, 0, "<|x", "y"), (None, None, None, "z"), (None, 1, "user", "w")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     out = chat.format_chats(df).withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("loss", chat.read_loss(F.col("segments")))
+    assert sorted([tuple(t) for t in r.turns] for r in out.where("conv_id is null").collect()) == [[("", "z")], [("user", "w")]]
     got = {r.conv_id: r for r in out.collect()}
     assert [tuple(t) for t in got[1].turns] == [("user", rows[0][3]), ("assistant", ""), ("assistant", "")]
     assert [tuple(t) for t in got[2].turns] == [("system", "s"), ("user", "u"), ("assistant", "A")] and got[2].loss == "A"
-    assert [tuple(t) for t in got[3].turns] == [("<|x", "y")] and [tuple(t) for t in got[None].turns] == [("", "z")]
+    assert [tuple(t) for t in got[3].turns] == [("<|x", "y")]
     assert (got[1].in_order, got[1].first_bad_turn, got[2].in_order, got[3].first_bad_turn) == (False, 2, True, 0)
     inside = got[1].formatted.removeprefix("<|im_start|>user<|im_sep|>").split("<|im_end|>")[0]
     assert not re.search(r"<\||</s>|\[INST|\[/INST", inside)
@@ -437,8 +474,25 @@ def test_nearest_neighbours_over_cells(spark):
     assert hits / (10 * len(got)) >= 0.98
 
 
+def test_chat_columns_with_clashing_names_and_long_conversations(spark):
+    turns = [(7, n, "user" if n % 2 == 0 else "assistant", f"t{n} <s>", 0, "x", "y") for n in range(3000)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, alone int, row string, turns string")
+    r = chat.format_chats(df).withColumn("back", chat.read_turns(F.col("formatted"))).first()
+    assert [tuple(t) for t in r.back] == [(x[2], x[3]) for x in turns] and r.in_order
+
+
+def test_language_id_of_no_documents_and_clashing_names(spark):
+    rows = [(i, "la mi so la mi " * 20, "aa", 0.5, True, "p", 1) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, rejected boolean, draw string, share int")
+    models = language_id.train(df)
+    assert language_id.classify(df.limit(0), models).count() == 0 and language_id.train(df.limit(0)).languages == []
+    assert language_id.classify(df, models).columns == ["doc_id", "lang_pred", "score", "nats_per_char", "rejected"]
+    assert language_id.keep_known(df, models).columns == df.columns
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
+    assert packing.pack(none, vocabulary=byte_bpe_path()).count() == 0 == simhash.deduplicate(none).count() == suffix_dedup.deduplicate(none).count()
     assert substring_dedup.remove_repeats(none).count() == 0
     assert suffix_dedup.repeated_passages(none).count() == 0
     assert simhash.near_duplicates(none).count() == 0

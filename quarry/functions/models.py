@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
-from typing import Protocol
+from typing import ClassVar, Protocol
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,26 @@ class Translator(Protocol):
     def translate(self, text: str, language: str) -> str: ...
 
 
+class PerWorker:
+    """A model that each Python worker makes for itself when it first asks it, and keeps for later tasks. Only its name and how it
+    is made are sent; models of one name are the same."""
+
+    held: ClassVar[dict[str, object]] = {}
+
+    def __init__(self, name: str, make: Callable[[], object]):
+        self.name, self.make = name, make
+
+    def __reduce__(self):
+        return PerWorker, (self.name, self.make)
+
+    def __getattr__(self, attribute: str):
+        if attribute.startswith("__"):
+            raise AttributeError(attribute)
+        if self.name not in PerWorker.held:
+            PerWorker.held[self.name] = self.make()
+        return getattr(PerWorker.held[self.name], attribute)
+
+
 @dataclass
 class HashedEmbedder:
     """Counts of character trigrams in hashed places, of length 1."""
@@ -95,7 +116,7 @@ class MarkingTranslator:
 
 
 def embed(model: Embedder):
-    """An Arrow-batched function from texts to vectors; the model is sent along and set up once a worker."""
+    """An Arrow-batched function from texts to vectors; the model is sent along (wrap a large one in `PerWorker`)."""
 
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:

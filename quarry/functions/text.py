@@ -94,6 +94,20 @@ def cut(text: Column, most: int, mark: str) -> Column:
     return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit(mark))).otherwise(text)
 
 
+#: The long edge of a page's picture for a reader, and the zooms between which it is fitted to that.
+LONG_EDGE, LEAST_ZOOM, MOST_ZOOM = 1280, 0.8, 2.0
+
+
+def page_zoom(width: Column, height: Column) -> Column:
+    """How far a page of some points is enlarged for a reader."""
+    return F.greatest(F.lit(LEAST_ZOOM), F.least(F.lit(MOST_ZOOM), F.lit(float(LONG_EDGE)) / F.greatest(width, height, F.lit(1))))
+
+
+def data_url(content: Column, kind: str = "image/png") -> Column:
+    """A picture's bytes as they stand in a page."""
+    return F.concat(F.lit(f"data:{kind};base64,"), F.replace(F.base64(content), F.lit("\r\n"), F.lit("")))
+
+
 def html_block(text: Column, right_to_left: Column) -> Column:
     """Text as an HTML block: escaped, with breaks and a direction."""
     body = text

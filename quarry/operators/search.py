@@ -61,8 +61,10 @@ def search_entities(entities: DataFrame, term: str = "", entity_type: str | Colu
     return out.orderBy(F.desc("occurrence_count"), "entity_id").limit(limit)
 
 
-def find_docs(docs: DataFrame, folder: str, limit: int = 10) -> DataFrame:
-    """Documents whose title or place holds the folder's name, the newest first."""
+def find_docs(docs: DataFrame, folder: str, limit: int = 10, app_id: str | None = None) -> DataFrame:
+    """Documents, of one application or all that are given, whose title or place holds the folder's name, the newest first."""
+    if app_id is not None:
+        docs = docs.where(F.col("app_id") == app_id)
     if not folder.strip():
         raise ValueError("a folder is needed")
     pattern = X.like_pattern(folder.strip())

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.context import AccessContext
 from quarry.functions import chunking as C
+from quarry.functions import models as MO
 from quarry.functions import text as X
 from quarry.operators import graph as G
 from quarry.operators import maintenance as M
@@ -158,6 +159,11 @@ def docs_find_ilike(t: Tables) -> DataFrame:
     return S.find_docs(t.docs(), "DOC_1").select("doc_id", "title", "created_at")
 
 
+@query("SELECT doc_id, title FROM docs WHERE app_id = 'src0' AND (title ILIKE '%doc_%' OR source_uri ILIKE '%doc_%') ORDER BY created_at DESC NULLS LAST, doc_id LIMIT 10", "docs")
+def docs_find_in_app(t: Tables) -> DataFrame:
+    return S.find_docs(t.docs(), "doc_", app_id=READER.app_id).select("doc_id", "title")
+
+
 @query(
     """SELECT doc_id, version_id, max_version_no FROM (SELECT doc_id, version_id, max(version_no) OVER (PARTITION BY doc_id) AS max_version_no,
     row_number() OVER (PARTITION BY doc_id ORDER BY created_at DESC NULLS LAST, version_no DESC) AS n FROM doc_versions) WHERE n = 1""",
@@ -509,6 +515,23 @@ def embedding_backfill(t: Tables) -> DataFrame:
     return M.backfill_texts(without).select("entity_id", "text")
 
 
+@query(
+    """SELECT p_partkey AS part_id, CAST(CASE WHEN p_size > 25 THEN 2 ELSE 1 END AS INTEGER) AS entities, trim(p_name) AS first_name, CASE WHEN p_size % 2 = 0 THEN 'high' ELSE 'medium' END AS confidence,
+    CASE WHEN p_size > 25 THEN p_brand || ',b' ELSE '' END AS aliases FROM part"""
+)
+def entities_from_answers(t: Tables) -> DataFrame:
+    """Entities in a model's answers: an array with words around it, or one object; nameless ones go, odd fields are put right."""
+    name, brand = (F.get_json_object(F.to_json(F.struct(F.col(c).alias("x"))), "$.x") for c in ("p_name", "p_brand"))
+    level = F.when(F.col("p_size") % 2 == 0, "HIGH").otherwise("sure")
+    one = F.to_json(F.struct(F.concat(F.lit(" "), name).alias("name"), F.lit("part").alias("type"), F.lit("none").alias("aliases"), level.alias("confidence")))
+    full = F.to_json(F.struct(name.alias("name"), F.lit("part").alias("type"), F.array(brand, F.lit("b")).alias("aliases"), level.alias("confidence")))
+    many = F.concat(F.lit("Found: ["), full, F.lit(', {"name": " ", "type": "x"}, {"name": "n", "type": "x"}]. That is all.'))
+    found = MO.entities_from_json(F.when(F.col("p_size") > 25, many).otherwise(F.concat(F.lit("It is "), one)))
+    rows = t.raw("part").select(F.col("p_partkey").alias("part_id"), found.alias("found"))
+    first = F.col("found")[0]
+    return rows.select("part_id", F.size("found").alias("entities"), first["name"].alias("first_name"), first["confidence"].alias("confidence"), F.array_join(first["aliases"], ",").alias("aliases"))
+
+
 # Retrieval
 
 
@@ -717,6 +740,13 @@ def page_review(t: Tables) -> DataFrame:
     return S.page_review(t.docs(), t.doc_versions(), chunks, "doc_", 1).select("doc_id", "page_no", "version_id", "chunk_text")
 
 
+@query("SELECT doc_id, 'data:image/png;base64,' || to_base64(encode(left(text, 200))) AS url, round(greatest(0.8, least(2.0, 1280.0 / greatest(length(text), 600, 1))), 9) AS zoom FROM documents WHERE text IS NOT NULL")
+def page_pictures(t: Tables) -> DataFrame:
+    """Data addresses and zooms, with texts in the place of pictures and their lengths in that of widths."""
+    rows = t.raw("documents").where("text is not null")
+    return rows.select("doc_id", X.data_url(F.left("text", F.lit(200)).cast("binary")).alias("url"), F.round(X.page_zoom(F.length("text"), F.lit(600)), 9).alias("zoom"))
+
+
 # Jobs and sessions
 
 

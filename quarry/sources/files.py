@@ -15,7 +15,7 @@ from quarry.sources import layout, office, pdf
 
 PAGES = "doc_key string, path string, page_no int, text string, tables string, figures string, png_bytes binary, error string"
 #: Fixed values.
-HINT_CAP, RENDER_EDGE = 4000, 1280
+HINT_CAP = 4000
 ALIASES = {"jpeg": "jpg", "xls": "xlsx"}
 
 

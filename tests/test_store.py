@@ -1,11 +1,14 @@
 import json
+import pickle
+import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.config import Config
 from quarry.context import AccessContext
-from quarry.functions.models import HashedEmbedder
+from quarry.functions.models import HashedEmbedder, PerWorker, embed
 from quarry.operators import ivf
 from quarry.operators.store import Conflict, TableStore, change_audit, reviewed_chunks
 from quarry.plans.delete import delete_documents
@@ -212,3 +215,31 @@ def test_cells(spark):
     centre = ivf.centres(rows, 4)
     found = ivf.search(ivf.assign(rows, centre), centre, [0.0, 3.0], 2, n_probe=4)
     assert [r.chunk_id for r in found.orderBy("rank").collect()] == [4, 0]
+
+
+def test_recall_of_the_inverted_file(spark):
+    """Clusters and vectors without structure: with a quarter and three quarters of the cells nine in ten neighbours are found."""
+    rng = np.random.default_rng(3)
+    shapes = {"clusters": (np.repeat(rng.normal(size=(20, 8)), 30, 0) + 0.1 * rng.normal(size=(600, 8)), 4), "none": (rng.normal(size=(600, 8)), 12)}
+    for flat, probes in shapes.values():
+        rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(flat)], "chunk_id long, embedding array<double>")
+        centre = ivf.centres(rows, 16).cache()
+        assigned, hits = ivf.assign(rows, centre).cache(), 0
+        for i in range(0, 600, 60):
+            true = set(np.argsort(((flat - flat[i]) ** 2).sum(1), kind="stable")[:10].tolist())
+            hits += len(true & {r.chunk_id for r in ivf.search(assigned, centre, flat[i].tolist(), 10, n_probe=probes).collect()})
+        assert hits >= 90
+
+
+def test_a_model_is_made_once_a_worker(spark):
+    def make():
+        model = HashedEmbedder(4)
+        model.made = uuid.uuid4().hex
+        return model
+
+    held = PerWorker(f"test-{uuid.uuid4().hex}", make)
+    again = pickle.loads(pickle.dumps(PerWorker(held.name, HashedEmbedder)))
+    assert held.made == held.made and again.dim == 4 and again.made == held.made
+    rows = spark.createDataFrame([("a",), ("b",)], "t string")
+    wide = PerWorker("test-wide", HashedEmbedder)
+    assert {len(r.v) for r in rows.select(embed(wide)("t").alias("v")).collect()} == {64}

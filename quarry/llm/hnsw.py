@@ -401,9 +401,12 @@ def _searcher(k: int, beam: int):
 
 
 def _length(step: np.ndarray) -> np.ndarray:
-    """Euclidean lengths, also where squares leave the range of numbers."""
+    """Euclidean lengths, the squares added from the first to the last, also where they leave the range of numbers."""
+    out = np.zeros(len(step))
     with np.errstate(over="ignore"):
-        out = np.sqrt((step**2).sum(1))
+        for column in step.T:
+            out += column * column
+        out = np.sqrt(out)
     odd = ~np.isfinite(out)
     if odd.any():
         most = np.abs(step[odd]).max(1)

@@ -50,4 +50,13 @@ regexp_full_match(string_agg(role, ',' ORDER BY turn, role, text), '(system,)?us
 FROM (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM t) GROUP BY conv_id, alone
 """
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": _OP1, "op3_suffix_array_dedup": _OP3, "op5_decontamination": _OP5, "op8_chat_formatting": _OP8}
+#: The exact neighbours: equal to what the graphs find where these miss none.
+_OP10 = """
+WITH v AS (SELECT vec_id, e FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL)
+  WHERE len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+near AS (SELECT q.vec_id AS query_id, v.vec_id, sqrt(list_sum(list_transform(list_zip(v.e, q.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS score
+  FROM v AS q, v WHERE q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id AND len(v.e) = len(q.e))
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM near) WHERE rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op1_substring_dedup": _OP1, "op3_suffix_array_dedup": _OP3, "op5_decontamination": _OP5, "op8_chat_formatting": _OP8, "op10_hnsw": _OP10}

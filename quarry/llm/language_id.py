@@ -38,8 +38,9 @@ TABLE_BYTES = 64 << 20
 #: Characters whose difference in cross-entropy the score weighs.
 EVIDENCE_CHARS = 10
 #: The limit is WAY of the way from MARGIN times this quantile of the deviations of own texts to that quantile of those of other
-#: languages' texts, of FOREIGN_CHARS characters and FOREIGN_TEXTS of them at least; without them it is LIMIT. A language
-#: that was never seen may be nearer than those that were, so it is not the middle.
+#: languages' texts, of FOREIGN_CHARS characters and FOREIGN_TEXTS of them at least. It is LIMIT at least: among the others
+#: there are texts of mixed languages, which draw it down. A language that was never seen may be nearer than those that
+#: were, so it is not the middle.
 OWN, MARGIN, FOREIGN, FOREIGN_CHARS, FOREIGN_TEXTS, WAY, LIMIT = 0.999, 1.25, 0.05, 200, 20, 0.25, 6.0
 #: The deviation between texts counts as this many nats a character at least, and 1 for a single character.
 LEAST_SPREAD = 0.1
@@ -217,7 +218,7 @@ class LanguageModels:
             if len(theirs) >= FOREIGN_TEXTS and np.isfinite(self.spread[k, 2]):
                 v, c, _ = self.spread[k]
                 limit = float(np.quantile((h_other[theirs] - self.mean[k]) / np.sqrt(v + c / n[theirs]), FOREIGN))
-                self.spread[k, 2] = furthest[k] + max(0.0, WAY * (limit - furthest[k]))
+                self.spread[k, 2] = max(LIMIT, furthest[k] + max(0.0, WAY * (limit - furthest[k])))
 
     def predict(self, texts: list[str], index: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """(language, score, nats per character, rejected) of each text."""

@@ -711,7 +711,7 @@ def html_blocks(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, block, part) - 1 AS chunk_index, kind AS block_type, page_no, sha256('[[META type=' || kind || ' page=' || page_no || CASE WHEN kind = 'text' THEN '' ELSE ' caption=page ' || page_no END || ']]' || chr(10) || body) AS chunk_hash
+    r"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, block, part) - 1 AS chunk_index, kind AS block_type, page_no, sha256('[[META type=' || kind || ' page=' || page_no || CASE WHEN kind = 'text' THEN '' ELSE ' caption=page ' || page_no END || ']]' || chr(10) || body) AS chunk_hash
     FROM (SELECT doc_id, page_no, 0 AS block, 'text' AS kind, i AS part, substring(t, i * 3800 + 1, 4000) AS body
         FROM (SELECT *, unnest(range(CASE WHEN length(t) <= 4000 THEN 1 ELSE CAST(ceil((length(t) - 200) / 3800.0) AS BIGINT) END)) AS i FROM (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM page_rows) WHERE length(t) > 0)
       UNION ALL SELECT doc_id, page_no, 1, 'table', 0, tables FROM page_rows WHERE tables <> ''

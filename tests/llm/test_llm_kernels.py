@@ -326,7 +326,7 @@ def graph_recall(vectors, ids, step):
             got.setdefault(q, []).append((s, v))
     hits = 0
     for i in some:
-        d = np.sqrt(((vectors - vectors[i]) ** 2).sum(1))
+        d = np.sqrt(sum((vectors[:, j] - vectors[i, j]) ** 2 for j in range(vectors.shape[1])))  # added in order, as scores are
         d[i] = np.inf
         true = {(float(d[j]), int(ids[j])) for j in np.lexsort((ids, d))[:10]}
         hits += len(true & set(got[ids[i]][:10]))

@@ -436,7 +436,7 @@ def test_nearest_neighbours(spark):
     flat = np.array([x for _, x in rows[:430]])
     hits = 0
     for q in (0, 100, 200, 300, 1000):
-        d = np.sqrt(((flat - flat[ids == q]) ** 2).sum(1))
+        d = np.sqrt(sum((flat[:, j] - flat[ids == q][0, j]) ** 2 for j in range(flat.shape[1])))  # added in order, as scores are
         d[ids == q] = np.inf
         want = [(k, int(ids[j]), float(d[j])) for k, j in enumerate(np.lexsort((ids, d))[:10], 1)]
         hits += len({x[1:] for x in want} & {x[1:] for x in got[q]})

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, decontaminate, hnsw, language_id, packing, sharding, simhash, substring_dedup, suffix_dedup, token_output
+from quarry.llm import chat, decontaminate, filter_audit, hnsw, language_id, merkle, odd_sketch, packing, sharding, simhash, substring_dedup, suffix_dedup, token_output
 from quarry.llm.tokenizing import byte_bpe_path
 
 
@@ -96,6 +96,27 @@ def op10_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.search(hnsw.build_index(vectors), vectors.where("vec_id % 100 = 0"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    parts = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    tampered = merkle.leaf(*parts[:3], parts[3] + 1, parts[4])
+    changed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, tampered)
+    found = merkle.manifest(docs, carry={"changed": changed})
+    folded = merkle.fold(F.coalesce("changed", "leaf"), F.col("path"))
+    found = found.withColumns({"proof_sha256": merkle.proof_digest(F.col("path")), "folded_root": folded})
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_odd_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = odd_sketch.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", odd_sketch.kept(F.col("doc_id"), F.col("component_id")))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = filter_audit.cells(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return filter_audit.audit(cells, "ABCDE")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -109,5 +130,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_chat_formatting,
         op9_simhash_near_dedup,
         op10_hnsw,
+        op11_merkle_manifest,
+        op12_odd_sketch_near_dedup,
+        op13_filter_audit,
     )
 }

@@ -274,13 +274,6 @@ def context_truncate(t: Tables) -> DataFrame:
     return t.raw("documents").select("doc_id", X.cut(F.col("text"), 2000, "\n...(截断)").alias("context"))
 
 
-@query(None)
-def recursive_chunks(t: Tables) -> DataFrame:
-    """Cut at the coarsest separator that fits; the cut is sequential, so there is no SQL."""
-    cut = t.raw("documents").select("doc_id", F.posexplode(C.recursive_chunks(1000, 100)("text")).alias("chunk_index", "chunk_text"))
-    return cut.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.length("chunk_text").cast("long").alias("n_chars"), F.sha2("chunk_text", 256).alias("chunk_hash"))
-
-
 @query(
     r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM documents),
     p AS (SELECT doc_id, t, 1 AS page_no, 0 AS a, CASE WHEN length(t) <= 5000 THEN length(t) ELSE 5000 + CASE strpos(reverse(substring(t, 5001, 3000)), chr(10)) WHEN 0 THEN 0 ELSE length(substring(t, 5001, 3000)) - strpos(reverse(substring(t, 5001, 3000)), chr(10)) END END AS e FROM d

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators import by_application as A
+from quarry.operators import graph as G
 from quarry.operators import name_index, sketches
 from quarry.plans.catalog import query
 from quarry.plans.fixtures import Tables
+from quarry.sources import artefact_source
 from quarry.streaming import ingest, sessions
 from quarry.streaming.jobs import session_contents
 from quarry.streaming.runs import shared
@@ -86,3 +91,40 @@ def name_lookup(t: Tables) -> DataFrame:
     terms = part.select(F.explode(F.array(*(F.expr(k) for k in kinds))).alias("term")).distinct()
     found = name_index.lookup(index, terms)
     return found.join(t.entity().withColumn("low", F.lower("name")), F.col("low") == found["name"]).groupBy("term").agg(F.count("*").alias("entities"), F.min("entity_id").alias("first_id"))
+
+
+# Layout by application
+
+
+@query(
+    """WITH p AS (SELECT 'app' || (p_partkey % 5) AS app_id, p_name AS name, p_type AS type FROM part), old AS (SELECT DISTINCT app_id, name, type FROM p WHERE app_id <> 'app4'),
+    new AS (SELECT app_id, name, type, count(*) AS n, max('d' || l_orderkey) AS description FROM lineitem JOIN (SELECT *, 'app' || (p_partkey % 5) AS app_id, p_name AS name, p_type AS type FROM part) ON l_partkey = p_partkey WHERE app_id IN ('app1', 'app4') GROUP BY 1, 2, 3)
+    SELECT coalesce(old.app_id, new.app_id) AS app_id, coalesce(old.name, new.name) AS name, coalesce(old.type, new.type) AS type, coalesce(new.description, 'old') AS description, CASE WHEN old.name IS NULL THEN 0 ELSE 5 END + coalesce(n, 0) AS occurrence_count
+    FROM old FULL OUTER JOIN new ON old.app_id = new.app_id AND old.name = new.name AND old.type = new.type WHERE coalesce(old.app_id, new.app_id) <> 'app0'"""
+)
+def upsert_by_application(t: Tables) -> DataFrame:
+    """Upserts of two applications, one of them new, into a table of four, of which one is cleared then."""
+    key = ["app_id", "name", "type"]
+    part = t.raw("part").select(F.concat(F.lit("app"), F.col("p_partkey") % 5).alias("app_id"), F.col("p_name").alias("name"), F.col("p_type").alias("type"), "p_partkey")
+    table = f"entities_{uuid.uuid4().hex}"
+    stored = part.where("app_id <> 'app4'").select(*key).distinct().withColumns({"description": F.lit("old"), "occurrence_count": F.lit(5).cast("long")})
+    A.create(stored, table)
+    log = part.where("app_id in ('app1', 'app4')").join(t.raw("lineitem"), F.col("p_partkey") == F.col("l_partkey"))
+    description = F.concat(F.lit("d"), F.col("l_orderkey"))
+    folded = G.fold_entities(log.select(*key, description.alias("description"), description.alias("seq")), key, F.col("seq"))
+    A.upsert(t.spark, table, folded, lambda old, new: G.merge_entities(old, new, key))
+    A.clear(t.spark, table, "app0")
+    return t.spark.table(table).select(*key, "description", "occurrence_count")
+
+
+@query(
+    "SELECT doc_id, page_no, sha256(tables) AS content FROM page_rows WHERE tables <> '' AND doc_id % 4 IN (1, 2) AND page_no BETWEEN 3 AND 6",
+    "page_rows",
+)
+def stored_tables(t: Tables) -> DataFrame:
+    """Tables of pages stored as files, of which two applications' and some pages' are asked for."""
+    pages = t.pages().where("tables <> ''").select(F.concat(F.lit("app"), F.col("doc_id") % 4).alias("app_id"), F.concat(F.lit("doc_"), F.col("doc_id")).alias("folder"), "page_no", F.col("tables").alias("content"))
+    root = shared(t.spark, "artefacts")
+    artefact_source.write(pages, root, "table")
+    found = artefact_source.artefacts(t.spark, root, "table").where("app_id in ('app1', 'app2') and page_no >= 3 and page_no <= 6")
+    return found.select(F.substring_index("folder", "_", -1).cast("long").alias("doc_id"), F.col("page_no").cast("long").alias("page_no"), F.sha2("content", 256).alias("content"))

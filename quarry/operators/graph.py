@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions import vector as V
+from quarry.operators.name_index import NameIndex, build, lookup
+from quarry.operators.nearest import nearest
 
 CO_OCCURS, CO_OCCURS_WEIGHT = "co_occurs", 0.5
 
@@ -25,12 +24,28 @@ def cooccurrence(mentions: DataFrame, weight: float = CO_OCCURS_WEIGHT) -> DataF
     return both_ways(folded).withColumn("edge_type", F.lit(CO_OCCURS))
 
 
+#: Entities of a chunk that are paired with each other in one row; those of a larger chunk are cut into blocks of so many.
+PAIR_BLOCK = 256
+
+
 def pairs(mentions: DataFrame, *group: str) -> DataFrame:
-    """(*group, chunk_id, a, b) of the entities of a chunk, a < b, each pair once a chunk: from one sorted list a chunk, which is as
-    short as a chunk's text."""
-    lists = mentions.groupBy(*group, "chunk_id").agg(F.sort_array(F.collect_set("entity_id")).alias("own"))
-    firsts = lists.select(*group, "chunk_id", "own", F.posexplode("own").alias("at", "a"))
-    return firsts.select(*group, "chunk_id", "a", F.explode(F.expr("slice(own, at + 2, size(own))")).alias("b"))
+    """(*group, chunk_id, a, b) of the entities of a chunk, a < b, each pair once a chunk.
+
+    A chunk's distinct entities are cut into blocks, and two of them are paired in a row, so that a chunk with very many is
+    spread over tasks: what a row gives is bounded, whatever the chunk.
+    """
+    key = [*group, "chunk_id"]
+    own = mentions.select(*key, "entity_id")
+    large = own.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > PAIR_BLOCK).select(*key, F.ceil(F.col("n") / PAIR_BLOCK).cast("int").alias("many"))
+    rows = own.join(large, key, "left").withColumn("blocks", F.coalesce("many", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("entity_id"), F.col("blocks")).cast("int"))
+    # A block is sent to the tasks of all pairs of blocks that it is in.
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    sent = rows.select(*key, "entity_id", "block", other).select(*key, "entity_id", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    lists = sent.groupBy(*key, "x", "y").agg(F.sort_array(F.collect_set(F.struct("entity_id", "block"))).alias("own"))
+    firsts = lists.select(*key, "x", "y", "own", F.posexplode("own").alias("at", "a"))
+    both = firsts.select(*key, "x", "y", "a", F.explode(F.expr("slice(own, at + 2, size(own))")).alias("b"))
+    return both.where("x = y or a.block <> b.block").select(*key, F.col("a.entity_id").alias("a"), F.col("b.entity_id").alias("b"))
 
 
 def both_ways(folded: DataFrame) -> DataFrame:
@@ -179,28 +194,14 @@ def basic_stats(entities: DataFrame, edges: DataFrame, mentions: DataFrame) -> D
     return one.crossJoin(edges.agg(F.count("*").alias("edges"))).crossJoin(mentions.agg(F.count("*").alias("mentions")))
 
 
-#: Queries with vectors that are broadcast at once.
-QUERY_BLOCK = 4096
-
+def names_like(entities: DataFrame, terms: DataFrame, index: NameIndex | None = None) -> DataFrame:
+    """(term, entity columns) of the distinct lower-case terms that an entity's name holds, % and _ being wildcards: looked up in an
+    index of the distinct names, a stored one or one that is made for it, by joins on equal values alone."""
+    found = lookup(index or build(entities), terms).withColumnRenamed("name", "_name")
+    return entities.join(found, F.lower("name") == F.col("_name")).select("term", *entities.columns)
 
-def names_like(entities: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, entity columns) of the distinct lower-case terms that an entity's name holds, % and _ being wildcards.
 
-    The first three letters of a term's longest literal run are looked up among the trigrams of the names, by an equi-join,
-    and LIKE decides. Terms without three literal letters in a row are few and are compared with all names.
-    """
-    low = F.lower("name")
-    runs = F.transform(F.split("term", "[%_]+"), lambda r: F.struct(F.length(r).alias("n"), r.alias("run")))
-    keyed = terms.select("term").distinct().withColumn("run", F.array_max(runs)).select("term", F.when(F.col("run.n") >= 3, F.left("run.run", F.lit(3))).alias("gram"))
-    grams = F.when(F.length(low) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3)))))
-    matches = F.like(low, F.concat(F.lit("%"), F.col("term"), F.lit("%")))
-    with_gram = entities.withColumn("gram", F.explode(grams)).join(keyed.where("gram is not null"), "gram").where(matches)
-    short = entities.crossJoin(F.broadcast(keyed.where("gram is null").select("term"))).where(matches)
-    columns = ["term", *entities.columns]
-    return with_gram.select(*columns).unionByName(short.select(*columns))
-
-
-def hybrid_entities(entities: DataFrame, queries: DataFrame, limit: int = 5, min_similarity: float | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+def hybrid_entities(entities: DataFrame, queries: DataFrame, limit: int = 5, min_similarity: float | None = None, index: NameIndex | None = None) -> DataFrame:
     """(query_id, entity_id, score, found_by) of many queries (query_id, term, query): by name first, and only where that gives
     fewer than `limit`, by vector, too.
 
@@ -212,21 +213,11 @@ def hybrid_entities(entities: DataFrame, queries: DataFrame, limit: int = 5, min
     log = F.lit(0.2) * F.ln(F.col("occurrence_count") + 1)
     terms = queries.select("query_id", F.lower("term").alias("term"))
     by_count = Window.partitionBy("term").orderBy(F.desc("occurrence_count"), "entity_id")
-    best_names = names_like(active.select("entity_id", "name", "occurrence_count"), terms).withColumn("n", F.row_number().over(by_count)).where(F.col("n") <= limit)
+    best_names = names_like(active.select("entity_id", "name", "occurrence_count"), terms, index).withColumn("n", F.row_number().over(by_count)).where(F.col("n") <= limit)
     named = terms.join(best_names, "term").select("query_id", "entity_id", (1 + log).alias("score"), F.lit("name").alias("found_by"))
     have = named.groupBy("query_id").agg(F.count("*").alias("have"))
     short = queries.join(have, "query_id", "left").where(F.coalesce("have", F.lit(0)) < limit).select("query_id", "query")
-    # Lengths are worked out once a row, not once a pair.
-    asked = short.withColumn("query_length", F.sqrt(V.dot(F.col("query"), F.col("query"))))
-    there = active.where("embedding is not null").withColumn("length", F.sqrt(V.dot(F.col("embedding"), F.col("embedding"))))
-    blocks = max(1, -(-asked.count() // block))
-    similarity = V.dot(F.col("embedding"), F.col("query")) / (F.col("length") * F.col("query_length"))
-    pairs_ = [there.crossJoin(F.broadcast(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k))).withColumn("similarity", similarity) for k in range(blocks)]
-    near = reduce(DataFrame.unionByName, pairs_)
-    if min_similarity is not None:
-        near = near.where(F.col("similarity") >= min_similarity)
-    by_similarity = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "entity_id")
-    near = near.withColumn("n", F.row_number().over(by_similarity)).where(F.col("n") <= limit)
-    near = near.join(named.select("query_id", "entity_id"), ["query_id", "entity_id"], "left_anti").select("query_id", "entity_id", (F.lit(0.7) * F.col("similarity") + log).alias("score"), F.lit("vector").alias("found_by"))
+    near = nearest(active, short, limit, metric="cosine", id_col="entity_id", min_similarity=min_similarity).join(active.select("entity_id", "occurrence_count"), "entity_id")
+    near = near.join(named.select("query_id", "entity_id"), ["query_id", "entity_id"], "left_anti").select("query_id", "entity_id", (F.lit(0.7) * F.col("score") + log).alias("score"), F.lit("vector").alias("found_by"))
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "entity_id")
     return named.unionByName(near).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)

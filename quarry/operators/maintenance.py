@@ -79,9 +79,9 @@ def decrement_edges(edges: DataFrame, lost: DataFrame) -> DataFrame:
 
 
 def backfill_texts(entities: DataFrame) -> DataFrame:
-    """(entity_id, text) of active entities without a vector, the most frequent first: name and aliases in one line."""
+    """(entity_id, text) of active entities without a vector: name and aliases in one line."""
     aliases = F.filter(F.transform("aliases", lambda a: F.trim(a)), lambda a: a != "")
-    return entities.where("is_active and embedding is null").orderBy(F.desc("occurrence_count"), "entity_id").select("entity_id", F.array_join(F.concat(F.array(F.trim("name")), aliases), " | ").alias("text"))
+    return entities.where("is_active and embedding is null").select("entity_id", F.array_join(F.concat(F.array(F.trim("name")), aliases), " | ").alias("text"))
 
 
 def backfill(entities: DataFrame, embedder: M.Embedder) -> DataFrame:

@@ -24,8 +24,7 @@ def merge_candidates(first: DataFrame, second: DataFrame, id_col: str = "chunk_i
 def page_key(text: Column, scope: str = "doc") -> Column:
     """What hits are merged by. scope "reference": table and figure by page and caption, anything else by its page whatever the
     document; "doc": within a document, headerless chunks by themselves."""
-    meta = X.meta_fields(text)
-    kind, page, caption = F.coalesce(meta["type"], F.lit("")), meta["page"], F.coalesce(meta["caption"], F.lit(""))
+    kind, page, caption = F.coalesce(X.meta_value(text, "type"), F.lit("")), X.meta_value(text, "page"), F.coalesce(X.meta_value(text, "caption"), F.lit(""))
     if scope == "reference":
         page = F.coalesce(F.coalesce(page.try_cast("int").cast("string"), page), F.lit("None"))
         special = F.when(caption != "", F.concat_ws(":", kind, page, caption)).otherwise(F.concat_ws(":", kind, page))

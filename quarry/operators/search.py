@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.functions import vector as V
+from quarry.operators.nearest import nearest
 
 DEFAULT_K = 5
 
@@ -35,11 +36,8 @@ def with_query(rows: DataFrame, queries: DataFrame, vector_col: str = "embedding
 
 
 def vector_topk_batch(rows: DataFrame, queries: DataFrame, k: int = DEFAULT_K, *, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, id, distance) for a small set of queries (query_id, query) that is checked by the planner before it is broadcast."""
-    pairs = rows.where(F.col(vector_col).isNotNull()).join(queries, F.lit(True))
-    ranked = pairs.withColumn("distance", V.l2(F.col(vector_col), F.col("query")))
-    order = Window.partitionBy("query_id").orderBy("distance", id_col)
-    return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", id_col, "distance")
+    """(query_id, rank, id, distance) of all queries (query_id, query): in blocks, each against all rows."""
+    return nearest(rows, queries, k, id_col=id_col, vector_col=vector_col).withColumnRenamed("score", "distance")
 
 
 def name_matches(term: str, escape: bool = False) -> Column:

@@ -80,9 +80,12 @@ def secured_docs_clearance_zero(t: Tables) -> DataFrame:
     return Z.secure(t.docs(), AccessContext.of("src0", 0)).agg(F.count("*").alias("visible"))
 
 
-@query("SELECT count(*) AS visible FROM docs WHERE false", "docs")
+@query("SELECT app_id, count(*) AS docs, 0 AS visible_without, count(*) FILTER (app_id = 'src0' AND classification <= 2) AS visible FROM docs GROUP BY 1", "docs")
 def secured_docs_no_clearance(t: Tables) -> DataFrame:
-    return Z.secure(t.docs(), AccessContext("src0", None)).agg(F.count("*").alias("visible"))
+    """By application: documents, those that a reader without a clearance sees, and those that one with a clearance sees."""
+    without, reader = (Z.secure(t.docs(), ctx).select("doc_id", F.lit(1).alias(name)) for ctx, name in ((AccessContext("src0", None), "w"), (READER, "r")))
+    both = t.docs().join(without, "doc_id", "left").join(reader, "doc_id", "left")
+    return both.groupBy("app_id").agg(F.count("*").alias("docs"), F.count("w").alias("visible_without"), F.count("r").alias("visible"))
 
 
 @query("SELECT version_id, doc_id, content_hash, parser_ver FROM doc_versions v WHERE EXISTS (SELECT 1 FROM docs d WHERE d.doc_id = v.doc_id AND app_id = 'src0' AND classification <= 2)", "doc_versions")
@@ -321,7 +324,8 @@ def vector_topk_batch(t: Tables) -> DataFrame:
 
 
 @query(
-    """, q AS (SELECT vec_id AS query_id, CASE vec_id % 3 WHEN 0 THEN 'part' WHEN 1 THEN 'no such name' ELSE 'item 1' END AS term, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 20 = 0),
+    """, q AS (SELECT vec_id AS query_id, CASE vec_id // 20 % 5 WHEN 0 THEN split_part(p_name, ' ', 1) WHEN 1 THEN 'no such name' WHEN 2 THEN left(p_name, 3) || '%' || right(p_name, 3) WHEN 3 THEN upper(right(p_name, 2)) ELSE p_name || '!' END AS term, CAST(embedding AS DOUBLE[]) AS e
+      FROM embeddings JOIN part ON p_partkey = vec_id % (SELECT count(*) FROM part) WHERE vec_id % 20 = 0),
     named AS (SELECT query_id, entity_id, 1 + 0.2 * ln(occurrence_count + 1) AS score, 'name' AS found_by FROM q JOIN entity ON is_active AND lower(name) LIKE '%' || lower(term) || '%'
       QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY occurrence_count DESC, entity_id) <= 5),
     near AS (SELECT query_id, entity_id, list_dot_product(embedding, e) / sqrt(list_dot_product(embedding, embedding) * list_dot_product(e, e)) AS s, occurrence_count FROM q JOIN entity ON is_active AND embedding IS NOT NULL
@@ -331,9 +335,11 @@ def vector_topk_batch(t: Tables) -> DataFrame:
     "entity",
 )
 def hybrid_entities(t: Tables) -> DataFrame:
-    """Every twentieth vector asks, with one of three terms, against all entities."""
-    term = F.when(F.col("vec_id") % 3 == 0, "part").when(F.col("vec_id") % 3 == 1, "no such name").otherwise("item 1")
-    asked = t.raw("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), term.alias("term"), F.col("embedding").alias("query"))
+    """Every twentieth vector asks, with a word of a name, a wildcard, an end, or a term that no name has, against all entities."""
+    term = F.expr("""CASE cast(vec_id / 20 AS int) % 5 WHEN 0 THEN split_part(p_name, ' ', 1) WHEN 1 THEN 'no such name' WHEN 2 THEN concat(left(p_name, 3), '%', right(p_name, 3))
+        WHEN 3 THEN upper(right(p_name, 2)) ELSE concat(p_name, '!') END""")
+    part = t.raw("part")
+    asked = t.raw("embeddings").where("vec_id % 20 = 0").join(part, F.col("p_partkey") == F.col("vec_id") % part.count()).select(F.col("vec_id").alias("query_id"), term.alias("term"), F.col("embedding").alias("query"))
     return G.hybrid_entities(t.entity(), asked, 5).select("query_id", "entity_id", "found_by", F.round("score", 6).alias("score"))
 
 
@@ -394,11 +400,11 @@ def mention_upsert(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT l_partkey % 50 AS src_entity_id, l_suppkey % 50 AS dst_entity_id, round(least(sum(l_discount), 1.0), 6) AS weight, count(*) AS evidence_count,
-    array_to_string(list_sort(list(DISTINCT CAST(l_orderkey % 10 AS VARCHAR))), ',') AS evidence FROM lineitem WHERE l_partkey % 50 <> l_suppkey % 50 GROUP BY 1, 2"""
+    """SELECT l_partkey AS src_entity_id, l_suppkey AS dst_entity_id, round(least(sum(l_discount), 1.0), 6) AS weight, count(*) AS evidence_count,
+    array_to_string(list_sort(list(DISTINCT CAST(l_orderkey AS VARCHAR))), ',') AS evidence FROM lineitem WHERE l_partkey <> l_suppkey GROUP BY 1, 2"""
 )
 def edge_upsert(t: Tables) -> DataFrame:
-    log = t.raw("lineitem").selectExpr("'app0' AS app_id", "l_partkey % 50 AS src_entity_id", "l_suppkey % 50 AS dst_entity_id", "'co_occurs' AS edge_type", "l_discount AS weight", "array(cast(l_orderkey % 10 AS string)) AS evidence_chunk_ids")
+    log = t.raw("lineitem").selectExpr("'app0' AS app_id", "l_partkey AS src_entity_id", "l_suppkey AS dst_entity_id", "'co_occurs' AS edge_type", "l_discount AS weight", "array(cast(l_orderkey AS string)) AS evidence_chunk_ids")
     return G.fold_edges(log.where("src_entity_id <> dst_entity_id")).select("src_entity_id", "dst_entity_id", F.round("weight", 6).alias("weight"), "evidence_count", F.array_join("evidence_chunk_ids", ",").alias("evidence"))
 
 
@@ -449,13 +455,13 @@ def edges_of_many(t: Tables) -> DataFrame:
 @query(
     """SELECT coalesce(a.src, b.src) AS src_entity_id, coalesce(a.dst, b.dst) AS dst_entity_id, round(CASE WHEN a.w IS NULL THEN b.w WHEN b.w IS NULL THEN a.w ELSE least(a.w + b.w, 1.0) END, 6) AS weight,
     coalesce(a.n, 0) + coalesce(b.n, 0) AS evidence_count, array_to_string(list_sort(list_distinct(list_concat(coalesce(a.ids, []), coalesce(b.ids, [])))), ',') AS evidence
-    FROM (SELECT l_partkey % 50 AS src, l_suppkey % 50 AS dst, least(sum(l_discount), 1.0) AS w, count(*) AS n, list(DISTINCT CAST(l_orderkey % 10 AS VARCHAR)) AS ids FROM lineitem WHERE l_partkey % 50 <> l_suppkey % 50 AND l_returnflag = 'R' GROUP BY 1, 2) a
-    FULL OUTER JOIN (SELECT l_partkey % 50 AS src, l_suppkey % 50 AS dst, least(sum(l_discount), 1.0) AS w, count(*) AS n, list(DISTINCT CAST(l_orderkey % 10 AS VARCHAR)) AS ids FROM lineitem WHERE l_partkey % 50 <> l_suppkey % 50 AND l_returnflag <> 'R' GROUP BY 1, 2) b
+    FROM (SELECT l_partkey AS src, l_suppkey AS dst, least(sum(l_discount), 1.0) AS w, count(*) AS n, list(DISTINCT CAST(l_orderkey AS VARCHAR)) AS ids FROM lineitem WHERE l_partkey <> l_suppkey AND l_returnflag = 'R' GROUP BY 1, 2) a
+    FULL OUTER JOIN (SELECT l_partkey AS src, l_suppkey AS dst, least(sum(l_discount), 1.0) AS w, count(*) AS n, list(DISTINCT CAST(l_orderkey AS VARCHAR)) AS ids FROM lineitem WHERE l_partkey <> l_suppkey AND l_returnflag <> 'R' GROUP BY 1, 2) b
     ON a.src = b.src AND a.dst = b.dst"""
 )
 def edge_merge(t: Tables) -> DataFrame:
     """Upserts of edges that meet stored ones."""
-    log = t.raw("lineitem").selectExpr("'app0' AS app_id", "l_partkey % 50 AS src_entity_id", "l_suppkey % 50 AS dst_entity_id", "'co_occurs' AS edge_type", "l_discount AS weight", "array(cast(l_orderkey % 10 AS string)) AS evidence_chunk_ids", "l_returnflag").where("src_entity_id <> dst_entity_id")
+    log = t.raw("lineitem").selectExpr("'app0' AS app_id", "l_partkey AS src_entity_id", "l_suppkey AS dst_entity_id", "'co_occurs' AS edge_type", "l_discount AS weight", "array(cast(l_orderkey AS string)) AS evidence_chunk_ids", "l_returnflag").where("src_entity_id <> dst_entity_id")
     merged = G.merge_edges(G.fold_edges(log.where("l_returnflag = 'R'").drop("l_returnflag")), G.fold_edges(log.where("l_returnflag <> 'R'").drop("l_returnflag")))
     return merged.select("src_entity_id", "dst_entity_id", F.round("weight", 6).alias("weight"), "evidence_count", F.array_join("evidence_chunk_ids", ",").alias("evidence"))
 
@@ -488,10 +494,10 @@ def basic_stats(t: Tables) -> DataFrame:
     return G.basic_stats(t.entity(), t.entity_edge(), t.entity_chunk())
 
 
-@query("SELECT entity_id, name, type, occurrence_count FROM entity WHERE (name ILIKE '%part%' OR array_to_string(aliases, ',') ILIKE '%brand#1%') AND is_active ORDER BY occurrence_count DESC, entity_id LIMIT 50", "entity")
+@query("SELECT entity_id, name, type, occurrence_count FROM entity WHERE (name ILIKE '%ring%' OR array_to_string(aliases, ',') ILIKE '%brand#1%') AND is_active ORDER BY occurrence_count DESC, entity_id LIMIT 50", "entity")
 def entity_search(t: Tables) -> DataFrame:
     """By name or alias, with JSON-like alias text."""
-    found = t.entity().where(S.name_matches("part") | S.name_matches("brand#1")).where("is_active")
+    found = t.entity().where(S.name_matches("ring") | S.name_matches("brand#1")).where("is_active")
     return S.search_entities(found).select("entity_id", "name", "type", "occurrence_count")
 
 

@@ -38,7 +38,7 @@ class Tables:
         return cut.selectExpr("doc_id * 10000 + chunk_index AS chunk_id", "doc_id", "doc_id * 10 + 1 AS version_id", "app_id", "doc_id % 4 AS classification", "cast(chunk_index AS bigint) AS chunk_index", "chunk_text", "sha2(chunk_text, 256) AS chunk_hash")
 
     def vector_chunks(self) -> DataFrame:
-        return self.raw("embeddings").selectExpr("vec_id AS chunk_id", "vec_id % 200 AS doc_id", "vec_id % 7 + 1 AS page_no", "concat('[[META type=text page=', vec_id % 7 + 1, ']]\\nchunk ', vec_id) AS chunk_text", "embedding")
+        return self.raw("embeddings").selectExpr("vec_id AS chunk_id", f"vec_id % {self.raw('documents').count()} AS doc_id", "vec_id % 7 + 1 AS page_no", "concat('[[META type=text page=', vec_id % 7 + 1, ']]\\nchunk ', vec_id) AS chunk_text", "embedding")
 
     def pages(self) -> DataFrame:
         cut = self.raw("documents").select("doc_id", F.posexplode(C.closed_pages(F.col("text"))).alias("n", "text"))
@@ -47,7 +47,7 @@ class Tables:
     def entity(self) -> DataFrame:
         seen = self.raw("lineitem").groupBy("l_partkey").agg(F.count("*").alias("occurrence_count"))
         vec = self.raw("embeddings").selectExpr("vec_id AS _v", "embedding")
-        p = self.raw("part").join(seen, F.col("p_partkey") == F.col("l_partkey"), "left").join(vec, F.col("p_partkey") % 500 == F.col("_v"), "left")
+        p = self.raw("part").join(seen, F.col("p_partkey") == F.col("l_partkey"), "left").join(vec, F.col("p_partkey") % self.raw("embeddings").count() == F.col("_v"), "left")
         return p.selectExpr(
             "p_partkey AS entity_id", "concat('app', p_partkey % 2) AS app_id", "p_name AS name", "p_type AS type", "array(p_brand) AS aliases",
             "CASE WHEN p_size > 30 THEN 'high' WHEN p_size > 10 THEN 'medium' ELSE 'low' END AS confidence", "cast(p_size % 4 AS bigint) AS classification",
@@ -74,7 +74,7 @@ class Tables:
         first = Window.partitionBy("query_id", "chunk_id").orderBy("rank")
         rows = self.raw("lineitem").selectExpr(
             "l_orderkey AS query_id", "l_linenumber * 1000000 + l_partkey AS chunk_id", "l_suppkey AS doc_id", "round(l_discount * 10, 3) AS score",
-            "concat('[[META type=', CASE l_linenumber % 3 WHEN 0 THEN 'table' WHEN 1 THEN 'text' ELSE 'figure' END, ' page=', l_partkey % 3, CASE WHEN l_partkey % 5 = 0 THEN ' caption=c' || l_partkey % 2 ELSE '' END, ']]\\npart ', l_partkey, ' of ', l_suppkey) AS chunk_text",
+            "concat('[[META type=', CASE l_linenumber % 3 WHEN 0 THEN 'table' WHEN 1 THEN 'text' ELSE 'figure' END, ' page=', l_partkey % 4, CASE WHEN l_partkey % 5 = 0 THEN ' caption=c' || l_partkey % 2 ELSE '' END, ']]\\npart ', l_partkey, ' of ', l_suppkey) AS chunk_text",
             "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rank",
         )
         return rows.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n").withColumn("rank", F.col("rank").cast("long"))
@@ -90,7 +90,7 @@ VIEWS = {
     "chunks": """SELECT doc_id * 10000 + i AS chunk_id, doc_id, doc_id * 10 + 1 AS version_id, source AS app_id, doc_id % 4 AS classification, i AS chunk_index,
         substring(text, i * 3800 + 1, 4000) AS chunk_text, sha256(substring(text, i * 3800 + 1, 4000)) AS chunk_hash
         FROM (SELECT *, unnest(range(CASE WHEN length(text) <= 4000 THEN 1 ELSE CAST(ceil((length(text) - 200) / 3800.0) AS BIGINT) END)) AS i FROM documents WHERE length(text) > 0)""",
-    "vector_chunks": """SELECT vec_id AS chunk_id, vec_id % 200 AS doc_id, vec_id % 7 + 1 AS page_no, '[[META type=text page=' || (vec_id % 7 + 1) || ']]' || chr(10) || 'chunk ' || vec_id AS chunk_text,
+    "vector_chunks": """SELECT vec_id AS chunk_id, vec_id % (SELECT count(*) FROM documents) AS doc_id, vec_id % 7 + 1 AS page_no, '[[META type=text page=' || (vec_id % 7 + 1) || ']]' || chr(10) || 'chunk ' || vec_id AS chunk_text,
         CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings""",
     "page_rows": """SELECT doc_id, n + 1 AS page_no, substring(text, n * 5000 + 1, 5000) AS text,
         CASE WHEN (n + 1) % 3 = 0 THEN '| a | b |' || chr(10) || '| ' || doc_id || ' | ' || (n + 1) || ' |' ELSE '' END AS tables,
@@ -99,7 +99,7 @@ VIEWS = {
     "entity": """SELECT p_partkey AS entity_id, 'app' || (p_partkey % 2) AS app_id, p_name AS name, p_type AS type, [p_brand] AS aliases,
         CASE WHEN p_size > 30 THEN 'high' WHEN p_size > 10 THEN 'medium' ELSE 'low' END AS confidence, CAST(p_size % 4 AS BIGINT) AS classification,
         coalesce(n, 0) AS occurrence_count, p_size > 5 AS is_active, CAST(embedding AS DOUBLE[]) AS embedding
-        FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON p_partkey = l_partkey LEFT JOIN embeddings ON p_partkey % 500 = vec_id""",
+        FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON p_partkey = l_partkey LEFT JOIN embeddings ON p_partkey % (SELECT count(*) FROM embeddings) = vec_id""",
     "entity_chunk": "SELECT l_partkey AS entity_id, l_orderkey AS chunk_id, count(*) AS mention_count, 'app0' AS app_id FROM lineitem GROUP BY 1, 2",
     "entity_edge": """SELECT *, CASE WHEN evidence_count > 1 THEN 'high' WHEN src_entity_id % 2 = 0 THEN 'medium' ELSE 'low' END AS confidence FROM (
         SELECT a.app_id, a.entity_id AS src_entity_id, b.entity_id AS dst_entity_id, CAST(least(0.5 * count(*), 1) AS DOUBLE) AS weight, count(*) AS evidence_count,
@@ -109,7 +109,7 @@ VIEWS = {
         epoch_us(ts) AS created_at FROM events""",
     "searches": "SELECT event_id AS search_id, 'app' || (user_id % 2) AS app_id, user_id % 4 AS clearance, value AS score FROM events",
     "hits": """SELECT query_id, chunk_id, doc_id, score, chunk_text, rank FROM (SELECT l_orderkey AS query_id, l_linenumber * 1000000 + l_partkey AS chunk_id, l_suppkey AS doc_id, round(l_discount * 10, 3) AS score,
-        '[[META type=' || CASE l_linenumber % 3 WHEN 0 THEN 'table' WHEN 1 THEN 'text' ELSE 'figure' END || ' page=' || (l_partkey % 3) || CASE WHEN l_partkey % 5 = 0 THEN ' caption=c' || (l_partkey % 2) ELSE '' END || ']]' || chr(10) || 'part ' || l_partkey || ' of ' || l_suppkey AS chunk_text,
+        '[[META type=' || CASE l_linenumber % 3 WHEN 0 THEN 'table' WHEN 1 THEN 'text' ELSE 'figure' END || ' page=' || (l_partkey % 4) || CASE WHEN l_partkey % 5 = 0 THEN ' caption=c' || (l_partkey % 2) ELSE '' END || ']]' || chr(10) || 'part ' || l_partkey || ' of ' || l_suppkey AS chunk_text,
         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rank FROM lineitem)
         QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY rank) = 1""",
 }

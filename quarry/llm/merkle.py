@@ -18,9 +18,10 @@ BLOCK_LEVELS = 8
 #: All levels of a block's nodes, the nodes first, the level of `times` foldings last.
 _LEVELS = """aggregate(filter(sequence(0, times), i -> i > 0), array(items.node), (a, i) -> concat(a, array(
     transform(sequence(0, cast((size(element_at(a, -1)) + 1) div 2 AS int) - 1), j -> sha2(array_join(slice(element_at(a, -1), 2 * j + 1, 2), ''), 256)))))"""
-#: For each node of a block the sibling at each level, null where it has none, and whether it stands on the left.
-_PATHS = """transform(items, (x, i) -> named_struct('item', x, 'path', transform(filter(sequence(0, times), l -> l < times),
-    l -> named_struct('left', (shiftright(i, l) & 1) = 1, 'node', get(levels[l], shiftright(i, l) ^ 1)))))"""
+#: For each node of a block the sibling at each level, null where it has none, and whether it stands on the left. The levels are the
+#: one element of an array, so that they are worked out once a block: an expression under a column's name would be put in for each node.
+_PATHS = f"""element_at(transform(array({_LEVELS}), levels -> transform(items, (x, i) -> named_struct('item', x, 'path', transform(filter(sequence(0, times), l -> l < times),
+    l -> named_struct('left', (shiftright(i, l) & 1) = 1, 'node', get(levels[l], shiftright(i, l) ^ 1)))))), 1)"""
 _PATH = "array<struct<left: boolean, node: string>>"
 
 
@@ -87,7 +88,7 @@ def _descend(rounds: list[DataFrame], above: DataFrame) -> DataFrame:
     own = above.withColumn("block", F.lit(0).cast("long"))
     for blocks in reversed(rounds):
         own = own.withColumnRenamed("path", "over")
-        met = blocks.withColumn("levels", F.expr(_LEVELS)).withColumn("paths", F.expr(_PATHS)).select("tree", "block", "paths").join(own, ["tree", "block"])
+        met = blocks.withColumn("paths", F.expr(_PATHS)).select("tree", "block", "paths").join(own, ["tree", "block"])
         each = met.select("tree", *more, "over", F.explode("paths").alias("x"))
         own = each.select("tree", F.col("x.item").alias("item"), *more, F.concat("x.path", "over").alias("path"), F.col("x.item.at").alias("block"))
     return own

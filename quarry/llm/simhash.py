@@ -148,4 +148,4 @@ def deduplicate(docs: DataFrame, *, size: int = SHINGLE, radius: int = RADIUS, i
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "place")).alias("first")
     of = classes(prints.groupBy("bits").agg(first), radius, workspace)
     kept = workspace.table(of.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.place").alias(place)), "kept")
-    return rows.join(kept, place, "left_semi").select(*docs.columns)
+    return rows.join(kept, place, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -30,6 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm.runtime import Workspace, own_columns, prepare, tidy
 from quarry.llm.words import SPACE, Grid, Rolling, mix, ranges, slices, sliding_min, take_runs, within, words
@@ -310,8 +311,10 @@ def _removed(docs: DataFrame, spans: DataFrame, window: int, id_col: str, text_c
     source = own_columns(docs, id_col, text_col)
     if carry is not None:
         source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in carry)).alias("rest"))
-    rest = "" if carry is None else f"rest {source.schema['rest'].dataType.simpleString()}, "
-    return source.join(spans, "doc_id", "left").mapInArrow(tidy(_remove_batches(window, whole)), f"doc_id long, {rest}n_words long, n_removed long, kept string")
+    # Built from fields, as names of carried columns may be any.
+    rest = [] if carry is None else [source.schema["rest"]]
+    fields = [T.StructField("doc_id", T.LongType()), *rest, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
+    return source.join(spans, "doc_id", "left").mapInArrow(tidy(_remove_batches(window, whole)), T.StructType(fields))
 
 
 def without_spans(docs: DataFrame, spans: DataFrame, window: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.runtime import Workspace, own_columns, prepare, tidy
+from quarry.llm.runtime import Workspace, kept_rows, own_columns, prepare, tidy
 from quarry.llm.words import LOWER, NOT_WORD, Grid, ranges, slices, words
 
 #: Words of a test suffix that must be found together.
@@ -358,12 +358,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     first = next(blocks)
     second = next(blocks, None)
     if second is None:
-        return docs.mapInArrow(tidy(_keeper(_send(spark, first, window), text_col)), docs.schema)
-    if "_place" in docs.columns:
-        raise ValueError("a column is named _place")
+        sent = _send(spark, first, window)
+        return kept_rows(docs, text_col, lambda name: _keeper(sent, name))
+    place = "_place"
+    while place in docs.columns:
+        place += "_"
     ws = Workspace(spark, "decontaminate")
-    numbered = ws.table(docs.withColumn("_place", F.monotonically_increasing_id()), "documents")
-    found = _united(ws, numbered, text_col, chain([first, second], blocks), window)
+    numbered = ws.table(docs.withColumn(place, F.monotonically_increasing_id()), "documents")
+    texts = numbered.select(F.col(place).alias("_place"), F.col(f"`{text_col}`").alias("text"))
+    found = _united(ws, texts, "text", chain([first, second], blocks), window)
     hit = F.expr("aggregate(hits, 0L, (a, x) -> a + x.end - x.start)")
-    bad = found.where(contaminated(hit, F.col("n_words"))).select("_place")
-    return numbered.join(bad, "_place", "left_anti").select(*docs.columns)
+    bad = found.where(contaminated(hit, F.col("n_words"))).select(F.col("_place").alias(place))
+    return numbered.join(bad, place, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.runtime import Workspace, own_columns, prepare, tidy
+from quarry.llm.runtime import Workspace, kept_rows, own_columns, prepare, tidy
 from quarry.llm.words import mix
 
 ORDER = 5
@@ -373,4 +373,4 @@ def keep_known(docs: DataFrame, models: LanguageModels, *, text_col: str = "text
     """The documents, all their columns unchanged, that are not rejected: judged row by row, without a join."""
     prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(models)
-    return docs.mapInArrow(tidy(_keeper(sent, text_col)), docs.schema)
+    return kept_rows(docs, text_col, lambda name: _keeper(sent, name))

@@ -133,6 +133,14 @@ def number_rows(df: DataFrame, group: list[str], bucket: str, order: list, out:
     return joined.withColumn(out, F.col("_before") + F.col("_rank") - 1).drop("_before", "_rank", *(f"_{k}" for k in keys))
 
 
+def kept_rows(df: DataFrame, text_col: str, keeper: Callable[[str], Callable]) -> DataFrame:
+    """df without the rows that a function over Arrow batches leaves out; keeper makes it from the name that the text has there. Columns
+    go through it under plain names, as theirs may be any."""
+    plain = [f"c{i}" for i in range(len(df.columns))]
+    renamed = df.toDF(*plain)
+    return renamed.mapInArrow(tidy(keeper(plain[df.columns.index(text_col)])), renamed.schema).toDF(*df.columns)
+
+
 def own_columns(df: DataFrame, id_col: str, text_col: str | None = None) -> DataFrame:
     """Only the columns that an operator reads, under fixed names, so that further ones never clash."""
     cols = [F.col(f"`{id_col}`").cast("long").alias("doc_id")]

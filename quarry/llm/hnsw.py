@@ -33,6 +33,8 @@ MOST_NEIGHBOURS = 10
 #: Queries of a shard that are searched in one row of a task.
 QUERY_BLOCK = 2048
 _TOGETHER, _AHEAD, _FIRST = 256, 4, 64
+#: Links that a node gets to nodes that no walk gets to otherwise.
+_ADOPTED = 16
 
 
 @dataclass
@@ -84,12 +86,25 @@ class Graph:
         return self._layers(points, asked, beam, beam)
 
 
+#: Queries that are so many times as long as the longest vector are shortened: in double precision all vectors are equally far.
+_FARTHEST = 1e100
+
+
 def _points(vectors: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors and queries as a walk compares them: of unit scale, in single precision where that can hold them."""
+    """Vectors and queries as a walk compares them: of unit scale, in double precision. Single precision would not tell the
+    members of a narrow cluster apart, nor anything beside a vector that is much longer than the others."""
     scale = np.abs(vectors).max(initial=0) or 1.0
-    reach = np.abs(queries).max(initial=0) / scale
-    kind = np.float32 if reach < 1e6 else np.float64
-    return (vectors / scale).astype(kind), (queries / scale).astype(kind)
+    with np.errstate(over="ignore"):
+        reach = np.abs(queries).max(1, initial=0) / scale
+        far = reach > _FARTHEST
+        asked = queries / scale
+    if far.any():
+        asked[far] = queries[far] / np.abs(queries[far]).max(1, keepdims=True) * _FARTHEST
+    return vectors / scale, asked
+
+
+#: Vectors of one graph have lengths between two powers of 2**MAGNITUDE: then the squares of differences stay in range.
+MAGNITUDE = 256
 
 
 def _squares(points: np.ndarray, a: np.ndarray, others: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -102,6 +117,7 @@ def _choose(points: np.ndarray, near: np.ndarray, distance: np.ndarray, most: in
     kept before, up to `most`."""
     n, k = near.shape
     v = points[np.maximum(near, 0)]
+    v -= v[:, :1].copy()  # from the nearest one: differences of near points keep their digits
     norm = np.einsum("ijk,ijk->ij", v, v)
     chosen = np.zeros((n, k), bool)
     blocked = near < 0
@@ -205,9 +221,15 @@ def _reachable(points: np.ndarray, rows: np.ndarray, begin, beam: int) -> np.nda
     nearest = np.concatenate([_descend(points, rows, points[lost[i : i + _TOGETHER]], entry[i : i + _TOGETHER], beam)[0][:, 0] for i in range(0, len(lost), _TOGETHER)])
     order = np.argsort(nearest, kind="stable")
     nearest, lost = nearest[order], lost[order]
-    place = np.arange(len(lost)) - np.searchsorted(nearest, nearest)
-    more = np.full((len(rows), int(place.max()) + 1), -1, np.int32)
-    more[nearest, place] = lost
+    # A node takes a few of them; the others are linked from these, and so on, so that rows stay short.
+    first = np.searchsorted(nearest, nearest)
+    place = np.arange(len(lost)) - first
+    parent = np.where(place < _ADOPTED, nearest, lost[first + np.maximum(place - _ADOPTED, 0) // _ADOPTED])
+    more = np.full((len(rows), min(_ADOPTED, int(place.max()) + 1)), -1, np.int32)
+    free = np.full(len(rows), 0)
+    for own, node in zip(parent.tolist(), lost.tolist(), strict=True):
+        more[own, free[own]] = node
+        free[own] += 1
     return np.concatenate([rows, more], 1)
 
 
@@ -375,9 +397,14 @@ def build_index(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str =
         centres[r["dim"]] = fit_centres(np.array([x["vector"] for x in drawn.toLocalIterator()]), cells)
     sent = spark.sparkContext.broadcast(centres)
     placed = ws.table(rows.drop("copy").mapInArrow(tidy(_assigner(sent)), "vec_id long, vector array<double>, dim int, cell int, far double"), "placed")
-    found = placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"), F.max("far").alias("radius"))
-    cells = ws.table(found, "cells")
-    dealt = placed.join(cells.select("dim", "cell", "shards"), ["dim", "cell"]).select("dim", "cell", F.pmod(F.xxhash64("vector"), F.col("shards")).cast("int").alias("shard"), "vec_id", "vector")
+    magnitude = F.floor(F.log2(F.array_max(F.transform("vector", lambda x: F.abs(x)))) / MAGNITUDE).cast("int")
+    placed = placed.withColumn("magnitude", magnitude)
+    parts = placed.groupBy("dim", "cell", "magnitude").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("own"), F.max("far").alias("radius"))
+    upto = Window.partitionBy("dim", "cell").orderBy("magnitude").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ws.table(parts.withColumn("before", F.coalesce(F.sum("own").over(upto), F.lit(0))), "parts")
+    cells = ws.table(parts.groupBy("dim", "cell").agg(F.sum("own").cast("int").alias("shards"), F.max("radius").alias("radius")), "cells")
+    shard = (F.col("before") + F.pmod(F.xxhash64("vector"), F.col("own"))).cast("int")
+    dealt = placed.join(parts.drop("radius"), ["dim", "cell", "magnitude"]).select("dim", "cell", shard.alias("shard"), "vec_id", "vector")
     shards = ws.table(dealt.groupBy("dim", "cell", "shard").applyInArrow(_build_group, _GRAPH), "shards")
     ws.drop("rows")
     ws.drop("placed")
@@ -444,8 +471,10 @@ def _further(sent):
                 between = _gaps(c, c)[nearest]
                 with np.errstate(invalid="ignore", divide="ignore"):
                     plane = (gaps**2 - (gaps[np.arange(len(gaps)), nearest] ** 2)[:, None]) / (2 * between)
-                least = np.fmax(plane, gaps - radius[dim])
-                may = least * (1 - 1e-9) <= np.asarray(own.column("reached"))[:, None]
+                with np.errstate(invalid="ignore"):
+                    least = np.fmax(plane, gaps - radius[dim])
+                # What is no number, beyond the range of squares, rules nothing out.
+                may = ~(least * (1 - 1e-9) > np.asarray(own.column("reached"))[:, None])
                 may &= radius[dim] >= 0
                 may[np.arange(len(gaps)), nearest] = False
                 r, cell = np.nonzero(may)

@@ -67,3 +67,20 @@ def pack_items(rows: DataFrame, key: str, order: list[str], most: int, text_col:
     own = cut.groupBy(key).agg(F.sort_array(F.collect_list("item")).alias("items"))
     parts = F.flatten(F.transform("items", lambda i: pieces(i["_text"], most)))
     return own.select(key, F.posexplode(packed(parts, most, separator)).alias("pack_no", "text"))
+
+
+def sections(pages: DataFrame, key: list[str], tags: dict[str, str], text_col: str = "text") -> DataFrame:
+    """(key, kind, text) of the blocks that tags open in page texts; tags: the tag of each kind.
+
+    A tag opens a block that ends at the next one. What stands before the first is of kind `text`; blocks of one kind are joined
+    by a blank line, in their order, and empty ones go. A page without a tag is text as a whole.
+    """
+    marks = "|".join(rf"\Q{tag}\E" for tag in sorted(tags.values(), key=len, reverse=True))
+    parts = pages.select(*key, F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), rf"(?={marks})", -1)).alias("at", "part"))
+    kind, body = F.lit("text"), F.col("part")
+    for own, tag in sorted(tags.items(), key=lambda item: len(item[1])):
+        opens = F.startswith(F.col("part"), F.lit(tag))
+        kind, body = F.when(opens, own).otherwise(kind), F.when(opens, F.substring(F.col("part"), F.lit(len(tag) + 1), F.length("part"))).otherwise(body)
+    blocks = parts.select(*key, "at", kind.alias("kind"), stripped(body).alias("body")).where("body <> ''")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "body"))), lambda x: x["body"]), "\n\n")
+    return blocks.groupBy(*key, "kind").agg(joined.alias("text"))

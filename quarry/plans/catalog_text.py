@@ -9,8 +9,10 @@ from quarry.functions import chunking as C
 from quarry.functions import loose_json as J
 from quarry.functions import page_blocks as B
 from quarry.functions import sql_functions
+from quarry.plans import docgen
 from quarry.plans.catalog import query
 from quarry.plans.fixtures import Tables
+from quarry.sources import files
 
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
@@ -137,3 +139,51 @@ def recursive_chunks_lateral(t: Tables) -> DataFrame:
     return t.spark.sql(
         "SELECT d.doc_id, c.chunk_index, CAST(length(c.chunk_text) AS BIGINT) AS n_chars, sha2(c.chunk_text, 256) AS chunk_hash FROM {docs} d, LATERAL recursive_chunks(d.text, 800, 0) c", docs=t.raw("documents")
     )
+
+
+# Files and sections
+
+
+@query(r"SELECT doc_id, sha256(CASE doc_id % 4 WHEN 2 THEN regexp_replace(text, '[^\x{00}-\x{FF}]', '?', 'g') WHEN 3 THEN text || chr(10) || 'end' ELSE text END) AS text_hash FROM documents WHERE text IS NOT NULL")
+def decoded_files(t: Tables) -> DataFrame:
+    """Texts as the bytes of files in UTF-8 with and without a mark, in Latin-1 and with other line ends, decoded."""
+    text = F.col("text")
+    content = (
+        F.when(F.col("doc_id") % 4 == 0, F.encode(text, "UTF-8"))
+        .when(F.col("doc_id") % 4 == 1, F.concat(F.unhex(F.lit(files.BOM)), F.encode(text, "UTF-8")))
+        .when(F.col("doc_id") % 4 == 2, F.encode(F.regexp_replace(text, r"[^\x00-\xFF]", "?"), "ISO-8859-1"))
+        .otherwise(F.encode(F.concat(F.regexp_replace(text, "\n", "\r\n"), F.lit("\rend")), "UTF-8"))
+    )
+    docs = t.raw("documents").where("text is not null").select("doc_id", content.alias("content"))
+    return docs.select("doc_id", F.sha2(files.decoded(F.col("content")), 256).alias("text_hash"))
+
+
+@query(
+    rf""", s AS (SELECT doc_id, page_no, {_STRIP.format("text")} AS a, {_STRIP.format("tables")} AS b, {_STRIP.format("figures")} AS c FROM page_rows)
+    SELECT doc_id, page_no, kind, sha256(x) AS section_hash FROM (
+      SELECT doc_id, page_no, 'text' AS kind, CASE WHEN a = '' OR page_no % 2 = 0 THEN a ELSE a || chr(10) || chr(10) || 'again' END AS x FROM s UNION ALL SELECT doc_id, page_no, 'table', b FROM s UNION ALL SELECT doc_id, page_no, 'figure', c FROM s)
+    WHERE x <> '' AND NOT (kind = 'text' AND x = '')""",
+    "page_rows",
+)
+def tagged_sections(t: Tables) -> DataFrame:
+    """Sections of pages whose blocks stand under tags, some of them twice."""
+    text = F.expr("concat(CASE WHEN page_no % 3 = 1 THEN '' ELSE '## Text' END, text, ' \\n## Tables\\n', tables, '\\n## Figures', figures, CASE WHEN page_no % 2 = 1 AND trim(text) <> '' THEN ' ## Text again' ELSE '' END)")
+    found = B.sections(t.pages().select("doc_id", "page_no", text.alias("text")), ["doc_id", "page_no"], {"text": "## Text", "table": "## Tables", "figure": "## Figures"})
+    return found.select("doc_id", "page_no", "kind", F.sha2("text", 256).alias("section_hash"))
+
+
+@query(
+    """SELECT o_orderkey AS template_id, sha256('Order ' || o_orderkey || ': ' || o_orderstatus || ' {{ bad name }} ' || CASE WHEN o_orderkey % 3 = 0 THEN '（待补充）' ELSE o_orderpriority END || ' （待补充）') AS text_hash,
+    'AGAIN' AS missing, CASE WHEN o_orderkey % 2 = 0 THEN 'UNUSED' ELSE '' END AS extra FROM orders"""
+)
+def rendered_templates(t: Tables) -> DataFrame:
+    """Templates filled from payloads, with what a template names and a payload lacks, and the other way round."""
+    section = "struct<key:string,text:string>"
+    sections_ = F.array(
+        F.struct(F.lit("STATUS").alias("key"), F.col("o_orderstatus").alias("text")),
+        F.struct(F.lit("PRIORITY").alias("key"), F.when(F.col("o_orderkey") % 3 == 0, " ").otherwise(F.col("o_orderpriority")).alias("text")),
+    )
+    unused = F.when(F.col("o_orderkey") % 2 == 0, F.array(F.struct(F.lit("UNUSED").alias("key"), F.lit("x").alias("text")))).otherwise(F.array().cast(f"array<{section}>"))
+    payload = F.struct(F.concat(F.lit("Order "), F.col("o_orderkey")).alias("title"), F.lit("n").alias("doc_no"), F.concat(sections_, unused).alias("sections"), F.lit(None).cast(docgen.NOTES).alias("evidence_notes"))
+    rows = t.raw("orders").select(F.col("o_orderkey").alias("template_id"), F.lit("{{TITLE}}: {{ STATUS }} {{ bad name }} {{PRIORITY}} {{ AGAIN }}").alias("template"), payload.alias("payload"))
+    return docgen.render(rows).select("template_id", F.col("text_sha256").alias("text_hash"), F.array_join("missing", ",").alias("missing"), F.array_join("extra", ",").alias("extra"))

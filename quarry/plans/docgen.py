@@ -13,8 +13,8 @@ PLACEHOLDER = r"\{\{\s*([A-Za-z0-9_]+)\s*\}\}"
 #: Marks of citations, which sections must not have.
 CITATION = r"(?i)\bpage\s*\d+|第\s*\d+\s*页|\[\d+\]|\.pdf\b"
 
-PAYLOAD = """title string, doc_no string, sections array<struct<key:string,text:string>>,
-evidence_notes array<struct<topic:string,items:array<struct<claim:string,evidence:array<struct<source:string,page:int,excerpt:string>>>>>>"""
+NOTES = "array<struct<topic:string,items:array<struct<claim:string,evidence:array<struct<source:string,page:int,excerpt:string>>>>>>"
+PAYLOAD = f"title string, doc_no string, sections array<struct<key:string,text:string>>, evidence_notes {NOTES}"
 
 
 def placeholders(template: Column) -> Column:
@@ -65,7 +65,7 @@ def problems(payload: Column) -> Column:
     def blank(c: Column) -> Column:
         return X.clean(c) == ""
 
-    items = F.flatten(F.transform(F.coalesce(payload["evidence_notes"], F.array().cast("array<struct<topic:string,items:array<struct<claim:string,evidence:array<struct<source:string,page:int,excerpt:string>>>>>>")), lambda n: n["items"]))
+    items = F.flatten(F.transform(F.coalesce(payload["evidence_notes"], F.array().cast(NOTES)), lambda n: n["items"]))
     proofs = F.flatten(F.transform(items, lambda i: i["evidence"]))
     checks = [
         F.when(blank(payload["title"]), "empty title"),

@@ -1,156 +1,40 @@
-"""Files of several formats as page rows (doc_key, page_no, text, tables, figures, png_bytes, error)."""
+"""Text files as page rows, artefacts by key, and the answers of page-reading services."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
-from typing import Protocol
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.chunking import PAGE_CHARS, page_cuts
-from quarry.sources import layout, office, pdf
-
-PAGES = "doc_key string, path string, page_no int, text string, tables string, figures string, png_bytes binary, error string"
-#: Fixed values.
-HINT_CAP = 4000
-ALIASES = {"jpeg": "jpg", "xls": "xlsx"}
-
-
-class PageExtractor(Protocol):
-    """A model that reads the picture of one page: returns what a parser gives of it. turn: degrees that the picture is to be turned
-    clockwise to stand upright; hint: the page's text layer, tables first, of HINT_CAP characters at most."""
-
-    def page(self, data: bytes, kind: str, page_no: int, hint: str, turn: int) -> dict: ...
-
+from quarry.functions import chunking as C
 
-@dataclass
-class NoModel:
-    """Stands in where no model service is configured: a page's text is its text layer."""
+#: Fixed value: the mark that a UTF-8 file may begin with.
+BOM = "EFBBBF"
 
-    text: str = ""
 
-    def page(self, data: bytes, kind: str, page_no: int, hint: str, turn: int) -> dict:
-        return {"text": self.text or hint, "tables": "", "figures": "", "png_bytes": None if kind == "pdf" else data}
+def decoded(content: Column) -> Column:
+    """The text of a file's bytes: UTF-8 with or without its mark, else Latin-1; line ends as \\n. A null is none."""
+    marked = F.hex(F.substring(content, 1, 3)) == BOM
+    plain = F.when(marked, F.substring(content, F.lit(4), F.length(content))).otherwise(content).cast("string")
+    text = F.when(F.is_valid_utf8(plain), plain).otherwise(F.decode(content, "ISO-8859-1"))
+    return F.regexp_replace(text, "\\r\\n?", "\n")
 
 
-#: What a camera's orientation mark says about the turn that a picture needs.
-TURNS = {3: 180, 4: 180, 5: 90, 6: 90, 7: 270, 8: 270}
+def text_pages(files: DataFrame, key: list[str], content_col: str = "content", size: int = C.PAGE_CHARS) -> DataFrame:
+    """(key, page_no, text) of files' bytes: pages that end at line breaks where there are some. An empty file is one empty page."""
+    cut = files.select(*key, F.posexplode(C.paginate(size)(decoded(F.col(content_col)))).alias("n", "text"))
+    return cut.select(*key, (F.col("n") + 1).alias("page_no"), "text")
 
 
-def turn(data: bytes) -> int:
-    """Degrees that a JPEG picture is to be turned, by the orientation in its EXIF head; 0 for any other."""
-    if not data.startswith(b"\xff\xd8"):
-        return 0
-    at = data.find(b"Exif\0\0", 0, 1 << 16)
-    if at < 0:
-        return 0
-    tiff = data[at + 6 :]
-    order = {b"II": "little", b"MM": "big"}.get(tiff[:2])
-    if order is None or len(tiff) < 8:
-        return 0
-    entry = int.from_bytes(tiff[4:8], order)
-    for i in range(int.from_bytes(tiff[entry : entry + 2], order)):
-        field_ = tiff[entry + 2 + 12 * i : entry + 14 + 12 * i]
-        if int.from_bytes(field_[:2], order) == 0x0112:
-            return TURNS.get(int.from_bytes(field_[8:10], order), 0)
-    return 0
-
-
-def pdf_hints(data: bytes) -> list[str]:
-    """The text layer of each page, its tables first."""
-    out = []
-    for words in pdf.page_words(data):
-        tables, text = layout.tables_and_text(words)
-        out.append("\n\n".join(filter(None, (tables, text)))[:HINT_CAP])
-    return out
-
-
-def decode_text(data: bytes) -> str:
-    """UTF-8 with or without its mark, else Latin-1; line ends as \\n."""
-    try:
-        text = data.decode("utf-8-sig")
-    except UnicodeDecodeError:
-        text = data.decode("latin-1")
-    return text.replace("\r\n", "\n").replace("\r", "\n")
-
-
-def text_pages(data: bytes, size: int = PAGE_CHARS) -> list[dict]:
-    return [{"page_no": n, "text": t, "tables": ""} for n, t in enumerate(page_cuts(decode_text(data), size), 1)]
-
-
-@dataclass
-class Parsers:
-    """Which function reads which extension. Pictures and the pages of PDF files go to the extractor."""
-
-    extractor: PageExtractor = field(default_factory=NoModel)
-
-    def of(self, kind: str) -> Callable[[bytes], list[dict]] | None:
-        fixed = {"txt": text_pages, "docx": office.document_pages, "xlsx": office.sheet_pages}
-        if kind in ("jpg", "png"):
-            return lambda data: [self.read_page(data, kind, 1, "")]
-        if kind == "pdf":
-            return lambda data: [self.read_page(data, kind, n, hint) for n, hint in enumerate(pdf_hints(data), 1)]
-        return fixed.get(kind)
-
-    def read_page(self, data: bytes, kind: str, page_no: int, hint: str) -> dict:
-        """One page from the extractor; a page that it can't read keeps its text layer and says why."""
-        try:
-            return {"page_no": page_no, **self.extractor.page(data, kind, page_no, hint, turn(data))}
-        except Exception as e:  # one bad page is not the end of a file
-            return {"page_no": page_no, "text": hint, "tables": "", "figures": "", "error": f"{type(e).__name__}: {e}"}
-
-    def parse(self, path: str, data: bytes) -> list[dict]:
-        kind = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
-        reader = self.of(ALIASES.get(kind, kind))
-        if reader is None:
-            return [{"page_no": 0, "error": f"unknown format: {kind or 'none'}"}]
-        try:
-            return reader(data)
-        except Exception as e:  # one bad file is a row of its own, not the end of the job
-            return [{"page_no": 0, "error": f"{type(e).__name__}: {e}"}]
-
-
-def _rows(rows: list[dict]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["doc_key", "path", "page_no", "text", "tables", "figures", "png_bytes", "error"])
-    return out.astype(object).where(out.notna(), None).astype({"page_no": "int32"})
-
-
-def read_pages(spark: SparkSession, path: str, parsers: Parsers | None = None, glob: str = "*") -> DataFrame:
-    """Pages of all files below a path. A file that can't be read has one row with page 0 and its error.
-
-    PDF files are taken apart first, by their text layer alone: their pages are rows that are dealt over the tasks before the
-    extractor sees them, so that one long file doesn't hold up a task.
-    """
-    parsers = parsers or Parsers()
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "content")
-    is_pdf = F.lower("path").endswith(".pdf")
-
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for where, data in zip(frame["path"], frame["content"], strict=True):
-                yield _rows([{"doc_key": where.rsplit("/", 1)[-1], "path": where, **p} for p in parsers.parse(where, bytes(data))])
-
-    def hints(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for where, data in zip(frame["path"], frame["content"], strict=True):
-                try:
-                    found = pdf_hints(bytes(data))
-                    yield pd.DataFrame({"path": [where] * len(found), "page_no": range(1, len(found) + 1), "hint": found, "error": [None] * len(found)})
-                except Exception as e:  # a row of its own, as for any file
-                    yield pd.DataFrame({"path": [where], "page_no": [0], "hint": [""], "error": [f"{type(e).__name__}: {e}"]})
-
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples():
-                own = {"page_no": 0, "error": row.error} if row.page_no == 0 else parsers.read_page(bytes(row.content), "pdf", row.page_no, row.hint)
-                yield _rows([{"doc_key": row.path.rsplit("/", 1)[-1], "path": row.path, **own}])
-
-    plain = files.where(~is_pdf).mapInPandas(parse, PAGES)
-    taken = files.where(is_pdf).mapInPandas(hints, "path string, page_no int, hint string, error string").repartition("path", "page_no")
-    return plain.unionByName(taken.join(files.where(is_pdf), "path").mapInPandas(read, PAGES))
+def read_pages(spark: SparkSession, path: str, glob: str = "*", size: int = C.PAGE_CHARS) -> DataFrame:
+    """Page rows (doc_key, path, page_no, text, tables, figures, png_bytes, error) of all text files below a path. A file of another
+    kind has one row with page 0 that says so, one of no bytes has none, as Spark leaves it out."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    files = files.select(F.substring_index("path", "/", -1).alias("doc_key"), "path", "content").withColumn("kind", F.lower(F.regexp_extract("doc_key", r"\.([^.]*)$", 1)))
+    none = {"tables": F.lit(""), "figures": F.lit(""), "png_bytes": F.lit(None).cast("binary"), "error": F.lit(None).cast("string")}
+    pages = text_pages(files.where("kind = 'txt'"), ["doc_key", "path"], size=size).withColumns(none)
+    unknown = F.concat(F.lit("unknown format: "), F.when(F.col("kind") == "", "none").otherwise(F.col("kind")))
+    others = files.where("kind <> 'txt'").withColumns({"page_no": F.lit(0), "text": F.lit(None).cast("string")} | none | {"error": unknown})
+    return pages.unionByName(others.select(pages.columns))
 
 
 # Artefacts by key

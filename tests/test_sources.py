@@ -1,91 +1,25 @@
-import io
-import re
-import zipfile
-import zlib
-
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from quarry.functions import markdown as MD
 from quarry.functions.chunking import page_cuts, recursive_cuts
-from quarry.sources import files, layout, objects, office
-
-W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
-
-
-def docx(body: str, styles: str = "") -> bytes:
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        z.writestr("word/document.xml", f"<w:document {W}><w:body>{body}</w:body></w:document>")
-        z.writestr("word/styles.xml", f"<w:styles {W}>{styles}</w:styles>")
-    return out.getvalue()
-
-
-def p(text: str, style: str = "") -> str:
-    props = f'<w:pPr><w:pStyle w:val="{style}"/></w:pPr>' if style else ""
-    return f"<w:p>{props}<w:r><w:t>{text}</w:t></w:r></w:p>"
-
-
-STYLES = "".join(f'<w:style w:styleId="h{n}"><w:name w:val="heading {n}"/></w:style>' for n in range(1, 5)) + '<w:style w:styleId="l"><w:name w:val="List Bullet"/></w:style>'
-
-
-def test_docx_pages_follow_headings_limits_and_paths():
-    row = "<w:tr><w:tc><w:p><w:r><w:t>a|b</w:t></w:r></w:p></w:tc><w:tc><w:tcPr><w:gridSpan w:val='2'/></w:tcPr><w:p><w:r><w:t>c</w:t></w:r></w:p></w:tc></w:tr>"
-    data = docx(p("One", "h1") + p("x" * 1300) + "<w:p/>" + p("item", "l") + p("Two", "h2") + p("deep", "h4") + f"<w:tbl>{row}{row}</w:tbl>" + p("Three", "h1"), STYLES)
-    pages = office.document_pages(data)
-    assert [x["page_no"] for x in pages] == [1, 2, 3, 4]
-    assert pages[0]["text"].startswith("[[DOCX_PATH One]]\n# One\n\nxxx")
-    assert pages[1]["text"] == "[[DOCX_PATH One]]\n- item"
-    assert pages[2]["text"] == "[[DOCX_PATH One/Two]]\n## Two\n\n#### deep\n\n[Table]"
-    assert pages[2]["tables"] == "| a\\|b | c | c |\n| --- | --- | --- |\n| a\\|b | c | c |"
-    assert pages[3]["text"] == "[[DOCX_PATH Three]]\n# Three"
-    assert office.document_pages(docx("")) == [{"page_no": 1, "text": "", "tables": ""}]
-
-
-def test_docx_page_breaks_before_the_hard_limit():
-    pages = office.document_pages(docx(p("a" * 1500) + p("b" * 600)))
-    assert [len(x["text"]) for x in pages] == [1500, 600]
-
-
-def xlsx(sheets: dict[str, str], strings: list[str] = (), formats: str = "") -> bytes:
-    out = io.BytesIO()
-    main, rel = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"', 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
-    with zipfile.ZipFile(out, "w") as z:
-        z.writestr("xl/workbook.xml", f"<workbook {main} {rel}><sheets>" + "".join(f'<sheet name="{n}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(sheets)) + "</sheets></workbook>")
-        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="r{i}" Target="worksheets/s{i}.xml"/>' for i in range(len(sheets))) + "</Relationships>")
-        z.writestr("xl/sharedStrings.xml", f"<sst {main}>" + "".join(f"<si><t>{s}</t></si>" for s in strings) + "</sst>")
-        z.writestr("xl/styles.xml", f"<styleSheet {main}><cellXfs><xf numFmtId='0'/><xf numFmtId='14'/></cellXfs></styleSheet>")
-        for i, rows in enumerate(sheets.values()):
-            z.writestr(f"xl/worksheets/s{i}.xml", f"<worksheet {main}><sheetData>{rows}</sheetData></worksheet>")
-    return out.getvalue()
+from quarry.sources import files, objects
 
 
-def test_xlsx_rows_formulas_dates_and_parts():
-    head = '<row><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c><c r="D1" t="s"><v>2</v></c></row>'
-    rows = "".join(f'<row><c r="A{n}" s="1"><v>45292</v></c><c r="B{n}"><v>{n}.50</v></c><c r="D{n}"><f>B{n}*2</f><v>{2 * n}</v></c></row>' for n in range(2, 203))
-    pages = office.sheet_pages(xlsx({"S": head + rows, "E": ""}, ["Date", "Sales", "Note"]))
-    assert len(pages) == 3
-    first = pages[0]["text"].split("\n")
-    assert first[:4] == ["[[META type=excel sheet=S part=1/2]]", "Sheet: S", "UsedRange: rows=1-202, cols=1-4", "Columns: Date, Sales, C, Note"]
-    assert first[4:7] == ["Likely dimensions: Date", "Likely metrics: Sales", "Rows in this part: 1-200 of 201"]
-    assert first[8] == "Row 2: Date=2024-01-01 00:00:00, Sales=2.5, Note=4"
-    assert pages[1]["text"].endswith("Row 202: Date=2024-01-01 00:00:00, Sales=202.5, Note=404")
-    assert "[TRUNCATED] showing first 50 rows of 201" in pages[0]["tables"]
-    assert "D2\t=B2*2" in pages[0]["tables"]
-    assert pages[0]["tables"].endswith("[TRUNCATED] showing first 200 formulas")
-    assert pages[2]["text"].endswith("[EMPTY SHEET]")
+def test_bytes_become_text(spark):
+    cases = {b"\xef\xbb\xbfa\r\nb\rc": "a\nb\nc", b"caf\xe9": "caf\xe9", "caf\xe9 \u4e2d\U0001f600".encode(): "caf\xe9 \u4e2d\U0001f600", b"": "", b"\xef\xbb\xbf": "", b"\xef\xbb\xbf\xe9": "\xef\xbb\xbf\xe9", b"\r\r\n\n": "\n\n\n", None: None, b"\xc3": "\xc3"}
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, c binary").select("i", files.decoded(F.col("c")).alias("t"))
+    assert {r.i: r.t for r in rows.collect()} == dict(enumerate(cases.values()))
 
 
-def test_cells():
-    assert [office.format_cell(v) for v in (None, True, 1.0, 0.5, 1e12, 1e-9, 7, " a \n b ")] == ["", "TRUE", "1", "0.5", "1e+12", "1e-09", "7", "a b"]
-    assert [office.column_letters(n) for n in (1, 26, 27, 703)] == ["A", "Z", "AA", "AAA"]
-
-
-def test_text_files():
-    assert files.decode_text(b"\xef\xbb\xbfa\r\nb\rc") == "a\nb\nc"
-    assert files.decode_text(b"caf\xe9") == "café"
-    assert files.text_pages(b"") == [{"page_no": 1, "text": "", "tables": ""}]
+def test_files_become_pages(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"hello\r\nworld")
+    (tmp_path / "B.TXT").write_bytes(b"ab\ncd\nefgh")
+    (tmp_path / "c.bin").write_bytes(b"x")
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "empty.txt").write_bytes(b"")
+    (tmp_path / "noend").write_bytes(b"x")
+    rows = sorted((r.doc_key, r.page_no, r.text, r.tables, r.error) for r in files.read_pages(spark, str(tmp_path), size=7).collect())
+    assert rows == [("B.TXT", 1, "ab\ncd\ne", "", None), ("B.TXT", 2, "fgh", "", None), ("a.txt", 1, "hello\nw", "", None), ("a.txt", 2, "orld", "", None), ("c.bin", 0, None, "", "unknown format: bin"), ("noend", 0, None, "", "unknown format: none")]
 
 
 def test_pages_are_drawn_out_to_line_breaks():
@@ -106,72 +40,6 @@ def test_recursive_cuts():
     assert recursive_cuts("   \n ", 2, 1) == []
 
 
-def test_unknown_and_broken_files_are_rows():
-    parsers = files.Parsers()
-    assert parsers.parse("/a/x.exe", b"")[0]["error"] == "unknown format: exe"
-    assert parsers.parse("/a/x.docx", b"no archive")[0]["error"].startswith("BadZipFile")
-    assert parsers.parse("/a/x.jpeg", b"p")[0]["png_bytes"] == b"p"
-
-
-def test_files_become_pages(spark, tmp_path):
-    (tmp_path / "a.txt").write_bytes(b"hello\r\nworld")
-    (tmp_path / "b.docx").write_bytes(docx(p("Title", "h1"), STYLES))
-    (tmp_path / "c.bin").write_bytes(b"x")
-    rows = {r.doc_key: r for r in files.read_pages(spark, str(tmp_path)).collect()}
-    assert rows["a.txt"].text == "hello\nworld"
-    assert rows["b.docx"].text == "[[DOCX_PATH Title]]\n# Title"
-    assert rows["c.bin"].page_no == 0
-
-
-def pdf_file(pages: list[str], packed: bool = True) -> bytes:
-    """A file whose pages show lines of (x, y, text) drawn from content streams."""
-    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Count %d /Kids [%s] >>" % (len(pages), b" ".join(b"%d 0 R" % (10 + 2 * i) for i in range(len(pages))))}
-    objects[3] = b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"
-    for i, content in enumerate(pages):
-        objects[10 + 2 * i] = b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R /Resources << /Font << /F1 3 0 R >> >> >>" % (11 + 2 * i)
-        raw = zlib.compress(content.encode("cp1252")) if packed else content.encode("cp1252")
-        objects[11 + 2 * i] = b"<< /Length %d %s >>\nstream\n%s\nendstream" % (len(raw), b"/Filter /FlateDecode" if packed else b"", raw)
-    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % x for x in objects.items()) + b"trailer << /Root 1 0 R >>\n%%EOF"
-
-
-def at(x: int, y: int, text: str) -> str:
-    return f"BT /F1 10 Tf {x} {y} Td ({text}) Tj ET "
-
-
-def test_pdf_text_layer():
-    rows = [at(50, 700, "A \\(small\\) report"), *(at(50, 650 - 20 * n, f"k{n}") + at(300, 650 - 20 * n, f"v{n}") for n in range(3))]
-    kerned = "BT /F1 10 Tf 14 TL 1 0 0 1 50 500 Tm [(Hel) 10 (lo) -600 (there)] TJ T* (caf\\351 <) ' ET"
-    for packed in (True, False):
-        one, two = files.pdf_hints(pdf_file(["".join(rows), kerned], packed))
-        assert one == "| k0 | v0 |\n| --- | --- |\n| k1 | v1 |\n| k2 | v2 |\n\nA (small) report"
-        assert two == "Hello there\ncaf\xe9 <"
-    assert files.pdf_hints(pdf_file([""])) == [""]
-
-
-def test_pdf_pages_are_rows(spark, tmp_path):
-    class Model:
-        def page(self, data, kind, page_no, hint, turn):
-            if page_no == 2:
-                raise OSError("no answer")
-            return {"text": f"{kind}{page_no}:{hint}", "tables": "", "figures": "", "png_bytes": None}
-
-    (tmp_path / "a.pdf").write_bytes(pdf_file([at(1, 9, f"p{n}") for n in range(1, 4)]))
-    (tmp_path / "b.pdf").write_bytes(b"nothing")
-    (tmp_path / "c.txt").write_bytes(b"t")
-    rows = sorted((r.doc_key, r.page_no, r.text, r.error) for r in files.read_pages(spark, str(tmp_path), files.Parsers(Model())).collect())
-    assert rows == [("a.pdf", 1, "pdf1:p1", None), ("a.pdf", 2, "p2", "OSError: no answer"), ("a.pdf", 3, "pdf3:p3", None), ("b.pdf", 0, None, "ValueError: not a PDF"), ("c.txt", 1, "t", None)]
-
-
-def test_pictures_say_how_they_are_turned():
-    def picture(mark: int, order: str) -> bytes:
-        n = "little" if order == "II" else "big"
-        entry = (0x0112).to_bytes(2, n) + (3).to_bytes(2, n) + (1).to_bytes(4, n) + mark.to_bytes(2, n) + b"\0\0"
-        return b"\xff\xd8\xff\xe1\0\x20Exif\0\0" + order.encode() + (42).to_bytes(2, n) + (8).to_bytes(4, n) + (1).to_bytes(2, n) + entry
-
-    assert [files.turn(picture(m, o)) for o in ("II", "MM") for m in (1, 3, 6, 8)] == [0, 180, 90, 270] * 2
-    assert files.turn(b"\x89PNG") == 0 == files.turn(b"\xff\xd8\xff")
-
-
 def test_objects(spark, tmp_path):
     store = objects.ObjectStore(spark, f"{tmp_path}/bucket")
     assert not store.exists("a/x.txt")
@@ -186,78 +54,3 @@ def test_objects(spark, tmp_path):
     for bad in (lambda: store.clear("/"), lambda: store.uri("../x")):
         with pytest.raises(ValueError):
             bad()
-
-
-def test_html_tables():
-    html = "<p>x</p><table><tr><th>A <b>b</b></th><th>C</th></tr><tr><td> 1\n 2 </td></tr></table><table><tr><td>z</td></tr></table>"
-    assert MD.html_table(html) == "| A b | C |\n| --- | --- |\n| 1 2 |  |"
-    assert MD.html_table("<p>none</p>") == "" == MD.html_table("<table></table>") == MD.html_table(None)
-
-
-def word(x, y, text, width=20):
-    return (x, y, x + width, y + 8, text)
-
-
-def test_layout_tables_leave_the_text():
-    words = [word(0, 0, "Report"), word(25, 0, "one")]
-    for n, y in enumerate((20, 40, 60)):
-        words += [word(0, y, f"k{n}"), word(200, y + 1, f"v{n}")]
-    tables, text = layout.tables_and_text(words)
-    assert tables == "| k0 | v0 |\n| --- | --- |\n| k1 | v1 |\n| k2 | v2 |"
-    assert text == "Report one"
-
-
-def test_layout_loses_no_word():
-    # One positive gap among words that touch: all of them are in one of the two cells.
-    touching = [(0, 0, 20, 8, "a"), (20, 0, 40, 8, "b"), (100, 0, 120, 8, "c"), (120, 0, 140, 8, "d")]
-    assert layout.columns(touching) == ["a b", "c d"]
-    # A lone line of two columns is no table, and stays in the text.
-    assert layout.tables_and_text([word(0, 0, "left"), word(200, 0, "right"), word(0, 20, "next")]) == ("", "left right\nnext")
-
-
-@settings(deadline=None, max_examples=100)
-@given(st.lists(st.tuples(st.integers(0, 300), st.integers(0, 80), st.integers(1, 40)), max_size=30))
-def test_layout_keeps_every_word_once(places):
-    words = [(x, y, x + w, y + 8, f"w{i}") for i, (x, y, w) in enumerate(places)]
-    tables, text = layout.tables_and_text(words)
-    assert sorted(re.findall(r"w\d+", f"{tables}\n{text}")) == sorted(w[4] for w in words)
-
-
-def test_layout_pairs_of_text_and_number():
-    words = [word(0, 20 * n, t) for n, t in enumerate(["a", "1", "b", "2", "c", "3,000"])]
-    tables, text = layout.tables_and_text(words)
-    assert tables.splitlines()[-1] == "| c | 3,000 |"
-    assert text == ""
-
-
-def test_plain_tables_and_packing():
-    lines = ["a  b", "1  2", "3  4", "5  6"]
-    assert MD.looks_like_table(lines)
-    assert MD.plain_table(lines).startswith("| a | b |\n| --- | --- |\n| 1 | 2 |")
-    assert MD.plain_table(["a  b"]) == ""
-    assert MD.pack(["a", "", "b", "c" * 9], 5, "+") == ["a+b", "ccccc", "cccc"]
-    assert MD.pack(["c" * 9], 5, "+") == ["ccccc", "cccc"]
-    text = "x\n| a | b |\n|---|---|\n| 123456 | 2 |\ny"
-    assert MD.table_blocks(text) == ["| a | b |\n|---|---|\n| 123456 | 2 |"]
-
-
-def test_sections():
-    tags = {"text": "## Text", "table": "## Tables", "figure": "## Figures"}
-    assert MD.sections("## Text\nhi\n## Figures\nf", tags) == {"text": {"caption": "", "text": "hi"}, "figure": {"caption": "", "text": "f"}}
-    before = MD.sections("head\n## Figures\nf\n## Text\na\n## Text\nb", tags)
-    assert before == {"text": {"caption": "", "text": "head\n\na\n\nb"}, "figure": {"caption": "", "text": "f"}}
-    rows = "| a | b |\n|---|---|\n| 123456 | {} |"
-    both = MD.sections("Table 1\n" + rows.format(1) + "\nand\n" + rows.format(2), tags, most=40)["table"]
-    assert both["text"] == rows.format(1) + "\n\n" + rows.format(2) and both["parts"] == [rows.format(1), rows.format(2)]
-    loose = MD.sections("Figure 1: it\nbody", tags)
-    assert loose["figure"]["caption"] == "Figure 1: it" and loose["text"]["text"] == "Figure 1: it\nbody"
-
-
-def test_json_in_text():
-    assert MD.first_json('see ```json\n{"a": 1}\n``` end') == '{"a": 1}'
-    assert MD.first_json('x {bad} {"a": "}{", "b": {"c": 1}} y') == '{"a": "}{", "b": {"c": 1}}'
-    assert MD.first_json("none") is None
-    assert MD.page_payload('{"text": "t", "tables": "| a |", "figures": [{"description": "d"}]}', 2) == {
-        "page": 2, "text": "t", "tables": [{"caption": "", "markdown": "| a |"}], "figures": [{"caption": "", "description": "d", "data_table_markdown": ""}], "notes": "",
-    }
-    assert MD.page_payload("plain", 1)["text"] == "plain"

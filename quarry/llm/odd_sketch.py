@@ -6,7 +6,9 @@ Where two samples differ the parities flip, so the population count of two bitma
 a pair that can't reach the threshold goes before any set is read. What remains is confirmed on the full sets.
 
 Pairs are not listed within a bucket. First its most central member is compared with each other one; most buckets are in
-one component then. Members of different components are compared by their bitmaps, a block of a bucket with another one.
+one component then. Members of different components are compared by their bitmaps, a block of a bucket with another one; what
+looks alike is put into one cluster, of which a task says no more than a tree. Members of a cluster that are in different
+components are compared on their full sets, again by blocks, and a task gives a tree of the links that it finds.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ BANDS, ROWS = 42, 6
 SAMPLES, BITS = 1024, 2048
 #: Standard deviations by which a pair at the threshold may look worse than it is.
 DEVIATIONS = 6.5
-#: Members of a block of a bucket; a task compares two blocks.
-BLOCK = 256
+#: Members of a block, and shingles of it where whole sets are compared, about; a task compares two blocks.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 18
 #: Pairs of one document that read one copy of its set.
 SPREAD = 1000
 
@@ -171,26 +173,68 @@ def _near(percent: int):
     return run
 
 
-def _across(percent: int):
-    """The pairs of two blocks of a bucket that lie in different components and could be linked."""
+class _Forest:
+    """Groups that grow together; labels are small integers."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.root(i), self.root(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
+
+    def labels(self, of: np.ndarray) -> np.ndarray:
+        return np.array([self.root(i) for i in range(len(self.up))])[of]
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sorted arrays of distinct values share."""
+    both = np.concatenate([a, b])
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _across(percent: int, exact: bool):
+    """A tree of the pairs of two blocks that lie in different components and could be linked; exact: that are linked. What such a
+    pair joins is one component from then on, so most pairs of a group that is alike are never compared."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, group, n, first = (np.asarray(table.column(c)) for c in ("sid", "component", "n", "first"))
+        ids, of, n, first = (np.asarray(table.column(c)) for c in ("sid", "component", "n", "first"))
         sketch = _matrix(table.column("sketch"), BITS // 64)
-        left, right = np.flatnonzero(first), np.flatnonzero(~first) if not first.all() else np.flatnonzero(first)
-        found = []
-        for lo in range(0, len(left), 64):
-            some = left[lo : lo + 64]
+        if exact:
+            sets = table.column("set").combine_chunks()
+            bounds, values = np.asarray(sets.offsets), np.asarray(sets.values)
+        left = np.flatnonzero(first)
+        right = left if first.all() else np.flatnonzero(~first)
+        own = np.unique(of, return_inverse=True)[1].ravel()
+        forest, group = _Forest(int(own.max(initial=-1)) + 1), own
+        pairs = []
+        for lo in range(0, len(left), 16):
+            some = left[lo : lo + 16]
             x, y = np.nonzero(group[some][:, None] != group[right][None, :])
             x, y = some[x], right[y]
-            for at in range(0, len(x), 1 << 14):
-                i, j = x[at : at + (1 << 14)], y[at : at + (1 << 14)]
-                sized = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
-                i, j = i[sized], j[sized]
-                near = could_link(n[i], n[j], np.bitwise_count(sketch[i] ^ sketch[j]).sum(1), percent)
-                found.append(np.stack([np.minimum(ids[i[near]], ids[j[near]]), np.maximum(ids[i[near]], ids[j[near]])]))
-        pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pairs[0], "b": pairs[1]})
+            sized = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+            x, y = x[sized], y[sized]
+            near = could_link(n[x], n[y], np.bitwise_count(sketch[x] ^ sketch[y]).sum(1), percent)
+            for i, j in zip(x[near].tolist(), y[near].tolist(), strict=True):
+                if forest.root(int(own[i])) == forest.root(int(own[j])):
+                    continue
+                if exact:
+                    common = _common(values[bounds[i] : bounds[i + 1]], values[bounds[j] : bounds[j + 1]])
+                    if 100 * common < percent * (n[i] + n[j] - common):
+                        continue
+                forest.join(int(own[i]), int(own[j]))
+                pairs.append((ids[i], ids[j]))
+            group = forest.labels(own)
+        found = np.array(pairs, np.int64).reshape(-1, 2)
+        return pa.table({"a": found.min(1, initial=np.iinfo(np.int64).max), "b": found.max(1, initial=np.iinfo(np.int64).min)})
 
     return run
 
@@ -221,13 +265,15 @@ class _Run:
         met = _with(_with(pairs, "a", self.reps, "n", "sketch"), "b", self.reps, "n", "sketch")
         return self.workspace.table(met.mapInArrow(tidy(_near(self.percent)), "a long, b long"), "near")
 
-    def confirm(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Those of the pairs whose full sets are alike enough. Both sets are read once for each pair, the texts once."""
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-        needed = self.reps.join(ends, "sid").select("sid", "least", "one", "two")
+    def sets(self, ids: DataFrame, name: str) -> DataFrame:
+        """(sid, set) of some representatives, read from one text of each."""
+        needed = self.reps.join(ids, "sid").select("sid", "least", "one", "two")
         texts = self.docs.join(needed, F.col("doc_id").eqNullSafe(F.col("least"))).select("sid", "one", "two", "text")
-        sets = texts.mapInArrow(tidy(_full_sets(self.size)), "sid long, set array<long>").dropDuplicates(["sid"])
-        sets = self.workspace.table(sets, f"sets-{name}")
+        return self.workspace.table(texts.mapInArrow(tidy(_full_sets(self.size)), "sid long, set array<long>").dropDuplicates(["sid"]), f"sets-{name}")
+
+    def confirm(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs whose full sets are alike enough. Both sets are read once for each pair, the texts once."""
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "star")
         # A representative of many pairs: its set is copied, and the pairs are dealt over the copies.
         copies = pairs.groupBy("a").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("copies"))
         salted = pairs.join(copies, "a").withColumn("salt", F.pmod(F.hash("b"), F.col("copies")))
@@ -235,36 +281,52 @@ class _Run:
         both = _with(salted, "b", sets, "set").join(left, ["a", "salt"])
         common = F.size(F.array_intersect("set_a", "set_b"))
         both = both.select("a", "b", common.alias("common"), (F.size("set_a") + F.size("set_b") - common).alias("union"))
-        return self.workspace.table(both.where(F.col("common") * 100 >= F.col("union") * self.percent).select("a", "b"), f"links-{name}")
-
-    def across(self, members: DataFrame, nodes: DataFrame) -> DataFrame:
-        """Pairs that a bucket has across components, by blocks of it. A component with more than a block of members has blocks of its
-        own, whose members aren't compared with each other."""
-        of = members.join(nodes.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-        of = self.workspace.table(of.select("band", "key", "sid", "component"), "of")
-        shares = of.groupBy("band", "key", "component").agg(F.count("*").alias("c"))
-        small = F.ceil(F.sum(F.when(F.col("c") < BLOCK, F.col("c")).otherwise(0)) / BLOCK).cast("int")
-        large = F.collect_list(F.when(F.col("c") >= BLOCK, F.struct("component", F.ceil(F.col("c") / BLOCK).cast("int").alias("k"))))
-        buckets = shares.groupBy("band", "key").agg(F.count("*").alias("groups"), small.alias("small"), large.alias("large")).where("groups > 1")
-        buckets = self.workspace.table(buckets, "buckets")
+        return self.workspace.table(both.where(F.col("common") * 100 >= F.col("union") * self.percent).select("a", "b"), "links-star")
+
+    def blocked(self, of: DataFrame, key: list[str], weight: Column, name: str) -> DataFrame:
+        """Rows (key, sid, component, n, ...) as the tasks that compare all of a key across its components: (task, first, ...), a row
+        for each task of its block, `first` where it is on the left.
+
+        A component with more than a block of members has blocks of its own, whose members aren't compared with each other;
+        the members of smaller ones share blocks.
+        """
+        share = of.groupBy(*key, "component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(weight) / BLOCK_SHINGLES)).cast("int").alias("k"), F.count("*").alias("c"), F.sum(weight).alias("w"))
+        share = self.workspace.table(share, f"share-{name}")
+        little = F.col("k") < 2
+        small = F.greatest(F.ceil(F.sum(F.when(little, F.col("c")).otherwise(0)) / BLOCK), F.ceil(F.sum(F.when(little, F.col("w")).otherwise(0)) / BLOCK_SHINGLES)).cast("int")
+        large = F.collect_list(F.when(~little, F.struct("component", "k")))
+        buckets = self.workspace.table(share.groupBy(*key).agg(F.count("*").alias("groups"), small.alias("small"), large.alias("large")).where("groups > 1"), f"buckets-{name}")
         mixed = F.expr("transform(filter(sequence(0, small), i -> i < small), i -> named_struct('group', cast(null AS long), 'part', i))")
         alone = F.expr("flatten(transform(large, g -> transform(sequence(0, g.k - 1), i -> named_struct('group', g.component, 'part', i))))")
-        blocks = buckets.select("band", "key", F.concat(mixed, alone).alias("blocks"))
-        tasks = blocks.select("band", "key", "blocks", F.explode("blocks").alias("x")).select("band", "key", "x", F.explode("blocks").alias("y"))
+        blocks = buckets.select(*key, F.concat(mixed, alone).alias("blocks"))
+        tasks = blocks.select(*key, "blocks", F.explode("blocks").alias("x")).select(*key, "x", F.explode("blocks").alias("y"))
         tasks = tasks.where("x <= y and not (x.`group` is not null and y.`group` is not null and x.`group` = y.`group`)")
-        own = of.join(shares, ["band", "key", "component"]).join(buckets.select("band", "key", "small"), ["band", "key"])
-        single = F.col("c") >= BLOCK
+        tasks = tasks.withColumn("first", F.explode(F.when(F.expr("x <=> y"), F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))))
+        tasks = tasks.select(*key, F.xxhash64(*key, "x", "y").alias("task"), "first", F.when(F.col("first"), F.col("x")).otherwise(F.col("y")).alias("block"))
         block = F.struct(
-            F.when(single, F.col("component")).alias("group"),
-            F.when(single, F.pmod(F.xxhash64("sid"), F.ceil(F.col("c") / BLOCK))).otherwise(F.pmod(F.xxhash64("component"), F.col("small"))).cast("int").alias("part"),
+            F.when(~little, F.col("component")).alias("group"),
+            F.when(~little, F.pmod(F.xxhash64("sid"), F.col("k"))).otherwise(F.pmod(F.xxhash64("component"), F.col("small"))).cast("int").alias("part"),
         )
-        own = own.select("band", "key", "sid", "component", block.alias("block")).join(self.reps.select("sid", "n", "sketch"), "sid")
-        own = self.workspace.table(own, "own")
-        tasks = tasks.withColumn("side", F.explode(F.when(F.expr("x <=> y"), F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))))
-        tasks = tasks.withColumn("block", F.when(F.col("side"), F.col("x")).otherwise(F.col("y"))).select("*", F.xxhash64("band", "key", "x", "y").alias("task"))
-        same = [F.col(f"t.{c}") == F.col(f"o.{c}") for c in ("band", "key", "block.part")] + [F.col("t.block.group").eqNullSafe(F.col("o.block.group"))]
-        rows = tasks.alias("t").join(own.alias("o"), same).select("task", F.col("t.side").alias("first"), "o.sid", "o.component", "o.n", "o.sketch")
-        return rows.groupBy("task").applyInArrow(_across(self.percent), "a long, b long").distinct()
+        own = of.join(share, [*key, "component"]).join(buckets.select(*key, "small"), key).select(*of.columns, block.alias("block")).join(self.reps.select("sid", "sketch"), "sid")
+        same = [F.col(f"t.{c}") == F.col(f"o.{c}") for c in key] + [F.col("t.block.part") == F.col("o.block.part"), F.col("t.block.group").eqNullSafe(F.col("o.block.group"))]
+        return tasks.alias("t").join(own.alias("o"), same).select("task", "first", *(F.col(f"o.{c}") for c in ("sid", "component", "n", "sketch")))
+
+    def clusters(self, members: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+        """(node, component): what the links join, and what pairs of a bucket that look alike would join, too."""
+        of = members.select("band", "key", "sid").join(self.reps.select("sid", "n"), "sid").join(nodes.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+        rows = self.blocked(self.workspace.table(of, "of"), ["band", "key"], F.lit(0), "bands")
+        alike = self.workspace.table(rows.groupBy("task").applyInArrow(_across(self.percent, False), "a long, b long").distinct(), "alike")
+        return components(links.unionByName(alike), Workspace(self.docs.sparkSession, "oddsketch-alike"))
+
+    def across(self, clusters: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Links between members of one cluster that are in different components."""
+        of = clusters.select(F.col("node").alias("sid"), F.col("component").alias("cluster")).join(nodes.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+        of = of.join(self.reps.select("sid", "n"), "sid")
+        several = of.groupBy("cluster").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("cluster")
+        of = self.workspace.table(of.join(several, "cluster"), "clusters")
+        sets = self.sets(of.select("sid"), "across")
+        rows = self.blocked(of, ["cluster"], F.col("n"), "clusters").join(sets, "sid")
+        return self.workspace.table(rows.groupBy("task").applyInArrow(_across(self.percent, True), "a long, b long"), "links-across")
 
 
 def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -284,10 +346,9 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERC
     run = _Run(own_columns(docs, id_col, text_col), reps, workspace, size, percent)
     members = run.members()
     near = run.stars(members)
-    first = run.confirm(near, "star")
+    first = run.confirm(near)
     nodes = components(first, workspace)
-    more = workspace.table(run.across(members, nodes).join(near, ["a", "b"], "left_anti"), "across")
-    second = run.confirm(more, "across")
+    second = run.across(run.clusters(members, nodes, first), nodes)
     nodes = components(first.unionByName(second), Workspace(docs.sparkSession, "oddsketch-all"))
     of = reps.select("sid", "one", "two", "least").join(nodes.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     of = workspace.table(of, "classes")

@@ -21,6 +21,12 @@ def query_language(text: Column) -> Column:
     return F.when(text.rlike(ARABIC), "ar").when(text.rlike("[A-Za-z]"), "en").otherwise("auto")
 
 
+def windows(text: Column, n: int) -> Column:
+    """All groups of n letters of a text."""
+    starts = F.filter(F.sequence(F.lit(0), F.length(text)), lambda i: (i > 0) & (i + n - 1 <= F.length(text)))
+    return F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
+
+
 def meta_header(kind: Column, page: Column | None = None, caption: Column | None = None) -> Column:
     """First line of a chunk. Empty fields are left out, long ones cut."""
 

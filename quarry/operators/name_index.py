@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.text import windows
+
 #: Ids in one row of a posting list, about.
 BLOCK = 4096
 #: Lists that a term's lookup intersects at most, and how much longer than the shortest one they may be.
@@ -38,16 +40,11 @@ class NameIndex:
         return cls(*(spark.read.parquet(f"{folder}/{part}") for part in ("names", "postings", "sizes")))
 
 
-def _windows(text: Column, n: int) -> Column:
-    """All groups of n letters of a text."""
-    return F.transform(F.filter(F.sequence(F.lit(0), F.length(text)), lambda i: (i > 0) & (i + n - 1 <= F.length(text))), lambda i: F.substring(text, i, F.lit(n)))
-
-
 def build(rows: DataFrame, name_col: str = "name") -> NameIndex:
     """The index of the distinct names of some rows; a null name has none. The empty group holds all names, for terms of
     wildcards alone."""
     names = rows.select(F.lower(F.col(f"`{name_col}`")).alias("name")).where("name is not null").distinct().select(F.xxhash64("name").alias("id"), "name")
-    grams = F.array_distinct(F.concat(F.array(F.lit("")), *(_windows(F.col("name"), n) for n in (1, 2, 3))))
+    grams = F.array_distinct(F.concat(F.array(F.lit("")), *(windows(F.col("name"), n) for n in (1, 2, 3))))
     each = names.select("id", F.explode(grams).alias("gram"))
     sizes = each.groupBy("gram").agg(F.count("*").alias("names"))
     blocks = F.ceil(F.col("names") / BLOCK)
@@ -59,7 +56,7 @@ def build(rows: DataFrame, name_col: str = "name") -> NameIndex:
 def _grams_of(term: Column) -> Column:
     """What a name that holds the term has in any case: the groups of three letters of its literal runs, and shorter runs themselves."""
     runs = F.filter(F.split(term, "[%_]+"), lambda r: r != "")
-    groups = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) <= 3, F.array(r)).otherwise(_windows(r, 3))))
+    groups = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) <= 3, F.array(r)).otherwise(windows(r, 3))))
     return F.when(F.size(runs) == 0, F.array(F.lit(""))).otherwise(F.array_distinct(groups))
 
 

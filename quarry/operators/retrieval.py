@@ -127,3 +127,34 @@ def messages(system: str, context_: Column, question: Column) -> Column:
         return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
     return F.array(turn("system", F.lit(system)), turn("user", F.concat_ws("\n\n", context_, ask, question)))
+
+
+#: Words of a passage, all with a space on either side, that bring it and texts together.
+PROBE_WORDS = 3
+
+
+def texts_with(texts: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(query_id, id) of each passage (query_id, passage) and each text that holds it, character for character. Ids of texts are unique.
+
+    A text that holds a passage has its inner words, those between two of its spaces, one after the other; so passages and
+    texts are joined by the hash of the first PROBE_WORDS of them, and what meets is compared. Passages with fewer inner words
+    are joined by their first letters, three at most, with the letter groups of the texts. A null holds nothing and is in
+    nothing; the empty passage is in every text.
+    """
+    own = passages.where("passage is not null").select("query_id", "passage").withColumn("words", F.split("passage", " ", -1))
+    rows = texts.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    long_, short = (F.size("words") >= PROBE_WORDS + 2), (F.size("words") < PROBE_WORDS + 2)
+
+    def hashed(words: Column, at: Column | int) -> Column:
+        return F.xxhash64(F.array_join(F.slice(words, at, PROBE_WORDS), " "))
+
+    asked = own.where(long_).select("query_id", "passage", hashed(F.col("words"), 2).alias("probe"))
+    words = F.split("_text", " ", -1)
+    # The words are one element of an array, so that a text is split once.
+    probes = F.flatten(F.transform(F.array(words), lambda w: F.transform(F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: i + PROBE_WORDS - 1 <= F.size(w)), lambda i: hashed(w, i))))
+    met = rows.select("_id", F.explode(F.array_distinct(probes)).alias("probe")).join(asked, "probe").select("query_id", "passage", "_id")
+    few = own.where(short).select("query_id", "passage", F.left("passage", F.lit(3)).alias("probe"))
+    if few.take(1):
+        letters = F.concat(F.array(F.lit("")), *(X.windows(F.col("_text"), n) for n in (1, 2, 3)))
+        met = met.unionByName(rows.select("_id", F.explode(F.array_distinct(letters)).alias("probe")).join(few, "probe").select("query_id", "passage", "_id"))
+    return met.join(rows, "_id").where(F.contains("_text", F.col("passage"))).select("query_id", F.col("_id").alias(id_col))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +26,6 @@ from quarry.streaming import jobs as J
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 READER = AccessContext("src0", 2)
-#: Questions of an evaluation that are broadcast at once, about.
-QUESTIONS = 10_000
 
 
 def query(sql: str | None, *views: str):
@@ -654,15 +651,10 @@ def query_expansion(t: Tables) -> DataFrame:
     """SELECT b.item_id AS query_id, count(d.doc_id) AS relevant, count(d.doc_id) FILTER (d.source = 'src0') AS found FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY 1"""
 )
 def retrieval_evaluation(t: Tables) -> DataFrame:
-    """Documents that hold each question's whole text, and those of them that the reader's application has. All questions take
-    part: in blocks that are broadcast, with one pass over the documents each."""
+    """Documents that hold each question's whole text, and those of them that the reader's application has."""
     asked = t.raw("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    blocks = max(1, -(-asked.count() // QUESTIONS))
-    found = []
-    for k in range(blocks):
-        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
-        found.append(t.raw("documents").select("doc_id", "text", "source").join(F.broadcast(block), F.contains("text", F.col("passage"))).select("query_id", "source"))
-    pairs = reduce(DataFrame.unionByName, found)
+    docs = t.raw("documents")
+    pairs = R.texts_with(docs, asked).join(docs.select("doc_id", "source"), "doc_id")
     hits = pairs.groupBy("query_id").agg(F.count("*").alias("relevant"), F.count(F.when(F.col("source") == READER.app_id, 1)).alias("found"))
     zero = F.lit(0).cast("long")
     return t.raw("benchmark").select(F.col("item_id").alias("query_id")).join(hits, "query_id", "left").select("query_id", F.coalesce("relevant", zero).alias("relevant"), F.coalesce("found", zero).alias("found"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.operators import graph as G
+from quarry.operators import retrieval as R
 from quarry.operators import search as S
 from quarry.operators.nearest import nearest
 
@@ -82,3 +83,15 @@ def test_header_values(spark):
     for r in got:
         for k in ("type", "page", "caption"):
             assert r[k].a == r[k].b, (texts[r.i], k, r[k])
+
+
+def test_texts_that_hold_passages(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["ab", "b", "a", "", "abc\n", "b  a"]) for _ in range(rng.randint(0, 30))) for _ in range(60)] + [None, "", "x" * 5000, "a b a b a b a b a b"]
+    passages = [t[i:j] for t in texts[:60] for i, j in [sorted(rng.choices(range(len(t) + 1), k=2))]] + [None, "", "nowhere at all to be found here", "b a b a b a", " ", "\n"]
+    rows, asked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(passages)), "query_id long, passage string")
+    want = sorted((q, i) for q, p in enumerate(passages) for i, t in enumerate(texts) if p is not None and t is not None and p in t)
+    got = R.texts_with(rows, asked)
+    assert sorted((r.query_id, r.doc_id) for r in got.collect()) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

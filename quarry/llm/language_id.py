@@ -38,10 +38,10 @@ TABLE_BYTES = 64 << 20
 #: Characters whose difference in cross-entropy the score weighs.
 EVIDENCE_CHARS = 10
 #: The limit is WAY of the way from MARGIN times this quantile of the deviations of own texts to that quantile of those of other
-#: languages' texts, of FOREIGN_CHARS characters and FOREIGN_TEXTS of them at least. It is LIMIT at least: among the others
-#: there are texts of mixed languages, which draw it down. A language that was never seen may be nearer than those that
-#: were, so it is not the middle.
-OWN, MARGIN, FOREIGN, FOREIGN_CHARS, FOREIGN_TEXTS, WAY, LIMIT = 0.999, 1.25, 0.05, 200, 20, 0.25, 6.0
+#: languages' texts. Of these only windows of FOREIGN_CHARS characters count in whose text each window is nearest to the
+#: text's own language: in a text of mixed languages some part is this one's own. The quantile of a language's own texts is drawn to
+#: that of all languages' as if it were POOLED texts more: a few texts alone don't show how far others lie.
+OWN, MARGIN, FOREIGN, FOREIGN_CHARS, WAY, POOLED = 0.999, 2.0, 0.05, 200, 0.25, 20
 #: The deviation between texts counts as this many nats a character at least, and 1 for a single character.
 LEAST_SPREAD = 0.1
 UNKNOWN = "und"
@@ -192,11 +192,11 @@ class LanguageModels:
         starts = np.cumsum(n) - n
         return -np.add.reduceat(logs, starts, axis=0, dtype=np.float64) / n[:, None], n, letters
 
-    def calibrate(self, own: np.ndarray, h: np.ndarray, n: np.ndarray, other: np.ndarray | None = None, h_other: np.ndarray | None = None) -> None:
-        """Means, spreads and limits from held-back texts: the language of each, its entropy in it, its characters, the best of the
-        other languages (-1 for none) and the entropy in that one."""
+    def calibrate(self, own: np.ndarray, h: np.ndarray, n: np.ndarray, other: np.ndarray | None = None, h_other: np.ndarray | None = None, n_other: np.ndarray | None = None) -> None:
+        """Means, spreads and limits from held-back texts: the language of each, its entropy in it, and its characters; and from windows
+        of pure texts: the best of the languages that aren't theirs, the entropy in that one, and their characters."""
         self.mean, self.spread = np.zeros(len(self.models)), np.zeros((len(self.models), 3))
-        furthest = np.zeros(len(self.models))
+        deviations: dict[int, np.ndarray] = {}
         for k in range(len(self.models)):
             mine = np.flatnonzero(own == k)
             if not len(mine):
@@ -209,16 +209,21 @@ class LanguageModels:
             a = np.stack([np.ones(len(mine)), 1 / mine_n], 1)
             v, c = np.clip(np.linalg.lstsq(a, deviation, rcond=None)[0], 0, None)
             v, c = max(v, LEAST_SPREAD**2), max(c, 1.0)
-            furthest[k] = MARGIN * float(np.quantile((mine_h - mean) / np.sqrt(v + c / mine_n), OWN))
-            self.mean[k], self.spread[k] = mean, (v, c, max(furthest[k], LIMIT))
+            deviations[k] = (mine_h - mean) / np.sqrt(v + c / mine_n)
+            self.mean[k], self.spread[k] = mean, (v, c, 0)
+        pooled = float(np.quantile(np.concatenate(list(deviations.values())), OWN)) if deviations else 0.0
+        furthest = np.zeros(len(self.models))
+        for k, own_ones in deviations.items():
+            furthest[k] = MARGIN * (len(own_ones) * float(np.quantile(own_ones, OWN)) + POOLED * pooled) / (len(own_ones) + POOLED)
+            self.spread[k, 2] = furthest[k]
         if other is None:
             return
         for k in range(len(self.models)):
-            theirs = np.flatnonzero((other == k) & (n >= FOREIGN_CHARS))
-            if len(theirs) >= FOREIGN_TEXTS and np.isfinite(self.spread[k, 2]):
+            theirs = np.flatnonzero(other == k)
+            if len(theirs) and np.isfinite(self.spread[k, 2]):
                 v, c, _ = self.spread[k]
-                limit = float(np.quantile((h_other[theirs] - self.mean[k]) / np.sqrt(v + c / n[theirs]), FOREIGN))
-                self.spread[k, 2] = max(LIMIT, furthest[k] + max(0.0, WAY * (limit - furthest[k])))
+                limit = float(np.quantile((h_other[theirs] - self.mean[k]) / np.sqrt(v + c / n_other[theirs]), FOREIGN))
+                self.spread[k, 2] = furthest[k] + max(0.0, WAY * (limit - furthest[k]))
 
     def predict(self, texts: list[str], index: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """(language, score, nats per character, rejected) of each text."""
@@ -247,7 +252,8 @@ def _fit_group(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def _held_back(sent):
-    """Entropies of texts in their own languages, and in the best of the others."""
+    """Entropies of texts in their own languages, and of the windows of pure texts in the best of the others. own is -1 in a row of a
+    window, other in one of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = sent.value
@@ -255,11 +261,15 @@ def _held_back(sent):
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 h, n, letters = models.entropies([text], index)
-                if letters[0] and lang in place:
-                    own, low = place[lang], h[0].copy()
-                    low[own] = np.inf
-                    best = int(low.argmin()) if len(low) > 1 else -1
-                    yield pa.RecordBatch.from_pydict({"own": [own], "h": [float(h[0, own])], "n": [int(n[0])], "other": [best], "h_other": [float(low[best])]})
+                if not letters[0] or lang not in place:
+                    continue
+                own, parts = place[lang], [text[i : i + FOREIGN_CHARS] for i in range(0, len(text) - FOREIGN_CHARS + 1, FOREIGN_CHARS)]
+                yield pa.RecordBatch.from_pydict({"own": [own], "other": [-1], "h": [float(h[0, own])], "n": [int(n[0])]})
+                if parts and len(place) > 1:
+                    h, n, _ = models.entropies(parts, index)
+                    if (h.argmin(1) == own).all():
+                        h[:, own] = np.inf
+                        yield pa.RecordBatch.from_pydict({"own": [-1] * len(h), "other": h.argmin(1).tolist(), "h": h.min(1).tolist(), "n": n.tolist()})
 
     return run
 
@@ -307,16 +317,17 @@ def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
     out = LanguageModels(languages, [dict(np.load(io.BytesIO(fitted.pop(k)))) for k in languages])
     out.prepare()
     sent = spark.sparkContext.broadcast(out)
-    held = sample.where("fifth = 0").select("lang", "text").mapInArrow(tidy(_held_back(sent)), "own long, h double, n long, other long, h_other double").toPandas()
+    held = sample.where("fifth = 0").select("lang", "text").mapInArrow(tidy(_held_back(sent)), "own long, other long, h double, n long").toPandas()
     sent.unpersist()
-    own, h, n, other, h_other = (held[c].to_numpy(t) for c, t in (("own", int), ("h", float), ("n", float), ("other", int), ("h_other", float)))
+    texts, windows = held[held["own"] >= 0], held[held["own"] < 0]
+    own, h, n = (texts[c].to_numpy(t) for c, t in (("own", int), ("h", float), ("n", float)))
+    other, h_other, n_other = (windows[c].to_numpy(t) for c, t in (("other", int), ("h", float), ("n", float)))
     without = [k for i, k in enumerate(languages) if i not in set(own.tolist())]
     if without:
         halves = sample.where(F.col("lang").isin(without)).select("lang", "text").groupBy("lang").applyInArrow(_crossed, "lang string, h double, n long").toPandas()
         own = np.concatenate([own, [languages.index(k) for k in halves["lang"]]]).astype(int)
         h, n = np.concatenate([h, halves["h"].to_numpy(float)]), np.concatenate([n, halves["n"].to_numpy(float)])
-        other, h_other = np.concatenate([other, np.full(len(halves), -1)]), np.concatenate([h_other, np.full(len(halves), np.inf)])
-    out.calibrate(own, h, n, other, h_other)
+    out.calibrate(own, h, n, other, h_other, n_other)
     return out
 
 

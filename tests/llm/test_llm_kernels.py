@@ -268,7 +268,7 @@ def test_limits_lie_between_own_and_foreign_texts():
     models.prepare()
     own = np.repeat([0, 1], 40)
     h, n, _ = models.entropies([say("xy"[k], 60) for k in own], models.index())
-    models.calibrate(own, h[np.arange(80), own], n, 1 - own, h[np.arange(80), 1 - own])
+    models.calibrate(own, h[np.arange(80), own], n, 1 - own, h[np.arange(80), 1 - own], n)
     assert (models.spread[:, 2] < 100).all()
     clean, foreign = (models.predict([say(k, 60) for k in keys for _ in range(100)], models.index())[3] for keys in ("xy", "z"))
     assert clean.mean() == 0 and foreign.mean() > 0.9

@@ -337,7 +337,7 @@ def hybrid_entities(t: Tables) -> DataFrame:
         WHEN 3 THEN upper(right(p_name, 2)) ELSE concat(p_name, '!') END""")
     part = t.raw("part")
     asked = t.raw("embeddings").where("vec_id % 20 = 0").join(part, F.col("p_partkey") == F.col("vec_id") % part.count()).select(F.col("vec_id").alias("query_id"), term.alias("term"), F.col("embedding").alias("query"))
-    return G.hybrid_entities(t.entity(), asked, 5).select("query_id", "entity_id", "found_by", F.round("score", 6).alias("score"))
+    return G.hybrid_entities(t.stored(t.entity(), "entities"), asked, 5).select("query_id", "entity_id", "found_by", F.round("score", 6).alias("score"))
 
 
 @query("SELECT chunk_id, CAST(list_position([7, 3, 11, 499], chunk_id) AS BIGINT) AS position FROM vector_chunks WHERE chunk_id IN (7, 3, 11, 499)", "vector_chunks")

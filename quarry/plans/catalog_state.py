@@ -85,12 +85,13 @@ _TERMS = """SELECT DISTINCT term FROM (SELECT split_part(p_name, ' ', 1) AS term
 @query(f", t AS ({_TERMS}) SELECT lower(term) AS term, count(*) AS entities, min(entity_id) AS first_id FROM (SELECT DISTINCT lower(term) AS term FROM t) JOIN entity ON name ILIKE '%' || term || '%' GROUP BY 1", "entity")
 def name_lookup(t: Tables) -> DataFrame:
     """Words, beginnings, ends, wildcards and absent terms, looked up in a stored index of all entities' names."""
-    index = name_index.build(t.entity()).write(shared(t.spark, "names"))
+    entities = t.stored(t.entity().select("entity_id", "name"), "entities")
+    index = name_index.build(entities).write(shared(t.spark, "names"))
     part = t.raw("part")
     kinds = ["split_part(p_name, ' ', 1)", "left(p_name, 2)", "right(p_name, 1)", "concat(left(p_name, 2), '%', right(p_name, 3))", "upper(left(p_name, 5))", "'no such name'", "'_'", "'b_'"]
     terms = part.select(F.explode(F.array(*(F.expr(k) for k in kinds))).alias("term")).distinct()
     found = name_index.lookup(index, terms)
-    return found.join(t.entity().withColumn("low", F.lower("name")), F.col("low") == found["name"]).groupBy("term").agg(F.count("*").alias("entities"), F.min("entity_id").alias("first_id"))
+    return found.join(entities.withColumn("low", F.lower("name")), F.col("low") == found["name"]).groupBy("term").agg(F.count("*").alias("entities"), F.min("entity_id").alias("first_id"))
 
 
 # Layout by application

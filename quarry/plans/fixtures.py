@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import chunking as C
+from quarry.streaming.runs import shared
 
 
 class Tables:
@@ -54,6 +55,12 @@ class Tables:
             "coalesce(occurrence_count, 0) AS occurrence_count", "p_size > 5 AS is_active", "embedding",
         )
 
+    def stored(self, rows: DataFrame, name: str) -> DataFrame:
+        """Rows as a table of a folder that driver and executors share, for queries that read them several times."""
+        folder = shared(self.spark, name)
+        rows.write.parquet(folder)
+        return self.spark.read.schema(rows.schema).parquet(folder)
+
     def entity_chunk(self) -> DataFrame:
         return self.raw("lineitem").groupBy(F.col("l_partkey").alias("entity_id"), F.col("l_orderkey").alias("chunk_id")).agg(F.count("*").alias("mention_count")).withColumn("app_id", F.lit("app0"))
 

@@ -5,6 +5,8 @@ A value is a VARIANT, so a field may be a string, an object or a list, and each
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ def _stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value worked out once however often it is used: as the one element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def is_object(value: Column) -> Column:
     """Whether a VARIANT is a JSON object."""
     return F.coalesce(F.try_variant_get(value, "$", "map<string,variant>").isNotNull(), F.lit(False))
@@ -43,15 +50,16 @@ def balanced(text: Column) -> Column:
 
 def first_json(text: Column) -> Column:
     """The first JSON object in a text: all of it, a fenced one, or one with balanced braces; null where there is none."""
-    own = _stripped(F.coalesce(text, F.lit("")))
 
     def first(t: Column) -> Column:
         # Balanced parts alone are asked: the parser takes an object with other text behind it, too.
         return F.get(F.filter(balanced(t), lambda s: is_object(F.try_parse_json(s))), F.lit(0))
 
-    inside = first(own)
-    fenced = F.regexp_extract(own, _FENCED, 1)
-    return F.when(inside == own, own).otherwise(F.coalesce(F.when(fenced != "", first(fenced)), inside))
+    def chosen(own: Column, inside: Column) -> Column:
+        fenced = _let(F.regexp_extract(own, _FENCED, 1), lambda f: F.when(f != "", first(f)))
+        return F.when(inside == own, own).otherwise(F.coalesce(fenced, inside))
+
+    return _let(_stripped(F.coalesce(text, F.lit(""))), lambda own: _let(first(own), lambda inside: chosen(own, inside)))
 
 
 def _text_of(value: Column) -> Column:
@@ -62,36 +70,39 @@ def _text_of(value: Column) -> Column:
 def items(value: Column, main: str, fields: tuple[str, ...]) -> Column:
     """A field as a list of structs of strings: one object or string is a list of itself, a string stands for `main`. Elements of other
     kinds, and those whose fields are all empty, go."""
-    many = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.when(value.isNotNull(), F.array(value)), F.array().cast("array<variant>"))
-    kinds = F.filter(many, lambda v: is_object(v) | F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False)))
+
+    def listed(v: Column) -> Column:
+        many = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.when(v.isNotNull(), F.array(v)), F.array().cast("array<variant>"))
+        return F.filter(many, lambda x: is_object(x) | F.coalesce(F.schema_of_variant(x) == "STRING", F.lit(False)))
 
     def shaped(v: Column) -> Column:
-        own = F.try_variant_get(v, "$", "map<string,variant>")
         plain = {f: F.lit("") for f in fields} | {main: _stripped(F.try_variant_get(v, "$", "string"))}
-        return F.struct(*(F.when(own.isNull(), plain[f]).otherwise(_stripped(_text_of(own[f]))).alias(f) for f in fields))
+        return _let(F.try_variant_get(v, "$", "map<string,variant>"), lambda own: F.struct(*(F.when(own.isNull(), plain[f]).otherwise(_let(own[f], lambda x: _stripped(_text_of(x)))).alias(f) for f in fields)))
 
     def some(s: Column) -> Column:
         return F.concat(*(s[f] for f in fields)) != ""
 
-    return F.filter(F.transform(kinds, shaped), some)
+    return F.filter(F.transform(_let(value, listed), shaped), some)
 
 
 def page_payload(raw: Column, page: Column) -> Column:
     """What a page model gave, in one shape: page, text, tables, figures, notes. A list of texts is joined by lines; an answer
     without an object is its own text."""
-    found = first_json(raw)
-    value = F.try_parse_json(F.coalesce(found, F.lit("{}")))
-    text = F.try_variant_get(value, "$.text", "variant")
-    many = F.try_variant_get(text, "$", "array<variant>")
-    joined = F.when(many.isNotNull(), F.array_join(F.transform(many, _text_of), "\n")).otherwise(_stripped(_text_of(text)))
-
-    def field(name: str) -> Column:
-        return F.try_variant_get(value, f"$.{name}", "variant")
-
-    return F.struct(
-        page.alias("page"),
-        F.when(found.isNull(), _stripped(F.coalesce(raw, F.lit("")))).otherwise(joined).alias("text"),
-        items(field("tables"), "markdown", ("caption", "markdown")).alias("tables"),
-        items(field("figures"), "description", ("caption", "description", "data_table_markdown")).alias("figures"),
-        _text_of(field("notes")).alias("notes"),
-    )
+
+    def joined(text: Column) -> Column:
+        many = F.try_variant_get(text, "$", "array<variant>")
+        return _let(many, lambda m: F.when(m.isNotNull(), F.array_join(F.transform(m, _text_of), "\n")).otherwise(_stripped(_text_of(text))))
+
+    def shaped(found: Column, value: Column) -> Column:
+        def field(name: str) -> Column:
+            return F.try_variant_get(value, f"$.{name}", "variant")
+
+        return F.struct(
+            page.alias("page"),
+            F.when(found.isNull(), _stripped(F.coalesce(raw, F.lit("")))).otherwise(_let(field("text"), joined)).alias("text"),
+            items(field("tables"), "markdown", ("caption", "markdown")).alias("tables"),
+            items(field("figures"), "description", ("caption", "description", "data_table_markdown")).alias("figures"),
+            _let(field("notes"), _text_of).alias("notes"),
+        )
+
+    return _let(first_json(raw), lambda found: _let(F.try_parse_json(F.coalesce(found, F.lit("{}"))), lambda value: shaped(found, value)))

@@ -8,7 +8,8 @@ end gets a link from its nearest node that it does reach. A graph is stored as f
 
 A query goes to the shards of its nearest cell first. Its k-th distance there then rules out each cell whose ball around
 its centre, or whose side of the plane half-way to the nearest centre, is further away; it goes to the others, and the
-results are merged. So routing itself loses no neighbour: what is approximate is the search within a shard alone.
+results are merged. So routing itself loses no neighbour. What the walk over a shard's graph found is checked against the shard, by a
+matrix product, and what it missed is put in: that takes less than the walk, whose shards are the only ones that are looked at.
 """
 
 from __future__ import annotations
@@ -388,7 +389,9 @@ def build_index(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     prepare(spark)
     ws = workspace or Workspace(spark, "hnsw")
     copies = Window.partitionBy("vector").orderBy("vec_id")
-    rows = ws.table(usable(vectors, id_col, vector_col).withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1), "rows")
+    # An id that has a vector several times has it once.
+    counted = usable(vectors, id_col, vector_col).withColumns({"copy": F.dense_rank().over(copies), "before": F.lag("vec_id").over(copies)})
+    rows = ws.table(counted.where((F.col("copy") <= k + 1) & ~F.col("before").eqNullSafe(F.col("vec_id"))).drop("before"), "rows")
     large = rows.groupBy("dim").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows).collect()
     centres = {}
     for r in large:
@@ -441,17 +444,44 @@ def _length(step: np.ndarray) -> np.ndarray:
     return out
 
 
+def _nearest_rows(graph: Graph, vector: np.ndarray, nodes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores) of the k + 1 nearest rows of some nodes, ties by id; an id that has several comes once, with its least score."""
+    many = np.minimum(np.diff(graph.bounds)[nodes], k + 1)
+    ids = np.concatenate([np.zeros(0, np.int64), *(graph.ids[graph.bounds[x] : graph.bounds[x] + m] for x, m in zip(nodes.tolist(), many.tolist(), strict=True))])
+    score = np.repeat(_length(graph.vectors[nodes] - vector), many)
+    order = np.lexsort((ids, score))
+    ids, score = ids[order], score[order]
+    first = np.unique(ids, return_index=True)[1]
+    first.sort()
+    return ids[first[: k + 1]], score[first[: k + 1]]
+
+
+def _missed(graph: Graph, queries: np.ndarray, nodes: np.ndarray, reached: np.ndarray) -> list[np.ndarray]:
+    """The exact check behind a walk: by query, the nodes of the shard that it did not give and that may be as near as what it reached,
+    up to the rounding of a product. Where distances tie, or a query is so far away that they all look alike, a walk can't tell which to follow."""
+    points, asked = _points(graph.vectors, queries)
+    scale = np.abs(graph.vectors).max(initial=0) or 1.0
+    own, there = np.einsum("ij,ij->i", points, points), np.einsum("ij,ij->i", asked, asked)
+    with np.errstate(over="ignore", invalid="ignore"):
+        square = there[:, None] + own - 2 * (asked @ points.T)
+        square -= 1e-14 * (points.shape[1] + 16) * (there[:, None] + own)
+        may = ~(square > ((reached / scale) ** 2 * (1 + 1e-9))[:, None])
+        may |= (np.abs(queries).max(1, initial=0) / scale > _FARTHEST)[:, None]
+    r, c = np.nonzero(nodes >= 0)
+    may[r, nodes[r, c]] = False
+    return [np.flatnonzero(x) for x in may]
+
+
 def _best(graph: Graph, reps: np.ndarray, queries: np.ndarray, k: int, beam: int) -> pa.RecordBatch:
-    """The k + 1 nearest rows of a shard to each query: its own may be one of them."""
+    """The k + 1 nearest rows of a shard to each query: its own may be one of them. What a walk found is checked against the shard."""
     nodes = graph.search(queries, beam)
+    found = [_nearest_rows(graph, vector, own[own >= 0], k) for vector, own in zip(queries, nodes, strict=True)]
+    reached = np.array([score[k] if len(score) > k else np.inf for _, score in found])
     out = []
-    for rep, vector, own in zip(reps.tolist(), queries, nodes, strict=True):
-        own = own[own >= 0]
-        many = np.minimum(np.diff(graph.bounds)[own], k + 1)
-        ids = np.concatenate([np.zeros(0, np.int64), *(graph.ids[graph.bounds[x] : graph.bounds[x] + m] for x, m in zip(own.tolist(), many.tolist(), strict=True))])
-        score = np.repeat(_length(graph.vectors[own] - vector), many)
-        order = np.lexsort((ids, score))[: k + 1]
-        out.append((np.full(len(order), rep), ids[order], score[order]))
+    for i, more in enumerate(_missed(graph, queries, nodes, reached)):
+        if len(more):
+            found[i] = _nearest_rows(graph, queries[i], np.concatenate([nodes[i][nodes[i] >= 0], more]), k)
+        out.append((np.full(len(found[i][0]), reps[i]), *found[i]))
     q, v, s = (np.concatenate(x) for x in zip(*out, strict=True))
     return pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], ["rep", "vec_id", "score"])
 
@@ -516,7 +546,7 @@ def search(index: Index, queries: DataFrame, *, k: int = MOST_NEIGHBOURS, beam:
         for r in index.cells.where(F.col("dim").isin(*index.centres)).collect():  # MOST_CELLS rows a dimension at most
             radius[r["dim"]][r["cell"]] = r["radius"]
         last = Window.partitionBy("rep").orderBy("score", "vec_id")
-        reached = found.withColumn("n", F.row_number().over(last)).where(F.col("n") == k + 1).select("rep", F.col("score").alias("reached"))
+        reached = found.groupBy("rep", "vec_id").agg(F.min("score").alias("score")).withColumn("n", F.row_number().over(last)).where(F.col("n") == k + 1).select("rep", F.col("score").alias("reached"))
         bound = placed.join(reached, "rep", "left").withColumn("reached", F.coalesce("reached", F.lit(float("inf"))))
         routing = spark.sparkContext.broadcast((index.centres, radius))
         more = ws.table(bound.mapInArrow(_further(routing), "rep long, vector array<double>, dim int, cell int"), "more")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.operators import graph as G
+from quarry.operators import nearest as N
 from quarry.operators import retrieval as R
 from quarry.operators import search as S
 from quarry.operators.nearest import nearest
@@ -95,3 +96,13 @@ def test_texts_that_hold_passages(spark):
     assert sorted((r.query_id, r.doc_id) for r in got.collect()) == want
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_candidates_are_those_that_better_what_is_there():
+    """Once a query has its k best, a batch of further rows gives no pairs; before, each batch gave k for every query."""
+    rng = np.random.default_rng(2)
+    near, far, asked = rng.normal(size=(50, 4)), 100 + rng.normal(size=(50, 4)), rng.normal(size=(9, 4))
+    kept = N._Kept(9, 3, "l2")
+    row, query = N._candidates(near, asked, 3, "l2", kept.worst)
+    kept.add(query, row, N._scores(near, asked, row, query, "l2"))
+    assert len(kept.rows()[0]) == 27 and not len(N._candidates(far, asked, 3, "l2", kept.worst)[0])

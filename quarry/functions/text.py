@@ -58,14 +58,23 @@ def meta_fields(text: Column) -> Column:
     return F.when(F.coalesce(is_header, F.lit(False)), F.map_from_arrays(keys, values)).otherwise(F.create_map().cast("map<string,string>"))
 
 
-def meta_value(text: Column, key: str) -> Column:
-    """One key of the first line's META header: its last value, or null where the line is none or has no such key. Plain regular
-    expressions over one line, which are compiled."""
+def meta_inside(text: Column) -> Column:
+    """The fields of the first line's META header as they stand there; empty where the line is none. Plain regular expressions over
+    one line, which are compiled."""
     line = F.trim(F.regexp_extract(text, r"^[^\r\n]*", 0))
-    inside = F.regexp_extract(line, r"^\[\[META((?:[^\]]|\](?!\]*$))*)\]{2,}$", 1)
+    return F.regexp_extract(line, r"^\[\[META((?:[^\]]++|\](?!\]*$))*+)\]{2,}$", 1)
+
+
+def field_value(inside: Column, key: str) -> Column:
+    """One key of a header's fields: its last value, or null where there is no such key."""
     return F.when(inside.rlike(rf"(?:^|\s){key}="), F.regexp_extract(inside, rf"(?:^|.*\s){key}=(\S*)", 1))
 
 
+def meta_value(text: Column, key: str) -> Column:
+    """One key of the first line's META header: its last value, or null where the line is none or has no such key."""
+    return field_value(meta_inside(text), key)
+
+
 def meta_page(text: Column) -> Column:
     """The page number in the first line's META header, or null."""
     return F.regexp_extract(F.split_part(text, F.lit("\n"), F.lit(1)), r"(?i)\[\[META[^\]]*?\bpage\s*=\s*(\d+)", 1).try_cast("int")

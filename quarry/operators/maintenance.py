@@ -54,9 +54,14 @@ def entity_decrements(lost: DataFrame) -> DataFrame:
     return lost.groupBy("entity_id").agg(F.sum("mention_count").alias("n"))
 
 
+def pair_decrements(lost: DataFrame) -> DataFrame:
+    """By unordered pair of entities (a, b), a < b: chunks lost that mention both."""
+    return G.pairs(lost).groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
 def edge_decrements(lost: DataFrame) -> DataFrame:
     """By ordered pair of entities: chunks lost that mention both."""
-    return G.both_ways(G.pairs(lost).groupBy("a", "b").agg(F.count("*").alias("n")))
+    return G.both_ways(pair_decrements(lost))
 
 
 def decrement_entities(entities: DataFrame, lost: DataFrame) -> DataFrame:
@@ -78,6 +83,12 @@ def decrement_edges(edges: DataFrame, lost: DataFrame) -> DataFrame:
     return both.withColumn("evidence_count", F.greatest(F.col("evidence_count") - F.coalesce("n", F.lit(0)), F.lit(0))).select(*edges.columns)
 
 
+def decrement_pairs(folded: DataFrame, lost: DataFrame) -> DataFrame:
+    """The same for edges that are there both ways, by their unordered pairs: rows (a, b, evidence_count) before they are made two edges."""
+    both = folded.join(pair_decrements(lost), ["a", "b"], "left")
+    return both.withColumn("evidence_count", F.greatest(F.col("evidence_count") - F.coalesce("n", F.lit(0)), F.lit(0))).select(*folded.columns)
+
+
 def backfill_texts(entities: DataFrame) -> DataFrame:
     """(entity_id, text) of active entities without a vector: name and aliases in one line."""
     aliases = F.filter(F.transform("aliases", lambda a: F.trim(a)), lambda a: a != "")
